@@ -11,6 +11,7 @@ from foretell.llm.chat import format_chats, read_back
 from foretell.llm.common import load
 from foretell.llm.exact_dedup import exact_duplicates
 from foretell.llm.secrets import KINDS, scan
+from foretell.llm.simhash import near_duplicates
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -45,5 +51,6 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_format": op10_chat_format,
 }
