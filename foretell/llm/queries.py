@@ -10,14 +10,24 @@ from pyspark.sql import functions as F
 from foretell.llm.chat import format_chats, read_back
 from foretell.llm.common import load
 from foretell.llm.exact_dedup import exact_duplicates
+from foretell.llm.mixing import mixed_positions
+from foretell.llm.packing import pack_documents
 from foretell.llm.secrets import KINDS, scan
 from foretell.llm.simhash import near_duplicates
 
 
+def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_positions(load(spark, sf_dir, "documents")).drop("_h")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(load(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(load(spark, sf_dir, "documents"))
     name = F.array(*map(F.lit, KINDS))
@@ -49,7 +59,9 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pfair_mix": op1_pfair_mix,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_chat_format": op10_chat_format,
