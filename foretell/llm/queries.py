@@ -14,12 +14,18 @@ from foretell.llm.mixing import mixed_positions
 from foretell.llm.packing import pack_documents
 from foretell.llm.secrets import KINDS, scan
 from foretell.llm.simhash import near_duplicates
+from foretell.llm.vafile import top_k
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_positions(load(spark, sf_dir, "documents")).drop("_h")
 
 
+def op3_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
@@ -60,6 +66,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
+    "op3_vector_top_k": op3_vector_top_k,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
