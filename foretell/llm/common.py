@@ -44,6 +44,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
+    """df marked for broadcast if it has at most `most_rows` rows of a few bytes, which is counted first; otherwise as it is, for an ordinary shuffled join."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

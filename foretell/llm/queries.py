@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foretell.llm.chat import format_chats, read_back
 from foretell.llm.common import load
 from foretell.llm.exact_dedup import exact_duplicates
+from foretell.llm.kneser_ney import judge
 from foretell.llm.mixing import mixed_positions
 from foretell.llm.packing import pack_documents
 from foretell.llm.secrets import KINDS, scan
@@ -26,6 +27,10 @@ def op3_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
     "op3_vector_top_k": op3_vector_top_k,
+    "op4_kneser_ney_quality": op4_kneser_ney_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
