@@ -43,9 +43,9 @@ def grams(text: str, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def _text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def _text_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
     """All n-grams of the texts, and how many each text has."""
-    each = [grams(t or "") for t in texts]
+    each = [grams(t or "", order) for t in texts]
     return np.concatenate([np.empty(0, np.int64), *each]), np.array([len(g) for g in each], np.int64)
 
 
@@ -53,14 +53,14 @@ def _language(docs: DataFrame) -> DataFrame:
     return docs.withColumn("lang", F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)))
 
 
-def counts(docs: DataFrame) -> DataFrame:
+def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """lang, gram, c: occurrences of n-grams of the highest order; tasks count their own text before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             frame = b.to_pandas()
             for lang, texts in frame.groupby("lang", sort=False)["text"]:
-                codes, uniques = pd.factorize(_text_grams(texts.tolist())[0])
+                codes, uniques = pd.factorize(_text_grams(texts.tolist(), order)[0])
                 n = np.bincount(codes, minlength=len(uniques)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(uniques)), pa.array(np.asarray(uniques, np.int64)), pa.array(n)], ["lang", "gram", "c"])
 
@@ -72,7 +72,7 @@ class Model:
 
     def __init__(self, docs: DataFrame, order: int = ORDER):
         self.order = order
-        table = materialise(counts(docs))
+        table = materialise(counts(docs, order))
         self.tables, self.contexts = {order: table}, {}
         for n in range(order - 1, 0, -1):
             shorter = F.col("gram").bitwiseAND(F.lit((1 << BITS * n) - 1))
@@ -121,9 +121,9 @@ class Model:
         return below
 
 
-def _scores(texts: list[str | None], have: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _scores(texts: list[str | None], order: int, have: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Characters and mean loss of each text (nan without characters), from the sorted n-grams `have` and their log probabilities."""
-    found, n = _text_grams(texts)
+    found, n = _text_grams(texts, order)
     if not len(found) or not len(have):
         return n, np.full(len(texts), np.nan)
     codes, unique = pd.factorize(found)
@@ -132,16 +132,16 @@ def _scores(texts: list[str | None], have: np.ndarray, logp: np.ndarray) -> tupl
     return n, np.where(n > 0, -(sums[ends] - sums[ends - n]) / np.maximum(n, 1), np.nan)
 
 
-def _score_frame(frame: pd.DataFrame, table: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+def _score_frame(frame: pd.DataFrame, order: int, table: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
     none = (np.empty(0, np.int64), np.empty(0))
     for lang, own in frame.groupby("lang", sort=False):
         for at in range(0, len(own), 512):
             some = own.iloc[at : at + 512]
-            n, loss = _scores(some["text"].tolist(), *table.get(lang, none))
+            n, loss = _scores(some["text"].tolist(), order, *table.get(lang, none))
             yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "lang": lang, "n_chars": n, "loss": loss})
 
 
-def _ask(docs: DataFrame, keys: list[str]) -> DataFrame:
+def _ask(docs: DataFrame, order: int, keys: list[str]) -> DataFrame:
     """The different n-grams by `keys` (lang, and block if dealt); tasks keep each n-gram of a batch once."""
     schema = ", ".join(f"{k} {'int' if k == 'block' else 'string'}" for k in keys) + ", gram long"
     kinds = [pa.int32() if k == "block" else pa.string() for k in keys]
@@ -149,7 +149,7 @@ def _ask(docs: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, texts in b.to_pandas().groupby(keys, sort=False)["text"]:
-                unique = np.asarray(pd.unique(_text_grams(texts.tolist())[0]), np.int64)
+                unique = np.asarray(pd.unique(_text_grams(texts.tolist(), order)[0]), np.int64)
                 yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(unique), kind) for k, kind in zip(key, kinds)], pa.array(unique)], [*keys, "gram"])
 
     return docs.mapInArrow(run, schema).distinct()
@@ -162,26 +162,26 @@ def _lookup(answers: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 def perplexity(docs: DataFrame, model: Model, most_answers: int = MOST_ANSWERS) -> DataFrame:
     """One row per row of docs: doc_id, lang (as given), n_chars, perplexity (per character; null without characters or model)."""
-    spark = docs.sparkSession
+    spark, order = docs.sparkSession, model.order
     rows = _language(docs).select("doc_id", "lang", "text")
     schema = "doc_id long, lang string, n_chars long, loss double"
-    answers = model.probabilities(materialise(_ask(rows, ["lang"])))
+    answers = model.probabilities(materialise(_ask(rows, order, ["lang"])))
     if answers.limit(most_answers + 1).count() <= most_answers:
         shared = spark.sparkContext.broadcast(_lookup(answers.toArrow().to_pandas()))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in batches:
-                yield from _score_frame(frame, shared.value)
+                yield from _score_frame(frame, order, shared.value)
 
         scored = rows.mapInPandas(run, schema)
     else:
         size = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
         blocks = max(1, -(-size // BLOCK_CHARS))
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-        asked = materialise(_ask(dealt, ["block", "lang"]))
+        asked = materialise(_ask(dealt, order, ["block", "lang"]))
 
         def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "loss": []}), *_score_frame(texts, _lookup(known))])
+            return pd.concat([pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "loss": []}), *_score_frame(texts, order, _lookup(known))])
 
         scored = dealt.groupBy("block").cogroup(asked.join(answers, ["lang", "gram"]).groupBy("block")).applyInPandas(score, schema)
     value = F.when(F.col("loss").isNotNull() & ~F.isnan("loss"), F.exp("loss"))
