@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foretell.llm.chat import format_chats, read_back
 from foretell.llm.common import load
 from foretell.llm.exact_dedup import exact_duplicates
 from foretell.llm.kneser_ney import judge
+from foretell.llm.langid import identify
 from foretell.llm.mixing import mixed_positions
 from foretell.llm.packing import pack_documents
 from foretell.llm.secrets import KINDS, scan
@@ -22,6 +23,17 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_positions(load(spark, sf_dir, "documents")).drop("_h")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    held_out = _remainder(5) == 0
+    found = identify(docs, ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = load(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -71,6 +83,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mix": op1_pfair_mix,
+    "op2_language_id": op2_language_id,
     "op3_vector_top_k": op3_vector_top_k,
     "op4_kneser_ney_quality": op4_kneser_ney_quality,
     "op6_exact_dedup": op6_exact_dedup,
