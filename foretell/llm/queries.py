@@ -16,6 +16,7 @@ from foretell.llm.mixing import mixed_positions
 from foretell.llm.packing import pack_documents
 from foretell.llm.secrets import KINDS, scan
 from foretell.llm.simhash import near_duplicates
+from foretell.llm.toxicity import score
 from foretell.llm.vafile import top_k
 
 
@@ -43,6 +44,12 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = _remainder(4) == 2
+    found = score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(load(spark, sf_dir, "documents"))
 
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_vector_top_k": op3_vector_top_k,
     "op4_kneser_ney_quality": op4_kneser_ney_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_secret_scan": op8_secret_scan,
