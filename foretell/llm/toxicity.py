@@ -27,11 +27,9 @@ from foretell.llm.words import words_of
 WINDOW, STRIDE = 32, 16
 HIDDEN, PART, ATTENTION = 8, 8, 8
 WORDS, TRIGRAMS = 1 << 14, 1 << 14
-SAMPLE, EPOCHS, LOT = 1000, 2, 256
+SAMPLE, STEPS, LOT = 1000, 200, 256
 #: A toxic document's window counts as toxic if its logit exceeds that of so many clean windows.
 RARE = 0.998
-#: Windows of the sampled documents that one pass trains on.
-TRAINED = 24_000
 #: Words in so many sampled documents get a vector of their own; rarer ones would only be learned by heart.
 COMMON = 10
 KNOWN_WORDS = 200_000
@@ -195,23 +193,23 @@ class Network:
         return float(loss), g
 
 
-def fit(network: Network, numbers: np.ndarray, labels: np.ndarray, vocabulary: Words, epochs: int, seed: int = 1) -> None:
-    """Adam over lots of windows."""
-    rng, rate, step = np.random.default_rng(seed), 0.01, 0
+def fit(network: Network, numbers: np.ndarray, labels: np.ndarray, vocabulary: Words, steps: int, seed: int = 1) -> None:
+    """`steps` steps of Adam over shuffled lots of windows."""
+    rng, rate, lots = np.random.default_rng(seed), 0.01, []
     first = {k: np.zeros_like(v) for k, v in network.p.items()}
     second = {k: np.zeros_like(v) for k, v in network.p.items()}
-    for _ in range(epochs):
-        for lot in np.array_split(rng.permutation(len(numbers)), max(1, len(numbers) // LOT)):
-            used, at = np.unique(numbers[lot], return_inverse=True)
-            at = at.reshape(numbers[lot].shape) - (used[0] < 0)
-            own = vocabulary.take(used[used >= 0])
-            _, g = network.gradient(own, at, labels[lot])
-            step += 1
-            g["words"] *= network.common
-            for k, v in g.items():
-                first[k] += 0.1 * (v - first[k])
-                second[k] += 0.01 * (v * v - second[k])
-                network.p[k] -= np.float32(rate) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
+    for step in range(1, steps + 1):
+        lots = lots or np.array_split(rng.permutation(len(numbers)), max(1, len(numbers) // LOT))
+        lot = lots.pop()
+        used, at = np.unique(numbers[lot], return_inverse=True)
+        at = at.reshape(numbers[lot].shape) - (used[0] < 0)
+        own = vocabulary.take(used[used >= 0])
+        _, g = network.gradient(own, at, labels[lot])
+        g["words"] *= network.common
+        for k, v in g.items():
+            first[k] += 0.1 * (v - first[k])
+            second[k] += 0.01 * (v * v - second[k])
+            network.p[k] -= np.float32(rate) * (first[k] / np.float32(1 - 0.9**step)) / (np.sqrt(second[k] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
 
 
 class Scorer:
@@ -255,7 +253,7 @@ def platt(logit: np.ndarray, labels: np.ndarray, rounds: int = 500) -> tuple[flo
     return a / width, b - a * middle / width
 
 
-def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS) -> tuple[Network, float, float] | None:
+def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> tuple[Network, float, float] | None:
     """Network and curve from labelled texts; every fifth text only serves the curve."""
     docs = [words_of(t) for t in texts]
     fitted = np.arange(len(docs)) % 5 != 0
@@ -281,20 +279,18 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS) ->
             if turn == 1:
                 network = Network()
                 network.restrict(common)
-        some = np.flatnonzero(keep)
-        some = np.random.default_rng(turn).permutation(some)[:TRAINED]
-        fit(network, numbers[some], toxic[some], vocabulary, epochs, seed=turn)
+        fit(network, numbers[keep], toxic[keep], vocabulary, steps, seed=turn)
     rest = [i for i in np.flatnonzero(~fitted) if docs[i]]
     largest = Scorer(network).largest([docs[i] for i in rest])
     return network, *platt(largest, labels[rest].astype(float))
 
 
-def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, epochs: int = EPOCHS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
     """One row per row of docs: doc_id, score.  labels: doc_id, toxic; learned where `learn` (of doc_id) holds."""
     usable = labels.filter(learn & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     drawn = usable.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter((F.col("n") <= sample) & F.col("toxic").isin(0, 1))
     drawn = docs.join(small_side(drawn.drop("n")), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    model = train(drawn["text"].to_pylist(), np.array(drawn["toxic"].to_pylist(), np.int64), epochs)
+    model = train(drawn["text"].to_pylist(), np.array(drawn["toxic"].to_pylist(), np.int64), steps)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -58,7 +58,7 @@ def test_held_out_accuracy_and_edge_cases(spark):
     docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, score string")
     table = spark.createDataFrame(labels + labels[:3], "doc_id long, toxic int, text string")
     learn = F.col("doc_id") % 5 != 0
-    got = {r.doc_id: r.score for r in score(docs, table, learn, epochs=3).collect()}
+    got = {r.doc_id: r.score for r in score(docs, table, learn).collect()}
     held = [i for i in range(0, 400, 5)]
     assert np.mean([(got[i] >= 0.3) == (i % 4 == 0) for i in held]) > 0.9
     assert got[900] == got[901] == got[902] == 0 and got[903] >= 0.3 and all(0 <= s <= 1 for s in got.values())
