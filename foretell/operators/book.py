@@ -76,7 +76,7 @@ def price_impact(asks: Column, midpoint: Column, dollars: float) -> Column:
         more = F.struct((s.left - cost).alias("left"), (s.shares + cost / x.price).alias("shares"), (s.levels + 1).alias("levels"), x.price.alias("last"))
         return F.when(s.left > 0, more).otherwise(s)
 
-    done = lambda s: F.struct(F.round((s["last"] - midpoint) * 100, 2).alias("impact_cents"), F.floor(s.shares + 0.5).alias("shares"), s.levels.alias("levels"), (dollars - s.left).alias("spent"))
+    done = lambda s: F.struct(F.round((s["last"] - midpoint) * 100, 2).alias("impact_cents"), F.floor(s.shares + 0.500001).alias("shares"), s.levels.alias("levels"), (dollars - s.left).alias("spent"))
     return F.when(F.size(asks) > 0, F.aggregate(asks, start, take, done))
 
 

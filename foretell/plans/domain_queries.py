@@ -76,7 +76,7 @@ def cost_to_move_grades(spark, sf):
     return g.withColumn("grade", book.grade(F.col("cost"), F.col("tier"))).select("market_id", F.coalesce("cost", F.lit(-1)).alias("cost"), "tier", "grade")
 
 
-@query(_BOOK + ", a AS (SELECT l.market_id, p, s, (best_bid + best_ask) / 2 AS mid, coalesce(sum(p * s) OVER (PARTITION BY l.market_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l JOIN b USING (market_id) WHERE NOT bid AND best_bid IS NOT NULL), t AS (SELECT *, least(p * s, 500 - before) AS cost FROM a WHERE before < 500) SELECT market_id, floor((max(p) - max(mid)) * 100 * 100 + 0.5) / 100 AS impact_cents, CAST(floor(sum(cost / p) + 0.5) AS BIGINT) AS shares, CAST(count(*) AS INTEGER) AS levels, round(sum(cost), 4) AS spent FROM t GROUP BY 1")
+@query(_BOOK + ", a AS (SELECT l.market_id, p, s, (best_bid + best_ask) / 2 AS mid, coalesce(sum(p * s) OVER (PARTITION BY l.market_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l JOIN b USING (market_id) WHERE NOT bid AND best_bid IS NOT NULL), t AS (SELECT *, least(p * s, 500 - before) AS cost FROM a WHERE before < 500) SELECT market_id, floor((max(p) - max(mid)) * 100 * 100 + 0.5) / 100 AS impact_cents, CAST(floor(sum(cost / p) + 0.500001) AS BIGINT) AS shares, CAST(count(*) AS INTEGER) AS levels, round(sum(cost), 4) AS spent FROM t GROUP BY 1")
 def price_impact(spark, sf):
     m = book.metrics(books(spark, sf)).filter(F.col("midpoint").isNotNull()).select("market_id", "midpoint", book.price_impact(F.col("asks"), F.col("midpoint"), 500.0).alias("i"))
     return m.select("market_id", numbers.half_up(F.col("i.impact_cents"), 2).alias("impact_cents"), "i.shares", "i.levels", F.round("i.spent", 4).alias("spent"))
@@ -168,7 +168,7 @@ def volume_swap(spark, sf):
 _TRADES = ", t AS (SELECT m.wallet, k.market_id, k.price * k.size AS volume, CASE flag WHEN 'A' THEN 'BUY' WHEN 'N' THEN 'SELL' ELSE 'hold' END AS s, CASE side WHEN 'F' THEN 'Yes' ELSE 'No' END AS l, CASE k.market_id % 3 WHEN 0 THEN 'Republican' WHEN 1 THEN 'Democrat' END AS party, m.outcome FROM ticks k JOIN markets m USING (market_id)), d AS (SELECT *, CASE WHEN s = 'hold' OR party IS NULL THEN NULL ELSE ((s = 'BUY') = (l = 'Yes')) = (party = 'Republican') END AS up FROM t), r AS (SELECT *, up = (outcome = 1) AS ok FROM d WHERE up IS NOT NULL AND volume > 0)"
 
 
-@query(_TRADES + " SELECT wallet, floor((coalesce(sum(volume) FILTER (WHERE up), 0), 4) AS volume_for, round(coalesce(sum(volume) FILTER (WHERE NOT up), 0), 4) AS volume_against, round(coalesce(sum(volume) FILTER (WHERE ok), 0), 4) AS volume_right, round(coalesce(sum(volume) FILTER (WHERE NOT ok), 0), 4) AS volume_wrong, count(*) AS n_trades, count(DISTINCT market_id) AS n_markets, round(coalesce(sum(volume) FILTER (WHERE up), 0) / sum(volume) * 100) * 100000 + 0.500001) / 100000 AS share_for, floor((coalesce(sum(volume) FILTER (WHERE up <> (NOT coalesce(ok, true))), 0) / sum(volume) * 100) * 100000 + 0.500001) / 100000 AS cf_all, floor((coalesce(sum(volume) FILTER (WHERE up AND coalesce(ok, true)), 0) / sum(volume) * 100) * 100000 + 0.500001) / 100000 AS cf_rep_only, floor((coalesce(sum(volume) FILTER (WHERE up OR NOT coalesce(ok, true)), 0) / sum(volume) * 100) * 100000 + 0.500001) / 100000 AS cf_dem_only FROM r GROUP BY 1")
+@query(_TRADES + " SELECT wallet, round(coalesce(sum(volume) FILTER (WHERE up), 0), 4) AS volume_for, round(coalesce(sum(volume) FILTER (WHERE NOT up), 0), 4) AS volume_against, round(coalesce(sum(volume) FILTER (WHERE ok), 0), 4) AS volume_right, round(coalesce(sum(volume) FILTER (WHERE NOT ok), 0), 4) AS volume_wrong, count(*) AS n_trades, count(DISTINCT market_id) AS n_markets, floor(coalesce(sum(volume) FILTER (WHERE up), 0) / sum(volume) * 100 * 100000 + 0.500001) / 100000 AS share_for, floor(coalesce(sum(volume) FILTER (WHERE up <> (NOT coalesce(ok, true))), 0) / sum(volume) * 100 * 100000 + 0.500001) / 100000 AS cf_all, floor(coalesce(sum(volume) FILTER (WHERE up AND coalesce(ok, true)), 0) / sum(volume) * 100 * 100000 + 0.500001) / 100000 AS cf_rep_only, floor(coalesce(sum(volume) FILTER (WHERE up OR NOT coalesce(ok, true)), 0) / sum(volume) * 100 * 100000 + 0.500001) / 100000 AS cf_dem_only FROM r GROUP BY 1")
 def wallet_stats(spark, sf):
     k = ticks(spark, sf).join(markets(spark, sf).select("market_id", "wallet", "outcome"), "market_id")
     side = F.when(F.col("flag") == "A", "BUY").when(F.col("flag") == "N", "SELL").otherwise("hold")

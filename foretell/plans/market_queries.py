@@ -110,7 +110,7 @@ def _tier_sql() -> str:
     hours = (6, 12, 24)
     parts = ", ".join(f"count(*) FILTER (WHERE age <= {h * 3600}) AS n{h}, floor(sum(price * size) FILTER (WHERE age <= {h * 3600}) / sum(size) FILTER (WHERE age <= {h * 3600}) * 10000 + 0.500001) / 10000 AS v{h}, CAST(round(sum(size) FILTER (WHERE age <= {h * 3600})) AS BIGINT) AS s{h}" for h in hours)
     return f"""
-WITH e AS (SELECT event_type, user_id % 10 AS bucket, (user_id % 100) / 100.0 AS price, round(abs(value), 2) + 1 AS size, max(CAST(epoch(ts) AS BIGINT)) OVER () - CAST(epoch(ts) AS BIGINT) AS age FROM events),
+WITH e AS (SELECT event_type, user_id % 10 AS bucket, (user_id % 100) / 100.0 AS price, round(abs(value), 2) + 1 AS size, max(CAST(floor(epoch(ts)) AS BIGINT)) OVER () - CAST(floor(epoch(ts)) AS BIGINT) AS age FROM events),
 w AS (SELECT event_type, bucket, {parts} FROM e WHERE age <= 86400 GROUP BY 1, 2)
 SELECT event_type, bucket, CASE WHEN n6 >= 10 THEN v6 WHEN n12 >= 10 THEN v12 ELSE v24 END AS vwap, CASE WHEN n6 >= 10 THEN 6 WHEN n12 >= 10 THEN 12 WHEN n24 >= 10 THEN 24 ELSE 0 END AS window_hours,
        CASE WHEN n6 >= 10 THEN n6 WHEN n12 >= 10 THEN n12 ELSE n24 END AS trade_count, CASE WHEN n6 >= 10 THEN s6 WHEN n12 >= 10 THEN s12 ELSE s24 END AS volume,
