@@ -49,6 +49,14 @@ def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def bounded_sample(df: DataFrame, by: str, key: str, n: int, shards: int = 16) -> DataFrame:
+    """The n rows of each value of `by` whose hashed key is smallest.  Shards of a value keep n rows each first, so the last step sees shards * n rows of a value at most."""
+    order = [F.xxhash64(key), F.col(key)]
+    rows = df.withColumn("_shard", F.pmod(F.hash(key), F.lit(shards)))
+    few = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_shard").orderBy(*order))).filter(F.col("_n") <= n)
+    return few.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= n).drop("_n", "_shard")
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 

@@ -19,9 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from foretell.llm.common import small_side
+from foretell.llm.common import bounded_sample, small_side
 from foretell.llm.words import words_of
 
 WINDOW, STRIDE = 32, 16
@@ -288,8 +287,8 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> tu
 def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
     """One row per row of docs: doc_id, score.  labels: doc_id, toxic; learned where `learn` (of doc_id) holds."""
     usable = labels.filter(learn & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    drawn = usable.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter((F.col("n") <= sample) & F.col("toxic").isin(0, 1))
-    drawn = docs.join(small_side(drawn.drop("n")), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    drawn = bounded_sample(usable.filter(F.col("toxic").isin(0, 1)), "toxic", "doc_id", sample)
+    drawn = docs.join(small_side(drawn), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     model = train(drawn["text"].to_pylist(), np.array(drawn["toxic"].to_pylist(), np.int64), steps)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
