@@ -128,3 +128,56 @@ STATE_NAMES = {
     "West Virginia": "WV", "North Carolina": "NC", "South Carolina": "SC", "North Dakota": "ND", "South Dakota": "SD", "New Hampshire": "NH", "New Jersey": "NJ", "New Mexico": "NM", "New York": "NY", "Rhode Island": "RI",
     "Alabama": "AL", "Alaska": "AK", "Arizona": "AZ", "Arkansas": "AR", "California": "CA", "Colorado": "CO", "Connecticut": "CT", "Delaware": "DE", "Florida": "FL", "Georgia": "GA", "Hawaii": "HI", "Idaho": "ID", "Illinois": "IL", "Indiana": "IN", "Iowa": "IA", "Kansas": "KS", "Kentucky": "KY", "Louisiana": "LA", "Maine": "ME", "Maryland": "MD", "Massachusetts": "MA", "Michigan": "MI", "Minnesota": "MN", "Mississippi": "MS", "Missouri": "MO", "Montana": "MT", "Nebraska": "NE", "Nevada": "NV", "Ohio": "OH", "Oklahoma": "OK", "Oregon": "OR", "Pennsylvania": "PA", "Tennessee": "TN", "Texas": "TX", "Utah": "UT", "Vermont": "VT", "Virginia": "VA", "Washington": "WA", "Wisconsin": "WI", "Wyoming": "WY",
 }
+
+
+# Election type by office, for general and primary elections of the United States.
+US_TYPES = {
+    "President": ("Presidential", "Presidential Primary"), "Vice President": ("VP Nomination", "VP Nomination"), "Senate": ("Senate", "Senate Primary"), "House": ("House", "House Primary"), "Governor": ("Gubernatorial", "Gubernatorial Primary"), "Mayor": ("Mayoral", "Mayoral Primary"),
+    "Lt. Governor": ("Gubernatorial", "Gubernatorial Primary"), "Attorney General": ("Gubernatorial", "Gubernatorial Primary"), "Secretary of State": ("Gubernatorial", "Gubernatorial Primary"),
+}
+# Election type by office elsewhere.
+OTHER_TYPES = {"President": ("Presidential", "Presidential Primary"), "Prime Minister": ("Prime Minister",) * 2, "Chancellor": ("Chancellor",) * 2, "Parliament": ("Parliamentary",) * 2, "European Parliament": ("European Parliament",) * 2, "Regional": ("Regional Election",) * 2, "Mayor": ("Mayoral", "Mayoral Primary")}
+REVIEW = "OTHER_NEEDS_REVIEW"
+#: Subjects that keep a question, and reasons to leave one out, in the order of trial.
+POLITICAL = r"(?i)\b(election|president|senate|congress|governor|minister|parliament|vote|ballot|party|policy|tariffs?|sanctions?|war|fed)\b"
+NOT_POLITICAL = [("sports", r"\b(nba|nfl|mlb|nhl|super bowl|championship|playoffs?|goals?|match)\b"), ("esports", r"\b(esports?|dota|league of legends|counter-strike)\b"), ("crypto", r"\b(bitcoin|btc|ethereum|eth|crypto)\b"), ("entertainment", r"\b(oscars?|grammys?|box office|album|movie)\b"), ("weather", r"\b(temperature|rainfall|hurricane)\b")]
+
+
+def election_type(office: Column, primary: Column, country: Column) -> Column:
+    """Kind of election; null without an office and for offices of the United States that are not listed."""
+    pick = lambda table: F.coalesce(*[F.when(office == k, F.when(F.coalesce(primary, F.lit(False)), b).otherwise(a)) for k, (a, b) in table.items()])
+    return F.when(office.isNotNull(), F.when(F.coalesce(country == "United States", F.lit(False)), pick(US_TYPES)).otherwise(F.coalesce(pick(OTHER_TYPES), F.lit(REVIEW))))
+
+
+def not_political(question: Column) -> Column:
+    """The first reason a question is not political; null if it is or may be."""
+    return F.when(question.rlike(POLITICAL), None).otherwise(F.coalesce(*[F.when(question.rlike(f"(?i){p}"), reason) for reason, p in NOT_POLITICAL]))
+
+
+def category_label(category: Column) -> Column:
+    """`12. SOME_NAME` as `Some Name`."""
+    return F.initcap(F.replace(F.lower(F.regexp_replace(category, r"^\d+[.-]\s*", "")), F.lit("_"), F.lit(" ")))
+
+
+def ticker_fields(ticker: Column) -> Column:
+    """office, scope, year and party from a ticker such as SENATEMD-28-R; two-digit years are 20xx."""
+    t = F.regexp_replace(F.upper(ticker), "^KX", "")
+    head, rest = F.substring_index(t, "-", 1), F.concat(F.lit("-"), F.regexp_replace(t, r"^[^-]*-?", ""), F.lit("-"))
+    office = F.when(head.startswith("SENATE"), "SEN").when(head.startswith("HOUSE"), "HOUSE").when(head.startswith("GOV"), "GOV").when(head.contains("PRES"), "PRES").when(head.contains("PARL"), "PARL").when(head.contains("MAYOR"), "MAYOR")
+    district = F.regexp_extract(head, r"^HOUSE([A-Z]{2})(\d{1,2})$", 1)
+    scope = F.when(district != "", F.concat_ws("-", district, F.regexp_extract(head, r"^HOUSE([A-Z]{2})(\d{1,2})$", 2))).otherwise(F.nullif(F.regexp_extract(head, r"^(?:SENATE|GOV)([A-Z]{2})$", 1), F.lit("")))
+    four, two = F.regexp_extract(rest, r"-((?:19|20|21)\d\d)-", 1), F.regexp_extract(rest, r"-(\d\d)(?:[A-Z]{3}\d{0,2})?-", 1)
+    year = F.when(four != "", four.try_cast("int")).when(two != "", two.try_cast("int") + 2000)
+    side = F.when(rest.endswith("-R-"), "Republican").when(rest.endswith("-D-"), "Democrat")
+    return F.struct(office.alias("office"), scope.alias("scope"), year.alias("year"), side.alias("party"))
+
+
+def with_hints(frame: Column, hints: Column) -> Column:
+    """frame whose empty office, scope, year and party are filled from hints."""
+    for f in ("office", "scope", "year", "party"):
+        frame = frame.withField(f, F.coalesce(frame[f], hints[f]))
+    return frame
+
+
+def url(base: str, slug: Column) -> Column:
+    return F.when(slug.isNotNull() & (slug != ""), F.concat(F.lit(base), slug))

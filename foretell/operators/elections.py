@@ -67,3 +67,23 @@ def swap_for_volume(selected: DataFrame, markets: DataFrame, key: str) -> DataFr
     joined = selected.join(best, key, "left")
     larger = F.col("b.volume_usd") > F.coalesce("volume_usd", F.lit(0.0))
     return joined.select(key, F.when(larger, F.col("b.market_id")).otherwise(F.col("market_id")).alias("market_id"), F.coalesce(larger, F.lit(False)).alias("swapped"))
+
+
+def match_by_place(elections: DataFrame, markets: DataFrame) -> DataFrame:
+    """Markets of each election by year and, unless it is national, state: an equi-join on what the question names.  elections: id, state, year, national; markets: key, state, year."""
+    m = markets.filter(F.col("year").isNotNull()).select("key", F.col("state").alias("_state"), F.col("year").alias("_year"))
+    local = elections.filter(~F.col("national")).join(m, (F.col("state") == F.col("_state")) & (F.col("year") == F.col("_year")))
+    national = elections.filter("national").join(m, F.col("year") == F.col("_year"))
+    return local.unionByName(national).select("id", "key")
+
+
+def race_context(markets: DataFrame, races: DataFrame) -> DataFrame:
+    """Each market's first race of its state whose year is equal or missing on either side.  markets: key, state, year; races: race, state, race_year, ord."""
+    same = F.col("year").isNull() | F.col("race_year").isNull() | (F.col("year") == F.col("race_year"))
+    return markets.join(races, "state").filter(same).groupBy("key").agg(F.min_by("race", "ord").alias("race"))
+
+
+def leader(candidates: DataFrame, election: str) -> DataFrame:
+    """Per election the candidate with the highest mean price over venues, and each venue's market of that name.  candidates: election, name_slug, platform, market_id, price."""
+    by_name = candidates.groupBy(election, "name_slug").agg(F.avg("price").alias("price"), *[F.max_by(F.when(F.col("platform") == v, F.col("market_id")), F.when(F.col("platform") == v, F.struct("price", -F.col("market_id")))).alias(v) for v in OFFSETS])
+    return by_name.groupBy(election).agg(F.max_by(F.struct("name_slug", "price", *OFFSETS), F.struct("price", "name_slug")).alias("x")).select(election, "x.*")

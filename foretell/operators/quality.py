@@ -90,3 +90,19 @@ def vote(df: DataFrame, stages: list[str]) -> DataFrame:
     tally = F.transform(F.array_distinct(valid), lambda v: F.struct(F.size(F.filter(valid, lambda x: x == v)).alias("n"), (-F.array_position(valid, v)).alias("first"), v.alias("v")))
     best = F.array_max(tally)
     return df.withColumn("voted", best.v).withColumn("votes", F.coalesce(best.n, F.lit(0)))
+
+
+def stale(df: DataFrame, now: int, close: str = "close_ts", status: str = "status", result: str = "result") -> DataFrame:
+    """Markets past their close that are still open without a result."""
+    return df.filter((F.col(close) > 0) & (F.col(close) < now) & (F.col(status) == "open") & F.col(result).isNull())
+
+
+def override(df: DataFrame, value: str, hint: str, confidence: str) -> DataFrame:
+    """df with `value` replaced by a hint of high confidence."""
+    return df.withColumn(value, F.when((F.col(confidence) == "high") & F.col(hint).isNotNull(), F.col(hint)).otherwise(F.col(value)))
+
+
+def daily_summary(df: DataFrame, ts: str, key: str, since: int) -> DataFrame:
+    """Rows since a time by platform: how many, of which categories (sorted set), and the smallest ids."""
+    new = df.filter(F.col(ts) >= since)
+    return new.groupBy("platform").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("category")).alias("categories"), F.min(key).alias("first_id"))
