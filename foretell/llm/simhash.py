@@ -7,13 +7,15 @@ Links: two fingerprints link when at most `bits` (4) bits differ.
 2. The 64 bits are cut into 6 blocks; 4 differing bits leave two blocks untouched, so every linked pair shares the key of at least one of the 15 pairs of blocks.  No linked pair is lost, whatever the size of a bucket.
 3. Inside a bucket a pivot table holds each fingerprint's Hamming distances to fixed reference fingerprints.  By the triangle inequality a pair whose largest coordinate difference exceeds `bits` cannot link and is discarded; survivors are verified.
 4. A bucket yields a spanning forest of its links, never all pairs.  Buckets of more than TILE rows are cut into pairs of tiles, so no task holds a large bucket.
-5. Components of the links give component_id, the smallest doc_id of the component.
+5. For a similarity of shingle sets in place of a number of bits (the pipeline: 0.8 over five words) fingerprints have LANES * 64 bits, buckets come from tables of sampled bits (see `wide_links`), and pivots, verification and tiles are the same.
+6. Components of the links give component_id, the smallest doc_id of the component.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; whole texts are read; a null doc_id takes part but never becomes a component_id unless alone; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,6 +31,8 @@ from foretell.llm.components import connected_components
 SEED = 42
 PIVOTS = 16
 TILE = 8192
+#: 64-bit lanes of a wide fingerprint.
+LANES = 4
 #: Buckets of up to so many fingerprints yield every link, larger ones a spanning forest.
 FEW = 16
 #: First bit and width of the six blocks.
@@ -37,38 +41,85 @@ BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """The fingerprint of a UTF-8 text as an unsigned integer."""
+def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
+    """XXH64 of every shingle of a UTF-8 text, repeats included; none for a text without words."""
     parts = (text or b"").lower().split()
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts])
     n = max(1, len(parts) - words + 1)
     starts = [0, *ends[: n - 1].tolist()]
     stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=n)
-    octets = hashes.view(np.uint8).reshape(n, 8)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), dtype="<u8", count=n)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that are set in over half of the hashes."""
+    if not len(hashes):
+        return np.uint64(0)
+    octets = np.ascontiguousarray(hashes).view(np.uint8).reshape(len(hashes), 8)
     counts = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0]
+
+
+def fingerprint(text: bytes | None, words: int = 4) -> int:
+    """The 64-bit fingerprint of a UTF-8 text as an unsigned integer."""
+    return int(majority(shingle_hashes(text, words)))
+
+
+def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Another 64 bits for each hash (a bijective finaliser after a lane's offset); lane 0 is the hash itself."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = LANES) -> bytes:
+    """lanes * 64 majority bits."""
+    hashes = shingle_hashes(text, words)
+    return np.array([majority(_mixed(hashes, k)) for k in range(lanes)], "<u8").tobytes()
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int | None = None) -> DataFrame:
+    """doc_id, fp: 64 bits as a signed long, or lanes * 64 bits as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            if lanes is None:
+                fps = pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+            else:
+                fps = pa.array([wide_fingerprint(t, words, lanes) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {'long' if lanes is None else 'binary'}")
+
+
+def _to_lanes(column: pa.Array) -> np.ndarray:
+    """Fingerprints as rows of unsigned 64-bit lanes."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+    joined = b"".join(column.to_pylist())
+    return np.frombuffer(joined, "<u8").reshape(len(column), -1) if len(column) else np.empty((0, LANES), np.uint64)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+def _from_lanes(fps: np.ndarray) -> pa.Array:
+    return pa.array(fps[:, 0].view(np.int64)) if fps.shape[1] == 1 else pa.array([r.tobytes() for r in np.ascontiguousarray(fps)], pa.binary())
+
+
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
 
 def pivot_table(fps: np.ndarray) -> np.ndarray:
     """Hamming distances (PIVOTS, n) of fingerprints to the reference fingerprints."""
-    pivots = np.random.default_rng(SEED).integers(0, 2**64, PIVOTS, dtype=np.uint64)
-    return np.bitwise_count(fps[None, :] ^ pivots[:, None]).astype(np.int8)
+    pivots = np.random.default_rng(SEED).integers(0, 2**64, (PIVOTS, fps.shape[1]), dtype=np.uint64)
+    return np.stack([distance(fps, p) for p in pivots])
 
 
 def near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
@@ -76,7 +127,7 @@ def near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits:
     left = np.arange(len(i))
     for row in table:
         left = left[np.abs(row[i[left]] - row[j[left]]) <= bits]
-    return left[np.bitwise_count(fps[i[left]] ^ fps[j[left]]) <= bits]
+    return left[distance(fps[i[left]], fps[j[left]]) <= bits]
 
 
 def forest(fps: np.ndarray, table: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -119,16 +170,17 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarr
         a, b = forest(f, pivot_table(f), bits)
         us += [f[x] for x in a]
         vs += [f[x] for x in b]
-    none = np.empty(0, np.uint64)
+    none = fps[:0]
     return np.concatenate([none, *us]), np.concatenate([none, *vs])
 
 
 def _find(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
-    emit = lambda u, v: pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+    keys, fps = np.empty(0, np.int64), None
+    emit = lambda u, v: pa.RecordBatch.from_arrays([_from_lanes(u), _from_lanes(v)], ["u", "v"])
     for b in batches:
+        new = _to_lanes(b.column(1))
         keys = np.concatenate([keys, b.column(0).to_numpy(zero_copy_only=False)])
-        fps = np.concatenate([fps, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+        fps = new if fps is None else np.concatenate([fps, new])
         if len(keys):
             last = int(np.searchsorted(keys, keys[-1]))
             if last:
@@ -138,15 +190,11 @@ def _find(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield emit(*bucket_links(keys, fps, bits))
 
 
-def links(fps: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
-    """(u, v): links that connect what links of at most `bits` differing bits connect.  fps: distinct fp.  bits: up to 4."""
-    if bits > len(BLOCKS) - 2:
-        raise ValueError(f"bits: at most {len(BLOCKS) - 2}")
-    part = lambda k: f"(shiftrightunsigned(fp, {BLOCKS[k][0]}) & {(1 << BLOCKS[k][1]) - 1})"
-    keys = [f"shiftleft({n}L, 56) | shiftleft({part(a)}, 24) | {part(b)}" for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    rows = fps.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "fp")
+def _from_buckets(rows: DataFrame, bits: int, tile: int) -> DataFrame:
+    """(u, v): links inside the buckets of rows (key, fp); buckets of more than `tile` rows are cut into pairs of tiles."""
+    kind = dict(rows.dtypes)["fp"]
     large = materialise(rows.groupBy("key").count().filter(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
-    found = lambda df: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: _find(it, bits), "u long, v long")
+    found = lambda df: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: _find(it, bits), f"u {kind}, v {kind}")
     if large.limit(1).count() == 0:
         return found(rows)
     own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
@@ -155,20 +203,60 @@ def links(fps: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     return found(rows.join(large, "key", "left_anti").select("key", "fp")).union(found(tiled))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id."""
-    own = materialise(fingerprints(docs, words))
+def links(fps: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
+    """(u, v): links that connect what links of at most `bits` differing bits connect.  fps: distinct fp of 64 bits.  bits: up to 4."""
+    if bits > len(BLOCKS) - 2:
+        raise ValueError(f"bits: at most {len(BLOCKS) - 2}")
+    part = lambda k: f"(shiftrightunsigned(fp, {BLOCKS[k][0]}) & {(1 << BLOCKS[k][1]) - 1})"
+    keys = [f"shiftleft({n}L, 56) | shiftleft({part(a)}, 24) | {part(b)}" for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
+    return _from_buckets(fps.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "fp"), bits, tile)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing majority bits of two texts whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_links(fps: DataFrame, similarity: float, lanes: int = LANES, missed: float = 0.03, tile: int = TILE) -> DataFrame:
+    """(u, v): links of wide fingerprints whose differing bits speak for at least this similarity.
+
+    Tables of sampled bits form the buckets.  A key has as many bits as keep buckets of unrelated texts small at this number of fingerprints, and there are as many tables as miss a pair just at the similarity with probability `missed` at most (closer pairs far less).  The limit lies one standard deviation above the expected distance.
+    """
+    n, share, width = fps.count(), differing_share(similarity), 64 * lanes
+    size = max(16, (n >> 1).bit_length())
+    tables = math.ceil(math.log(missed) / math.log(1 - (1 - share) ** size))
+    bits = round(width * share + math.sqrt(width * share * (1 - share)))
+    rng = np.random.default_rng(SEED)
+    places = [rng.choice(width, size, replace=False) for _ in range(tables)]
+    weights = 1 << np.arange(size, dtype=np.int64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                fp = b.column(0).slice(at, 4096)
+                on = np.unpackbits(_to_lanes(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+                for t, place in enumerate(places):
+                    yield pa.RecordBatch.from_arrays([pa.array((t << 44) | (on[:, place] @ weights)), fp], ["key", "fp"])
+
+    return _from_buckets(fps.select("fp").mapInArrow(keys, "key long, fp binary"), bits, tile)
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, similarity: float | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id.  With `similarity` fingerprints are wide and link as in wide_links, else at `bits` differing bits."""
+    own = materialise(fingerprints(docs, words, None if similarity is None else LANES))
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = connected_components(links(distinct.select("fp"), bits))
+    pairs = links(distinct.select("fp"), bits) if similarity is None else wide_links(distinct.select("fp"), similarity)
+    labels = connected_components(pairs)
     classes = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     firsts = classes.groupBy("label").agg(F.min("first").alias("component_id"))
     classes = materialise(classes.join(firsts, "label").select("fp", "component_id"))
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs whose doc_id is their component's smallest; of rows that repeat an id one stays."""
-    stay = near_duplicates(docs, words, bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    found = near_duplicates(docs, words, similarity=similarity)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(materialise(stay), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id"]) if repeated else out

@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foretell.llm.simhash import BLOCKS, fingerprint, links, near_duplicates
+from foretell.llm.simhash import BLOCKS, drop_near_duplicates, fingerprint, links, near_duplicates
 
 
 def plain_fingerprint(text, words=4):
@@ -89,3 +89,29 @@ def test_components_and_edge_cases(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wide_links_catch_near_copies_and_leave_others(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, groups = [], {}
+    for g in range(60):
+        base = list(rng.choice(vocabulary, int(rng.integers(40, 400))))
+        for c in range(3):
+            text = list(base)
+            for at in rng.choice(len(text), max(1, len(text) // 90), replace=False) if c else []:
+                text[at] = "changed"
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(text), c))
+    rows += [(1000, "", 0), (1001, None, 0), (1002, "one", 0), (1003, "two words", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t, _ in rows if i in groups}
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 5, similarity=0.8).collect()}
+    close = [(a, b) for a in groups for b in groups if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
+    assert len(close) > 60
+    assert sum(got[a] == got[b] for a, b in close) >= 0.95 * len(close)
+    assert all(groups[got[i]] == g for i, g in groups.items())
+    assert got[1000] == got[1001] == 1000 and got[1002] == 1002 and got[1003] == 1003
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(got.values())
+    assert drop_near_duplicates(docs.limit(0)).count() == 0
