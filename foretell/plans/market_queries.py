@@ -186,9 +186,9 @@ def brier_with_total(spark, sf):
     return rounded(scoring.with_total(day_one(spark, sf), "category", [F.count("*").alias("n"), F.avg(scoring.brier(F.col("p"), F.col("outcome"))).alias("brier")]), "brier")
 
 
-@query(", c AS (SELECT a.*, b.days AS cohort FROM predictions a JOIN (SELECT DISTINCT market_id, days FROM predictions) b ON a.market_id = b.market_id AND a.days <= b.days) SELECT cohort, days, category, platform, round(avg((p - outcome) * (p - outcome)), 6) AS brier, count(DISTINCT market_id) AS n FROM c GROUP BY GROUPING SETS ((cohort, days), (cohort, days, category), (cohort, days, category, platform))")
+@query(", c AS (SELECT a.*, b.days AS cohort FROM predictions a JOIN (SELECT DISTINCT market_id, days FROM predictions) b ON a.market_id = b.market_id AND a.days <= b.days) SELECT cohort, days, category, platform, floor(avg((p - outcome) * (p - outcome)) * 1000000 + 0.500001) / 1000000 AS brier, count(DISTINCT market_id) AS n FROM c GROUP BY GROUPING SETS ((cohort, days), (cohort, days, category), (cohort, days, category, platform))")
 def cohort_curves(spark, sf):
-    return rounded(scoring.cohorts(predictions(spark, sf), "market_id", "days", ["category", "platform"]), "brier")
+    return scoring.cohorts(predictions(spark, sf), "market_id", "days", ["category", "platform"]).withColumn("brier", half_up(F.col("brier"), 6))
 
 
 @query("SELECT category, count(*) FILTER (WHERE platform = 'kalshi') AS kalshi, count(*) FILTER (WHERE platform = 'polymarket') AS polymarket FROM markets GROUP BY 1")
