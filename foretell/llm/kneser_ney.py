@@ -27,7 +27,8 @@ ORDER = 5
 BITS = 12
 TOP = (1 << BITS) - 1
 BLOCK_CHARS = 8_000_000
-MOST_ANSWERS = 4_000_000
+MOST_ANSWERS = 2_000_000
+LOT_CHARS = 2_000_000
 START = 1
 #: The language key of rows whose language is null.
 NO_LANGUAGE = "\x00none"
@@ -49,6 +50,26 @@ def _text_grams(texts: list[str | None], order: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([np.empty(0, np.int64), *each]), np.array([len(g) for g in each], np.int64)
 
 
+def _lots(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in lots of at most LOT_CHARS characters (a longer text is a lot of its own)."""
+    lot, size = [], 0
+    for t in texts:
+        if lot and size + len(t or "") > LOT_CHARS:
+            yield lot
+            lot, size = [], 0
+        lot.append(t)
+        size += len(t or "")
+    if lot:
+        yield lot
+
+
+def _tally(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of the texts and how often each occurs."""
+    parts = [np.unique(_text_grams(lot, order)[0], return_counts=True) for lot in _lots(texts)]
+    codes, unique = pd.factorize(np.concatenate([np.empty(0, np.int64), *[g for g, _ in parts]]))
+    return np.asarray(unique, np.int64), np.bincount(codes, weights=np.concatenate([np.empty(0), *[n for _, n in parts]]), minlength=len(unique)).astype(np.int64)
+
+
 def _language(docs: DataFrame) -> DataFrame:
     return docs.withColumn("lang", F.coalesce(F.col("lang"), F.lit(NO_LANGUAGE)))
 
@@ -60,9 +81,8 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         for b in batches:
             frame = b.to_pandas()
             for lang, texts in frame.groupby("lang", sort=False)["text"]:
-                codes, uniques = pd.factorize(_text_grams(texts.tolist(), order)[0])
-                n = np.bincount(codes, minlength=len(uniques)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(uniques)), pa.array(np.asarray(uniques, np.int64)), pa.array(n)], ["lang", "gram", "c"])
+                unique, n = _tally(texts.tolist(), order)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique), pa.string()), pa.array(unique), pa.array(n)], ["lang", "gram", "c"])
 
     return _language(docs).select("lang", "text").mapInArrow(run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -135,10 +155,9 @@ def _scores(texts: list[str | None], order: int, have: np.ndarray, logp: np.ndar
 def _score_frame(frame: pd.DataFrame, order: int, table: dict[str, tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
     none = (np.empty(0, np.int64), np.empty(0))
     for lang, own in frame.groupby("lang", sort=False):
-        for at in range(0, len(own), 512):
-            some = own.iloc[at : at + 512]
-            n, loss = _scores(some["text"].tolist(), order, *table.get(lang, none))
-            yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy(), "lang": lang, "n_chars": n, "loss": loss})
+        parts = [_scores(lot, order, *table.get(lang, none)) for lot in _lots(own["text"].tolist())]
+        n, loss = (np.concatenate(x) for x in zip(*parts))
+        yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "lang": lang, "n_chars": n, "loss": loss})
 
 
 def _ask(docs: DataFrame, order: int, keys: list[str]) -> DataFrame:
@@ -149,15 +168,19 @@ def _ask(docs: DataFrame, order: int, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, texts in b.to_pandas().groupby(keys, sort=False)["text"]:
-                unique = np.asarray(pd.unique(_text_grams(texts.tolist(), order)[0]), np.int64)
+                unique = np.asarray(pd.unique(np.concatenate([pd.unique(_text_grams(lot, order)[0]) for lot in _lots(texts.tolist())])), np.int64)
                 yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(unique), kind) for k, kind in zip(key, kinds)], pa.array(unique)], [*keys, "gram"])
 
     return docs.mapInArrow(run, schema).distinct()
 
 
+def _sorted(gram: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(gram)
+    return gram[order], np.log(p[order])
+
+
 def _lookup(answers: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    answers = answers.sort_values("gram")
-    return {lang: (g["gram"].to_numpy(), np.log(g["p"].to_numpy())) for lang, g in answers.groupby("lang", sort=False)}
+    return {lang: _sorted(g["gram"].to_numpy(), g["p"].to_numpy()) for lang, g in answers.groupby("lang", sort=False)}
 
 
 def perplexity(docs: DataFrame, model: Model, most_answers: int = MOST_ANSWERS) -> DataFrame:
@@ -167,7 +190,12 @@ def perplexity(docs: DataFrame, model: Model, most_answers: int = MOST_ANSWERS)
     schema = "doc_id long, lang string, n_chars long, loss double"
     answers = model.probabilities(materialise(_ask(rows, order, ["lang"])))
     if answers.limit(most_answers + 1).count() <= most_answers:
-        shared = spark.sparkContext.broadcast(_lookup(answers.toArrow().to_pandas()))
+        langs = [r.lang for r in answers.select("lang").distinct().orderBy("lang").collect()]
+        number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("short") if langs else F.lit(0)
+        table = answers.select(number.alias("k"), "gram", "p").toArrow()
+        k, gram, p = (table.column(c).to_numpy() for c in ("k", "gram", "p"))
+        shared = spark.sparkContext.broadcast({lang: _sorted(gram[k == i], p[k == i]) for i, lang in enumerate(langs, 1)})
+        del table, k, gram, p
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in batches:
