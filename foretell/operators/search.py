@@ -42,8 +42,9 @@ def highest_volume(df: DataFrame, slug: str, volume: str, tie: str, k: int) -> D
 
 
 def divergences(a: DataFrame, b: DataFrame, key: str, value: str, least: float = 0.05) -> DataFrame:
+    """Keys of both sides whose values lie further apart than `least` (by more than rounding), widest first."""
     both = a.select(key, F.col(value).alias("a")).join(b.select(key, F.col(value).alias("b")), key)
-    return both.withColumn("spread", F.abs(F.col("a") - F.col("b"))).filter(F.col("spread") > least).orderBy(F.desc("spread"), key)
+    return both.withColumn("spread", F.abs(F.col("a") - F.col("b"))).filter(F.col("spread") > least + 1e-9).orderBy(F.desc("spread"), key)
 
 
 def tiers(df: DataFrame, volume: str, tie: str, first: int = 50, second: int = 500) -> DataFrame:

@@ -319,7 +319,7 @@ def highest_volume(spark, sf):
     return search.highest_volume(m, "slug", "volume_usd", "market_id", 20)
 
 
-@query(", v AS (SELECT platform, category || '-' || wallet % 50 AS k, avg(p) AS p FROM predictions JOIN (SELECT market_id, wallet FROM markets) USING (market_id) GROUP BY 1, 2) SELECT a.k AS k, floor(a.p * 1000000 + 0.500001) / 1000000 AS a, floor(b.p * 1000000 + 0.500001) / 1000000 AS b, floor(abs(a.p - b.p) * 1000000 + 0.500001) / 1000000 AS spread FROM v a JOIN v b ON a.k = b.k AND a.platform = 'polymarket' AND b.platform = 'kalshi' WHERE abs(a.p - b.p) > 0.05".replace("wallet % 50", "(wallet // 2) % 50"))
+@query(", v AS (SELECT platform, category || '-' || wallet % 50 AS k, avg(p) AS p FROM predictions JOIN (SELECT market_id, wallet FROM markets) USING (market_id) GROUP BY 1, 2) SELECT a.k AS k, floor(a.p * 1000000 + 0.500001) / 1000000 AS a, floor(b.p * 1000000 + 0.500001) / 1000000 AS b, floor(abs(a.p - b.p) * 1000000 + 0.500001) / 1000000 AS spread FROM v a JOIN v b ON a.k = b.k AND a.platform = 'polymarket' AND b.platform = 'kalshi' WHERE abs(a.p - b.p) > 0.050000001".replace("wallet % 50", "(wallet // 2) % 50"))
 def divergences(spark, sf):
     p = predictions(spark, sf).join(markets(spark, sf).select("market_id", "wallet"), "market_id")
     v = p.groupBy("platform", F.concat_ws("-", "category", (F.floor(F.col("wallet") / 2) % 50).cast("string")).alias("k")).agg(F.avg("p").alias("p"))
