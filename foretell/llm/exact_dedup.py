@@ -50,10 +50,12 @@ def exact_duplicates(docs: DataFrame, tracked: int = 1024) -> DataFrame:
 def drop_exact_duplicates(docs: DataFrame, tracked: int = 1024) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    Decisions are joined back on doc_id; where an id repeats, its rows are kept apart by their digest, and of repeated rows one stays.
+    Decisions are joined back on doc_id and digest; where ids repeat, the longest row of an id and digest stays.
     """
-    stay = exact_duplicates(docs, tracked).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    stay = materialise(stay)
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(normalised(F.col("text")).cast("binary"), 256) == F.col("_digest")), "left_semi")
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    stay = exact_duplicates(docs, tracked).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
+    own = docs.withColumn("_digest", F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    out = own.join(materialise(stay), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        longest = Window.partitionBy("doc_id", "_digest").orderBy(F.desc(F.coalesce(F.char_length("text"), F.lit(0))))
+        out = out.withColumn("_n", F.row_number().over(longest)).filter("_n = 1")
+    return out.select(docs.columns)

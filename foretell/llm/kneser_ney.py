@@ -232,6 +232,6 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = 0.995, lower: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns."""
+    """The rows of docs that are not rejected, with all their columns; an id that repeats goes if any of its rows is rejected."""
     bad = materialise(judge(docs, labels).filter("rejected").select("doc_id").distinct())
     return docs.join(small_side(bad), "doc_id", "left_anti")

@@ -254,9 +254,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, similarity:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; of rows that repeat an id one stays."""
+    """The rows of docs whose doc_id is their component's smallest; of rows that repeat an id and text one stays."""
     found = near_duplicates(docs, words, similarity=similarity)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(materialise(stay), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

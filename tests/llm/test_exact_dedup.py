@@ -35,6 +35,8 @@ def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (None, "b"), (3, "b"), (4, "c")], "doc_id long, text string")
     got = exact_duplicates(docs).collect()
     assert len(got) == 6 and sum(r.kept for r in got) == 3
+    mixed = spark.createDataFrame([(1, "a b"), (1, "a  b"), (1, "other"), (2, "ab")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in drop_exact_duplicates(mixed).collect()) == [(1, "a  b"), (1, "other")]
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in drop_exact_duplicates(docs).collect()) == [(False, 1), (False, 4), (True, 0)]
 
 
