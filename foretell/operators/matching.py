@@ -5,11 +5,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foretell.functions import text as tx
 from foretell.operators.frames import race_key
 
 LEAST_CONFIDENCE, NAME_THRESHOLD = 0.6, 85
+#: Sampled ids that cut the id order into buckets for ranks.
+BOUNDS = 128
 
 
 def _indel(a: str, b: str) -> float:
@@ -74,9 +77,14 @@ def candidates(kalshi: DataFrame, polymarket: DataFrame, least: float = LEAST_CO
     """Scored pairs of one event key: k_id, p_id, event, confidence.  Inputs: id, category, frame; categories that differ do not meet."""
     k = kalshi.select(F.col("id").alias("k_id"), F.col("category").alias("k_cat"), F.col("frame").alias("a"), race_key(F.col("frame")).alias("event"))
     p = polymarket.select(F.col("id").alias("p_id"), F.col("category").alias("p_cat"), F.col("frame").alias("b"), race_key(F.col("frame")).alias("event"))
+    return _scored(k, p).filter(F.col("confidence") >= least).select("k_id", "p_id", "event", "confidence")
+
+
+def _scored(k: DataFrame, p: DataFrame) -> DataFrame:
+    """Pairs of one event whose categories (k_cat, p_cat) do not differ, with the confidence of frames a and b."""
     pairs = k.join(p, "event").filter(F.coalesce(F.col("k_cat") == F.col("p_cat"), F.lit(True)))
     scored = pairs.withColumn("names", F.when(F.col("a.candidate").isNotNull() & F.col("b.candidate").isNotNull(), name_score(F.col("a.candidate"), F.col("b.candidate"))))
-    return scored.withColumn("confidence", confidence(F.col("a"), F.col("b"), F.col("names"))).filter(F.col("confidence") >= least).select("k_id", "p_id", "event", "confidence")
+    return scored.withColumn("confidence", confidence(F.col("a"), F.col("b"), F.col("names")))
 
 
 def assign(pairs: DataFrame) -> DataFrame:
@@ -94,6 +102,69 @@ def assign(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("event").applyInPandas(greedy, pairs.schema)
 
 
+def _classes(side: DataFrame, name: str) -> DataFrame:
+    """id, event, class (category and frame), cat and frame of the rows that have an event."""
+    event = race_key(F.col("frame"))
+    own = side.select(F.col("id").alias(f"{name}_id"), event.alias("event"), F.to_json(F.struct("category", "frame")).alias(f"{name}_class"), F.col("category").alias(f"{name}_cat"), "frame")
+    return own.filter(F.col("event").isNotNull())
+
+
+def _ranked(rows: DataFrame, key: list[str], value: str) -> DataFrame:
+    """rows with `rank` (from 1) by value within key.  Sampled values cut the order into buckets that number their own rows, so a key may hold any share of the rows."""
+    bounds = sorted(r[0] for r in rows.select(value).orderBy(F.xxhash64(value), value).limit(BOUNDS).collect())
+    cut = F.lit(0) if not bounds else F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value)))
+    dealt = rows.withColumn("_b", cut)
+    local = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "_b").orderBy(value)))
+    counts = dealt.groupBy(*key, "_b").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*key).orderBy("_b")) - F.col("_n")).drop("_n")
+    return local.join(counts, [*key, "_b"]).withColumn("rank", F.col("_r") + F.col("_before")).drop("_b", "_r", "_before")
+
+
+def one_to_one(kalshi: DataFrame, polymarket: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
+    """assign(candidates(kalshi, polymarket)) without the pairs of markets, for whole tables.  Inputs as in candidates, an id once a side.
+
+    Markets of an event with equal category and frame form a class, and only classes are paired and scored.  Two classes that have no other partner meet by rank: the n-th k_id takes the n-th p_id.  Classes that contend for partners are walked event by event with their members once each; such an event is one task.
+    """
+    k, p = _classes(kalshi, "k"), _classes(polymarket, "p")
+    a = k.groupBy("event", "k_class").agg(F.first("k_cat").alias("k_cat"), F.first("frame").alias("a"))
+    b = p.groupBy("event", "p_class").agg(F.first("p_cat").alias("p_cat"), F.first("frame").alias("b"))
+    pairs = _scored(a, b).filter(F.col("confidence") >= least).select("event", "k_class", "p_class", "confidence")
+    partners = lambda c: F.count("*").over(Window.partitionBy("event", c))
+    pairs = pairs.withColumn("_alone", (partners("k_class") == 1) & (partners("p_class") == 1))
+    alone, contended = pairs.filter("_alone").drop("_alone"), pairs.filter("NOT _alone").drop("_alone")
+
+    key = ["event", "k_class", "p_class"]
+    own_k = _ranked(k.select("k_id", "event", "k_class").join(alone, ["event", "k_class"]), key, "k_id")
+    own_p = _ranked(p.select("p_id", "event", "p_class").join(alone.drop("confidence"), ["event", "p_class"]), key, "p_id")
+    met = own_k.join(own_p, [*key, "rank"]).select("k_id", "p_id", "event", "confidence")
+
+    kinds = dict(k.dtypes)["k_id"], dict(p.dtypes)["p_id"]
+    no = lambda kind: F.lit(None).cast(kind)
+    of = lambda rows, c: rows.join(contended.select("event", c).distinct(), ["event", c], "left_semi")
+    rows = contended.select("event", no(kinds[0]).alias("k_id"), no(kinds[1]).alias("p_id"), "k_class", "p_class", "confidence")
+    rows = rows.unionByName(of(k, "k_class").select("event", "k_id", "k_class"), allowMissingColumns=True)
+    rows = rows.unionByName(of(p, "p_class").select("event", "p_id", "p_class"), allowMissingColumns=True)
+    return met.union(rows.groupBy("event").applyInPandas(_walk, met.schema))
+
+
+def _walk(group: pd.DataFrame) -> pd.DataFrame:
+    """The greedy assignment of one event from its scored pairs of classes and their members."""
+    scored = group[group["confidence"].notna()].sort_values("confidence", ascending=False, kind="stable")
+    wanted: dict[str, list[tuple[float, str]]] = {}
+    for c, d, sure in zip(scored["k_class"], scored["p_class"], scored["confidence"]):
+        wanted.setdefault(c, []).append((sure, d))
+    free: dict[str, list] = {}
+    for i, d in group[group["p_id"].notna()].sort_values("p_id", ascending=False)[["p_id", "p_class"]].itertuples(index=False):
+        free.setdefault(d, []).append(i)
+    rows = []
+    for i, c in group[group["k_id"].notna()].sort_values("k_id")[["k_id", "k_class"]].itertuples(index=False):
+        wanted[c] = left = [(sure, d) for sure, d in wanted[c] if free[d]]
+        if left:
+            sure, _, d = min(((sure, free[d][-1], d) for sure, d in left if sure == left[0][0]), key=lambda x: x[1])
+            rows.append((i, free[d].pop(), group["event"].iloc[0], sure))
+    return pd.DataFrame(rows, columns=["k_id", "p_id", "event", "confidence"])
+
+
 def validate(matches: DataFrame) -> DataFrame:
     """matches with `warnings`: price gap above 0.25, extraction confidence below 0.5.  Needs k_price, p_price, k_sure, p_sure."""
     k = F.when(F.col("k_price") > 1, F.col("k_price") / 100).otherwise(F.col("k_price"))

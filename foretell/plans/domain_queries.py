@@ -224,9 +224,10 @@ def question_frames(spark, sf):
 
 @query()
 def venue_matches(spark, sf):
-    q = questions(spark, sf).filter("market_id < 600").select("market_id", "platform", "category", "question")
-    f = frames.extract(q).withColumnRenamed("market_id", "id")
-    return matching.assign(matching.candidates(f.filter("platform = 'kalshi'"), f.filter("platform = 'polymarket'")))
+    q = questions(spark, sf).select(F.col("market_id").alias("id"), "platform", "category", "question")
+    f = frames.extract(q.select("question").distinct()).groupBy("question").agg(F.first("frame").alias("frame"))  # an aggregate, so that fields of the frame are not worked out again wherever they are used
+    f = q.join(f, "question")
+    return matching.one_to_one(f.filter("platform = 'kalshi'"), f.filter("platform = 'polymarket'"))
 
 
 @query("SELECT market_id % 500 AS id, (array_agg(market_id ORDER BY volume_usd DESC, market_id))[1] AS market_id, max(volume_usd) AS conf FROM markets GROUP BY 1")
