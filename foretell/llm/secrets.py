@@ -6,7 +6,7 @@ Patterns give spans by kind:
     access  AKIA and 14 or more of [A-Z0-9]
     hex     16 or more of [0-9a-f]
 
-`entropy` spans are added to these.  A candidate is a maximal run of 20 or more of [A-Za-z0-9+/_=-].  Over its windows of 20 characters the sum of c * log2(c) over character counts is kept up to date: a step needs only the counts of the character that comes in and of the one that goes out.  The largest entropy of a window is held against the limit of the candidate's character class.  Candidates that fit the allow-list, or that overlap a span of another kind, are suppressed.
+`entropy` spans are added to these.  A candidate is a maximal run of 20 or more of [A-Za-z0-9+/_=-].  Over its windows of 20 characters the sum of c * log2(c) over character counts is kept up to date: a step needs only the counts of the character that comes in and of the one that goes out.  The largest entropy of a window is held against the limit of the candidate's character class.  Every candidate has a class, so none is passed over whatever its characters.  Candidates that fit the allow-list, or that overlap a span of another kind, are suppressed.
 
 Positions come from the lengths of what lies between matches (`split`) and of the matches (`regexp_extract_all`), in code points, since no built-in function returns them.  Spans are added up in blocks, so many matches in one text stay linear.  No shuffle.
 
@@ -33,12 +33,19 @@ CLASSES = [
     (r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0),
     (r"^(?=(.*[0-9]){3})(?=.*[a-z])[a-z0-9]+$", 3.7),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.9),
+    (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", 3.4),  # base32 has few symbols
+    (r"^(?=(.*[0-9]){3})([a-z0-9+/_=-]*[a-z][a-z0-9+/_=-]*|[A-Z0-9+/_=-]*[A-Z][A-Z0-9+/_=-]*)$", 3.7),
+    (r"^[0-9+/_=-]+$", 3.2),
+    (r"^([a-z+/_=-]+|[A-Z+/_=-]+)$", 3.6),
+    (r"^([a-z0-9+/_=-]+|[A-Z0-9+/_=-]+)$", 3.8),
+    (r"^", 3.9),  # both cases without digits
 ]
-#: Strings that look random and are not secret: UUIDs, dates with times, paths of plain words, well-known placeholders.
+#: Strings that look random and are not secret: UUIDs, whole dates with times, paths of plain words, words in camel case, well-known placeholders.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^[A-Za-z]*([/_=-]+[A-Za-z]+)*[/_=-]*[0-9]{0,4}$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T_-]?[0-9]{2}([_-]?[0-9]{2}){0,2}([_-][0-9]{1,9})?(Z|[+-][0-9]{2}-?([0-9]{2})?)?)?$",
+    r"^([A-Z]?[a-z]{0,18}|[A-Z]{2,19})([/_=-]+([A-Z]?[a-z]{1,18}|[A-Z]{1,19}))*[/_=-]*[0-9]{0,4}$",
+    r"^[A-Za-z][a-z]{2,18}([A-Z][a-z]{2,18})+[0-9]{0,4}$",
     r"(?i)example|placeholder|dummy|changeme|sample|your[_-]",
 ]
 BLOCK = 256
