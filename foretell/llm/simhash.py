@@ -7,7 +7,7 @@ Links: two fingerprints link when at most `bits` (4) bits differ.
 2. The 64 bits are cut into 6 blocks; 4 differing bits leave two blocks untouched, so every linked pair shares the key of at least one of the 15 pairs of blocks.  No linked pair is lost, whatever the size of a bucket.
 3. Inside a bucket a pivot table holds each fingerprint's Hamming distances to fixed reference fingerprints.  By the triangle inequality a pair whose largest coordinate difference exceeds `bits` cannot link and is discarded; survivors are verified.
 4. A bucket yields a spanning forest of its links, never all pairs.  Buckets of more than TILE rows are cut into pairs of tiles, so no task holds a large bucket.
-5. For a similarity of shingle sets in place of a number of bits (the pipeline: 0.8 over five words) fingerprints have LANES * 64 bits, buckets come from tables of sampled bits (see `wide_links`), and pivots, verification and tiles are the same.
+5. For a similarity of shingle sets in place of a number of bits (the pipeline: 0.8 over five words) fingerprints have LANES * 64 bits over distinct shingles, buckets come from tables of sampled bits (see `wide_links`), and pivots, verification and tiles are the same.
 6. Components of the links give component_id, the smallest doc_id of the component.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; whole texts are read; a null doc_id takes part but never becomes a component_id unless alone; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
@@ -80,8 +80,8 @@ def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = LANES) -> bytes:
-    """lanes * 64 majority bits."""
-    hashes = shingle_hashes(text, words)
+    """lanes * 64 majority bits of the distinct shingles, since the similarity they stand for is that of sets."""
+    hashes = np.unique(shingle_hashes(text, words))
     return np.array([majority(_mixed(hashes, k)) for k in range(lanes)], "<u8").tobytes()
 
 

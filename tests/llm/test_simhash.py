@@ -115,3 +115,11 @@ def test_wide_links_catch_near_copies_and_leave_others(spark):
     left = drop_near_duplicates(docs)
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == set(got.values())
     assert drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_a_repeated_line_does_not_link_different_documents(spark):
+    rng = np.random.default_rng(5)
+    line = " ".join(f"menu{i}" for i in range(8)) + " "
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 200)) + " " + line * 60 for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in drop_near_duplicates(docs).collect()} == {0, 1}
