@@ -19,9 +19,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session or, where it is unset (local runs), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.  Where it is unset, a session of one process makes a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -44,6 +46,17 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df does not have, so that helpers never clash with a caller's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
     """df marked for broadcast if it has at most `most_rows` rows of a few bytes, which is counted first; otherwise as it is, for an ordinary shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

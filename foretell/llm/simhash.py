@@ -3,14 +3,15 @@
 Fingerprint: A-Z is lower-cased, words are `[^\\x20\\x09-\\x0D]+`, shingles are `words` consecutive words with repeats (fewer words: the whole sequence), hashed by XXH64 with seed 42; a bit is set if it is set in over half of the hashes.
 
 Links: two fingerprints link when at most `bits` (4) bits differ.
-1. Equal fingerprints collapse to one row first, however many copies there are.
+1. Equal fingerprints collapse to one node first, however many copies there are.
 2. The 64 bits are cut into 6 blocks; 4 differing bits leave two blocks untouched, so every linked pair shares the key of at least one of the 15 pairs of blocks.  No linked pair is lost, whatever the size of a bucket.
 3. Inside a bucket a pivot table holds each fingerprint's Hamming distances to fixed reference fingerprints.  By the triangle inequality a pair whose largest coordinate difference exceeds `bits` cannot link and is discarded; survivors are verified.
-4. A bucket yields a spanning forest of its links, never all pairs.  Buckets of more than TILE rows are cut into pairs of tiles, so no task holds a large bucket.
-5. For a similarity of shingle sets in place of a number of bits (the pipeline: 0.8 over five words) fingerprints have LANES * 64 bits over distinct shingles, buckets come from tables of sampled bits (see `wide_links`), and pivots, verification and tiles are the same.
-6. Components of the links give component_id, the smallest doc_id of the component.
+4. A bucket yields a spanning forest of its links, never all pairs, rooted at its smallest id, so that the buckets of one group tell the same links.  Buckets of more than TILE rows are cut into pairs of tiles, so no task holds a large bucket.
+5. Components of the links give component_id.  A node is (smallest doc_id, hash), so that a component's smallest node names its smallest doc_id, and nothing is joined by component.
 
-Defined cases: null and blank texts have fingerprint zero, linked like any other; whole texts are read; a null doc_id takes part but never becomes a component_id unless alone; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result.
+By similarity (the pipeline: sets of five words, 0.8) fingerprints have LANES * 64 majority bits of the distinct shingles.  Sampled bits could choose the candidates only with about n ** 0.24 tables (55 at 2e5 documents, over 400 at 1e9), so buckets come from the least of the same shingle hashes instead: KEYS keys of EACH minima each, a fixed KEYS rows of about 60 bytes a document, n * KEYS rows in all.  A pair at 0.8 shares a key with probability 0.999.  In a bucket pivots and bits discard pairs beyond three standard deviations of the distance expected at the similarity, and what is left is verified by the exact similarity of the shingle sets (distinct hashes of 32 bits).  Buckets look for links between what is not connected yet; as links that fail verification may hide others, rounds with other orders and tiles follow until one connects nothing new, and buckets of more than a tile that are not of one piece by then are compared tile by tile.
+
+Defined cases: null and blank texts have fingerprint zero, linked like any other; whole texts are read; a null doc_id takes part but never becomes a component_id unless its group has no other; repeated rows give repeated results; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import materialise
+from foretell.llm.common import discard, fresh, materialise
 from foretell.llm.components import connected_components
 
 SEED = 42
@@ -33,12 +34,20 @@ PIVOTS = 16
 TILE = 8192
 #: 64-bit lanes of a wide fingerprint.
 LANES = 4
-#: Buckets of up to so many fingerprints yield every link, larger ones a spanning forest.
+#: Bucket keys of a document, and minima in each.
+KEYS, EACH = 24, 6
+#: Buckets of up to so many rows are treated many at a time.
 FEW = 16
 #: First bit and width of the six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
+#: Stands for a null doc_id in nodes: after all others.
+LAST = 2**63 - 1
+#: Frequent fingerprints whose rows are settled by broadcast.
+FREQUENT = 256
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**31, KEYS * EACH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_COMBINE = np.random.default_rng(SEED + 1).integers(0, 2**63, EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
@@ -79,25 +88,51 @@ def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(text: bytes | None, words: int = 5, lanes: int = LANES) -> bytes:
-    """lanes * 64 majority bits of the distinct shingles, since the similarity they stand for is that of sets."""
-    hashes = np.unique(shingle_hashes(text, words))
+def wide_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> bytes:
+    """lanes * 64 majority bits of distinct hashes."""
     return np.array([majority(_mixed(hashes, k)) for k in range(lanes)], "<u8").tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 4, lanes: int | None = None) -> DataFrame:
-    """doc_id, fp: 64 bits as a signed long, or lanes * 64 bits as binary."""
+def bucket_keys(small: np.ndarray) -> np.ndarray:
+    """KEYS keys of a set of 32-bit hashes, each made of EACH least values under multiplications of their own; none for the empty set."""
+    if not len(small):
+        return np.empty(0, np.int64)
+    least = np.full(KEYS * EACH, 2**32 - 1, np.uint32)
+    for at in range(0, len(small), 2048):
+        least = np.minimum(least, (_MULTIPLIERS[:, None] * small[None, at : at + 2048]).min(axis=1))
+    key = (least.reshape(KEYS, EACH).astype(np.uint64) * _COMBINE).sum(axis=1, dtype=np.uint64) + np.arange(KEYS, dtype=np.uint64)
+    return _mixed(key, 1).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            if lanes is None:
-                fps = pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
-            else:
-                fps = pa.array([wide_fingerprint(t, words, lanes) for t in texts], pa.binary())
+            fps = pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, fp {'long' if lanes is None else 'binary'}")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+
+
+def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
+    """id, hash (of the text), fp (wide), keys, shingles (the sorted distinct 32-bit hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, keys, sets = [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                hashes = np.unique(shingle_hashes(t, words))
+                small = np.unique((hashes >> np.uint64(32)).astype("<u4"))
+                fps.append(wide_fingerprint(hashes))
+                keys.append(bucket_keys(small))
+                sets.append(small.tobytes())
+            columns = [b.column(0), b.column(1), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "fp", "keys", "shingles"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("hash"), "text")
+    return rows.mapInArrow(run, "id long, hash long, fp binary, keys array<bigint>, shingles binary")
 
 
 def _to_lanes(column: pa.Array) -> np.ndarray:
@@ -108,10 +143,6 @@ def _to_lanes(column: pa.Array) -> np.ndarray:
     return np.frombuffer(joined, "<u8").reshape(len(column), -1) if len(column) else np.empty((0, LANES), np.uint64)
 
 
-def _from_lanes(fps: np.ndarray) -> pa.Array:
-    return pa.array(fps[:, 0].view(np.int64)) if fps.shape[1] == 1 else pa.array([r.tobytes() for r in np.ascontiguousarray(fps)], pa.binary())
-
-
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
 
@@ -130,86 +161,128 @@ def near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, bits:
     return left[distance(fps[i[left]], fps[j[left]]) <= bits]
 
 
-def forest(fps: np.ndarray, table: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that span the components of one bucket: each member met takes in the members not met yet that it links to."""
+def forest(fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of one bucket: each member met takes in the members not met yet that it links to.  Equal labels are connected already."""
     rest = np.arange(len(fps))
-    us, vs = [], []
+    us, vs = [rest[:0]], [rest[:0]]
     while len(rest):
         open_, rest = [rest[0]], rest[1:]
-        while open_ and len(rest):
-            at = open_.pop()
-            hit = near(fps, table, np.full(len(rest), at), rest, bits)
-            if len(hit):
-                took = rest[hit]
-                us.append(np.full(len(took), at))
-                vs.append(took)
-                open_ += took.tolist()
-                rest = np.delete(rest, hit)
-    return us, vs
-
-
-def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside the buckets of rows sorted by key."""
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    sizes = np.diff(edges)
-    many = np.repeat(sizes, sizes)
-    us, vs = [], []
-    few = np.flatnonzero((many > 1) & (many <= FEW))
-    if len(few):
-        k, f = keys[few], fps[few]
-        table = pivot_table(f)
-        for lag in range(1, FEW):
-            i = np.flatnonzero(k[lag:] == k[:-lag])
-            if not len(i):
+        for at in open_:
+            if not len(rest):
                 break
-            hit = i[near(f, table, i, i + lag, bits)]
-            us.append(f[hit])
-            vs.append(f[hit + lag])
-    for s in np.flatnonzero(sizes > FEW):
-        f = fps[edges[s] : edges[s + 1]]
-        a, b = forest(f, pivot_table(f), bits)
-        us += [f[x] for x in a]
-        vs += [f[x] for x in b]
-    none = fps[:0]
-    return np.concatenate([none, *us]), np.concatenate([none, *vs])
+            known = label[rest] == label[at]
+            hit = known.copy()
+            hit[near(fps, table, np.full(len(rest), at), rest, bits)] = True
+            took = rest[hit & ~known]
+            us.append(np.full(len(took), at))
+            vs.append(took)
+            open_ += rest[hit].tolist()
+            rest = rest[~hit]
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def small_forests(first: np.ndarray, size: int, fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many buckets of one size at once, which begin at `first`: trees grow by one member a step."""
+    n, place = len(first), first[:, None] + np.arange(size)
+    joined = np.zeros((n, size, size), bool)
+    for a in range(size):
+        for b in range(a + 1, size):
+            joined[near(fps, table, place[:, a], place[:, b], bits), a, b] = True
+    known = label[place][:, :, None] == label[place][:, None, :]
+    joined |= joined.transpose(0, 2, 1) | known
+    inside, every = np.zeros((n, size), bool), np.arange(n)
+    inside[:, 0] = True
+    us, vs = [], []
+    for _ in range(size - 1):
+        open_ = (joined & inside[:, :, None] & ~inside[:, None, :]).reshape(n, -1)
+        best = open_.argmax(axis=1)
+        grows = open_[every, best]
+        a, b = best // size, np.where(grows, best % size, inside.argmin(axis=1))
+        new = grows & ~known[every, a, b]
+        us.append(place[every, a][new])
+        vs.append(place[every, b][new])
+        inside[every, b] = True
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows inside the buckets of rows sorted by key, a spanning forest each."""
+    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+    sizes, firsts = np.diff(edges), edges[:-1]
+    us, vs = [edges[:0]], [edges[:0]]
+    shared = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= FEW), sizes))
+    if len(shared):
+        table = np.zeros((PIVOTS, len(fps)), np.int16)
+        table[:, shared] = pivot_table(fps[shared])
+        for size in range(2, FEW + 1):
+            own = firsts[sizes == size]
+            for at in range(0, len(own), most):
+                u, v = small_forests(own[at : at + most], size, fps, table, label, bits)
+                us.append(u)
+                vs.append(v)
+    for k in np.flatnonzero(sizes > FEW):
+        own = slice(edges[k], edges[k + 1])
+        if (label[own] == label[edges[k]]).all():
+            continue
+        u, v = forest(fps[own], pivot_table(fps[own]), label[own], bits)
+        us.append(u + edges[k])
+        vs.append(v + edges[k])
+    return np.concatenate(us), np.concatenate(vs)
 
 
 def _find(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    keys, fps = np.empty(0, np.int64), None
-    emit = lambda u, v: pa.RecordBatch.from_arrays([_from_lanes(u), _from_lanes(v)], ["u", "v"])
+    """Links inside buckets, which come one after another: key, id, hash, fp, label."""
+    left: pa.Table | None = None
+
+    def emit(rows: pa.Table) -> pa.RecordBatch:
+        column = lambda k: rows.column(k).combine_chunks()
+        key, label = (column(k).to_numpy(zero_copy_only=False) for k in (0, 4))
+        u, v = bucket_links(key, _to_lanes(column(3)), label, bits)
+        node = lambda at: pa.StructArray.from_arrays([column(1).take(pa.array(at)), column(2).take(pa.array(at))], ["id", "hash"])
+        return pa.RecordBatch.from_arrays([node(u), node(v)], ["u", "v"])
+
     for b in batches:
-        new = _to_lanes(b.column(1))
-        keys = np.concatenate([keys, b.column(0).to_numpy(zero_copy_only=False)])
-        fps = new if fps is None else np.concatenate([fps, new])
-        if len(keys):
-            last = int(np.searchsorted(keys, keys[-1]))
-            if last:
-                yield emit(*bucket_links(keys[:last], fps[:last], bits))
-                keys, fps = keys[last:], fps[last:]
-    if len(keys):
-        yield emit(*bucket_links(keys, fps, bits))
-
-
-def _from_buckets(rows: DataFrame, bits: int, tile: int) -> DataFrame:
-    """(u, v): links inside the buckets of rows (key, fp); buckets of more than `tile` rows are cut into pairs of tiles."""
-    kind = dict(rows.dtypes)["fp"]
-    large = materialise(rows.groupBy("key").count().filter(F.col("count") > tile).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
-    found = lambda df: df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda it: _find(it, bits), f"u {kind}, v {kind}")
-    if large.limit(1).count() == 0:
-        return found(rows)
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = rows.join(large, "key").select("key", "fp", "tiles", own.alias("own")).select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    tiled = tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
-    return found(rows.join(large, "key", "left_anti").select("key", "fp")).union(found(tiled))
+        new = pa.Table.from_batches([b])
+        left = new if left is None else pa.concat_tables([left, new])
+        key = left.column(0).to_numpy()
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last:
+            yield emit(left.slice(0, last))
+            left = left.slice(last)
+    if left is not None and len(left):
+        yield emit(left)
+
+
+def _found(rows: DataFrame, bits: int, order: Column) -> DataFrame:
+    """(u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met in this order."""
+    sorted_ = rows.select("key", "id", "hash", "fp", "label", order.alias("order")).repartition("key").sortWithinPartitions("key", "order", "hash").drop("order")
+    return sorted_.mapInArrow(lambda it: _find(it, bits), "u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>")
+
+
+def _pairs_of_tiles(rows: DataFrame) -> DataFrame:
+    """Rows of large buckets (key, tiles, ...) once for each pair of tiles of their bucket that theirs is in."""
+    own = F.pmod(F.xxhash64("id", "hash"), F.col("tiles")).cast("int")
+    each = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return each.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+
 
+def _tiles(rows: DataFrame, tile: int, least: int) -> DataFrame:
+    """key, tiles of the buckets of at least so many rows."""
+    return rows.groupBy("key").count().filter(F.col("count") >= least).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
 
-def links(fps: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
-    """(u, v): links that connect what links of at most `bits` differing bits connect.  fps: distinct fp of 64 bits.  bits: up to 4."""
+
+def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
+    """(u, v): links that connect what links of at most `bits` differing bits connect.  nodes: id, hash, and distinct fp of 64 bits.  bits: up to 4."""
     if bits > len(BLOCKS) - 2:
         raise ValueError(f"bits: at most {len(BLOCKS) - 2}")
     part = lambda k: f"(shiftrightunsigned(fp, {BLOCKS[k][0]}) & {(1 << BLOCKS[k][1]) - 1})"
     keys = [f"shiftleft({n}L, 56) | shiftleft({part(a)}, 24) | {part(b)}" for n, (a, b) in enumerate(combinations(range(len(BLOCKS)), 2))]
-    return _from_buckets(fps.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "fp"), bits, tile)
+    rows = nodes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "id", "hash", "fp", F.xxhash64("id", "hash").alias("label"))
+    large = materialise(_tiles(rows, tile, tile + 1))
+    if large.limit(1).count() == 0:
+        return _found(rows, bits, F.col("id"))
+    split = _pairs_of_tiles(rows.join(large, "key"))
+    return _found(rows.join(large, "key", "left_anti"), bits, F.col("id")).union(_found(split, bits, F.col("id")))
 
 
 def differing_share(similarity: float) -> float:
@@ -217,46 +290,109 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_links(fps: DataFrame, similarity: float, lanes: int = LANES, missed: float = 0.03, tile: int = TILE) -> DataFrame:
-    """(u, v): links of wide fingerprints whose differing bits speak for at least this similarity.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """u, v, good: whether the shingle sets of a pair are as similar as that.  A node of many pairs is read once for each of 16 parts of its partners."""
 
-    Tables of sampled bits form the buckets.  A key has as many bits as keep buckets of unrelated texts small at this number of fingerprints, and there are as many tables as miss a pair just at the similarity with probability `missed` at most (closer pairs far less).  The limit lies one standard deviation above the expected distance.
-    """
-    n, share, width = fps.count(), differing_share(similarity), 64 * lanes
-    size = max(16, (n >> 1).bit_length())
-    tables = math.ceil(math.log(missed) / math.log(1 - (1 - share) ** size))
-    bits = round(width * share + math.sqrt(width * share * (1 - share)))
-    rng = np.random.default_rng(SEED)
-    places = [rng.choice(width, size, replace=False) for _ in range(tables)]
-    weights = 1 << np.arange(size, dtype=np.int64)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, len(b), 4096):
-                fp = b.column(0).slice(at, 4096)
-                on = np.unpackbits(_to_lanes(fp).view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-                for t, place in enumerate(places):
-                    yield pa.RecordBatch.from_arrays([pa.array((t << 44) | (on[:, place] @ weights)), fp], ["key", "fp"])
-
-    return _from_buckets(fps.select("fp").mapInArrow(keys, "key long, fp binary"), bits, tile)
-
-
-def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4, similarity: float | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id.  With `similarity` fingerprints are wide and link as in wide_links, else at `bits` differing bits."""
-    own = materialise(fingerprints(docs, words, None if similarity is None else LANES))
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    pairs = links(distinct.select("fp"), bits) if similarity is None else wide_links(distinct.select("fp"), similarity)
-    labels = connected_components(pairs)
-    classes = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    firsts = classes.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = materialise(classes.join(firsts, "label").select("fp", "component_id"))
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], ["u", "v", "good"])
+
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(16)))
+    left = pairs.select("u", "part").distinct().join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
+    both = pairs.join(left, ["u", "part"]).join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
+    node = "struct<id:bigint,hash:bigint>"
+    return both.select("u", "v", "x", "y").mapInArrow(run, f"u {node}, v {node}, good boolean")
+
+
+def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """(node, label) of the nodes that similar pairs connect.  nodes: id, hash, fp, keys; texts: id, hash, shingles of at least these."""
+    share, width = differing_share(similarity), 64 * LANES
+    bits = round(width * share + 3 * math.sqrt(width * share * (1 - share)))
+    rows = nodes.select(F.explode("keys").alias("key"), "id", "hash", "fp")
+    live = materialise(rows.join(_tiles(rows, tile, 2), "key"))
+    node = F.struct("id", "hash")
+    sets = texts.join(live.select("id", "hash").distinct(), ["id", "hash"]).dropDuplicates(["id", "hash"])
+    sets = materialise(sets.select(node.alias("node"), "shingles"))
+    tested = labels = None
+
+    def labelled() -> DataFrame:
+        own = F.xxhash64("id", "hash")
+        if labels is None:
+            return live.withColumn("label", own)
+        named = labels.select(F.col("node.id").alias("id"), F.col("node.hash").alias("hash"), F.xxhash64("label.id", "label.hash").alias("label"))
+        return live.join(named, ["id", "hash"], "left").withColumn("label", F.coalesce("label", own))
+
+    def look(rows: DataFrame, order: Column) -> tuple[bool, bool]:
+        """Test the links found that were not tested yet.  Whether there were any, and whether any held."""
+        nonlocal tested, labels
+        pairs = _found(rows, bits, order).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        new = materialise(_verified(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), sets, similarity))
+        some, held = new.limit(1).count() > 0, new.filter("good").limit(1).count() > 0
+        tested = new if tested is None else materialise(tested.union(new))
+        if held or labels is None:
+            labels = connected_components(tested.filter("good").select("u", "v"))
+        return some, held
+
+    turn, again = 0, True
+    while again:
+        salt = F.lit(turn)
+        tiled = F.when(F.col("tiles") > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "hash", salt), F.col("tiles")))).otherwise(F.col("key"))
+        some, held = look(labelled().withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn else F.col("id"))
+        again, turn = some and (held or not turn), turn + 1
+    large = labelled().filter("tiles > 1")
+    apart = large.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+    if apart.limit(1).count():
+        look(_pairs_of_tiles(large.join(apart, "key")), F.col("id"))
+    discard(live)
+    discard(sets)
+    return labels
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, whose key is unique.  Up to FREQUENT keys that many rows of left may hold are settled by broadcast, so that no task holds one of them."""
+    top = left.agg(F.expr(f"approx_top_k(xxhash64({key}), {FREQUENT}, {FREQUENT * 8})").alias("top")).select(F.explode("top.item").alias("top"))
+    few = F.broadcast(materialise(right.join(F.broadcast(top), F.xxhash64(key) == F.col("top"), "left_semi")))
+    return left.join(few, key).unionByName(left.join(few.select(key), key, "left_anti").join(right, key))
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame:
+    """One row per row of docs: doc_id, fp, component_id.  Links are fingerprints of at most `bits` differing bits."""
+    own = materialise(fingerprints(docs, words))
+    nodes = own.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(LAST)).alias("id")).withColumn("hash", F.col("fp"))
+    nodes = materialise(nodes)
+    labels = connected_components(links(nodes, bits)).select(F.col("node.hash").alias("fp"), F.col("label.id").alias("found"))
+    classes = nodes.join(labels, "fp", "left").withColumn("component_id", F.coalesce("found", "id"))
+    classes = materialise(classes.select("fp", F.when(F.col("component_id") < LAST, F.col("component_id")).alias("component_id")))
+    return spread_join(own, classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, hash) that stand for the different texts of docs, with their label (id, hash), and the sketches (id, hash, fp) they come from.  A node is its own label if its text stays."""
+    own = materialise(sketches(docs, words))
+    nodes = materialise(own.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("node"), F.first("keys").alias("keys")).select("node.id", "node.hash", "fp", "keys"))
+    labels = similar_components(nodes, own, similarity)
+    named = nodes.select("id", "hash", "fp", F.struct("id", "hash").alias("node")).join(labels, "node", "left")
+    return named.select("id", "hash", "fp", F.coalesce("label", "node").alias("label")), own
+
+
+def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: doc_id, component_id, the smallest doc_id that links of this similarity reach."""
+    classes, own = similar_documents(docs, words, similarity)
+    named = spread_join(own.select("id", "fp"), classes.select("fp", F.col("label.id").alias("component")), "fp")
+    given = lambda c: F.when(F.col(c) < LAST, F.col(c))
+    return named.select(given("id").alias("doc_id"), given("component").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; of rows that repeat an id and text one stays."""
-    found = near_duplicates(docs, words, similarity=similarity)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(materialise(stay), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Of each component of similar texts the row with the smallest doc_id (of an id with several texts, one of them; of rows repeated whole, one), with all its columns."""
+    classes, _ = similar_documents(docs, words, similarity)
+    key, text = fresh(docs, "id", "hash")
+    stay = classes.filter(F.col("label") == F.struct("id", "hash")).select(F.col("id").alias(key), F.col("hash").alias(text))
+    out = docs.join(materialise(stay), (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out

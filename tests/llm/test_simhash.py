@@ -3,7 +3,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foretell.llm.simhash import BLOCKS, drop_near_duplicates, fingerprint, links, near_duplicates
+from foretell.llm.simhash import BLOCKS, bucket_links, drop_near_duplicates, fingerprint, links, near_duplicate_texts, near_duplicates
 
 
 def plain_fingerprint(text, words=4):
@@ -57,8 +57,7 @@ def test_links_connect_like_all_pairs(spark, tile):
             fps.add(x)
     fps = sorted(fps)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    out = links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, tile).collect()
-    at = {x: i for i, x in enumerate(signed)}
+    out = links(spark.createDataFrame([(i, x, x) for i, x in enumerate(signed)], "id long, hash long, fp long"), 4, tile).collect()
     label = list(range(len(fps)))
 
     def find(x):
@@ -67,8 +66,8 @@ def test_links_connect_like_all_pairs(spark, tile):
         return x
 
     for u, v in out:
-        assert bin(fps[at[u]] ^ fps[at[v]]).count("1") <= 4
-        a, b = find(at[u]), find(at[v])
+        assert bin(fps[u.id] ^ fps[v.id]).count("1") <= 4
+        a, b = find(u.id), find(v.id)
         label[max(a, b)] = min(a, b)
     assert [find(i) for i in range(len(fps))] == plain_components(fps)
 
@@ -106,10 +105,10 @@ def test_wide_links_catch_near_copies_and_leave_others(spark):
     rows += [(1000, "", 0), (1001, None, 0), (1002, "one", 0), (1003, "two words", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
     shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for i, t, _ in rows if i in groups}
-    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 5, similarity=0.8).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicate_texts(docs).collect()}
     close = [(a, b) for a in groups for b in groups if a < b and len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])]
     assert len(close) > 60
-    assert sum(got[a] == got[b] for a, b in close) >= 0.95 * len(close)
+    assert sum(got[a] == got[b] for a, b in close) >= 0.99 * len(close)
     assert all(groups[got[i]] == g for i, g in groups.items())
     assert got[1000] == got[1001] == 1000 and got[1002] == 1002 and got[1003] == 1003
     left = drop_near_duplicates(docs)
@@ -123,3 +122,76 @@ def test_a_repeated_line_does_not_link_different_documents(spark):
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 200)) + " " + line * 60 for _ in range(2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in drop_near_duplicates(docs).collect()} == {0, 1}
+
+
+def exact_components(sets, similarity=0.8):
+    label = list(range(len(sets)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    close = []
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                close.append((j, i))
+                a, b = find(i), find(j)
+                label[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))], close
+
+
+@pytest.mark.parametrize("tile", [8192, 30])
+def test_similar_components_are_those_of_the_exact_similarity(spark, tile, monkeypatch):
+    """Pairs from far below to far above 0.8, a group in which all share much, and buckets beyond a tile."""
+    from foretell.llm import simhash
+
+    monkeypatch.setattr(simhash.similar_components, "__defaults__", (tile,))
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for g in range(40):
+        base = list(rng.choice(vocabulary, int(rng.integers(60, 300))))
+        for c in range(int(rng.integers(2, 6))):
+            text = list(base)
+            for at in rng.choice(len(text), int(rng.integers(0, max(2, len(text) // 25))), replace=False):
+                text[at] = f"new{rng.integers(1000)}"
+            texts.append(" ".join(text))
+    hot = list(rng.choice(vocabulary, 150))
+    for c in range(120):
+        text = list(hot)
+        for at in rng.choice(150, int(rng.integers(0, 5)), replace=False):
+            text[at] = f"hot{c}"
+        texts.append(" ".join(text))
+    texts += [" ".join(rng.choice(vocabulary, 80)) for _ in range(40)]
+    texts = list(dict.fromkeys(texts))
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    want, close = exact_components(sets)
+    got = {r.doc_id: r.component_id for r in near_duplicate_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in close) >= 0.99 * len(close)
+    assert all(want[got[i]] == want[i] for i in got)  # nothing is linked that the exact similarity does not link
+
+
+def test_forests_span_and_are_never_all_pairs():
+    fps = np.zeros((500, 1), np.uint64)
+    fps[:, 0] = np.arange(500) % 4
+    keys = np.repeat([1, 2, 3], [3, 12, 485])
+    u, v = bucket_links(keys, fps, np.arange(500), 4)
+    assert len(u) == 500 - 3 and (keys[u] == keys[v]).all()
+    u, v = bucket_links(keys, fps, keys, 4)  # connected already
+    assert len(u) == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, base, 0), (1, "another text altogether", 0), (2, base + " x", 0), (2, "x y z", 0), (None, base + " y", 0), (3, "", 0), (4, None, 0), (1, base, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, z int")
+    for name in ("_id", "id", "hash", "_hash", "label", "node", "keys", "fp", "tiles", "component_id", "u", "v"):
+        docs = docs.withColumn(name, F.lit(name))
+    left = drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, "another text altogether"), (1, base), (2, "x y z"), (3, "")]
+    assert near_duplicates(docs).count() == len(rows) and near_duplicate_texts(docs).count() == len(rows)
