@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from foretell.sources.shared import shared_dir
+
 #: The characters `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -18,17 +20,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.  Where it is unset, a session of one process makes a temporary one; on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -39,11 +30,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialise() wrote and nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -57,6 +49,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once a row: an expression inside a lambda function is otherwise worked out at each of its uses."""
+    return F.transform(F.array(value), use)[0]
+
+
 def small_side(df: DataFrame, most_rows: int = 2_000_000) -> DataFrame:
     """df marked for broadcast if it has at most `most_rows` rows of a few bytes, which is counted first; otherwise as it is, for an ordinary shuffled join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

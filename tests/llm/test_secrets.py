@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from foretell.llm.queries import op8_secret_scan
-from foretell.llm.secrets import ALLOWED, CANDIDATE, CLASSES, WINDOW, scan, window_entropy
+from foretell.llm.secrets import ALLOWED, CANDIDATE, LIMITS, WINDOW, scan, window_entropy
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -19,14 +19,28 @@ def plain(text):
     base += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
     added = []
     for m in re.finditer(CANDIDATE, text):
-        limit = next((bits for p, bits in CLASSES if re.search(p, m[0])), None)
-        if limit is None or any(re.search(p, m[0]) for p in ALLOWED) or any(s < m.end() and m.start() < e for s, _, e in base):
+        limit = LIMITS[character_class(m[0])]
+        if plain_words(m[0]) or any(re.search(p, m[0]) for p in ALLOWED) or any(s < m.end() and m.start() < e for s, _, e in base):
             continue
         if max(entropy(m[0][k : k + WINDOW]) for k in range(len(m[0]) - WINDOW + 1)) >= limit - 1e-9:
             added.append((m.start(), 3, m.end()))
     return sorted(base), sorted(base + added)
 
 
+def character_class(s):
+    """By patterns of the whole candidate."""
+    patterns = [
+        ("hex", r"(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+"), ("lower_digits", r"(?=(.*[0-9]){3})(?=.*[a-z])[a-z0-9]+"), ("all", r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+"), ("upper_digits", r"(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+"),
+        ("one_case_digits", r"(?=(.*[0-9]){3})([a-z0-9+/_=-]*[a-z][a-z0-9+/_=-]*|[A-Z0-9+/_=-]*[A-Z][A-Z0-9+/_=-]*)"), ("digits", r"[0-9+/_=-]+"), ("one_case", r"([a-z+/_=-]+|[A-Z+/_=-]+)"), ("few_digits", r"([a-z0-9+/_=-]+|[A-Z0-9+/_=-]+)"), ("both_cases", r".+"),
+    ]
+    return next(name for name, p in patterns if re.fullmatch(p, s))
+
+
+def plain_words(s):
+    joined = r"([A-Z]?[a-z]{0,18}|[A-Z]{2,19})([/_=-]+([A-Z]?[a-z]{1,18}|[A-Z]{1,19}))*[/_=-]*[0-9]{0,4}"
+    return bool(re.fullmatch(joined, s) or re.fullmatch(r"[A-Za-z][a-z]{2,18}([A-Z][a-z]{2,18})+[0-9]{0,4}", s))
+
+
 def entropy(s):
     return -sum(c / len(s) * math.log2(c / len(s)) for c in Counter(s).values())
 
@@ -84,3 +98,28 @@ def test_every_class_can_be_reported(spark):
     got = {r.doc_id: [a.hit for a in r.added] for r in scan(spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == ([] if t in plain_ones else [t]), t
+
+
+def test_very_long_texts(spark):
+    """A million characters in one candidate, a path of 100,000 parts, words in camel case, digits, a text of secrets: no overflow, linear time."""
+    rng = random.Random(2)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choices(b64, k=1_000_000))
+    texts = ["a/" * 100_000, "AbcDef" * 50_000, run, "f0" * 500_000, "secret=" + run, ("token: " + run[:20] + " ") * 20_000, "x" * 1_000_000, "password" + " " * 500_000, '"Ab1_' * 100_000]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(a.start, a.end) for a in got[2].added] == [(0, 1_000_000)]
+    assert got[0].added == [] and got[1].added == [] and got[6].added == [] and got[7].base == []
+    assert [(s.start, s.end, s.kind) for s in got[4].base if s.kind == 0] == [(0, 1_000_007, 0)] and got[4].added == []
+    assert sum(s.kind == 0 for s in got[5].base) == 20_000 and got[5].added == []
+    assert (0, 1_000_000, 2) in [(s.start, s.end, s.kind) for s in got[3].base]
+
+
+def test_largest_window_across_pieces(spark):
+    """The one window of high entropy lies across the border of two pieces of a long candidate."""
+    rng = random.Random(9)
+    rows = []
+    for shift in range(240, 262):
+        s = "a" * shift + "".join(rng.sample("bcdefghijklmnopqrstuvwxyzABCDEFGH", 20)) + "a" * 300
+        rows.append((shift, s))
+    got = {r.i: r.e for r in spark.createDataFrame(rows, "i int, s string").select("i", window_entropy(F.col("s")).alias("e")).collect()}
+    assert all(abs(e - math.log2(20)) < 1e-9 for e in got.values())
