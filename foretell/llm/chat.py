@@ -11,7 +11,7 @@ An edit or a regeneration also voids every event of later turns that came before
 
 Template: `<|im_start|>` role newline text `<|im_end|>` newline.  Inside roles and texts a backslash is doubled and one is put after each `<` and `[`; no control string of the usual templates survives that, and it is undone exactly by `unescape`.  A newline inside a role becomes `[n`, which no escaped text holds.
 
-Scale: the first fold is by (conversation, turn), so events of one hot conversation are spread; the window and the last grouping see one row per message.  A rendered conversation is one value by definition.
+Scale: a fold reads each event once, however many deltas stream in, and is by (conversation, turn), so events of one hot conversation are spread; the window and the last grouping see one row per message.  A rendered conversation is one value by definition.
 
 Defined cases: null text and null role count as empty; null turns and sequence numbers sort first; ties of sequence are ordered by kind, role, text; repeated `message` rows are repeated messages; rows with a null conversation form one conversation of their own; other columns are ignored; an empty log gives no row.
 """
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foretell.llm.common import let
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -33,12 +35,23 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\|\\(\\)", "$1$2")
 
 
-def _fold(messages: Column, event: Column) -> Column:
-    last = F.element_at(messages, -1)
-    fresh = F.struct(event.role.alias("role"), event.text.alias("text"))
-    rest = F.slice(messages, F.lit(1), F.size(messages) - 1)
-    swap = lambda text: F.concat(rest, F.array(F.struct(last.role.alias("role"), text.alias("text"))))
-    return F.when((F.size(messages) == 0) | ~event.kind.isin("delta", "edit", "regenerate"), F.concat(messages, F.array(fresh))).when(event.kind == "delta", swap(F.concat(last.text, event.text))).otherwise(swap(event.text))
+def _fold(events: Column) -> Column:
+    """Messages (role, text) of the sorted events of a turn, each event read once: a message is the events from its start to the next one's, and its text joins those from its last edit or regeneration on."""
+    changes = lambda e: e.kind.isin("edit", "regenerate")
+
+    def text(own: Column) -> Column:
+        last = F.coalesce(F.array_max(F.transform(own, lambda e, j: F.when(changes(e), j + 1))), F.lit(1))
+        return let(last, lambda at: F.array_join(F.transform(F.slice(own, at, F.size(own) - at + 1), lambda e: e.text), ""))
+
+    def split(events: Column, starts: Column) -> Column:
+        length = lambda at, k: F.coalesce(F.get(starts, k + 1), F.size(events) + 1) - at
+        return F.transform(starts, lambda at, k: let(F.slice(events, at, length(at, k)), lambda own: F.struct(own[0].role.alias("role"), text(own).alias("text"))))
+
+    def starts(events: Column) -> Column:
+        begins = F.transform(events, lambda e, i: F.when((i == 0) | ~(changes(e) | (e.kind == "delta")), i + 1))
+        return F.array_compact(begins)
+
+    return let(events, lambda e: let(starts(e), lambda s: split(e, s)))
 
 
 def messages(events: DataFrame) -> DataFrame:
@@ -49,9 +62,7 @@ def messages(events: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     live = turns.withColumn("cut", F.max("cut").over(earlier))
     valid = F.filter("events", lambda e: F.col("cut").isNull() | (F.coalesce(e.seq, F.lit(-(2**62))) > F.col("cut")))
-    none = F.expr("cast(array() as array<struct<role:string,text:string>>)")
-    folded = live.withColumn("events", valid).withColumn("done", F.aggregate("events", none, _fold))
-    return folded.select("conv_id", "turn", F.posexplode("done").alias("ord", "m")).select("conv_id", "turn", "ord", "m.role", "m.text")
+    return live.select("conv_id", "turn", F.posexplode(_fold(valid)).alias("ord", "m")).select("conv_id", "turn", "ord", "m.role", "m.text")
 
 
 def render(msgs: DataFrame, loss_role: str = "assistant") -> DataFrame:

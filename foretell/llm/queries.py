@@ -21,7 +21,7 @@ from foretell.llm.vafile import top_k
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed_positions(load(spark, sf_dir, "documents")).drop("_h")
+    return mixed_positions(load(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def _remainder(n: int) -> Column:
@@ -41,7 +41,7 @@ def op3_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("text_hash")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     log = talk.unionByName(probe).select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
     back = read_back(format_chats(log))
     return back.select(
