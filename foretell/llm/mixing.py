@@ -1,12 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling (operator 1).
 
-Rows of a source form blocks of `block` rows in a fixed order.  With weight w, block k (from 1) of a source is released at slot floor((k - 1) / w) and due by slot ceil(k / w); earliest deadline first, among released blocks, fills one slot after another.  At every slot a source then has had w * slots blocks, give or take less than one.
+Rows of a source form blocks of equal size in a fixed order.  With target weight w, block k (from 1) of a source is released at slot floor((k - 1) / w) and due by slot ceil(k / w); earliest deadline first, among released blocks, fills one slot after another.  Releases and deadlines come from the exact fractions of the targets, never from rounded shares, so at every slot a source has had w * slots blocks, give or take less than one, however long the mix.  When a source runs out the others share in proportion to their weights from the next slot on, released and due as from a new start; no row is dropped or repeated.
 
-Weights are rounded to shares of `period` slots (largest remainder, at least one slot each), so the schedule repeats each period: one period is worked out once (at most `period` entries), and block k of a source goes to slot (k - 1) div share * period + place[(k - 1) mod share] by a join with the broadcast period.  When a source runs out its slots close up, and from the next period on the others share in proportion to their weights; no row is dropped or repeated.
+Scale: ranks within a source are dealt to shards, so a source may hold any share of the rows, and each row finds its block's slot by a join on (source, block).  The schedule itself is worked out once, over at most SLOTS blocks and one more for each source: a block has `block` rows, or more where the table has more than SLOTS times as many.
 
-The number of sources is checked (`MOST_SOURCES`); everything else is distributed.  Ranks within a source are dealt to shards, so a source may hold any share of the rows.
-
-Defined cases: a null source is a source of its own; a source without a weight, or with a weight of zero or less, gets the smallest share; null and repeated rows are scheduled like any other, ties of doc_id by the text's hash; other columns are kept by `mix` and ignored by the schedule; an empty table gives an empty result.
+Defined cases: a null source is a source of its own; a source without a weight, or with a weight of zero or less, gets the smallest positive weight; null and repeated rows are scheduled like any other, ties of doc_id by the text's hash; other columns are kept by `mix`, whatever their names, and ignored by the schedule; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,113 +13,85 @@ import heapq
 import math
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretell.llm.common import materialise, ranked
+from foretell.llm.common import fresh, materialise, ranked
 
 BLOCK = 16
-PERIOD = 1024
-MOST_SOURCES = 512
-
-
-def shares(weights: list[float], period: int) -> list[int]:
-    """Slots of a period for each weight: at least one each, the rest by largest remainder."""
-    floor = min([w for w in weights if w > 0], default=1.0)
-    weights = [w if w > 0 else floor for w in weights]
-    total = sum(map(Fraction, weights))
-    ideal = [Fraction(w) / total * period for w in weights]
-    out = [max(1, math.floor(x)) for x in ideal]
-    order = sorted(range(len(out)), key=lambda i: (out[i] - ideal[i], i))
-    for i in order[: max(0, period - sum(out))]:
-        out[i] += 1
-    while sum(out) > period:  # small weights were raised to one slot
-        i = max(range(len(out)), key=lambda i: (out[i] - ideal[i] if out[i] > 1 else -period, -i))
-        out[i] -= 1
-    return out
+SLOTS = 1 << 20
 
 
-def one_period(share: list[int]) -> list[tuple[int, int]]:
-    """(source, block from 0) of each slot of a period of sum(share) slots, by earliest deadline first."""
-    slots = sum(share)
-    release: list[list[tuple[int, int]]] = [[] for _ in range(slots)]
-    for i, a in enumerate(share):
-        for k in range(a):
-            release[k * slots // a].append((i, k))
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(slots):
-        for i, k in release[t]:
-            heapq.heappush(ready, (-(-(k + 1) * slots // share[i]), i, k))
-        due, i, k = heapq.heappop(ready)
-        if due < t + 1:
-            raise AssertionError("a block missed its deadline")
-        out.append((i, k))
-    return out
+def whole_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in the exact proportion of the weights, those that are missing or not positive as the smallest one that is."""
+    given = [Fraction(w) if w and w > 0 else None for w in weights]
+    least = min((w for w in given if w), default=Fraction(1))
+    given = [w or least for w in given]
+    scale = math.lcm(*[w.denominator for w in given])
+    return [int(w * scale) for w in given]
 
 
-def schedule(blocks: list[int], weights: list[float], period: int) -> tuple[list[tuple], list[tuple]]:
-    """Phases (source, first block, end block, share, first slot, slots a period, phase) and places (phase, source, block in share, slot in period).
-
-    In a phase the same sources run for whole periods; a period in which some source runs out is a phase of its own whose slots close up.
-    """
-    left, done, at = list(blocks), [0] * len(blocks), 0
-    phases: list[tuple] = []
-    places: list[tuple] = []
-
-    def phase(order: list[tuple[int, int]], share: dict[int, int], periods: int) -> None:
-        nonlocal at
-        number = len(phases)
-        places.extend((number, i, k, place) for place, (i, k) in enumerate(order))
-        for i, a in share.items():
-            phases.append((i, done[i], done[i] + periods * a, a, at, len(order), number))
-            done[i] += periods * a
-            left[i] -= periods * a
-        at += periods * len(order)
-
-    while any(left):
+def earliest_deadline_first(blocks: list[int], weights: list[int]) -> np.ndarray:
+    """The source of each slot."""
+    left, out = list(blocks), np.empty(sum(blocks), np.int32)
+    start = 0
+    while start < len(out):
         active = [i for i, n in enumerate(left) if n]
-        share = dict(zip(active, shares([weights[i] for i in active], period)))
-        order = [(active[i], k) for i, k in one_period([share[i] for i in active])]
-        periods = min(left[i] // share[i] for i in active)
-        if periods:
-            phase(order, share, periods)
-        rest = {i: min(share[i], left[i]) for i in active if left[i]}
-        if rest:
-            phase([(i, k) for i, k in order if i in rest and k < rest[i]], rest, 1)
-    return phases, places
+        total = sum(weights[i] for i in active)
+        done = dict.fromkeys(active, 0)
+        waiting, ready = [(0, i) for i in active], []
+        t, over = 0, False
+        while not over:
+            while waiting and waiting[0][0] <= t:
+                _, i = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-(done[i] + 1) * total // weights[i]), i))
+            _, i = heapq.heappop(ready)
+            out[start + t] = i
+            t += 1
+            done[i] += 1
+            heapq.heappush(waiting, (done[i] * total // weights[i], i))
+            left[i] -= 1
+            over = not left[i]
+        start += t
+    return out
+
+
+def schedule(blocks: list[int], weights: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Source and block (from 0 in its source) of each slot."""
+    source = earliest_deadline_first(blocks, whole_weights(weights))
+    block = np.empty(len(source), np.int64)
+    for i, n in enumerate(blocks):
+        block[source == i] = np.arange(n)
+    return source, block
 
 
-def mixed_positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """One row per row of docs: doc_id, source, block (from 0 in its source), slot (the block's place in the mix), position (grows with the row's place; a source's last block may leave a gap).
+def mixed_positions(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+    """One row per row of docs: doc_id, source, text_hash, block (from 0 in its source), slot (the block's place in the mix), position (grows with the row's place; a source's last block may leave a gap).
 
     weights: target weight by source; by default the square root of each source's rows.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("_h"))
-    ranks = materialise(ranked(rows, "source", ["doc_id", "_h"]).withColumn("block", F.floor(F.col("rank") / block)))
-    sizes = ranks.groupBy("source").count().orderBy(F.col("source").asc_nulls_first()).limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"))
+    ranks = materialise(ranked(rows, "source", ["doc_id", "text_hash"]))
+    sizes = ranks.groupBy("source").count().orderBy(F.col("source").asc_nulls_first()).collect()  # one row a source
+    block = max(block, -(-sum(r["count"] for r in sizes) // slots))
     targets = [math.sqrt(r["count"]) if weights is None else weights.get(r["source"], 0.0) for r in sizes]
-    phases, places = schedule([-(-r["count"] // block) for r in sizes], targets, max(period, len(sizes)))
-    name = [r["source"] for r in sizes]
-    phases = spark.createDataFrame([(name[i], *row) for i, *row in phases], "_source string, _first long, _end long, _share long, _at long, _slots long, _phase long")
-    places = spark.createDataFrame([(n, name[i], k, place) for n, i, k, place in places], "_n long, _s string, _k long, _place long")
-    during = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end"))
-    turn = F.col("block") - F.col("_first")
-    there = (F.col("_phase") == F.col("_n")) & F.col("source").eqNullSafe(F.col("_s")) & (turn % F.col("_share") == F.col("_k"))
-    slot = (F.col("_at") + F.floor(turn / F.col("_share")) * F.col("_slots") + F.col("_place")).cast("long")
-    placed = ranks.join(F.broadcast(phases), during).join(F.broadcast(places), there)
-    return placed.select("doc_id", "source", "_h", "block", slot.alias("slot"), (slot * block + F.col("rank") % block).alias("position"))
-
-
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+    order, number = schedule([-(-r["count"] // block) for r in sizes], targets)
+    names = pa.array([r["source"] for r in sizes], pa.string()).take(pa.array(order))
+    plan = spark.createDataFrame(pa.table({"name": names, "number": number, "slot": np.arange(len(order))}))
+    placed = ranks.withColumn("block", F.floor(F.col("rank") / block)).join(plan, F.col("source").eqNullSafe(F.col("name")) & (F.col("block") == F.col("number")))
+    return placed.select("doc_id", "source", "text_hash", "block", "slot", (F.col("slot") * block + F.col("rank") % block).alias("position"))
+
+
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """docs in the order of the mix, with all their columns.  Equal rows are told apart by a number on both sides of the join."""
-    order = mixed_positions(docs, weights, block, period).select(F.col("doc_id").alias("_id"), F.col("_h").alias("_i"), F.col("source").alias("_source"), F.col("position").alias("_position"))
-    order = order.withColumn("_m", F.row_number().over(Window.partitionBy("_id").orderBy("_i", "_source", "_position")))
-    own = docs.withColumn("_h", F.xxhash64("text"))
-    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("_h", "source")))
-    joined = own.join(order, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_m")))
-    return joined.repartitionByRange(F.col("_position")).sortWithinPartitions("_position").select(*docs.columns)
+    text, number, id_, hash_, source, position, other = fresh(docs, "text_hash", "number", "mixed_id", "mixed_hash", "mixed_source", "mixed_position", "mixed_number")
+    order = mixed_positions(docs, weights, block, slots).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("source").alias(source), F.col("position").alias(position))
+    order = order.withColumn(other, F.row_number().over(Window.partitionBy(id_).orderBy(hash_, source, position)))
+    own = docs.withColumn(text, F.xxhash64("text"))
+    own = own.withColumn(number, F.row_number().over(Window.partitionBy("doc_id").orderBy(text, "source")))
+    joined = own.join(order, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(number) == F.col(other)))
+    return joined.repartitionByRange(F.col(position)).sortWithinPartitions(position).select(*[F.col(f"`{c}`") for c in docs.columns])
