@@ -5,9 +5,9 @@ Texts are equal when identical after deleting every character of `[\\x20\\x09-\\
 1. Every text becomes its SHA-256 digest once; only (doc_id, digest, length) goes on.
 2. A frequent-items sketch of the Misra-Gries family (`approx_top_k`, at most `tracked` counters, so a bounded result) names digests that may be frequent.
 3. Their true sizes and winners are computed by one map-side-combined aggregation.  Those found more often than rows / tracked are at most `tracked` many; this bounded table is broadcast, and their rows are settled where they are read, without a shuffle.
-4. The remaining digests, each of bounded size, go through an ordinary shuffle on the digest.
+4. The remaining digests, each found at most rows / tracked times, are counted with map-side combining, and their rows meet the result in an ordinary join on the digest.
 
-Defined cases: null text counts as empty; empty texts are equal to each other and to texts of blanks only; a null doc_id sorts before all others among ties; rows repeated whole are a group in which exactly one row is `kept`; other columns of the input are ignored; an empty table gives an empty result.
+Defined cases: null text counts as empty; empty texts are equal to each other and to texts of blanks only; a null doc_id sorts before all others among ties; rows repeated whole are a group in which exactly one row is `kept`; other columns of the input are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretell.llm.common import BLANKS, materialise
+from foretell.llm.common import BLANKS, fresh, materialise
 
 
 def normalised(text: Column) -> Column:
@@ -42,8 +42,8 @@ def exact_duplicates(docs: DataFrame, tracked: int = 1024) -> DataFrame:
     )
     winners = F.broadcast(materialise(winners))
     heavy = hashed.join(winners, "digest")
-    group = Window.partitionBy("digest")
-    light = hashed.join(winners.select("digest"), "digest", "left_anti").withColumn("group_size", F.count("*").over(group)).withColumn("best", F.min(best).over(group))
+    light = hashed.join(winners.select("digest"), "digest", "left_anti")
+    light = light.join(light.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(best).alias("best")), "digest")
     return heavy.unionByName(light).select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
@@ -52,10 +52,11 @@ def drop_exact_duplicates(docs: DataFrame, tracked: int = 1024) -> DataFrame:
 
     Decisions are joined back on doc_id and digest; where ids repeat, the longest row of an id and digest stays.
     """
-    stay = exact_duplicates(docs, tracked).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept"))
-    own = docs.withColumn("_digest", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    out = own.join(materialise(stay), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    id_, kept, digest, number = fresh(docs, "kept_id", "kept_digest", "digest", "number")
+    stay = exact_duplicates(docs, tracked).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(kept))
+    own = docs.withColumn(digest, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    out = own.join(materialise(stay), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(kept)), "left_semi")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        longest = Window.partitionBy("doc_id", "_digest").orderBy(F.desc(F.coalesce(F.char_length("text"), F.lit(0))))
-        out = out.withColumn("_n", F.row_number().over(longest)).filter("_n = 1")
-    return out.select(docs.columns)
+        longest = Window.partitionBy("doc_id", digest).orderBy(F.desc(F.coalesce(F.char_length("text"), F.lit(0))))
+        out = out.withColumn(number, F.row_number().over(longest)).filter(F.col(number) == 1)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
