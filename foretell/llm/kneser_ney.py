@@ -1,6 +1,6 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model (operator 4).
 
-The model is over characters (order 5), one per language, trained on trusted text: documents labelled quality 1, of which those whose hashed id is 0 mod `fold` are held out.  Characters from code point 4095 on are one symbol, so that an n-gram is one long of 12 bits a character; every text is read whole, preceded by order - 1 start symbols.
+The model is over characters (order 5), one per language, trained on trusted text: documents labelled quality 1, of which those whose hashed id is 0 mod `fold` are held out.  Code points below 2048 (alphabets) are symbols of their own and all others (ideographs, syllables, signs) are hashed to 2048 more, so that an n-gram is one long of 12 bits a character; every text is read whole, preceded by order - 1 start symbols.
 
 Model: at the highest order counts are occurrences, below it the number of different left neighbours.  Discounts D1, D2, D3+ of each order and language come from its counts of counts.  p(w | h) = max(c - D(c), 0) / total(h) + gamma(h) * p(w | shorter h), down to the uniform distribution over the language's symbols.  All tables are sharded by the hash of the n-gram or its context and joined.
 
@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import materialise, small_side
+from foretell.llm.common import fresh, materialise, small_side
 
 ORDER = 5
 BITS = 12
-TOP = (1 << BITS) - 1
+#: Code points from here on share as many symbols.
+HALF = 1 << BITS - 1
 BLOCK_CHARS = 8_000_000
 MOST_ANSWERS = 2_000_000
 LOT_CHARS = 2_000_000
@@ -36,7 +37,8 @@ NO_LANGUAGE = "\x00none"
 
 def grams(text: str, order: int = ORDER) -> np.ndarray:
     """The n-grams of a text that end in each of its characters, oldest character in the highest bits."""
-    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4"), TOP).astype(np.int64)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    codes = np.where(points < HALF, points, HALF + (points * np.uint32(0x9E3779B1) >> np.uint32(33 - BITS))).astype(np.int64)
     padded = np.concatenate([np.full(order - 1, START, np.int64), codes])
     out = np.zeros(len(codes), np.int64)
     for k in range(order):
@@ -157,7 +159,7 @@ def _score_frame(frame: pd.DataFrame, order: int, table: dict[str, tuple[np.ndar
     for lang, own in frame.groupby("lang", sort=False):
         parts = [_scores(lot, order, *table.get(lang, none)) for lot in _lots(own["text"].tolist())]
         n, loss = (np.concatenate(x) for x in zip(*parts))
-        yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "lang": lang, "n_chars": n, "loss": loss})
+        yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "text_hash": own["text_hash"].to_numpy(), "lang": lang, "n_chars": n, "loss": loss})
 
 
 def _ask(docs: DataFrame, order: int, keys: list[str]) -> DataFrame:
@@ -184,10 +186,10 @@ def _lookup(answers: pd.DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def perplexity(docs: DataFrame, model: Model, most_answers: int = MOST_ANSWERS) -> DataFrame:
-    """One row per row of docs: doc_id, lang (as given), n_chars, perplexity (per character; null without characters or model)."""
+    """One row per row of docs: doc_id, text_hash, lang (as given), n_chars, perplexity (per character; null without characters or model)."""
     spark, order = docs.sparkSession, model.order
-    rows = _language(docs).select("doc_id", "lang", "text")
-    schema = "doc_id long, lang string, n_chars long, loss double"
+    rows = _language(docs.select("doc_id", "lang", "text")).withColumn("text_hash", F.xxhash64("text"))
+    schema = "doc_id long, text_hash long, lang string, n_chars long, loss double"
     answers = model.probabilities(materialise(_ask(rows, order, ["lang"])))
     if answers.limit(most_answers + 1).count() <= most_answers:
         langs = [r.lang for r in answers.select("lang").distinct().orderBy("lang").collect()]
@@ -209,15 +211,15 @@ def perplexity(docs: DataFrame, model: Model, most_answers: int = MOST_ANSWERS)
         asked = materialise(_ask(dealt, order, ["block", "lang"]))
 
         def score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat([pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "loss": []}), *_score_frame(texts, order, _lookup(known))])
+            return pd.concat([pd.DataFrame({"doc_id": [], "text_hash": [], "lang": [], "n_chars": [], "loss": []}), *_score_frame(texts, order, _lookup(known))])
 
         scored = dealt.groupBy("block").cogroup(asked.join(answers, ["lang", "gram"]).groupBy("block")).applyInPandas(score, schema)
     value = F.when(F.col("loss").isNotNull() & ~F.isnan("loss"), F.exp("loss"))
-    return scored.select("doc_id", F.when(F.col("lang") != NO_LANGUAGE, F.col("lang")).alias("lang"), "n_chars", value.alias("perplexity"))
+    return scored.select("doc_id", "text_hash", F.when(F.col("lang") != NO_LANGUAGE, F.col("lang")).alias("lang"), "n_chars", value.alias("perplexity"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, upper: float = 0.995, lower: float | None = None, slack: float = 0.02, spread: float = 1.0, fold: int = 5) -> DataFrame:
-    """One row per row of docs: doc_id, lang, n_chars, perplexity, low and high (its limits), rejected.  labels: doc_id, quality."""
+    """One row per row of docs: doc_id, text_hash, lang, n_chars, perplexity, low and high (its limits), rejected.  labels: doc_id, quality."""
     trusted = labels.filter("quality = 1").select("doc_id").distinct()
     own = docs.join(small_side(trusted), "doc_id", "left_semi").select("doc_id", "lang", "text")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(fold)) == 0
@@ -232,6 +234,7 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = 0.995, lower: float
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns; an id that repeats goes if any of its rows is rejected."""
-    bad = materialise(judge(docs, labels).filter("rejected").select("doc_id").distinct())
-    return docs.join(small_side(bad), "doc_id", "left_anti")
+    """The rows of docs that are not rejected, with all their columns.  A row goes with its own text, not with another of its id; rows that repeat an id and text in languages that judge them differently go together."""
+    id_, text = fresh(docs, "bad_id", "bad_text")
+    bad = materialise(judge(docs, labels).filter("rejected").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct())
+    return docs.join(small_side(bad), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(text)), "left_anti")
