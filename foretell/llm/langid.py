@@ -1,10 +1,10 @@
 """Language identification by segmentation-marginalised unigrams (operator 2).
 
-A language is a distribution over the pieces of a fixed public vocabulary (a sentencepiece model with byte fallback).  The probability of a word is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words.  Piece probabilities are learned by expectation-maximisation on word counts: forward-backward gives each piece's expected count over all segmentations.
+A language is a distribution over the pieces of a fixed public vocabulary (a sentencepiece model with byte fallback).  The probability of a word is the sum over all its segmentations into pieces, by the forward algorithm, rescaled every few places so that words of any length are summed whole; a text's is the product over its words.  Words are runs of letters (see `words.py`): digits and punctuation tell languages apart little and are left out.  Piece probabilities are learned by expectation-maximisation on word counts: forward-backward gives each piece's expected count over all segmentations.
 
-Training may use a bounded sample: of every language the `sample` labelled documents whose hashed id is smallest, whole.  Word counts and expected counts are summed by Spark; the driver holds the pieces-by-languages table only (bounded by vocabulary times MOST_LANGUAGES, checked).
+Training may use a bounded sample: of every language the `sample` labelled documents whose hashed id is smallest, whole.  Word counts and expected counts are summed by Spark; the driver holds the pieces-by-languages table only (the vocabulary's size times the number of labels).  In training, words of more than MAX_WORD bytes are counted in stretches of that length.
 
-Scoring runs where the documents are read, without a shuffle.  Words are scored once per worker and kept in a table of bounded size.  Pieces of up to MAX_PIECE bytes are used, and words of more than MAX_WORD bytes are scored in stretches of that length, so that nothing underflows; every character of the text counts.
+Scoring runs where the documents are read, without a shuffle.  Words are scored once per worker and kept in a table of bounded size.  All pieces of the vocabulary are used, found by a polynomial hash of 64 bits that no two of them share.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; whole texts are read; ties go to the language that sorts first; rows with a null label are not learned from; repeated rows give repeated results; other columns are ignored; an empty table gives an empty result; without a labelled row every text is `und`.
 """
@@ -20,14 +20,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import bounded_sample, materialise
+from foretell.llm.common import bounded_sample, materialise, small_side
 from foretell.llm.words import has_letter, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_PIECE, MAX_WORD = 8, 32
+#: In training only: longer words are counted in stretches.
+MAX_WORD = 32
 SAMPLE, ROUNDS = 500, 3
-MOST_LANGUAGES = 512
-KNOWN_WORDS = 400_000
+#: Scores that a worker keeps.
+KNOWN_SCORES = 1_600_000
+#: Places scored at once, and places between rescalings.
+SPAN, RESCALE = 256, 16
+#: Base of the polynomial hash of pieces.
+BASE = 0x9E3779B97F4A7C15
 #: Added to every expected count, so that no piece is impossible.
 PRIOR = 0.01
 
@@ -41,17 +46,26 @@ def pieces(vocabulary: str = VOCABULARY) -> list[tuple[np.ndarray, np.ndarray]]:
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
     texts = {bytes([b]) for b in range(256)}
     texts |= {model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-    by_length: list[list[int]] = [[] for _ in range(MAX_PIECE + 1)]
+    texts = {t for t in texts if t and b" " not in t[1:]}
+    by_length: list[list[int]] = [[] for _ in range(max(map(len, texts)) + 1)]
     for t in texts:
-        if 0 < len(t) <= MAX_PIECE and b" " not in t[1:]:
-            by_length[len(t)].append(int.from_bytes(t, "big"))
+        by_length[len(t)].append(piece_hash(t))
     out, first = [], 0
     for keys in by_length:
+        if len(set(keys)) < len(keys):
+            raise AssertionError("two pieces of a length share a hash")
         out.append((np.array(sorted(keys), np.uint64), np.arange(first, first + len(keys))))
         first += len(keys)
     return out
 
 
+def piece_hash(piece: bytes) -> int:
+    h = 0
+    for b in piece:
+        h = (h * BASE + b + 1) % 2**64
+    return h
+
+
 def n_pieces() -> int:
     return sum(len(keys) for keys, _ in pieces())
 
@@ -64,7 +78,11 @@ def stretches(word: bytes) -> list[bytes]:
 
 def lattice(words: list[bytes]) -> list[np.ndarray]:
     """For words of one length: per piece length, the piece (or -1) that ends at each place."""
-    codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1).astype(np.uint64)
+    return _lattice(np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1))
+
+
+def _lattice(codes: np.ndarray) -> list[np.ndarray]:
+    codes = codes.astype(np.uint64) + np.uint64(1)
     key, out = np.zeros_like(codes), []
     for length, (keys, numbers) in enumerate(pieces()):
         if not length:
@@ -72,8 +90,8 @@ def lattice(words: list[bytes]) -> list[np.ndarray]:
         if length > codes.shape[1]:
             break
         moved = np.zeros_like(key)
-        moved[:, 1:] = key[:, :-1] << np.uint64(8)
-        key = (moved | codes) if length > 1 else codes.copy()
+        moved[:, 1:] = key[:, :-1] * np.uint64(BASE)
+        key = moved + codes
         place = np.minimum(np.searchsorted(keys, key), len(keys) - 1) if len(keys) else None
         found = np.where(keys[place] == key, numbers[place], -1) if len(keys) else np.full(key.shape, -1)
         found[:, : length - 1] = -1
@@ -92,6 +110,33 @@ def forward(steps: list[np.ndarray], p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def log_forward(words: list[bytes], p: np.ndarray) -> np.ndarray:
+    """Log of the summed probability of all segmentations of words of one length, for each column of p.
+
+    Only the last places, as many as the longest piece has bytes, are kept; they are divided by the newest one every RESCALE places.  Every byte is a piece, so no place is impossible.
+    """
+    codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+    n, places = codes.shape
+    longest = len(pieces()) - 1
+    tail, logs = np.zeros((n, longest, p.shape[1])), np.zeros((n, p.shape[1]))
+    tail[:, -1] = 1
+    for start in range(0, places, SPAN):
+        end, back = min(start + SPAN, places), max(0, start - longest + 1)
+        steps = [found[:, start - back :] for found in _lattice(codes[:, back:end])]
+        alpha = np.concatenate([tail, np.zeros((n, end - start, p.shape[1]))], axis=1)
+        for j in range(end - start):
+            now = alpha[:, longest + j]
+            for length, found in enumerate(steps, 1):
+                at = found[:, j]
+                if (at >= 0).any():
+                    now += alpha[:, longest + j - length] * p[at]
+            if (start + j) % RESCALE == RESCALE - 1:
+                logs += np.log(now)
+                alpha[:, j + 1 : longest + j + 1] /= now[:, None].copy()
+        tail = alpha[:, -longest:]
+    return logs + np.log(tail[:, -1])
+
+
 def by_length(words: list[bytes], most: int = 8192) -> Iterator[np.ndarray]:
     """Indices of words of equal length, in bounded lots."""
     lengths = np.array([len(w) for w in words])
@@ -104,13 +149,11 @@ def by_length(words: list[bytes], most: int = 8192) -> Iterator[np.ndarray]:
 
 def word_scores(words: list[bytes], p: np.ndarray) -> np.ndarray:
     """Log probability of each word for each column of p."""
-    parts = [stretches(w) for w in words]
-    flat, owner = [s for x in parts for s in x], np.repeat(np.arange(len(words)), [len(x) for x in parts])
-    scores = np.zeros((len(flat), p.shape[1]))
-    for lot in by_length(flat):
-        scores[lot] = np.log(forward(lattice([flat[i] for i in lot]), p)[:, -1])
+    marked = [b" " + w for w in words]
     out = np.zeros((len(words), p.shape[1]))
-    np.add.at(out, owner, scores)
+    most = max(1, 2_000_000 // ((SPAN + len(pieces())) * p.shape[1]))
+    for lot in by_length(marked, most):
+        out[lot] = log_forward([marked[i] for i in lot], p)
     return out
 
 
@@ -155,9 +198,7 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, rounds: int = RO
     spark = docs.sparkSession
     usable = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     drawn = bounded_sample(usable, "lang", "doc_id", sample)
-    if drawn.groupBy("lang").count().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    drawn = F.broadcast(drawn.select("doc_id").distinct())  # at most MOST_LANGUAGES * sample ids
+    drawn = small_side(materialise(drawn.select("doc_id").distinct()))  # at most `sample` ids a language
     words = materialise(word_counts(docs.filter(learn & F.col("lang").isNotNull()).join(drawn, "doc_id", "left_semi")))
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
     p = np.full((n_pieces() + 1, max(1, len(langs))), 1 / n_pieces())
@@ -182,20 +223,21 @@ def train(docs: DataFrame, learn: Column, sample: int = SAMPLE, rounds: int = RO
 
 
 class WordTable:
-    """Scores of the words met so far, at most KNOWN_WORDS of them."""
+    """Scores of the words met so far, at most KNOWN_SCORES of them over all columns."""
 
     def __init__(self, p: np.ndarray):
-        self.p, self.at, self.scores, self.used = p, {}, np.zeros((KNOWN_WORDS, p.shape[1])), 0
+        self.most = max(1, KNOWN_SCORES // p.shape[1])
+        self.p, self.at, self.scores, self.used = p, {}, np.zeros((self.most, p.shape[1])), 0
 
     def lookup(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Summed log probabilities of each text's words."""
         new = {w for words in texts for w in words if w not in self.at}
-        if self.used + len(new) > KNOWN_WORDS:
+        if self.used + len(new) > self.most:
             self.at, self.used = {}, 0
             new = {w for words in texts for w in words}
         new = list(new)
         scores = self.scores
-        if len(new) > KNOWN_WORDS:  # more than the table holds: for this lot only
+        if len(new) > self.most:  # more than the table holds: for this lot only
             at, scores = {w: i for i, w in enumerate(new)}, word_scores(new, self.p)
         else:
             scores[self.used : self.used + len(new)] = word_scores(new, self.p)

@@ -1,8 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling (operator 5), trained in numpy.
 
-A word's input is the mean of learned vectors of its hashed character trigrams, next to a learned vector of the hashed word itself.  Two gated recurrent units read a window of WINDOW words, one from each end; attention pools their states, and a logistic unit scores the window.  Windows start every STRIDE words, so neighbours overlap by half, and the whole text is covered.  A document's score comes from its largest window logit by a logistic curve fitted on labelled documents that were not trained on.
+Words of more than LONG bytes are read in overlapping parts of that length.  A word's input is the mean of learned vectors of its hashed character trigrams, next to a learned vector of the hashed word itself.  Two gated recurrent units read a window of WINDOW words, one from each end; attention pools their states, and a logistic unit scores the window.  Windows start every STRIDE words, so neighbours overlap by half, and the whole text is covered.  A document's score comes from its largest window logit by a logistic curve fitted on labelled documents that were not trained on.
 
-Training uses a bounded sample on the driver: the `sample` rows of each label whose hashed id is smallest, whole texts.  A first pass labels windows like their documents; in two more a toxic document keeps as toxic its highest window and those above nearly all clean windows (`RARE`), and its other windows are left out.
+Training uses a bounded sample on the driver: the `sample` rows of each label whose hashed id is smallest, whole texts.  It is drawn in two steps, shards of a label first, so the second step sees at most 16 * `sample` rows of a label however many there are.  A first pass labels windows like their documents; in two more a toxic document keeps as toxic its highest window and those above nearly all clean windows (`RARE`), and its other windows are left out.
 
 Scoring runs where documents are read, without a shuffle.  A word's input to both units is computed once per task and kept in a table of bounded size; windows are scored in lots.
 
@@ -24,6 +24,8 @@ from foretell.llm.common import bounded_sample, small_side
 from foretell.llm.words import words_of
 
 WINDOW, STRIDE = 32, 16
+#: Bytes of the parts that long words are read in, and bytes that neighbours share.
+LONG, LAP = 64, 16
 HIDDEN, PART, ATTENTION = 8, 8, 8
 WORDS, TRIGRAMS = 1 << 14, 1 << 14
 SAMPLE, STEPS, LOT = 1000, 200, 256
@@ -34,9 +36,14 @@ COMMON = 10
 KNOWN_WORDS = 200_000
 
 
+def parts_of(text: str | None) -> list[bytes]:
+    """The words of a text; one of more than LONG bytes (such as a text without blanks) as overlapping parts, so that all of it is read."""
+    return [w[k : k + LONG] for w in words_of(text) for k in range(0, max(len(w) - LAP, 1), LONG - LAP)]
+
+
 def trigrams(word: bytes) -> list[int]:
     """Hashed character trigrams of a word with its ends marked."""
-    w = b"<" + word[:64] + b">"
+    w = b"<" + word + b">"
     return [(((w[k] << 16) | (w[k + 1] << 8) | w[k + 2]) * 0x9E3779B1 >> 15) % TRIGRAMS for k in range(len(w) - 2)]
 
 
@@ -254,7 +261,7 @@ def platt(logit: np.ndarray, labels: np.ndarray, rounds: int = 500) -> tuple[flo
 
 def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> tuple[Network, float, float] | None:
     """Network and curve from labelled texts; every fifth text only serves the curve."""
-    docs = [words_of(t) for t in texts]
+    docs = [parts_of(t) for t in texts]
     fitted = np.arange(len(docs)) % 5 != 0
     if len(set(labels[fitted])) < 2:
         return None
@@ -298,7 +305,7 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
         for b in batches:
             for first in range(0, len(b), 200):
                 lot = b.slice(first, 200)
-                words = [words_of(t) for t in lot.column(1).to_pylist()]
+                words = [parts_of(t) for t in lot.column(1).to_pylist()]
                 if shared.value is None:
                     out = np.zeros(len(words))
                 else:

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foretell.llm.langid import MAX_PIECE, MAX_WORD, expected_counts, forward, identify, lattice, n_pieces, pieces, stretches, word_scores
+from foretell.llm.langid import MAX_WORD, expected_counts, forward, identify, lattice, log_forward, n_pieces, piece_hash, pieces, stretches, word_scores
+from foretell.llm.words import words_of
 
 
 @pytest.fixture(scope="module")
@@ -16,14 +17,14 @@ def p():
 
 def number(piece):
     keys, numbers = pieces()[len(piece)]
-    at = np.searchsorted(keys, int.from_bytes(piece, "big"))
-    return numbers[at] if at < len(keys) and keys[at] == int.from_bytes(piece, "big") else None
+    at = np.searchsorted(keys, np.uint64(piece_hash(piece)))
+    return numbers[at] if at < len(keys) and keys[at] == piece_hash(piece) else None
 
 
 def segmentations(word):
     if not word:
         yield []
-    for n in range(1, min(MAX_PIECE, len(word)) + 1):
+    for n in range(1, min(len(pieces()) - 1, len(word)) + 1):
         if number(word[:n]) is not None:
             for rest in segmentations(word[n:]):
                 yield [number(word[:n]), *rest]
@@ -34,6 +35,7 @@ def test_sums_all_segmentations(p, word):
     each = [(s, np.prod(p[s], axis=0)) for s in segmentations(word)]
     total = sum(v for _, v in each)
     assert forward(lattice([word]), p)[0, -1] == pytest.approx(total)
+    assert np.exp(log_forward([word], p)[0]) == pytest.approx(total)
     if word.startswith(b" ") and b" " not in word[1:]:
         want = np.zeros(len(p))
         for s, v in each:
@@ -42,12 +44,42 @@ def test_sums_all_segmentations(p, word):
         assert expected_counts([word[1:]], np.array([3.0]), p[:, [0]]) == pytest.approx(want)
 
 
+def test_all_pieces_are_used():
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    long = [t for i in range(model.get_piece_size()) if len(t := model.id_to_piece(i).replace("▁", " ").encode()) > 8 and b" " not in t[1:] and not model.is_control(i)]
+    assert len(long) > 1000 and all(number(t) is not None for t in long[:200])
+
+
+def test_long_words_are_summed_whole(p):
+    """Logs of a plain forward pass over the whole word, pieces across every border included."""
+    rng = np.random.default_rng(3)
+    word = b" " + bytes(rng.choice(list(b"abetrsiong"), 700).tolist())
+    alpha = [1.0] + [0.0] * len(word)
+    scale = 0.0
+    for j in range(1, len(word) + 1):
+        for n in range(1, min(len(pieces()) - 1, j) + 1):
+            k = number(word[j - n : j])
+            if k is not None:
+                alpha[j] += alpha[j - n] * p[k, 0]
+        if j % 10 == 0:
+            scale += math.log(alpha[j])
+            alpha[max(0, j - 60) : j + 1] = [a / alpha[j] for a in alpha[max(0, j - 60) : j + 1]]
+    assert word_scores([word[1:]], p)[0, 0] == pytest.approx(scale + math.log(alpha[-1]))
+
+
 def test_long_words_do_not_underflow(p):
-    word = b"xq" * 5000
+    word = b"xq" * 100_000
     assert b"".join(stretches(word)) == b" " + word and max(map(len, stretches(word))) <= MAX_WORD
     assert all(math.isfinite(x) for x in word_scores([word], p)[0])
 
 
+def test_signs_part_words():
+    assert words_of("Ça va。好的\u3000ja—nein «oui» x²") == ["ça".encode(), b"va", "好的".encode(), b"ja", b"nein", b"oui", b"x"]
+
+
 def test_held_out_and_edge_cases(spark):
     words = {"aa": "the house under morning water reading", "bb": "der haus unter morgen wasser lesen", "cc": "la maison sous matin eau lire"}
     rng = np.random.default_rng(1)

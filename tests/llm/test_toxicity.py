@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foretell.llm.toxicity import STRIDE, WINDOW, Network, Scorer, Words, score, starts, windows
+from foretell.llm.toxicity import LONG, STRIDE, WINDOW, Network, Scorer, Words, parts_of, score, starts, trigrams, windows
 from foretell.llm.words import words_of
 
 
@@ -33,6 +33,13 @@ def test_windows_cover_every_word_and_overlap(n):
     assert all(b - a == STRIDE for a, b in zip(starts(n), list(starts(n))[1:]))
 
 
+def test_every_byte_of_a_long_word_is_read():
+    word = "abcdefghijklmnopqrstuvwxyz" * 40
+    parts = parts_of(word)
+    assert max(map(len, parts)) <= LONG and {t for w in parts for t in trigrams(w)} >= set(trigrams(word.encode()))
+    assert parts_of("short one") == [b"short", b"one"] and parts_of("x" * LONG) == [b"x" * LONG] and parts_of(None) == []
+
+
 def test_scorer_equals_scoring_each_window_alone():
     rng = np.random.default_rng(2)
     docs = [[rng.choice([b"one", b"two", b"three", b"four"]) for _ in range(n)] for n in (1, 40, 100)]
