@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,3 +17,49 @@ def half_up(value: Column, places: int) -> Column:
 def seconds(epoch: Column) -> Column:
     """Epoch seconds from a number that is seconds below 1e12 and milliseconds from there on."""
     return F.when(epoch < 10**12, epoch).otherwise(F.floor(epoch / 1000))
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + step * d), 1 + step / c
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return front * value
+
+
+def t_two_sided(t: float | None, freedom: float | None) -> float | None:
+    """Probability that a Student t variable is at least as far from zero as t."""
+    if t is None or freedom is None or math.isnan(t) or freedom <= 0:
+        return None
+    return _beta_share(freedom / 2, 0.5, freedom / (freedom + t * t))
+
+
+def t_quantile(share: float, freedom: float) -> float:
+    """t that a Student variable stays within, on both sides, with this probability."""
+    low, high = 0.0, 1.0
+    while t_two_sided(high, freedom) > 1 - share:
+        high *= 2
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_two_sided(middle, freedom) > 1 - share else (low, middle)
+    return (low + high) / 2
+
+
+def p_value(t: Column, freedom: Column) -> Column:
+    """t_two_sided of columns.  For tables of results, which have few rows: an Arrow batch of numbers, no built-in function has it."""
+
+    @F.pandas_udf("double")
+    def run(t: pd.Series, freedom: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(n) else t_two_sided(float(x), float(n)) for x, n in zip(t, freedom)], dtype="float64")
+
+    return run(t.cast("double"), freedom.cast("double"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +29,32 @@ WINNER = [
     r"\bnominee\b", r"\bnomination\b", r"\bnom\b", r"\bprimary\b", r"\bfirst\s+place\b",
     r"\b(democrat|republican|dem|rep|D|R)\s+(win|wins|victory|control)\b", r"\b(democratic|republican)\s+(party|candidate)\b",
 ]
-# Letters with marks and their plain forms.
-MARKED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
-PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
+# Letters that are spelled with others, Latin ones without a plain form, and the Greek and Cyrillic alphabets.
+SPELLED = {
+    "ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D", "đ": "d", "Đ": "D", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "ı": "i", "ħ": "h", "Ħ": "H", "ŧ": "t", "Ŧ": "T", "ə": "e", "Ə": "E",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia", "і": "i", "ї": "yi", "є": "ye", "ґ": "g",
+    "‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "…": "...", "\u00a0": " ",
+}
+
+
+def _letters() -> tuple[str, str, dict[str, str]]:
+    """Letters of one plain letter and those letters, and letters of several: the spelled ones in both cases, and all Latin, Greek and Cyrillic letters with marks, whose plain forms Unicode gives."""
+    table = dict(SPELLED)
+    for k, v in SPELLED.items():
+        if k.upper() != k and len(k.upper()) == 1:
+            table.setdefault(k.upper(), v.capitalize())
+    for point in [*range(0xC0, 0x250), *range(0x370, 0x460), *range(0x1E00, 0x2000)]:
+        base = unicodedata.normalize("NFKD", chr(point))[0]
+        if base != chr(point):
+            plain = base if base.isascii() else table.get(base)
+            if plain is not None:
+                table.setdefault(chr(point), plain)
+    single = {k: v for k, v in table.items() if len(v) == 1}
+    return "".join(single), "".join(single.values()), {k: v for k, v in table.items() if len(v) > 1}
+
+
+MARKED, PLAIN, LONGER = _letters()
 # Particles that belong to a surname.
 PARTICLES = ["de", "del", "la", "van", "von", "da", "dos", "das"]
 # The city scopes of event ids.
@@ -45,13 +71,28 @@ def is_electoral(category: Column) -> Column:
     return F.coalesce(category.startswith("1.") | F.upper(category).contains("ELECTORAL"), F.lit(False))
 
 
+def resolved(platform: Column, result: Column) -> Column:
+    """1 or 0 by a market's result, null while it has none: Yes or No exactly, for kalshi also in lower case."""
+    low = (platform == "kalshi") & result.isin("yes", "no")
+    return F.when(result.isin("Yes", "No") | low, (F.lower(result) == "yes").cast("int"))
+
+
 def is_winner_question(question: Column) -> Column:
     return F.coalesce(~question.rlike(any_of(NOT_WINNER)) & question.rlike(any_of(WINNER)), F.lit(False))
 
 
 def fold(text: Column) -> Column:
-    """Marked letters as plain ones, other characters beyond ASCII dropped."""
-    return F.regexp_replace(F.translate(text, MARKED, PLAIN), r"[^\x00-\x7F]", "")
+    """Letters of the Latin, Greek and Cyrillic alphabets as plain ones, marks and other characters beyond ASCII dropped.  Text that is plain already is left as it is."""
+
+    longer = F.from_json(F.lit(json.dumps(LONGER)), "map<string,string>")  # one constant in the plan
+
+    def plain(t: Column) -> Column:
+        letters = F.split(F.translate(t, MARKED, PLAIN), "")
+        spelled = F.array_join(F.transform(letters, lambda c: F.coalesce(F.try_element_at(longer, c), c)), "")
+        return F.when(F.regexp_like(t, F.lit(r"[^\x00-\x7F]")), F.regexp_replace(spelled, r"[^\x00-\x7F]", "")).otherwise(t)
+
+    # inside a lambda function, so that text stands once in the plan however often it is folded again
+    return F.transform(F.array(text), plain)[0]
 
 
 def clean(text: Column) -> Column:
@@ -65,9 +106,13 @@ def slug(text: Column) -> Column:
 
 def name_slug(name: Column) -> Column:
     """The last name, with the particle before it if there is one."""
-    parts = F.filter(F.split(fold(name), r"\s+"), lambda p: p != "")
-    last, before = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
-    return slug(F.when(F.lower(before).isin(PARTICLES), F.concat(before, F.lit("_"), last)).otherwise(last))
+
+    def last_of(parts: Column) -> Column:
+        last, before = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
+        whole = F.when(F.lower(before).isin(PARTICLES), F.concat(before, F.lit("_"), last)).otherwise(last)
+        return F.regexp_replace(F.regexp_replace(F.upper(whole), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
+
+    return F.transform(F.array(F.filter(F.split(fold(name), r"\s+"), lambda p: p != "")), last_of)[0]
 
 
 def number_slug(value: Column) -> Column:
@@ -159,25 +204,69 @@ def category_label(category: Column) -> Column:
     return F.initcap(F.replace(F.lower(F.regexp_replace(category, r"^\d+[.-]\s*", "")), F.lit("_"), F.lit(" ")))
 
 
+# Countries that tickers name, longer names first.
+TICKER_COUNTRIES = {
+    "SOUTHAFRICA": "ZA", "SOUTHKOREA": "KR", "NETHERLANDS": "NL", "PHILIPPINES": "PH", "THEGAMBIA": "GM", "ARGENTINA": "AR", "AUSTRALIA": "AU", "INDONESIA": "ID", "SINGAPORE": "SG", "VENEZUELA": "VE", "COLOMBIA": "CO", "MALAYSIA": "MY", "THAILAND": "TH", "DENMARK": "DK", "ECUADOR": "EC", "FINLAND": "FI", "GERMANY": "DE", "IRELAND": "IE",
+    "BRAZIL": "BR", "CANADA": "CA", "FRANCE": "FR", "GAMBIA": "GM", "ISRAEL": "IL", "MEXICO": "MX", "NORWAY": "NO", "POLAND": "PL", "SWEDEN": "SE", "TAIWAN": "TW", "TURKEY": "TR", "CHILE": "CL", "INDIA": "IN", "ITALY": "IT", "JAPAN": "JP", "KOREA": "KR", "SPAIN": "ES", "PERU": "PE", "UK": "GB",
+}
+
+
 def ticker_fields(ticker: Column) -> Column:
-    """office, scope, year and party from a ticker such as SENATEMD-28-R; two-digit years are 20xx."""
+    """office, scope, year, party and country from a ticker such as SENATEMD-28-R; two-digit years are 20xx."""
     t = F.regexp_replace(F.upper(ticker), "^KX", "")
     head, rest = F.substring_index(t, "-", 1), F.concat(F.lit("-"), F.regexp_replace(t, r"^[^-]*-?", ""), F.lit("-"))
-    office = F.when(head.startswith("SENATE"), "SEN").when(head.startswith("HOUSE"), "HOUSE").when(head.startswith("GOV"), "GOV").when(head.contains("PRES"), "PRES").when(head.contains("PARL"), "PARL").when(head.contains("MAYOR"), "MAYOR")
+    office = F.when(head.startswith("SENATE"), "SEN").when(head.startswith("HOUSE"), "HOUSE").when(head.startswith("GOV"), "GOV").when(head.contains("PRES"), "PRES").when(head.contains("PARL"), "PARL").when(head.contains("ATTYGEN"), "AG").when(head.contains("MAYOR"), "MAYOR")
     district = F.regexp_extract(head, r"^HOUSE([A-Z]{2})(\d{1,2})$", 1)
-    scope = F.when(district != "", F.concat_ws("-", district, F.regexp_extract(head, r"^HOUSE([A-Z]{2})(\d{1,2})$", 2))).otherwise(F.nullif(F.regexp_extract(head, r"^(?:SENATE|GOV)([A-Z]{2})$", 1), F.lit("")))
+    scope = F.when(district != "", F.concat_ws("-", district, F.regexp_extract(head, r"^HOUSE([A-Z]{2})(\d{1,2})$", 2))).otherwise(F.nullif(F.regexp_extract(head, r"^(?:SENATE|GOV|ATTYGEN)([A-Z]{2})$", 1), F.lit("")))
     four, two = F.regexp_extract(rest, r"-((?:19|20|21)\d\d)-", 1), F.regexp_extract(rest, r"-(\d\d)(?:[A-Z]{3}\d{0,2})?-", 1)
     year = F.when(four != "", four.try_cast("int")).when(two != "", two.try_cast("int") + 2000)
-    side = F.when(rest.endswith("-R-"), "Republican").when(rest.endswith("-D-"), "Democrat")
-    return F.struct(office.alias("office"), scope.alias("scope"), year.alias("year"), side.alias("party"))
+    side = F.coalesce(*[F.when(rest.endswith(f"-{end}-"), code) for end, code in (("R", "GOP"), ("D", "DEM"), ("LEFT", "LEFT"), ("RIGHT", "RIGHT"))])
+    named = F.regexp_extract(head, "(" + "|".join(TICKER_COUNTRIES) + ")", 1)
+    country = F.when(scope.isNotNull(), "US").otherwise(F.try_element_at(F.create_map(*[F.lit(x) for pair in TICKER_COUNTRIES.items() for x in pair]), named))
+    return F.struct(office.alias("office"), scope.alias("scope"), year.alias("year"), side.alias("party"), country.alias("country"))
 
 
 def with_hints(frame: Column, hints: Column) -> Column:
-    """frame whose empty office, scope, year and party are filled from hints."""
-    for f in ("office", "scope", "year", "party"):
+    """frame whose empty office, scope, year, party and country are filled from hints."""
+    for f in ("office", "scope", "year", "party", "country"):
         frame = frame.withField(f, F.coalesce(frame[f], hints[f]))
     return frame
 
 
 def url(base: str, slug: Column) -> Column:
     return F.when(slug.isNotNull() & (slug != ""), F.concat(F.lit(base), slug))
+
+
+def location_hint(question: Column) -> Column:
+    """state, district and confidence of a question: a district code or a numbered congressional district, else state names; low where several are named, the alphabetically first then stands."""
+    code, number = (F.regexp_extract(question, r"\b([A-Z]{2})-(\d{1,2})\b", k) for k in (1, 2))
+    by_code = F.create_map(*[F.lit(x) for n, c in STATE_NAMES.items() for x in (c, n)])
+    code_of = F.create_map(*[F.lit(x) for n, c in STATE_NAMES.items() for x in (n.lower(), c)])
+    names = "|".join(STATE_NAMES)
+    pattern = rf"(?i)\b({names})(?:'s)?\s+(\d{{1,2}})(?:st|nd|rd|th)\s+congressional"
+    state, seat = F.lower(F.regexp_extract(question, pattern, 1)), F.regexp_extract(question, pattern, 2)
+    whole = lambda n: n.try_cast("int").cast("string")  # noqa: E731  leading zeros go
+    hint = lambda s, d, c: F.struct(s.cast("string").alias("state"), d.cast("string").alias("district"), c.cast("string").alias("confidence"))
+    named = F.array_sort(F.array_compact(F.array(*[F.when(F.regexp_like(question, F.lit(rf"(?i)\b{n}\b")), n) for n in STATE_NAMES])))
+    none = F.lit(None)
+    return (
+        F.when(F.try_element_at(by_code, code).isNotNull(), hint(F.try_element_at(by_code, code), F.concat_ws("-", code, whole(number)), F.lit("high")))
+        .when(state != "", hint(F.initcap(state), F.concat_ws("-", F.try_element_at(code_of, state), whole(seat)), F.lit("high")))
+        .when(F.size(named) == 1, hint(F.try_element_at(named, F.lit(1)), none, F.lit("high")))
+        .when(F.size(named) > 1, hint(F.try_element_at(named, F.lit(1)), none, F.lit("low")))
+        .otherwise(hint(none, none, none))
+    )
+
+
+def year_hint(question: Column, close_year: Column, close_month: Column) -> Column:
+    """year and confidence: the only year named (high), the earliest of several (low), else that of a close from 2020 to 2030, the year before if it closes by March (medium)."""
+    years = F.transform(F.regexp_extract_all(question, F.lit(r"\b(202\d)\b"), F.lit(1)), lambda y: y.cast("int"))
+    guess = F.when(close_year.between(2020, 2030), close_year - F.when(close_month <= 3, 1).otherwise(0))
+    hint = lambda y, c: F.struct(y.cast("int").alias("year"), c.cast("string").alias("confidence"))
+    return F.when(F.size(years) == 1, hint(F.try_element_at(years, F.lit(1)), F.lit("high"))).when(F.size(years) > 1, hint(F.array_min(years), F.lit("low"))).otherwise(hint(guess, F.when(guess.isNotNull(), "medium")))
+
+
+def location_chain(fields: Column, ticker: Column, slug: Column, question: Column, default: Column) -> Column:
+    """Where a market is: its own field, else what its ticker, its slug or its question names, else its category's default.  The first that is there wins."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(blank(fields), ticker_fields(ticker)["scope"], scope(F.replace(slug, F.lit("-"), F.lit(" "))), scope(question), default)

@@ -60,6 +60,12 @@ def snapshot_midpoint(left: DataFrame, books: DataFrame, key: str, at: str, ts:
 
 
 def horizons(markets: DataFrame, ticks: DataFrame, days: list[int], reference: str = "close_ts") -> DataFrame:
-    """Prediction per market and horizon: markets' columns, days and p, where a price existed by then."""
-    asked = markets.withColumn("days", F.explode(F.array(*map(F.lit, days)))).withColumn("_at", F.col(reference) - F.col("days") * 86400)
-    return backward(asked, ticks, "market_id", "_at", "ts", "price", ["ord", "price"], "p").filter(F.col("p").isNotNull()).drop("_at")
+    """Prediction per market and horizon: markets' columns, days and p, where a price existed by then.  Ticks meet a market once, whatever the number of horizons."""
+    cut = lambda d: F.col(reference) - d * 86400
+    t = ticks.select(F.col("market_id").alias("_key"), F.col("ts").alias("_ts"), F.col("price").alias("_value"), F.col("ord").alias("_ord"))
+    joined = markets.join(t, (F.col("market_id") == F.col("_key")) & (F.col("_ts") <= cut(min(days))))
+    when = F.struct("_ts", "_ord", "_value")
+    each = [F.max_by("_value", F.when(F.col("_ts") <= cut(d), when)).alias(f"_p{d}") for d in days]
+    wide = joined.groupBy(*markets.columns).agg(*each)
+    long = wide.select(*markets.columns, F.inline(F.array(*[F.struct(F.lit(d).alias("days"), F.col(f"_p{d}").alias("p")) for d in days])))
+    return long.filter(F.col("p").isNotNull())

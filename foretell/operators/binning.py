@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretell.operators.ranks import global_rank
+from foretell.operators.ranks import global_rank, quantiles
 
 
 def equal_count_bins(df: DataFrame, value: str, tie: str, k: int | None = None, out: str = "bin") -> DataFrame:
@@ -30,8 +32,8 @@ def edge_bin(value: Column, edges: Column) -> Column:
 
 def quantile_bins(df: DataFrame, value: str, q: int, out: str = "bin") -> DataFrame:
     """Bins at exact linear-interpolated quantiles, duplicate edges dropped."""
-    edges = df.select(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / q) for k in range(q + 1)]))).alias("_edges"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(out, edge_bin(F.col(value), F.col("_edges"))).drop("_edges")
+    edges = sorted(set(quantiles(df, value, [k / q for k in range(q + 1)])))
+    return df.withColumn(out, edge_bin(F.col(value), F.array(*map(F.lit, edges))) if edges else F.lit(None).cast("int"))
 
 
 def linspace(low: Column, high: Column, k: int) -> Column:
@@ -54,12 +56,25 @@ def cut(value: Column, edges: list[float], include_lowest: bool = False) -> Colu
 def histogram(df: DataFrame, value: str, k: int, low: float, high: float) -> DataFrame:
     """Counts of k bins over a fixed range: left-closed, the last one closed on both sides; values outside are ignored; empty bins are zero."""
     x = F.col(value)
-    bins = F.least(F.size(F.filter(linspace(F.lit(low), F.lit(high), k), lambda e: e <= x)) - 1, F.lit(k - 1))
+    width = (high - low) / k
+    edge = lambda n: F.lit(low) + n * F.lit(width)
+    guess = F.floor((x - low) / width)
+    # the division may be off by one rounding at an edge, which is put right against the edges themselves
+    right = F.when(x < edge(guess), guess - 1).when((x >= edge(guess + 1)) & (guess + 1 < k), guess + 1).otherwise(guess)
+    bins = F.least(right, F.lit(k - 1)).cast("int")
     counts = df.filter(x.between(low, high)).groupBy(bins.alias("bin")).agg(F.count("*").alias("n"))
     spine = df.sparkSession.range(k).select(F.col("id").cast("int").alias("bin"))
     return spine.join(F.broadcast(counts), "bin", "left").na.fill(0, ["n"])
 
 
+def log_histogram(df: DataFrame, value: str, k: int, low: float, high: float) -> DataFrame:
+    """Counts of k bins of equal width in the logarithm over a fixed range: values outside are clipped to it, those not above zero are ignored; edges, empty bins are zero."""
+    clipped = F.least(F.greatest(F.log10(value), F.lit(math.log10(low))), F.lit(math.log10(high)))
+    counts = histogram(df.filter(F.col(value) > 0).select(clipped.alias("x")), "x", k, math.log10(low), math.log10(high))
+    edge = lambda n: F.pow(F.lit(10.0), F.lit(math.log10(low)) + n * ((math.log10(high) - math.log10(low)) / k))
+    return counts.select("bin", edge(F.col("bin")).alias("from"), edge(F.col("bin") + 1).alias("to"), "n")
+
+
 def ecdf(df: DataFrame, value: str, tie: str, out: str = "cdf") -> DataFrame:
     """rank / n in value order (each row its own step)."""
     n = df.select(F.count(value).alias("_n"))

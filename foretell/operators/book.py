@@ -99,6 +99,18 @@ def combined_midpoint(bids: list[Column], asks: list[Column]) -> Column:
     return F.round((top + low) / 2, 4)
 
 
+def combined_midpoints(books: DataFrame, keys: list[Column]) -> DataFrame:
+    """Midpoint of the best bid and the best ask over all books of a group; no book leaves its task whole."""
+    best = lambda f, side: f(F.transform(side, lambda x: x.price))
+    g = books.groupBy(*keys).agg(F.max(best(F.array_max, "bids")).alias("top"), F.min(best(F.array_min, "asks")).alias("low"))
+    return g.withColumn("midpoint", F.round((F.col("top") + F.col("low")) / 2, 4)).drop("top", "low")
+
+
+def upper_median(value: str) -> Column:
+    """The middle value, of an even number the larger of the two."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
+
+
 def liquidity(snapshots: DataFrame, keys: list[str]) -> DataFrame:
     """Spread, relative spread (%), depth, imbalance and price statistics of snapshots; deviations are population ones."""
     b, a = F.col("bid_depth"), F.col("ask_depth")

@@ -1,79 +1,159 @@
-"""Question frames and event ids.  Without a parser of natural language, frame types come from verb and noun patterns with word boundaries, tried in order."""
+"""Question frames, event ids and race keys.
+
+What a question asks becomes a struct: type, candidate, party, office, country, scope, year, outcome, measure, threshold, institution.  No parser of natural language is at hand, so the type comes from words in order: a form of `be` with its participle, comparison or noun, else the first verb that has a type, else the first keyword of an outcome.  Dictionaries are in `functions/entities.py`; each is one pattern, so a question is read once a dictionary.  Different questions are worked out once and joined back to their rows.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretell.functions import entities as en
 from foretell.functions import text as tx
 
-#: Frame types in the order of trial.
-FRAME_PATTERNS = [
-    ("appointment", r"\b(appoint|nominated as|confirm|replace|succeed)"),
-    ("policy_change", r"\b(raise|lower|cut|hike|increase|decrease)s?\b.*\b(rates?|tariffs?|taxe?s?)\b"),
-    ("legislation", r"\b(pass|enact|veto|repeal)(es|s|ed)?\b"),
-    ("ruling", r"\b(overturn|uphold|strike down)s?\b"),
-    ("regulatory", r"\b(ban|approve|sanction|impose)s?\b"),
-    ("threshold", r"\b(reach|hit|exceed|surpass|above|below|fall|drop|rise|climb)(es|s)?\b.*\d|\bmore than \d|\bat least \d"),
-    ("declaration", r"\b(declare|announce)s?\b"),
-    ("contest", r"\b(win|wins|defeat|beat|elected|nominee|nomination|majority|control)\b"),
-    ("occurrence", r"\b(shutdown|war|recession|default|ceasefire)\b"),
-]
-OFFICES = [("PRES", r"\bpresiden(t|cy|tial)\b"), ("SEN", r"\bsenat(e|or)\b"), ("HOUSE", r"\b(house|congress(man|woman)|representative)\b|\b[A-Z]{2}-\d{1,2}\b"), ("GOV", r"\b(governor|gubernatorial)\b"), ("MAYOR", r"\bmayor(al)?\b"), ("PM", r"\bprime minister\b")]
-METRICS = [("APPROVAL", r"\bapproval\b"), ("INFLATION", r"\b(inflation|cpi)\b"), ("GDP", r"\bgdp\b"), ("UNEMPLOYMENT", r"\bunemployment\b"), ("RATE", r"\b(interest )?rates?\b"), ("TARIFF", r"\btariffs?\b"), ("TAX", r"\btaxe?s?\b"), ("VOTES", r"\bvotes?\b")]
-ACTORS = [("FED", r"\b(fed|fomc|federal reserve)\b"), ("ECB", r"\becb\b"), ("SCOTUS", r"\b(supreme court|scotus)\b"), ("SENATE", r"\bsenate\b"), ("CONGRESS", r"\bcongress\b"), ("TRUMP", r"\btrump\b"), ("BIDEN", r"\bbiden\b")]
-TYPE_CODES = {"contest": "ELEC", "threshold": "THR", "appointment": "APPT", "policy_change": "POL", "legislation": "LEG", "ruling": "RUL", "regulatory": "REG", "occurrence": "OCC", "declaration": "DECL"}
-
-
-def _first(question: Column, rules: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(question.rlike(f"(?i){pattern}"), name) for name, pattern in rules])
-
-
-def extract(questions: DataFrame, question: str = "question", close_year: str | None = None) -> DataFrame:
-    """questions with a `frame` struct."""
-    q = tx.clean(F.col(question))
-    kind = F.coalesce(_first(q, FRAME_PATTERNS), F.lit("binary_outcome"))
-    number = F.replace(F.regexp_extract(q, r"(\d[\d,]*(?:\.\d+)?)\s*%?", 1), F.lit(","), F.lit("")).try_cast("double")
-    outcome = F.when(q.rlike(r"(?i)\bnomin"), "NOM").when(q.rlike(r"(?i)\b(run for|announce)"), "CANDIDACY").when(q.rlike(r"(?i)\bmajority\b"), "MAJORITY").when(q.rlike(r"(?i)\bcontrol\b"), "CONTROL").otherwise("WIN")
-    direction = F.when(q.rlike(r"(?i)\b(above|exceed|more than|at least|over|increase|raise|hike)"), "ABOVE").when(q.rlike(r"(?i)\b(below|less than|fewer|under|decrease|cut|lower)"), "BELOW")
-    contest = kind == "contest"
-    office, scope = _first(q, OFFICES), tx.scope(q)
+BE = r"(?:be|is|are|was|were|been)"
+#: Codes of ids by frame type; other types have no id.
+CODES = {"contest": "ELEC", "threshold": "THRESH", "appointment": "APPT", "policy_change": "POLICY", "legislation": "LEG", "agreement": "AGREE"}
+
+
+def frame_type(low: Column) -> Column:
+    """Type of a lower-case question."""
+    after_be = lambda names: rf"\b{BE}\s+(?:[a-z']+\s+){{0,2}}?({'|'.join(names)})\b"
+    participle = F.try_element_at(F.create_map(*[F.lit(x) for pair in en.PARTICIPLES.items() for x in pair]), F.regexp_extract(low, after_be(en.PARTICIPLES), 1))
+    has_be = F.regexp_like(low, F.lit(rf"\b{BE}\b"))
+    compares = F.regexp_like(low, F.lit(rf"\b({'|'.join(en.COMPARING)})\b"))
+    happens = F.regexp_like(low, F.lit(rf"\b({'|'.join(en.EVENTS)})s?\b"))
+    be = F.coalesce(participle, F.when(F.regexp_like(low, F.lit(after_be(en.COMPARING))), "threshold"), F.when(F.regexp_like(low, F.lit(after_be(en.EVENTS))), "occurrence"))
+    verb = en.first_of(low, en.verb_forms())
+    kind = {"WIN": "contest", "NOMINATION": "contest", "CANDIDACY": "contest", "MAJORITY": "contest", "CONTROL": "contest", "APPOINT": "appointment", "CONFIRM": "appointment", "RESIGN": "occurrence", "IMPEACH": "occurrence", "CONVICT": "occurrence"}
+    keyword = F.coalesce(*[F.when(F.contains(low, F.lit(k)), kind.get(v, "binary_outcome")) for k, v in en.OUTCOMES.items()])
+    return F.coalesce(F.when(has_be, be), verb, F.when(has_be, F.coalesce(F.when(compares, "threshold"), F.when(happens, "occurrence"))), keyword, F.lit("binary_outcome"))
+
+
+def _keyword(low: Column, table: list[tuple[str, str]]) -> Column:
+    """The first of (words, code) of which the text holds one; words are separated by bars."""
+    return F.coalesce(*[F.when(F.regexp_like(low, F.lit(words)), code) for words, code in table])
+
+
+def outcome(kind: Column, low: Column) -> Column:
+    contest = _keyword(low, [("win|elected", "WIN"), ("nomin", "NOMINATION"), ("run|announce|candidacy", "CANDIDACY"), ("majority", "MAJORITY"), ("control", "CONTROL")])
+    ruling = _keyword(low, [("overturn|reverse", "OVERTURN"), ("uphold|affirm", "UPHOLD"), ("strike", "STRIKE_DOWN")])
+    regulatory = _keyword(low, [(r"\bban", "BAN"), ("approve", "APPROVE"), ("sanction", "SANCTION"), ("impose|tariff", "IMPOSE")])
+    occurrence = _keyword(low, [("shutdown", "SHUTDOWN"), ("recession", "RECESSION"), (r"\bwar\b|invasion", "CONFLICT"), ("resign", "RESIGN"), ("impeach", "IMPEACH"), ("default", "DEFAULT")])
+    declaration = _keyword(low, [("candidacy|run for", "CANDIDACY"), ("emergency", "EMERGENCY"), ("victory", "VICTORY")])
+    by = {"contest": contest, "ruling": ruling, "regulatory_action": regulatory, "occurrence": occurrence, "declaration": declaration}
+    return F.coalesce(*[F.when(kind == k, c) for k, c in by.items()])
+
+
+def scope_of(text: Column, low: Column) -> Column:
+    """scope and scope_type: a district code, else a state by name or by its two capitals, else a city or region by keyword."""
+    district = F.regexp_extract(text, r"\b([A-Z]{2})-?(\d{1,2})\b", 0)
+    district = F.when(district != "", F.concat_ws("-", F.substring(district, 1, 2), F.regexp_extract(district, r"(\d{1,2})$", 1)))
+    state = F.coalesce(en.first_of(low, {n.lower(): c for n, c in tx.STATE_NAMES.items()} | {c: s for c, s in en.CITY_SCOPES.items() if c.startswith("new york")}), F.nullif(F.regexp_extract(text, rf"\b({'|'.join(s for s in tx.STATES if s not in ('IN', 'OR', 'ME', 'OK', 'HI', 'CO'))})\b", 1), F.lit("")))
+    city, region = en.first_of(low, en.CITY_SCOPES), en.first_of(low, en.REGION_SCOPES)
+    is_city = state.isin(*set(en.CITY_SCOPES.values())) & (F.length(state) > 2)
+    pick = lambda c, kind: F.struct(c.alias("scope"), F.lit(kind).alias("scope_type"))
+    none = F.lit(None).cast("string")
+    return F.when(district.isNotNull(), pick(district, "district")).when(is_city, pick(state, "city")).when(state.isNotNull(), pick(state, "state")).when(city.isNotNull(), pick(city, "city")).when(region.isNotNull(), pick(region, "region")).otherwise(F.struct(none.alias("scope"), none.alias("scope_type")))
+
+
+def candidate_of(kind: Column, text: Column) -> Column:
+    """The name a contest or an appointment is about."""
+    named = F.nullif(F.regexp_extract(text, r"(?i)^(?:will|is|was)\s+([A-Z][\w.' -]+?)\s+(?:be\s+)?(?:re-?)?(?:appointed|confirmed|nominated|named|elected|replace|succeed)", 1), F.lit(""))
+    asked = tx.candidate(text)
+    # a party is no name
+    parties = "|".join(re.escape(p) for p in sorted(en.PARTIES, key=len, reverse=True))
+    plain = F.when(~F.regexp_like(F.lower(asked), F.lit(rf"^(an?\s+|the\s+)?({parties})\b|\b(party|nominee|candidate)$|^(who|which|what)\b")), asked)
+    return F.when(kind == "contest", F.coalesce(plain, named)).when(kind == "appointment", named)
+
+
+def extract(questions: DataFrame, question: str = "question", close_year: str | None = None, ticker: str | None = None) -> DataFrame:
+    """questions with a `frame` struct and its `confidence`.  What the text leaves open is filled from the ticker, then the year from that of the close, where columns for them are given."""
+    texts = questions.select(F.col(question).alias("asked")).filter(F.col("asked").isNotNull()).distinct()
+    texts = en.country_of(texts, "asked").withColumnRenamed("country", "named_country")
+    texts = texts.withColumn("text", tx.clean(F.col("asked"))).withColumn("low", F.lower("text"))
+    # an aggregate keeps the type from being worked out again wherever it is used
+    texts = texts.withColumn("kind", frame_type(F.col("low"))).groupBy("asked", "text", "low").agg(F.first("named_country").alias("named_country"), F.first("kind").alias("kind"))
+    kind, low, text = F.col("kind"), F.col("low"), F.col("text")
+    contest, appointment, threshold, policy = kind == "contest", kind == "appointment", kind.isin("threshold", "metric"), kind == "policy_change"
+    place = scope_of(text, low)
+    is_district = place.scope_type == "district"
+    office = F.when(contest & is_district, "HOUSE").when(contest | appointment, en.first_of(low, en.OFFICES))
+    foreign_house = F.when((office == "HOUSE") & F.col("named_country").isNotNull() & (F.col("named_country") != "US") & ~is_district, "PARL").otherwise(office)
+    country = F.when(place.scope_type.isin("district", "state", "city"), "US").otherwise(F.coalesce(F.col("named_country"), F.when(contest & (office == "SCOTUS"), "US")))
+    actor = F.when(~contest, en.first_of(low, en.ACTORS))
+    actor = F.when(kind == "legislation", _keyword(low, [("senate", "SENATE"), ("house", "HOUSE"), ("congress", "CONGRESS")])).otherwise(actor)
+    country = F.when((kind == "ruling") & actor.isin("SCOTUS", "APPEALS", "DISTRICT"), F.coalesce(country, F.lit("US"))).otherwise(country)
+    number = lambda pattern: F.nullif(F.regexp_extract(low, pattern, 1), F.lit(""))
+    value = F.coalesce(number(r"(?:above|over|exceed|surpass|reach|hit|below|under|fall to|more than|less than|at least|at most)\s*\$?([\d,]*\d\.?\d*)\s*%?"), number(r"([\d,]*\d\.?\d*)\s*(?:percent|%|or more|or less|or higher|or lower)"))
+    up, down = r"above|over|exceed|surpass|reach|hit|rise|climb|more than|at least", r"below|under|fall|drop|decline|less than|at most"
+    direction = F.when(threshold, _keyword(low, [(up, "above"), (down, "below")])).when(policy, _keyword(low, [("raise|hike|increase", "increase"), ("cut|lower|decrease|reduce", "decrease")]))
+    measure = F.when(policy, _keyword(low, [("rate|interest", "RATE"), ("tariff", "TARIFF"), (r"\btax", "TAX")])).when(threshold, en.first_of(low, en.METRICS))
     fields = {
-        "frame_type": kind, "candidate": F.when(contest, tx.candidate(q)), "party": tx.party(q), "office": office, "country": F.when(contest, F.lit("US")), "scope": scope,
-        "year": tx.year(q, F.col(close_year) if close_year else None), "outcome_type": F.when(contest, outcome), "is_primary": q.rlike(r"(?i)\b(primary|caucus)\b"),
-        "metric": _first(q, METRICS), "threshold_value": F.when(kind == "threshold", number), "threshold_direction": F.when(kind.isin("threshold", "policy_change"), direction), "actor": _first(q, ACTORS),
+        "frame_type": kind, "candidate": candidate_of(kind, text), "party": F.when(contest, en.first_of(low, en.PARTIES)), "office": foreign_house, "country": country, "scope": place.scope, "scope_type": place.scope_type,
+        "year": tx.year(text), "outcome_type": outcome(kind, low), "is_primary": contest & F.regexp_like(low, F.lit("primary|caucus")), "metric": measure,
+        "threshold_value": F.when(threshold, F.replace(value, F.lit(","), F.lit("")).try_cast("double")), "threshold_direction": direction, "actor": actor,
     }
-    out = questions.withColumn("frame", F.struct(*[v.alias(k) for k, v in fields.items()]))
-    f = lambda name: F.col(f"frame.{name}").isNotNull().cast("double")
-    sure = F.when(F.col("frame.frame_type") == "contest", 0.3 * f("office") + 0.3 * f("year") + 0.2 * f("country") + 0.1 * F.greatest(f("candidate"), f("party")) + 0.1 * f("scope")).otherwise(0.4 * F.greatest(f("metric"), f("actor")) + 0.4 * f("year") + 0.2)
-    return out.withColumn("confidence", F.round(sure, 2))
+    frames = texts.select("asked", F.struct(*[v.alias(k) for k, v in fields.items()]).alias("frame"))
+    out = questions.join(frames, F.col(question) == F.col("asked"), "left").drop("asked")
+    if ticker:
+        out = out.withColumn("frame", tx.with_hints(F.col("frame"), tx.ticker_fields(F.col(ticker))))
+    if close_year:
+        out = out.withColumn("frame", F.col("frame").withField("year", F.coalesce(F.col("frame.year"), F.col(close_year).cast("int"))))
+    return out.withColumn("confidence", confidence(F.col("frame")))
+
+
+def confidence(frame: Column) -> Column:
+    """How much of what its type needs a frame has, 0 to 1: a point for the type (0.3 for a plain yes or no), one for each of its fields, half for a year."""
+    has = lambda *names: F.greatest(*[frame[n].isNotNull() for n in names], F.lit(False)).cast("double")
+    needs = {"contest": [["country"], ["office"], ["year"], ["candidate", "party"]], "threshold": [["metric"], ["threshold_value"], ["threshold_direction"]], "appointment": [["candidate"], ["office", "actor"], ["year"]]}
+    base = F.when(frame.frame_type == "binary_outcome", 0.3).otherwise(1.0) + 0.5 * has("year")
+    score = base / 1.5
+    for kind, groups in needs.items():
+        score = F.when(frame.frame_type == kind, (base + sum(has(*g) for g in groups)) / (1.5 + len(groups))).otherwise(score)
+    return F.when(frame.frame_type.isNull(), 0.0).otherwise(F.round(score, 3))
+
+
+def _id(kind: str, *parts: Column) -> Column:
+    return F.concat_ws("-", F.lit("BWR"), F.lit(CODES[kind]), *parts)
 
 
-def _join(*parts: Column) -> Column:
-    return F.concat_ws("-", *parts)
+def _blank(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
 
 
 def event_id(frame: Column, valid_scopes_only: bool = True) -> Column:
-    """Id of the event a frame is about, with its subject; null where a required part is missing."""
+    """Id of the event a frame is about, with its subject, in the form of its type; null where a required part is missing or the type has no id."""
     scope = F.when(tx.valid_scope(frame.scope) | F.lit(not valid_scopes_only), tx.slug(frame.scope))
-    subject = F.coalesce(F.nullif(tx.name_slug(frame.candidate), F.lit("")), F.upper(frame.party))
-    pri = F.when(frame.is_primary, "PRI")
-    contest = F.when(frame.office.isNotNull() & frame.year.isNotNull(), _join(F.lit("BWR-ELEC"), F.coalesce(frame.country, F.lit("XX")), frame.office, scope, subject, F.coalesce(frame.outcome_type, F.lit("WIN")), frame.year.cast("string"), pri))
-    return F.when(frame.frame_type == "contest", contest).otherwise(_other(frame))
+    name, year = _blank(tx.name_slug(frame.candidate)), frame.year.cast("string")
+    contest = F.when(frame.office.isNotNull() & frame.year.isNotNull(), _id("contest", F.coalesce(frame.country, F.lit("XX")), frame.office, scope, F.coalesce(name, frame.party), F.coalesce(frame.outcome_type, F.lit("WIN")), year, F.when(frame.is_primary, "PRI")))
+    post = F.coalesce(frame.office, frame.actor)
+    appointment = F.when(post.isNotNull(), _id("appointment", F.coalesce(frame.country, F.lit("US")), post, name, F.coalesce(frame.outcome_type, F.lit("CONFIRM")), year))
+    return F.when(frame.frame_type == "contest", contest).when(frame.frame_type == "appointment", appointment).otherwise(_other(frame))
 
 
 def _other(frame: Column) -> Column:
-    code = F.coalesce(*[F.when(frame.frame_type == k, v) for k, v in TYPE_CODES.items() if k != "contest"], F.lit("GEN"))
-    about = F.coalesce(frame.metric, frame.actor)
-    return F.when(about.isNotNull() & frame.year.isNotNull(), _join(F.lit("BWR"), code, frame.actor, frame.metric, tx.number_slug(frame.threshold_value), frame.threshold_direction, frame.year.cast("string")))
+    """Ids of the types whose events have no subject; null where only the type is known."""
+    year, direction = frame.year.cast("string"), F.upper(frame.threshold_direction)
+    known = lambda *parts: F.greatest(*[p.isNotNull() for p in parts], F.lit(False))
+    value = tx.number_slug(frame.threshold_value)
+    level = F.when(frame.metric.isNotNull() & known(frame.actor, value, direction, year), _id("threshold", frame.actor, frame.metric, value, direction, year))
+    policy = F.when(known(frame.actor, frame.metric, direction, year), _id("policy_change", frame.actor, frame.metric, direction, year))
+    law = F.when(known(frame.actor, year), _id("legislation", frame.actor, year))
+    deal = F.when(known(frame.actor, year), _id("agreement", frame.actor, year))
+    return F.when(frame.frame_type == "threshold", level).when(frame.frame_type == "policy_change", policy).when(frame.frame_type == "legislation", law).when(frame.frame_type == "agreement", deal)
 
 
 def race_key(frame: Column) -> Column:
     """Id of the race without its candidate; WIN where no outcome is named; the scope is validated as in event_id."""
     scope = F.when(tx.valid_scope(frame.scope), tx.slug(frame.scope))
-    ok = frame.country.isNotNull() & frame.office.isNotNull() & frame.year.isNotNull()
-    key = _join(F.lit("BWR-ELEC"), frame.country, frame.office, scope, F.coalesce(frame.outcome_type, F.lit("WIN")), frame.year.cast("string"), F.when(frame.is_primary, "PRI"))
-    return F.when(frame.frame_type == "contest", F.when(ok, key)).otherwise(_other(frame))
+    year = frame.year.cast("string")
+    race = F.when(frame.office.isNotNull() & frame.year.isNotNull(), _id("contest", F.coalesce(frame.country, F.lit("XX")), frame.office, scope, F.coalesce(frame.outcome_type, F.lit("WIN")), year, F.when(frame.is_primary, "PRI")))
+    post = F.coalesce(frame.office, frame.actor)
+    appointment = F.when(post.isNotNull(), _id("appointment", F.coalesce(frame.country, F.lit("US")), post, F.coalesce(frame.outcome_type, F.lit("CONFIRM")), year))
+    return F.when(frame.frame_type == "contest", race).when(frame.frame_type == "appointment", appointment).otherwise(_other(frame))
 
 
 def parse_id(event: Column) -> Column:

@@ -39,14 +39,26 @@ def _similarity(a: str, b: str) -> int:
 
 def name_score(a: Column, b: Column) -> Column:
     """0 to 100: equal names 100, equal last names 95, else the best of three edit ratios."""
+    x, y = _plain(a), _plain(b)
+    sx, sy = tx.name_slug(x), tx.name_slug(y)
+    return F.when(x == y, 100).when((sx != "") & (sx == sy), 95).otherwise(_ratio(x, y))
+
+
+def _plain(name: Column) -> Column:
+    return F.trim(F.lower(tx.fold(name)))
+
 
+def _names(side: DataFrame, frame: str, out: str) -> DataFrame:
+    """side with a struct of the plain name and last name of a frame's candidate, worked out once a row and not once a pair."""
+    return side.withColumn(out, _plain(F.col(f"{frame}.candidate"))).withColumn(f"{out}_last", tx.name_slug(F.col(out)))
+
+
+def _ratio(x: Column, y: Column) -> Column:
     @F.pandas_udf("int")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if p is None or q is None else _similarity(p, q) for p, q in zip(x, y)], dtype="Int64")
 
-    x, y = F.trim(F.lower(tx.fold(a))), F.trim(F.lower(tx.fold(b)))
-    sx, sy = tx.name_slug(x), tx.name_slug(y)
-    return F.when(x == y, 100).when((sx != "") & (sx == sy), 95).otherwise(ratio(x, y))
+    return run(x, y)
 
 
 def _score(rules: list[tuple[Column, float]], most: float, fatal: Column) -> Column:
@@ -69,8 +81,16 @@ def confidence(a: Column, b: Column, names: Column, threshold: int = NAME_THRESH
     gap = F.abs(a.threshold_value - b.threshold_value) / F.greatest(F.abs(a.threshold_value), F.abs(b.threshold_value), F.lit(1.0))
     direction = a.threshold_direction.eqNullSafe(b.threshold_direction)
     level = _score([(yes, 2.0), (same("metric"), 2.0), (same("threshold_value"), 2.0), ((gap > 0) & (gap < 0.05), 1.5), (direction, 1.0), (same("year"), 1.5), (same("actor"), 1.0)], 9.5, F.coalesce(differ("metric"), F.lit(False)) | F.coalesce(gap >= 0.05, F.lit(False)) | F.coalesce(differ("year"), F.lit(False)))
-    other = _score([(yes, 2.0), (same("actor"), 2.0), (same("metric"), 1.5), (direction, 1.0), (same("year"), 1.5)], 8.0, F.coalesce(differ("actor"), F.lit(False)) | F.coalesce(differ("year"), F.lit(False)))
-    return F.when(a.frame_type != b.frame_type, 0.0).when(a.frame_type == "contest", contest).when(a.frame_type == "threshold", level).otherwise(other)
+    policy = _score([(yes, 2.0), (same("actor"), 2.0), (same("metric"), 1.5), (direction, 1.0), (same("year"), 1.5)], 8.0, F.coalesce(differ("actor"), F.lit(False)) | F.coalesce(differ("year"), F.lit(False)))
+    post = F.coalesce(a.office, a.actor), F.coalesce(b.office, b.actor)
+    appointment = _score(
+        [(yes, 2.0), (post[0] == post[1], 2.0), (one, 0.5), (same("year"), 1.5), (same("country"), 1.0)], 8.5,
+        F.coalesce(post[0] != post[1], F.lit(False)) | F.coalesce(differ("year"), F.lit(False)) | F.coalesce(both & (names < threshold), F.lit(False)),
+    )
+    appointment = F.when((appointment > 0) & both, F.round(appointment + 2.0 * names / 100 / 8.5, 3)).otherwise(appointment)
+    generic = _score([(yes, 2.0), (same("year"), 2.0), (same("actor"), 1.0)], 5.0, F.coalesce(differ("year"), F.lit(False)))
+    by = {"contest": contest, "threshold": level, "policy_change": policy, "appointment": appointment}
+    return F.when(a.frame_type != b.frame_type, 0.0).otherwise(F.coalesce(*[F.when(a.frame_type == k, v) for k, v in by.items()], generic))
 
 
 def candidates(kalshi: DataFrame, polymarket: DataFrame, least: float = LEAST_CONFIDENCE) -> DataFrame:
@@ -82,9 +102,10 @@ def candidates(kalshi: DataFrame, polymarket: DataFrame, least: float = LEAST_CO
 
 def _scored(k: DataFrame, p: DataFrame) -> DataFrame:
     """Pairs of one event whose categories (k_cat, p_cat) do not differ, with the confidence of frames a and b."""
-    pairs = k.join(p, "event").filter(F.coalesce(F.col("k_cat") == F.col("p_cat"), F.lit(True)))
-    scored = pairs.withColumn("names", F.when(F.col("a.candidate").isNotNull() & F.col("b.candidate").isNotNull(), name_score(F.col("a.candidate"), F.col("b.candidate"))))
-    return scored.withColumn("confidence", confidence(F.col("a"), F.col("b"), F.col("names")))
+    pairs = _names(k, "a", "_x").join(_names(p, "b", "_y"), "event").filter(F.coalesce(F.col("k_cat") == F.col("p_cat"), F.lit(True)))
+    same, last = F.col("_x") == F.col("_y"), (F.col("_x_last") != "") & (F.col("_x_last") == F.col("_y_last"))
+    scored = pairs.withColumn("names", F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.when(same, 100).when(last, 95).otherwise(_ratio(F.col("_x"), F.col("_y")))))
+    return scored.drop("_x", "_y", "_x_last", "_y_last").withColumn("confidence", confidence(F.col("a"), F.col("b"), F.col("names")))
 
 
 def assign(pairs: DataFrame) -> DataFrame:

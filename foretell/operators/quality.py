@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -106,3 +106,28 @@ def daily_summary(df: DataFrame, ts: str, key: str, since: int) -> DataFrame:
     """Rows since a time by platform: how many, of which categories (sorted set), and the smallest ids."""
     new = df.filter(F.col(ts) >= since)
     return new.groupBy("platform").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("category")).alias("categories"), F.min(key).alias("first_id"))
+
+
+def resolution_rate(df: DataFrame, closed: Column, outcome: str, least: float = 0.7) -> DataFrame:
+    """Closed markets, how many lack an outcome, the share that has one, and whether that is too low."""
+    m = df.filter(closed).agg(F.count("*").alias("closed"), F.count_if(F.col(outcome).isNull()).alias("missing"))
+    m = m.withColumn("rate", 1 - F.try_divide("missing", "closed"))
+    return m.withColumn("too_low", F.coalesce(F.col("rate") < least, F.lit(False)))
+
+
+def spikes(df: DataFrame, day: Column, most: int = 500) -> DataFrame:
+    """Days with more than `most` new rows."""
+    return df.groupBy(day.alias("day")).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+
+
+def failure_rate(df: DataFrame, failed: Column, most: float = 0.1) -> DataFrame:
+    """Calls, failures, their share, and whether that is too high; none without calls."""
+    m = df.agg(F.count("*").alias("calls"), F.count_if(failed).alias("errors")).filter("calls > 0")
+    return m.withColumn("rate", F.col("errors") / F.col("calls")).withColumn("too_high", F.col("rate") > most)
+
+
+def metadata_gap(df: DataFrame, fields: list[str], most: float = 0.15) -> DataFrame:
+    """Rows, the mean share of missing values over fields, and whether that is too high; none without rows."""
+    missing = [F.avg(F.col(f).isNull().cast("double")) for f in fields]
+    m = df.agg(F.count("*").alias("n"), (sum(missing) / len(fields)).alias("gap")).filter("n > 0")
+    return m.withColumn("too_high", F.col("gap") > most)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,11 +11,17 @@ from pyspark.sql.window import Window
 SHARDS = 16
 
 
-def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False, buckets: int = 64) -> DataFrame:
+def _buckets(df: DataFrame) -> int:
+    """As many buckets as the session shuffles to, 64 at least."""
+    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False, buckets: int | None = None) -> DataFrame:
     """df with the rank (from 1) of each row by value, then tie mod SHARDS, then tie; rows with a null value are left out.
 
     Quantile boundaries of the value deal rows to buckets; a value that is a boundary is a bucket of its own, dealt on by tie mod SHARDS, so a value may hold any share of the rows.  A bucket numbers its own rows; offsets come from a table of at most 2 * buckets * SHARDS counts.
     """
+    buckets = buckets or _buckets(df)
     rows = df.filter(F.col(value).isNotNull())
     key = -F.col(value) if descending else F.col(value)
     rows = rows.withColumn("_v", key.cast("double"))
@@ -29,6 +37,29 @@ def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descendi
     return joined.select(*df.columns, (F.col("_r") + F.col("_before")).alias(out))
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
+    """Exact linear-interpolated quantiles of a column; none without values.  Equal values are counted first, their counts are summed up within buckets of the value's range, and only the values at the places asked for reach the driver."""
+    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    buckets = _buckets(df)
+    bounds = sorted(set(per.approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.01)))
+    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.expr("cast(array() as array<double>)")
+    per = per.withColumn("b", F.size(F.filter(edges, lambda e: e < F.col("v"))))
+    sizes = {r["b"]: r["c"] for r in per.groupBy("b").agg(F.sum("c").alias("c")).collect()}
+    n, before, at = sum(sizes.values()), {}, 0
+    if not n:
+        return []
+    for b in sorted(sizes):
+        before[b], at = at, at + sizes[b]
+    places = sorted({f(share * (n - 1)) for share in shares for f in (math.floor, math.ceil)})
+    start = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("b"))
+    end = F.sum("c").over(Window.partitionBy("b").orderBy("v")) + start
+    asked = F.array(*[F.lit(p) for p in places])
+    held = per.withColumn("end", end).withColumn("places", F.filter(asked, lambda p: (p >= F.col("end") - F.col("c")) & (p < F.col("end")))).filter(F.size("places") > 0)
+    found = {p: r["v"] for r in held.select("v", "places").collect() for p in r["places"]}
+    low = lambda share: math.floor(share * (n - 1))
+    return [found[low(s)] + (found[math.ceil(s * (n - 1))] - found[low(s)]) * (s * (n - 1) - low(s)) for s in shares]
+
+
 def average_rank(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
     """df with the average rank of tied values; null values keep a null rank."""
     per = global_rank(df.select(value, tie), value, tie, "_r").groupBy(F.col(value).alias("_v")).agg(F.avg("_r").alias(out))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foretell.functions.numbers import p_value
+from foretell.operators.ranks import global_rank
+
 EPS = 1e-15
 
 
@@ -59,9 +62,9 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
     return df.groupBy(row).pivot(column, values).count().na.fill(0)
 
 
-def monthly_pivot(df: DataFrame, row: str, month: Column, values: list[str], amount: str) -> DataFrame:
-    """Sum of amount by row and month name, missing months zero."""
-    return df.withColumn("_month", month).groupBy(row).pivot("_month", values).agg(F.sum(amount)).na.fill(0.0)
+def monthly_pivot(df: DataFrame, rows: list[str], month: Column, values: list[str], amount: str) -> DataFrame:
+    """Sum of amount by rows and month name, missing months zero."""
+    return df.withColumn("_month", month).groupBy(*rows).pivot("_month", values).agg(F.sum(amount)).na.fill(0.0)
 
 
 def attribute_table(df: DataFrame, key: str, metrics: dict[str, Column]) -> DataFrame:
@@ -71,10 +74,11 @@ def attribute_table(df: DataFrame, key: str, metrics: dict[str, Column]) -> Data
 
 
 def head_to_head(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Wins (lower Brier), ties, mean difference, Pearson r and the paired t statistic of two panels (key, brier)."""
+    """Wins (lower Brier), ties, mean difference, Pearson r, and the paired t statistic with its two-sided p, of two panels (key, brier)."""
     both = a.select(key, F.col("brier").alias("x")).join(b.select(key, F.col("brier").alias("y")), key)
     d = F.col("x") - F.col("y")
-    return both.agg(F.count("*").alias("n"), F.count_if(d < 0).alias("a_wins"), F.count_if(d > 0).alias("b_wins"), F.count_if(d == 0).alias("ties"), F.avg(d).alias("mean_diff"), F.corr("x", "y").alias("r"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("t"))
+    out = both.agg(F.count("*").alias("n"), F.count_if(d < 0).alias("a_wins"), F.count_if(d > 0).alias("b_wins"), F.count_if(d == 0).alias("ties"), F.avg(d).alias("mean_diff"), F.corr("x", "y").alias("r"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("t"))
+    return out.withColumn("p_value", p_value(F.col("t"), F.col("n") - 1))
 
 
 def consensus(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -96,7 +100,16 @@ def concentration(df: DataFrame, key: str, amount: str, tops: dict[str, float])
     """Share of the total held by the largest fractions of keys (at least one key each)."""
     per = df.groupBy(key).agg(F.sum(amount).alias("v"))
     total = per.agg(F.count("*").alias("n"), F.sum("v").alias("all"))
-    # keys tie by id; ranks come from a range-sorted window over the aggregated keys
-    ranked = per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("v"), key)))
+    ranked = global_rank(per, "v", key, "rank", descending=True)  # equal amounts are alike, so their order does not matter
     shares = [(F.sum(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)), F.col("v"))) / F.max("all")).alias(name) for name, share in tops.items()]
     return ranked.crossJoin(F.broadcast(total)).agg(F.max("n").alias("n"), *shares)
+
+
+def share_curve(df: DataFrame, key: str, amount: str, points: int = 100) -> DataFrame:
+    """Share of the total held by the largest k of `points` equal parts of the keys, for every k: the rank curve and, read from the other side, the distribution function of amounts over keys."""
+    per = df.groupBy(key).agg(F.sum(amount).alias("v"))
+    n = per.select(F.count("v").alias("n"))
+    ranked = global_rank(per, "v", key, "rank", descending=True).crossJoin(F.broadcast(n))
+    parts = ranked.groupBy(F.ceil(F.col("rank") * points / F.col("n")).cast("int").alias("part")).agg(F.count("*").alias("keys"), F.sum("v").alias("v"))
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)  # `points` rows at most
+    return parts.select("part", F.sum("keys").over(up).alias("keys"), (F.sum("v").over(up) / F.sum("v").over(Window.partitionBy())).alias("share"))

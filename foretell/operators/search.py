@@ -23,6 +23,11 @@ def contains_any(query: str, fields: list[Column]) -> Column:
     return hit
 
 
+def reportable(markets: DataFrame, costs: DataFrame, key: str, cost: str) -> DataFrame:
+    """Markets that have a cost to move, with it, dearest first (ties by key)."""
+    return markets.join(costs.select(key, cost), key).orderBy(F.desc(cost), key)
+
+
 def page(df: DataFrame, equal: dict[str, str], order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     for c, v in equal.items():
         df = df.filter(F.col(c) == v)
@@ -60,16 +65,21 @@ def top_groups(df: DataFrame, group: str, amount: str, k: int, always: list[str]
     return df.join(F.broadcast(top.union(named).distinct()), group, "left_semi")
 
 
+def seeded(key: str, seed: int) -> Column:
+    """Digest of a seed and a key, in hexadecimal."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """The n rows with the smallest seeded hash: the same rows on every run and any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    """The n rows with the smallest seeded digest: the same rows on every run, in any partitioning and engine."""
+    return df.orderBy(seeded(key, seed), key).limit(n)
 
 
 def stratified(df: DataFrame, by: str, key: str, n: int, seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)
+    w = Window.partitionBy(by).orderBy(seeded(key, seed), key)
     return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
 def split(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """df with `train`: all rows of a key on one side."""
-    return df.withColumn("train", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1000)) < int(share * 1000))
+    return df.withColumn("train", F.conv(F.substring(seeded(key, seed), 1, 7), 16, 10).cast("long") % 1000 < int(share * 1000))

@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretell.operators.ranks import average_rank
+from foretell.functions.numbers import p_value, t_quantile, t_two_sided
+from foretell.operators.ranks import average_rank, rank_pct
 from foretell.operators.scoring import brier, log_loss
+from foretell.operators.search import split
+from foretell.sources.shared import shared_dir
 
 
 def kde(df: DataFrame, value: str, points: int = 200, low: float = 0.0, high: float = 100.0) -> DataFrame:
     """Gaussian density on a grid with Scott's bandwidth; zeros where the deviation is at most 0.01.
 
-    Each row spreads over the grid map-side and the sums are combined before the shuffle, so only `points` rows a task move.
+    Equal values are counted first, so only different ones meet the grid; sums are combined before the shuffle, so only `points` rows a task move.
     """
     m = df.select(F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"))
     m = m.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
     grid = df.sparkSession.range(points).select((F.lit(low) + F.col("id") * ((high - low) / (points - 1))).alias("x"))
     u = (F.col("x") - F.col(value)) / F.col("_h")
-    spread = df.filter(F.col(value).isNotNull()).select(value).crossJoin(F.broadcast(m)).crossJoin(F.broadcast(grid))
-    dense = spread.groupBy("x").agg(F.when(F.max("_sd") > 0.01, F.avg(F.exp(-u * u / 2)) / (F.max("_h") * math.sqrt(2 * math.pi))).otherwise(0.0).alias("density"))
+    spread = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")).crossJoin(F.broadcast(m)).crossJoin(F.broadcast(grid))
+    dense = spread.groupBy("x").agg(F.when(F.max("_sd") > 0.01, F.sum(F.col("_c") * F.exp(-u * u / 2)) / F.max("_n") / (F.max("_h") * math.sqrt(2 * math.pi))).otherwise(0.0).alias("density"))
     return dense
 
 
@@ -32,15 +36,15 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
-    """Rank correlation over rows with both values, and its t statistic."""
+    """Rank correlation over rows with both values, its t statistic and two-sided p."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(tie, a, b)
     ranked = average_rank(average_rank(rows, a, tie, "_ra"), b, tie, "_rb")
     r = ranked.agg(F.corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
-    return r.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho"))))
+    return r.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))).withColumn("p_value", p_value(F.col("t"), F.col("n") - 2))
 
 
 def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of the mean: every row draws its weight in a replicate from a seeded hash; mean and 2.5 / 97.5 % limits.  Sums are combined map-side, so `replicates` rows a task move."""
+    """Poisson bootstrap of the mean: every row draws its weight in a replicate from a seeded hash; mean and 2.5 / 97.5 % limits.  Sums are combined map-side, so `replicates` rows a task move; a row costs `replicates` draws, which is what the method is."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_r")), F.lit(2**31)) + 0.5) / 2**31
     cdf, weight, p = 0.0, F.lit(0), math.exp(-1)
     for k in range(9):
@@ -53,7 +57,7 @@ def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 1000,
 
 
 def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> DataFrame:
-    """Least squares with intercept: term, coef, se, t, and r2, n.  With `cluster`, standard errors are clustered (factor G/(G-1) * (N-1)/(N-K)).  Cross products are one aggregation; only K by K sums reach the driver, score sums of clusters stay distributed."""
+    """Least squares with intercept: term, coef, se, t, two-sided p_value, 95 % limits low and high, and r2, n.  With `cluster`, standard errors are clustered (factor G/(G-1) * (N-1)/(N-K)).  Cross products are one aggregation; only K by K sums reach the driver, score sums of clusters stay distributed."""
     spark = df.sparkSession
     rows = df.select(F.col(y).cast("double").alias("_y"), F.lit(1.0).alias("_x0"), *[F.col(x).cast("double").alias(f"_x{i}") for i, x in enumerate(xs, 1)], *([F.col(cluster).alias("_g")] if cluster else [])).dropna()
     k = len(xs) + 1
@@ -77,8 +81,10 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> Dat
     else:
         cov = inverse * rss / (n - k)
     se = np.sqrt(np.diag(cov))
-    data = [(name, float(b), float(s), float(b / s) if s else None, float(r2), int(n)) for name, b, s in zip(["intercept", *xs], beta, se)]
-    return spark.createDataFrame(data, "term string, coef double, se double, t double, r2 double, n long")
+    freedom = got["g"] - 1 if cluster else n - k
+    reach = t_quantile(0.95, freedom)
+    data = [(name, float(b), float(s), float(b / s) if s else None, t_two_sided(float(b / s), freedom) if s else None, float(b - reach * s), float(b + reach * s), float(r2), int(n)) for name, b, s in zip(["intercept", *xs], beta, se)]
+    return spark.createDataFrame(data, "term string, coef double, se double, t double, p_value double, low double, high double, r2 double, n long")
 
 
 def dummies(df: DataFrame, column: str, levels: list[str]) -> DataFrame:
@@ -94,11 +100,24 @@ def fit_lines(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def weight_search(df: DataFrame, a: str, b: str, target: str, steps: int = 20) -> DataFrame:
-    """The weight w of a in w * a + (1 - w) * b whose correlation with target is smallest; the whole grid is one aggregation."""
-    grid = [k / (steps - 1) for k in range(steps)]
-    row = df.agg(*[F.corr(F.lit(w) * F.col(a) + F.lit(1 - w) * F.col(b), target).alias(f"c{k}") for k, w in enumerate(grid)])
-    rows = row.select(F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f"c{k}").alias("corr")) for k, w in enumerate(grid)])).alias("x"))
-    return rows.agg(F.min_by("x", F.struct("x.corr", "x.weight")).alias("x")).select("x.weight", "x.corr")
+    """The pair of weights of a and b on a steps x steps grid over 0..1, scaled to sum to 1, whose weighted sum correlates least with target.
+
+    A correlation of a weighted sum follows from the six second moments of a, b and target, so the rows are read once, whatever the grid.  Ties go to the smaller weight of a, then of b, before scaling.
+    """
+    m = df.select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"), F.col(target).cast("double").alias("_t")).dropna()
+    m = m.agg(F.covar_pop("_a", "_t").alias("at"), F.covar_pop("_b", "_t").alias("bt"), F.covar_pop("_a", "_b").alias("ab"), F.var_pop("_a").alias("aa"), F.var_pop("_b").alias("bb"), F.var_pop("_t").alias("tt"))
+    grid = [(i / (steps - 1), j / (steps - 1)) for i in range(steps) for j in range(steps) if i or j]
+    cells = m.withColumn("_w", F.explode(F.array(*[F.struct(F.lit(x).alias("given_a"), F.lit(y).alias("given_b"), F.lit(x / (x + y)).alias("u"), F.lit(y / (x + y)).alias("v")) for x, y in grid]))).select("*", "_w.*")
+    u, v = F.col("u"), F.col("v")
+    corr = F.try_divide(u * F.col("at") + v * F.col("bt"), F.sqrt((u * u * F.col("aa") + 2 * u * v * F.col("ab") + v * v * F.col("bb")) * F.col("tt")))
+    best = cells.withColumn("corr", F.round(corr, 12)).filter(F.col("corr").isNotNull())
+    return best.agg(F.min_by(F.struct(u.alias("weight_a"), v.alias("weight_b"), "corr"), F.struct("corr", "given_a", "given_b")).alias("x")).select("x.*")
+
+
+def liquidity_score(df: DataFrame, by: str, spread: str, depth: str, tie: str, weights: tuple[float, float]) -> DataFrame:
+    """df with `spread_pct`, `depth_pct` (percentile ranks within `by`) and `liquidity_score`: the weighted sum of 1 - spread_pct and depth_pct."""
+    ranked = rank_pct(rank_pct(df, spread, tie, "spread_pct", by=by), depth, tie, "depth_pct", by=by)
+    return ranked.withColumn("liquidity_score", weights[0] * (1 - F.col("spread_pct")) + weights[1] * F.col("depth_pct"))
 
 
 def split_lift(df: DataFrame, by: str, split: str, value: str, quantile: float = 0.25, least: int = 10, side: int = 5) -> DataFrame:
@@ -131,25 +150,31 @@ def specification_curve(prices: DataFrame, price_types: list[str], thresholds: l
     return out.withColumn("spec_id", F.row_number().over(order))
 
 
-def forest_importance(df: DataFrame, features: list[str], label: str, trees: int = 20, depth: int = 6, seed: int = 42) -> DataFrame:
-    """Random forest on a hash split by row (80 / 20), R2 on the held-out part, and the drop of R2 when a feature is shuffled."""
-    from pyspark.ml.evaluation import RegressionEvaluator
+def forest_importance(df: DataFrame, key: str, features: list[str], label: str, trees: int = 20, depth: int = 6, seed: int = 42, bucket: int = 50_000) -> DataFrame:
+    """Random forest on a split by key (80 / 20, all rows of a key on one side): R2 on the held-out part, and how much it falls when a feature is shuffled.
+
+    The rows are written once.  Held-out rows are dealt to buckets of about `bucket` rows; within a bucket every feature's values are dealt anew in the order of a hash of its own, all features in one join, and one pass of the model gives every R2.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = df.select(*features, label).dropna()
-    rows = rows.withColumn("_h", F.pmod(F.xxhash64(*features, label), F.lit(5)))
+    spark = df.sparkSession
+    at = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
+    split(df.select(F.col(key).alias("key"), *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label")).dropna(), "key", seed=seed).write.parquet(at)
+    rows = spark.read.parquet(at)
     assemble = VectorAssembler(inputCols=features, outputCol="features")
-    model = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(assemble.transform(rows.filter("_h > 0")))
-    r2 = RegressionEvaluator(labelCol=label, metricName="r2")
-    held = rows.filter("_h = 0")
-    base = r2.evaluate(model.transform(assemble.transform(held)))
-    out = []
-    for f in features:
-        ids = held.withColumn("_i", F.monotonically_increasing_id())
-        mixed = ids.select(F.col(f).alias("_f"), F.pmod("_i", F.lit(64)).alias("_b2"), F.xxhash64("_i", F.lit(seed)).alias("_k"))
-        a = ids.drop(f).withColumn("_n", F.row_number().over(Window.partitionBy(F.pmod("_i", F.lit(64))).orderBy("_i"))).withColumn("_b", F.pmod("_i", F.lit(64)))
-        b = mixed.withColumn("_n2", F.row_number().over(Window.partitionBy("_b2").orderBy("_k")))
-        joined = a.join(b, (F.col("_b") == F.col("_b2")) & (F.col("_n") == F.col("_n2"))).withColumnRenamed("_f", f)
-        out.append((f, float(base), float(base - r2.evaluate(model.transform(assemble.transform(joined))))))
-    return df.sparkSession.createDataFrame(out, "feature string, r2 double, importance double")
+    model = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(assemble.transform(rows.filter("train")))
+    held = rows.filter(~F.col("train"))
+    total = held.agg(F.count("*").alias("n"), F.avg("label").alias("mean"), F.var_pop("label").alias("var")).first()
+    place = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(max(1, -(-total["n"] // bucket))))
+    order = lambda k: [F.xxhash64("key", *features, "label", k), "key", *features, "label"]
+    own = held.withColumn("place", place).withColumn("n", F.row_number().over(Window.partitionBy("place").orderBy(*order(F.lit(-1)))))
+    own = own.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(-1, len(features))])))
+    given = held.withColumn("place", place).withColumn("v", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f).alias("x")) for k, f in enumerate(features)])))
+    given = given.withColumn("n", F.row_number().over(Window.partitionBy("place", "v.k").orderBy(*order(F.col("v.k"))))).select("place", F.col("v.k").alias("k"), "n", F.col("v.x").alias("x"))
+    mixed = own.join(given, ["place", "k", "n"], "left")
+    mixed = mixed.withColumns({f: F.when(F.col("k") == k, F.col("x")).otherwise(F.col(f)) for k, f in enumerate(features)})
+    error = F.avg(F.pow(F.col("label") - F.col("prediction"), 2))
+    r2 = {r["k"]: 1 - r["e"] / total["var"] for r in model.transform(assemble.transform(mixed)).groupBy("k").agg(error.alias("e")).collect()} if total["var"] else {}
+    out = [(f, r2.get(-1), r2[-1] - r2[k] if r2 else None) for k, f in enumerate(features)]
+    return spark.createDataFrame(out, "feature string, r2 double, importance double")

@@ -9,10 +9,10 @@ from foretell.functions import numbers
 from foretell.functions import text as tx
 from foretell.operators import book, elections, frames, geo, matching, quality, search, traders
 from foretell.plans.market_queries import day_one, predictions, rounded
+from foretell.plans.registry import registry
 from foretell.plans.views import DAY, PRELUDE, markets, table, ticks
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+query, QUERIES, SQL = registry(PRELUDE)
 
 #: Question templates by market_id mod 12.
 QUESTIONS = [
@@ -33,16 +33,6 @@ _LIST = "[" + ", ".join("'" + q.replace("'", "''") + "'" for q in QUESTIONS) + "
 _QUESTIONS = f", q AS (SELECT *, ({_LIST})[market_id % 12 + 1] AS question FROM markets)"
 
 
-def query(sql: str | None = None, prelude: str = PRELUDE):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = prelude + sql
-        return f
-
-    return add
-
-
 def questions(spark, sf) -> DataFrame:
     return markets(spark, sf).withColumn("question", F.element_at(F.array(*map(F.lit, QUESTIONS)), (F.col("market_id") % 12 + 1).cast("int")))
 
@@ -110,8 +100,7 @@ def daily_liquidity(spark, sf):
 
 @query(", s AS (SELECT market_id, list_sort(list(price)) AS x FROM ticks GROUP BY 1) SELECT market_id, x[len(x) // 2 + 1] AS upper_median FROM s")
 def upper_median(spark, sf):
-    s = ticks(spark, sf).groupBy("market_id").agg(F.sort_array(F.collect_list("price")).alias("x"))
-    return s.select("market_id", F.element_at("x", (F.floor(F.size("x") / 2) + 1).cast("int")).alias("upper_median"))
+    return ticks(spark, sf).groupBy("market_id").agg(book.upper_median("price").alias("upper_median"))
 
 
 _REF = ", f AS (SELECT m.*, t.first_ts, t.days, CASE WHEN market_id % 2 = 0 THEN (close_ts - 5 * 86400) // 86400 * 86400 END AS election_day, market_id % 4 < 2 AS electoral FROM markets m LEFT JOIN (SELECT market_id, min(ts) AS first_ts, CASE WHEN count(*) >= 2 THEN (max(ts) - min(ts)) / 86400 ELSE 0 END AS days FROM ticks GROUP BY 1) t USING (market_id))"
@@ -216,10 +205,37 @@ def number_slugs(spark, sf):
     return v.select("v", tx.number_slug(F.col("v")).alias("slug"))
 
 
-@query()
+#: What each template says: the frame, its confidence, the event's id and the race's key.
+_FIELDS = "frame_type, candidate, party, office, country, scope, scope_type, year, outcome_type, is_primary, metric, threshold_value, threshold_direction, actor, confidence, event_id, race_key"
+_SAID = [
+    ("contest", "Donald Trump", None, "PRES", None, None, None, 2024, "WIN", False, None, None, None, None, 0.818, "BWR-ELEC-XX-PRES-TRUMP-WIN-2024", "BWR-ELEC-XX-PRES-WIN-2024"),
+    ("contest", None, "GOP", "SEN", "US", "OH", "state", 2024, "WIN", False, None, None, None, None, 1.0, "BWR-ELEC-US-SEN-OH-GOP-WIN-2024", "BWR-ELEC-US-SEN-OH-WIN-2024"),
+    ("threshold", None, None, None, None, None, None, 2024, None, False, None, 60.0, "above", None, 0.778, None, None),
+    ("contest", "Joe Biden", "DEM", None, None, None, None, 2024, "NOMINATION", False, None, None, None, None, 0.636, None, None),
+    ("policy_change", None, None, None, None, None, None, 2025, None, False, "RATE", None, "decrease", "FED", 1.0, "BWR-POLICY-FED-RATE-DECREASE-2025", "BWR-POLICY-FED-RATE-DECREASE-2025"),
+    ("declaration", None, None, None, "US", "WV", "state", 2026, None, False, None, None, None, None, 1.0, None, None),
+    ("contest", "Jose Garcia", None, "MAYOR", None, None, None, 2025, "WIN", False, None, None, None, None, 0.818, "BWR-ELEC-XX-MAYOR-GARCIA-WIN-2025", "BWR-ELEC-XX-MAYOR-WIN-2025"),
+    ("contest", "Ursula von der Leyen", None, None, None, None, None, None, "WIN", False, None, None, None, None, 0.364, None, None),
+    ("legislation", None, None, None, None, None, None, 2025, None, False, None, None, None, "CONGRESS", 1.0, "BWR-LEG-CONGRESS-2025", "BWR-LEG-CONGRESS-2025"),
+    ("contest", "Hakeem Jeffries", "DEM", "HOUSE", None, None, None, 2026, "CONTROL", False, None, None, None, None, 0.818, "BWR-ELEC-XX-HOUSE-JEFFRIES-CONTROL-2026", "BWR-ELEC-XX-HOUSE-CONTROL-2026"),
+    ("binary_outcome", None, None, None, "US", "PA-10", "district", 2026, None, False, None, None, None, None, 0.533, None, None),
+    ("threshold", None, None, None, None, None, None, 2025, None, False, "INFLATION", 3.5, "above", None, 1.0, "BWR-THRESH-INFLATION-3P5-ABOVE-2025", "BWR-THRESH-INFLATION-3P5-ABOVE-2025"),
+]
+_NONE = {"year": -1, "threshold_value": -1.0}
+
+
+def _said_sql() -> str:
+    def cell(name: str, v) -> str:
+        v = _NONE.get(name, "-") if v is None else v
+        return "'" + v + "'" if isinstance(v, str) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v).lower()
+
+    return ", ".join(f"({i}, " + ", ".join(map(cell, _FIELDS.split(", "), row)) + ")" for i, row in enumerate(_SAID))
+
+
+@query(_QUESTIONS + f", s(k, {_FIELDS}) AS (VALUES {_said_sql()}) SELECT market_id, question, {_FIELDS} FROM q JOIN s ON q.market_id % 12 = s.k")
 def question_frames(spark, sf):
     f = frames.extract(questions(spark, sf).select("market_id", "question"))
-    return f.select("market_id", "question", "frame.*", "confidence", frames.event_id(F.col("frame")).alias("event_id"), frames.race_key(F.col("frame")).alias("race_key"))
+    return f.select("market_id", "question", "frame.*", "confidence", frames.event_id(F.col("frame")).alias("event_id"), frames.race_key(F.col("frame")).alias("race_key")).na.fill("-").na.fill(-1)
 
 
 @query()
@@ -337,16 +353,6 @@ def top_categories(spark, sf):
     return search.top_groups(markets(spark, sf), "category", "volume_usd", 2, ["5-LOW"]).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query()
-def sampled_markets(spark, sf):
-    return search.sample(markets(spark, sf), "market_id", 2000)
-
-
-@query()
-def stratified_markets(spark, sf):
-    return search.stratified(markets(spark, sf), "category", "market_id", 50)
-
-
 @query("SELECT count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE a OR b) AS either, count(*) FILTER (WHERE a AND NOT b) AS only_a FROM (SELECT wallet, bool_or(platform = 'kalshi' OR market_id % 3 = 0) AS a, bool_or(market_id % 2 = 0) AS b FROM markets GROUP BY 1)")
 def set_algebra(spark, sf):
     m = markets(spark, sf)

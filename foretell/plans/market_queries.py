@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from foretell.functions.numbers import half_up
 from foretell.operators import asof, binning, pricing, ranks, scoring, stats
+from foretell.plans.registry import registry
 from foretell.plans.views import DAY, PRELUDE, markets, ticks
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, prelude: str = PRELUDE):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = prelude + sql
-        return f
-
-    return add
+query, QUERIES, SQL = registry(PRELUDE)
 
 
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -36,6 +26,11 @@ def day_one(spark: SparkSession, sf: str) -> DataFrame:
     return predictions(spark, sf).filter("days = 1")
 
 
+def t_tail(t: str, freedom: str) -> str:
+    """SQL for the two-sided p of a t statistic: one less the density's integral by Simpson's rule."""
+    return f"""(SELECT 1 - 2 * max(t) / 4000 / 3 * sum(w * exp(lgamma((n + 1) / 2) - lgamma(n / 2)) / sqrt(n * pi()) * pow(1 + x * x / n, -(n + 1) / 2)) FROM (SELECT t, n, t * i / 4000 AS x, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT abs({t}) AS t, CAST({freedom} AS DOUBLE) AS n), range(4001) r(i)))"""
+
+
 LAST = "(array_agg(price ORDER BY ts DESC, ord DESC, price DESC))[1]"
 
 
@@ -196,13 +191,15 @@ def count_pivot(spark, sf):
     return scoring.pivot_counts(markets(spark, sf), "category", "platform", ["kalshi", "polymarket"])
 
 
-_MONTHS = [f"1995-{m:02d}" for m in range(1, 13)]
+_MONTHS = [f"{m:02d}" for m in range(1, 13)]
 
 
-@query("SELECT category, " + ", ".join(f"""round(coalesce(sum(volume_usd) FILTER (WHERE strftime(to_timestamp(close_ts) AT TIME ZONE 'UTC', '%Y-%m') = '{m}'), 0), 2) AS "{m}\"""" for m in _MONTHS) + " FROM markets GROUP BY 1")
+@query("SELECT category, CAST(year(to_timestamp(close_ts) AT TIME ZONE 'UTC') AS INTEGER) AS year, " + ", ".join(f"""round(coalesce(sum(volume_usd) FILTER (WHERE strftime(to_timestamp(close_ts) AT TIME ZONE 'UTC', '%m') = '{m}'), 0), 2) AS "{m}\"""" for m in _MONTHS) + " FROM markets GROUP BY 1, 2")
 def monthly_volume(spark, sf):
-    month = F.date_format(F.expr("timestampadd(SECOND, close_ts, TIMESTAMP_NTZ'1970-01-01 00:00:00')"), "yyyy-MM")
-    return rounded(scoring.monthly_pivot(markets(spark, sf), "category", month, _MONTHS, "volume_usd"), *_MONTHS, places=2)
+    """Every month of every year: a row per category and year."""
+    closed = F.expr("timestampadd(SECOND, close_ts, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    m = markets(spark, sf).withColumn("year", F.year(closed))
+    return rounded(scoring.monthly_pivot(m, ["category", "year"], F.date_format(closed, "MM"), _MONTHS, "volume_usd"), *_MONTHS, places=2)
 
 
 @query("SELECT count(DISTINCT category) AS categories, count(DISTINCT wallet) AS wallets, count(DISTINCT platform || category) AS pairs, (SELECT count(*) FROM ticks) AS observations FROM markets")
@@ -224,9 +221,9 @@ def _panels(spark, sf):
     return p.filter("days = 1"), p.filter("days = 30")
 
 
-@query(_PANEL + ", d AS (SELECT a.brier AS x, b.brier AS y, a.brier - b.brier AS d FROM a JOIN b USING (k)) SELECT count(*) AS n, count(*) FILTER (WHERE d < 0) AS a_wins, count(*) FILTER (WHERE d > 0) AS b_wins, count(*) FILTER (WHERE d = 0) AS ties, round(avg(d), 6) AS mean_diff, round(corr(x, y), 6) AS r, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t FROM d")
+@query(_PANEL + ", d AS (SELECT a.brier AS x, b.brier AS y, a.brier - b.brier AS d FROM a JOIN b USING (k)) SELECT count(*) AS n, count(*) FILTER (WHERE d < 0) AS a_wins, count(*) FILTER (WHERE d > 0) AS b_wins, count(*) FILTER (WHERE d = 0) AS ties, round(avg(d), 6) AS mean_diff, round(corr(x, y), 6) AS r, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, round(" + t_tail("(SELECT avg(d) / (stddev_samp(d) / sqrt(count(*))) FROM d)", "(SELECT count(*) - 1 FROM d)") + ", 5) AS p_value FROM d")
 def head_to_head(spark, sf):
-    return rounded(rounded(scoring.head_to_head(*_panels(spark, sf), "k"), "mean_diff", "r"), "t", places=4)
+    return rounded(rounded(rounded(scoring.head_to_head(*_panels(spark, sf), "k"), "mean_diff", "r"), "t", places=4), "p_value", places=5)
 
 
 @query(_PANEL + " SELECT count(*) AS n, round(avg(a.brier), 6) AS a, round(avg(b.brier), 6) AS b, round(avg(((a.p + b.p) / 2 - outcome) * ((a.p + b.p) / 2 - outcome)), 6) AS both FROM a JOIN b USING (k)")
@@ -312,9 +309,9 @@ def price_density(spark, sf):
     return rounded(rounded(out, "x"), "density", places=8)
 
 
-@query(", r AS (SELECT p, volume_usd, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS a, rank() OVER (ORDER BY volume_usd) + (count(*) OVER (PARTITION BY volume_usd) - 1) / 2.0 AS b FROM predictions WHERE days = 1) SELECT round(corr(a, b), 6) AS rho, count(*) AS n, round(corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) * corr(a, b))), 4) AS t FROM r")
+@query(", r AS (SELECT p, volume_usd, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS a, rank() OVER (ORDER BY volume_usd) + (count(*) OVER (PARTITION BY volume_usd) - 1) / 2.0 AS b FROM predictions WHERE days = 1) SELECT round(corr(a, b), 6) AS rho, count(*) AS n, round(corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) * corr(a, b))), 4) AS t, round(" + t_tail("(SELECT corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) * corr(a, b))) FROM r)", "(SELECT count(*) - 2 FROM r)") + ", 5) AS p_value FROM r")
 def spearman(spark, sf):
-    return rounded(rounded(stats.spearman(day_one(spark, sf), "p", "volume_usd", "market_id"), "rho"), "t", places=4)
+    return rounded(rounded(rounded(stats.spearman(day_one(spark, sf), "p", "volume_usd", "market_id"), "rho"), "t", places=4), "p_value", places=5)
 
 
 @query("SELECT round(corr(p, volume_usd), 6) AS p_volume_usd, round(corr(p, outcome), 6) AS p_outcome FROM predictions WHERE days = 1")
@@ -343,10 +340,10 @@ def fit_lines(spark, sf):
     return rounded(stats.fit_lines(day_one(spark, sf), "p", "volume_usd"), "slope", "intercept", "power", "log_scale")
 
 
-@query(", g AS (SELECT i / 19.0 AS w FROM range(20) t(i)), c AS (SELECT w, corr(w * p + (1 - w) * (volume_usd / 1e6), (p - outcome) * (p - outcome)) AS c FROM predictions, g WHERE days = 1 GROUP BY 1) SELECT round(arg_min(w, c), 6) AS weight, round(min(c), 6) AS corr FROM c")
+@query(", g AS (SELECT i / 19.0 AS a, j / 19.0 AS b FROM range(20) t(i), range(20) u(j) WHERE i + j > 0), c AS (SELECT a, b, round(corr(a / (a + b) * p + b / (a + b) * (volume_usd / 1e6), (p - outcome) * (p - outcome)), 12) AS c FROM predictions, g WHERE days = 1 GROUP BY 1, 2) SELECT round(a / (a + b), 6) AS weight_a, round(b / (a + b), 6) AS weight_b, round(c, 6) AS corr FROM c ORDER BY c.c, c.a, c.b LIMIT 1")
 def weight_search(spark, sf):
     d = day_one(spark, sf).withColumn("v", F.col("volume_usd") / 1e6).withColumn("b", scoring.brier(F.col("p"), F.col("outcome")))
-    return rounded(stats.weight_search(d, "p", "v", "b"), "weight", "corr")
+    return rounded(stats.weight_search(d, "p", "v", "b"), "weight_a", "weight_b", "corr")
 
 
 @query(", d AS (SELECT *, (p - outcome) * (p - outcome) AS b FROM predictions WHERE days = 1), q AS (SELECT category, quantile_cont(volume_usd, 0.25) AS cut, count(*) AS n FROM d GROUP BY 1), s AS (SELECT d.category, cut, n, count(*) FILTER (WHERE volume_usd <= cut) AS n_low, count(*) FILTER (WHERE volume_usd > cut) AS n_high, avg(b) FILTER (WHERE volume_usd <= cut) AS ml, avg(b) FILTER (WHERE volume_usd > cut) AS mh FROM d JOIN q USING (category) GROUP BY ALL) SELECT category, round(cut, 4) AS cut, n, n_low, n_high, round(ml, 6) AS mean_low, round(mh, 6) AS mean_high, round(mh - ml, 6) AS lift FROM s WHERE n >= 10 AND n_low >= 5 AND n_high >= 5")
@@ -355,29 +352,42 @@ def liquidity_split_lift(spark, sf):
     return rounded(rounded(stats.split_lift(d, "category", "volume_usd", "b"), "cut", places=4), "mean_low", "mean_high", "lift")
 
 
+#: Price types of the specification grid: the spot price, means over windows of hours, and the midpoint of the latest quote.
+_PRICES = {"spot": None, "vwap_1h": 1, "vwap_3h": 3, "vwap_6h": 6, "vwap_24h": 24, "midpoint": None}
+_CUTS = {"resolution": 0, "aggressive": 1, "moderate": 7, "conservative": 14}
+
+
 def _spec_sql() -> str:
     parts = []
-    for price in ("spot", "mean_7d", "mean_30d"):
+    for price in _PRICES:
         for metric, expr in (("brier", "(v - outcome) * (v - outcome)"), ("logloss", "-(outcome * ln(least(greatest(v, 1e-15), 1 - 1e-15)) + (1 - outcome) * ln(1 - least(greatest(v, 1e-15), 1 - 1e-15)))")):
             parts.append(f"SELECT truncation, '{price}' AS price_type, threshold, '{metric}' AS metric, avg({expr}) FILTER (WHERE platform = 'polymarket') AS a, count(*) FILTER (WHERE platform = 'polymarket') AS na, avg({expr}) FILTER (WHERE platform = 'kalshi') AS b, count(*) FILTER (WHERE platform = 'kalshi') AS nb FROM (SELECT *, {price} AS v FROM x) WHERE v IS NOT NULL AND volume_usd >= threshold GROUP BY 1, 3")
-    return f""", w AS (SELECT k.market_id, h.truncation, {LAST} AS spot, avg(price) FILTER (WHERE t.ts >= k.close_ts - h.days * 86400 - 604800) AS m7, avg(price) FILTER (WHERE t.ts >= k.close_ts - h.days * 86400 - 2592000) AS m30
-  FROM markets k CROSS JOIN (VALUES ('resolution', 0), ('aggressive', 1), ('moderate', 7), ('conservative', 14)) h(truncation, days) JOIN ticks t ON t.market_id = k.market_id AND t.ts <= k.close_ts - h.days * 86400 GROUP BY 1, 2),
-x AS (SELECT w.truncation, m.platform, m.volume_usd, m.outcome, spot, coalesce(m7, spot) AS mean_7d, coalesce(m30, spot) AS mean_30d, threshold FROM w JOIN markets m USING (market_id) CROSS JOIN (VALUES (0.0), (1000.0), (10000.0), (100000.0)) q(threshold) WHERE outcome IS NOT NULL),
+    means = ", ".join(f"avg(price) FILTER (WHERE t.ts >= k.close_ts - h.days * 86400 - {h * 3600}) AS m{h}" for h in _PRICES.values() if h)
+    mean = ", ".join(f"coalesce(m{h}, spot) AS {name}" for name, h in _PRICES.items() if h)
+    cuts = ", ".join(f"('{k}', {d})" for k, d in _CUTS.items())
+    quote = LAST.replace("(array_agg(price ", "(array_agg((price + least(price + tax, 1.0)) / 2 ")
+    return f""", w AS (SELECT k.market_id, h.truncation, {LAST} AS spot, {means}, {quote} AS midpoint
+  FROM markets k CROSS JOIN (VALUES {cuts}) h(truncation, days) JOIN ticks t ON t.market_id = k.market_id AND t.ts <= k.close_ts - h.days * 86400 GROUP BY 1, 2),
+x AS (SELECT w.truncation, m.platform, m.volume_usd, m.outcome, spot, {mean}, midpoint, threshold FROM w JOIN markets m USING (market_id) CROSS JOIN (VALUES (0.0), (1000.0), (10000.0), (100000.0)) q(threshold) WHERE outcome IS NOT NULL),
 s AS ({" UNION ALL ".join(parts)})
 SELECT truncation, price_type, CAST(threshold AS DOUBLE) AS threshold, metric, round(a, 6) AS pm_score, na AS pm_n, round(b, 6) AS k_score, nb AS k_n, a < b AS pm_wins, round(a - b, 6) AS score_diff, CAST(row_number() OVER (ORDER BY truncation, price_type, threshold, metric) AS INTEGER) AS spec_id FROM s"""
 
 
 @query(_spec_sql())
 def specification_curve(spark, sf):
+    """4 truncations x 6 price types x 4 thresholds x 2 metrics: 192 cells.  A quote's bid is the price and its ask the price plus the tax."""
     m = markets(spark, sf).filter(F.col("outcome").isNotNull())
-    cuts = F.explode(F.create_map(*[x for k, d in (("resolution", 0), ("aggressive", 1), ("moderate", 7), ("conservative", 14)) for x in (F.lit(k), F.lit(d))])).alias("truncation", "_d")
+    cuts = F.explode(F.create_map(*[x for k, d in _CUTS.items() for x in (F.lit(k), F.lit(d))])).alias("truncation", "_d")
     asked = m.select("market_id", "platform", "volume_usd", "outcome", "close_ts", cuts).withColumn("at", F.col("close_ts") - F.col("_d") * DAY).drop("_d", "close_ts")
-    prices = pricing.window_means(asked, ticks(spark, sf), "at", {"spot": -1, "mean_7d": 7 * DAY, "mean_30d": 30 * DAY})
-    out = stats.specification_curve(prices, ["spot", "mean_7d", "mean_30d"], [0, 1e3, 1e4, 1e5])
+    quotes = ticks(spark, sf).select("market_id", "ts", "ord", "price", F.lit(None).cast("double").alias("midpoint"), F.col("price").alias("best_bid"), F.least(F.col("price") + F.col("tax"), F.lit(1.0)).alias("best_ask"))
+    prices = pricing.window_means(asked, ticks(spark, sf), "at", {"spot": -1} | {k: h * 3600 for k, h in _PRICES.items() if h})
+    # a quote without a bid has no midpoint by the rules of snapshots; here its mean stands
+    mids = asof.backward(asked, quotes.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2), "market_id", "at", "ts", "mid", ["ord", "price"], "midpoint").select("market_id", "truncation", "midpoint")
+    out = stats.specification_curve(prices.join(mids, ["market_id", "truncation"]), list(_PRICES), [0, 1e3, 1e4, 1e5])
     return rounded(out, "pm_score", "k_score", "score_diff")
 
 
 @query()
 def forest_importance(spark, sf):
     d = predictions(spark, sf).withColumn("rb", stats.residual_brier(F.col("p"), F.col("outcome"))).withColumn("log_volume", F.log("volume_usd"))
-    return stats.forest_importance(d, ["p", "log_volume", "days"], "rb")
+    return stats.forest_importance(d, "market_id", ["p", "log_volume", "days"], "rb")

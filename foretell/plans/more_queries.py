@@ -8,20 +8,10 @@ from foretell.functions import text as tx
 from foretell.operators import binning, book, elections, matching, pricing, quality, ranks, scoring, stats
 from foretell.plans.domain_queries import _BOOK, _QUESTIONS, books, questions
 from foretell.plans.market_queries import LAST, day_one, predictions, rounded
+from foretell.plans.registry import registry
 from foretell.plans.views import DAY, PRELUDE, markets, ticks
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, prelude: str = PRELUDE):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = prelude + sql
-        return f
-
-    return add
+query, QUERIES, SQL = registry(PRELUDE)
 
 
 _OFFICES = ["President", "Senate", "Mayor", "Prime Minister", "Attorney General", "Regional", "Other"]
@@ -38,10 +28,10 @@ def election_types(spark, sf):
 _TICKERS = ["KXCOLOMBIAPRES-26-ICAS", "SENATEMD-28-R", "HOUSEPA10-24-R", "KXFINLANDPARLI-27-LEFT", "GOVOH-2026-D", "KXFED-25NOV05"]
 
 
-@query()
+@query(", t(k, ticker, office, scope, year, party, country) AS (VALUES (0, 'KXCOLOMBIAPRES-26-ICAS', 'PRES', NULL, 2026, NULL, 'CO'), (1, 'SENATEMD-28-R', 'SEN', 'MD', 2028, 'GOP', 'US'), (2, 'HOUSEPA10-24-R', 'HOUSE', 'PA-10', 2024, 'GOP', 'US'), (3, 'KXFINLANDPARLI-27-LEFT', 'PARL', NULL, 2027, 'LEFT', 'FI'), (4, 'GOVOH-2026-D', 'GOV', 'OH', 2026, 'DEM', 'US'), (5, 'KXFED-25NOV05', NULL, NULL, 2025, NULL, NULL)) SELECT ticker, coalesce(office, '-') AS office, coalesce(scope, '-') AS scope, year, coalesce(party, '-') AS party, coalesce(country, '-') AS country, count(*) AS n FROM markets m JOIN t ON m.market_id % 6 = t.k GROUP BY ALL")
 def ticker_hints(spark, sf):
     t = markets(spark, sf).select("market_id", F.element_at(F.array(*map(F.lit, _TICKERS)), (F.col("market_id") % 6 + 1).cast("int")).alias("ticker"))
-    return t.groupBy("ticker", tx.ticker_fields(F.col("ticker")).alias("f")).agg(F.count("*").alias("n")).select("ticker", "f.*", "n")
+    return t.groupBy("ticker", tx.ticker_fields(F.col("ticker")).alias("f")).agg(F.count("*").alias("n")).select("ticker", "f.*", "n").na.fill("-")
 
 
 @query(_QUESTIONS + f", r AS (SELECT question, CASE WHEN regexp_matches(question, '{tx.POLITICAL}') THEN NULL " + " ".join(f"WHEN regexp_matches(question, '(?i){p}') THEN '{n}'" for n, p in tx.NOT_POLITICAL) + " END AS reason FROM q) SELECT question, coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1, 2")
@@ -95,8 +85,7 @@ def daily_summary(spark, sf):
 
 @query(_BOOK + " SELECT floor((a.best_bid_m + a.best_ask_m) / 2 * 10000 + 0.500001) / 10000 AS midpoint, a.g AS g FROM (SELECT market_id % 10 AS g, max(best_bid) AS best_bid_m, min(best_ask) AS best_ask_m FROM b GROUP BY 1) a")
 def combined_midpoints(spark, sf):
-    g = books(spark, sf).groupBy((F.col("market_id") % 10).alias("g")).agg(F.flatten(F.collect_list("bids")).alias("bids"), F.flatten(F.collect_list("asks")).alias("asks"))
-    return g.select("g", book.combined_midpoint([F.col("bids")], [F.col("asks")]).alias("midpoint"))
+    return book.combined_midpoints(books(spark, sf), [(F.col("market_id") % 10).alias("g")])
 
 
 @query(", d AS (SELECT *, (p - outcome) * (p - outcome) AS b FROM predictions WHERE days = 1), r AS (SELECT b, (rank() OVER (ORDER BY volume_usd) + (count(*) OVER (PARTITION BY volume_usd) - 1) / 2.0) / count(*) OVER () AS pct FROM d), k AS (SELECT b, len(list_filter(range(51), lambda i: CAST(i AS DOUBLE) / 50 < pct)) - 1 AS bin FROM r) SELECT bin, count(*) AS n, round(avg(b), 6) AS brier FROM k GROUP BY 1")
@@ -151,9 +140,9 @@ def match_statistics(spark, sf):
     return rounded(matching.statistics(m), "mean_confidence")
 
 
-@query("SELECT market_id, CASE WHEN abs(CASE WHEN market_id % 100 > 1 THEN (market_id % 100) / 100.0 ELSE market_id % 100 END - (market_id % 8) / 8.0) > 0.25 THEN 'price gap' ELSE '' END AS warnings FROM markets WHERE market_id % 10 = 0")
+@query("SELECT market_id, CASE WHEN abs(CASE WHEN market_id % 100 > 1 THEN (market_id % 100) / 100.0 ELSE market_id % 100 END - (market_id % 8) / 8.0) > 0.25 THEN 'price gap' ELSE '' END AS warnings FROM markets")
 def match_warnings(spark, sf):
-    m = markets(spark, sf).filter("market_id % 10 = 0").select("market_id", (F.col("market_id") % 100).cast("double").alias("k_price"), ((F.col("market_id") % 8) / 8.0).alias("p_price"), F.lit(0.9).alias("k_sure"), F.lit(0.9).alias("p_sure"))
+    m = markets(spark, sf).select("market_id", (F.col("market_id") % 100).cast("double").alias("k_price"), ((F.col("market_id") % 8) / 8.0).alias("p_price"), F.lit(0.9).alias("k_sure"), F.lit(0.9).alias("p_sure"))
     return matching.validate(m).select("market_id", F.array_join("warnings", ",").alias("warnings"))
 
 

@@ -2,47 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from foretell.plans.market_queries import predictions
+from foretell.plans.registry import registry
 from foretell.plans.views import PRELUDE
 from foretell.sources import sinks
+from foretell.sources.shared import shared_dir
 from foretell.streaming import live
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, prelude: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = prelude + sql
-        return f
-
-    return add
-
-
-def shared(spark) -> str:
-    """The folder that driver and executors share, or a temporary one where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+query, QUERIES, SQL = registry()
 
 
 @query("WITH e AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS ts, (user_id % 100) / 100.0 AS price, round(abs(value), 2) + 1 AS size FROM events), w AS (SELECT e.*, ts // 3600 * 3600 - k * 3600 AS window_start FROM e, range(6) r(k)) SELECT event_type, window_start, floor(sum(price * size) / sum(size) * 10000 + 0.500001) / 10000 AS vwap, count(*) AS trade_count, round(sum(size), 2) AS volume FROM w GROUP BY 1, 2")
 def stream_rolling_vwap(spark, sf):
-    return live.finish(live.rolling_vwap(live.trades(spark, sf), ["event_type"]), shared(spark), "complete")
+    return live.finish(live.rolling_vwap(live.trades(spark, sf), ["event_type"]), shared_dir(spark), "complete")
 
 
 @query("SELECT user_id, event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, count(*) AS calls FROM events GROUP BY ALL")
 def stream_usage(spark, sf):
-    return live.finish(live.usage(live.trades(spark, sf), "user_id", "event_type"), shared(spark), "complete")
+    return live.finish(live.usage(live.trades(spark, sf), "user_id", "event_type"), shared_dir(spark), "complete")
 
 
-@query()
+@query("SELECT event_type, CASE WHEN count(*) >= 10 THEN round(sum(price * size) / sum(size), 4) END AS vwap, CAST(CASE WHEN count(*) >= 10 THEN 1 ELSE 3 END AS INTEGER) AS tier, false AS stale FROM (SELECT event_type, (user_id % 100) / 100.0 AS price, round(abs(value), 2) + 1 AS size FROM events) GROUP BY 1")
 def stream_last_good(spark, sf):
-    return live.finish(live.last_good(live.trades(spark, sf), "event_type"), shared(spark), "append")
+    return live.finish(live.last_good(live.trades(spark, sf), "event_type"), shared_dir(spark), "append")
 
 
 @query(", a AS (SELECT category, days, round(avg((p - outcome) * (p - outcome)), 6) AS brier, count(*) AS n FROM predictions GROUP BY 1, 2) SELECT category, string_agg(CAST(days AS VARCHAR), ',' ORDER BY days) AS days, string_agg(CAST(n AS VARCHAR), ',' ORDER BY days) AS n FROM a GROUP BY 1", PRELUDE)

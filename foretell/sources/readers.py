@@ -1,13 +1,9 @@
-"""Readers: CSV with a schema, JSON maps of series, candles, newest file, cutoffs, and a paged source."""
+"""Readers: CSV with a schema, JSON maps of series, candles, newest file, cutoffs, and paged listings."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CANDLE = "struct<end_period_ts:bigint,price:struct<close:int,previous:int>,yes_bid:struct<close:int>,yes_ask:struct<close:int>>"
 
@@ -18,9 +14,9 @@ def csv(spark: SparkSession, path: str, schema: str, keep: list[str] | None = No
     return df.select(*keep) if keep else df
 
 
-def series_map(spark: SparkSession, path: str, key: str = "token_id") -> DataFrame:
-    """JSON objects {id: [{t, p}, ...]}, one a file or line, as key, ts, price."""
-    lines = spark.read.text(path, wholetext=True)
+def series_map(spark: SparkSession, path: str, key: str = "token_id", lines: bool = False) -> DataFrame:
+    """JSON objects {id: [{t, p}, ...]} as key, ts, price: one object a file, or with `lines` one a line, which lets a large file be split."""
+    lines = spark.read.text(path, wholetext=not lines)
     parsed = lines.select(F.from_json("value", "map<string,array<struct<t:bigint,p:double>>>").alias("m"))
     return parsed.select(F.explode("m").alias(key, "s")).select(key, F.inline("s")).withColumnsRenamed({"t": "ts", "p": "price"})
 
@@ -54,40 +50,11 @@ def parsed_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ssX")))
 
 
-class PagedSource(DataSource):
-    """Records of a paged listing.  Pages are files `{path}/page-{n}.json`, each {"items": [...], "next": bool}; one task a page.
-
-    Options: path, pages (how many to read at most), schema comes from the reader.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged"
-
-    def schema(self) -> str:
-        return "id string, payload string"
-
-    def reader(self, schema) -> PagedReader:
-        return PagedReader(self.options)
-
-
-class PagedReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.path, self.pages = options["path"], int(options.get("pages", "100"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(n) for n in range(self.pages)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, str]]:
-        try:
-            with open(f"{self.path}/page-{partition.value}.json") as f:
-                page = json.load(f)
-        except FileNotFoundError:  # past the last page
-            return
-        for item in page["items"]:
-            yield str(item.get("id")), json.dumps(item)
-
-
-def paged(spark: SparkSession, path: str, pages: int = 100) -> DataFrame:
-    spark.dataSource.register(PagedSource)
-    return spark.read.format("paged").options(path=path, pages=str(pages)).load()
+def paged(spark: SparkSession, path: str) -> DataFrame:
+    """Records (id, payload) of a paged listing, files `{path}/page-{n}.json`, each {"items": [...], "next": bool}: all pages up to the first without a next one.  A page is a row of the scan, so pages are read in parallel from any store that Spark reads."""
+    pages = spark.read.text(f"{path}/page-*.json", wholetext=True)
+    pages = pages.select(F.regexp_extract("_metadata.file_name", r"page-(\d+)\.json", 1).cast("long").alias("n"), F.try_parse_json("value").alias("page"))
+    ends = pages.filter(~F.coalesce(F.try_variant_get("page", "$.next", "boolean"), F.lit(False))).agg(F.min("n").alias("last"))
+    kept = pages.join(F.broadcast(ends), F.col("last").isNull() | (F.col("n") <= F.col("last")))  # ends has one row
+    items = kept.select(F.explode(F.try_variant_get("page", "$.items", "array<variant>")).alias("item"))
+    return items.select(F.try_variant_get("item", "$.id", "string").alias("id"), F.to_json("item").alias("payload"))

@@ -1,9 +1,9 @@
 import pytest
 
-from foretell.plans import domain_queries, market_queries, more_queries, stream_queries
+from foretell.plans import domain_queries, market_queries, more_queries, stream_queries, survey_queries
 from oracle import SF, connect, same
 
-MODULES = [market_queries, domain_queries, more_queries, stream_queries]
+MODULES = [market_queries, domain_queries, more_queries, stream_queries, survey_queries]
 WITH_SQL = [(n, m) for m in MODULES for n in m.SQL]
 WITHOUT = [(n, m) for m in MODULES for n in m.QUERIES if n not in m.SQL]
 
