@@ -34,10 +34,10 @@ def t_tail(t: str, freedom: str) -> str:
 LAST = "(array_agg(price ORDER BY ts DESC, ord DESC, price DESC))[1]"
 
 
-@query(", a AS (SELECT category, days, count(*) AS n, round(avg((p - outcome) * (p - outcome)), 6) AS brier FROM predictions GROUP BY ALL) SELECT * FROM a")
+@query(", a AS (SELECT category, days, count(*) AS n, floor(avg((p - outcome) * (p - outcome)) * 1000000 + 0.500001) / 1000000 AS brier FROM predictions GROUP BY ALL) SELECT * FROM a")
 def brier_by_category_and_horizon(spark, sf):
     p = predictions(spark, sf)
-    return rounded(p.groupBy("category", "days").agg(F.count("*").alias("n"), F.avg(scoring.brier(F.col("p"), F.col("outcome"))).alias("brier")), "brier")
+    return p.groupBy("category", "days").agg(F.count("*").alias("n"), half_up(F.avg(scoring.brier(F.col("p"), F.col("outcome"))), 6).alias("brier"))
 
 
 _ASOF = f"SELECT m.market_id, m.close_ts, p.price FROM markets m LEFT JOIN (SELECT k.market_id, {LAST} AS price FROM markets k JOIN ticks t ON t.market_id = k.market_id AND t.ts <= k.close_ts GROUP BY 1) p USING (market_id)"
