@@ -329,27 +329,40 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
 
     def look(rows: DataFrame, order: Column) -> tuple[bool, bool]:
         """Test the links found that were not tested yet.  Whether there were any, and whether any held."""
-        nonlocal tested, labels
+        nonlocal tested
         pairs = _found(rows, bits, order).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         new = materialise(_verified(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), sets, similarity))
         some, held = new.limit(1).count() > 0, new.filter("good").limit(1).count() > 0
-        tested = new if tested is None else materialise(tested.union(new))
-        if held or labels is None:
-            labels = connected_components(tested.filter("good").select("u", "v"))
+        if tested is None:
+            tested = new
+        else:
+            tested, old = materialise(tested.union(new)), tested
+            discard(old, new)
         return some, held
 
-    turn, again = 0, True
+    def connect() -> None:
+        nonlocal labels, stale
+        if stale:
+            old, labels, stale = labels, connected_components(tested.filter("good").select("u", "v")), False
+            if old is not None:
+                discard(old)
+
+    turn, again, stale = 0, True, False
     while again:
         salt = F.lit(turn)
         tiled = F.when(F.col("tiles") > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "hash", salt), F.col("tiles")))).otherwise(F.col("key"))
         some, held = look(labelled().withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn else F.col("id"))
+        stale |= held or not turn
+        if not turn:  # later rounds connect little: their links are put together once, at the end
+            connect()
         again, turn = some and (held or not turn), turn + 1
+    connect()
     large = labelled().filter("tiles > 1")
     apart = large.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
     if apart.limit(1).count():
-        look(_pairs_of_tiles(large.join(apart, "key")), F.col("id"))
-    discard(live)
-    discard(sets)
+        stale = look(_pairs_of_tiles(large.join(apart, "key")), F.col("id"))[1]
+        connect()
+    discard(live, sets, tested)
     return labels
 
 
@@ -371,18 +384,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
     return spread_join(own, classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, hash) that stand for the different texts of docs, with their label (id, hash), and the sketches (id, hash, fp) they come from.  A node is its own label if its text stays."""
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Nodes (id, hash) that stand for the different texts of docs, with their label (id, hash), the sketches (id, hash, fp) they come from, and the written tables that both are read from.  A node is its own label if its text stays."""
     own = materialise(sketches(docs, words))
     nodes = materialise(own.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("node"), F.first("keys").alias("keys")).select("node.id", "node.hash", "fp", "keys"))
     labels = similar_components(nodes, own, similarity)
     named = nodes.select("id", "hash", "fp", F.struct("id", "hash").alias("node")).join(labels, "node", "left")
-    return named.select("id", "hash", "fp", F.coalesce("label", "node").alias("label")), own
+    return named.select("id", "hash", "fp", F.coalesce("label", "node").alias("label")), own, [own, nodes, labels]
 
 
 def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: doc_id, component_id, the smallest doc_id that links of this similarity reach."""
-    classes, own = similar_documents(docs, words, similarity)
+    classes, own, _ = similar_documents(docs, words, similarity)
     named = spread_join(own.select("id", "fp"), classes.select("fp", F.col("label.id").alias("component")), "fp")
     given = lambda c: F.when(F.col(c) < LAST, F.col(c))
     return named.select(given("id").alias("doc_id"), given("component").alias("component_id"))
@@ -390,9 +403,11 @@ def near_duplicate_texts(docs: DataFrame, words: int = 5, similarity: float = 0.
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each component of similar texts the row with the smallest doc_id (of an id with several texts, one of them; of rows repeated whole, one), with all its columns."""
-    classes, _ = similar_documents(docs, words, similarity)
+    classes, _, tables = similar_documents(docs, words, similarity)
     key, text = fresh(docs, "id", "hash")
     stay = classes.filter(F.col("label") == F.struct("id", "hash")).select(F.col("id").alias(key), F.col("hash").alias(text))
-    out = docs.join(materialise(stay), (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_semi")
+    stay = materialise(stay)
+    discard(*tables)
+    out = docs.join(stay, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
