@@ -71,11 +71,12 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
 
 
-def ranked(df: DataFrame, key: str, order: list[str], shards: int = 256) -> DataFrame:
+def ranked(df: DataFrame, key: str, order: list[str], shards: int | None = None) -> DataFrame:
     """df with `rank` (from 0) within `key`, dense and without gaps, for keys that may hold a third of all rows.
 
-    Rows of a key are dealt to `shards` by the hash of `order`; each shard numbers its own rows, and a shard's offset is the number of rows of its key in earlier shards.  The offsets table has at most keys * shards rows and is joined by hash, so no task ever holds a key.
+    Rows of a key are dealt to `shards` (as many as the session shuffles to, 256 at least) by the hash of `order`; each shard numbers its own rows, and a shard's offset is the number of rows of its key in earlier shards.  The offsets table has at most keys * shards rows and is joined by hash, so no task ever holds a key.
     """
+    shards = shards or max(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
     local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy(key, "_shard").orderBy(*order)))
     before = Window.partitionBy(key).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)

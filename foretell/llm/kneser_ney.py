@@ -6,7 +6,7 @@ Model: at the highest order counts are occurrences, below it the number of diffe
 
 Scoring: tasks ask for each different n-gram of their text once, and the questions are resolved by the chain of joins over distinct n-grams.  While the answers number at most MOST_ANSWERS (counted first; 16 bytes each) they are sent to the tasks, which score their documents where these are read.  Beyond that, documents are dealt to blocks of about BLOCK_CHARS characters and each block meets its own answers in a co-group.  Both ways give the same numbers.
 
-Decision: a document is rejected if its perplexity lies above the `upper` quantile (or below the `lower` one, if given) of its language's held-out trusted documents.  Limits are exact percentiles of log perplexity, widened by `slack` and, since the mean over few characters strays further, by `spread` over the root of the document's characters.  A language without held-out trusted documents rejects nothing.
+Decision: a document is rejected if its perplexity lies above the `upper` quantile (or below the `lower` one, if given) of its language's held-out trusted documents.  Limits are percentiles of log perplexity, widened by `slack` and, since the mean over few characters strays further, by `spread` over the root of the document's characters.  A language without held-out trusted documents rejects nothing.
 
 Defined cases: a null language is a language of its own; null, empty and blank texts have no characters, hence perplexity null and are kept; repeated rows are scored each and counted once for each row in training; a repeated label row counts once; other columns are ignored by `perplexity`; empty tables give empty results, and without trusted text every perplexity is null and everything is kept.
 """
@@ -226,8 +226,9 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = 0.995, lower: float
     model = Model(own.filter(~held))
     scored = materialise(perplexity(docs, model))
     held_out = scored.filter(held & F.col("perplexity").isNotNull()).join(small_side(trusted), "doc_id", "left_semi")
-    low = F.lit(None).cast("double") if lower is None else F.percentile(F.log("perplexity"), lower)
-    limits = materialise(held_out.groupBy(F.col("lang").alias("_lang")).agg(low.alias("low"), F.percentile(F.log("perplexity"), upper).alias("high")))
+    at = lambda share: F.percentile_approx(F.log("perplexity"), share, 100_000)  # noqa: E731  bounded, within a 100,000th of the rank
+    low = F.lit(None).cast("double") if lower is None else at(lower)
+    limits = materialise(held_out.groupBy(F.col("lang").alias("_lang")).agg(low.alias("low"), at(upper).alias("high")))
     room = slack + spread / F.sqrt(F.greatest("n_chars", F.lit(1)))
     out = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang").withColumn("low", F.exp(F.col("low") - room)).withColumn("high", F.exp(F.col("high") + room))
     return out.withColumn("rejected", F.coalesce(F.col("perplexity") < F.col("low"), F.lit(False)) | F.coalesce(F.col("perplexity") > F.col("high"), F.lit(False)))

@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretell.llm.common import materialise, ranked, small_side
@@ -66,26 +66,27 @@ def cuts(n: int, capacity: int) -> list[int]:
     return [0, *range(n % capacity or capacity, n, capacity), n]
 
 
-def tokenise(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32 and, on demand, ids."""
+def tokenise(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True, vocabulary: str = VOCABULARY, ranks: str = RANKS, place: Column | None = None) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32 and, on demand, ids and the document's place (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary, ranks)
         for b in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, text, *rest in zip(*[c.to_pylist() for c in b.columns]):
                 ids = np.array([*encode(text or ""), END_ID], dtype="<u4")
                 at = cuts(len(ids), capacity)
                 for piece, (lo, hi) in enumerate(zip(at, at[1:])):
                     own = ids[lo:hi]
-                    out.append((doc_id, piece, lo, hi - lo, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else [])))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if keep_ids else [])]
+                    out.append((doc_id, piece, lo, hi - lo, zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else []), *rest))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if keep_ids else []), *([pa.string()] if placed else [])]
             columns = list(zip(*out)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    placed = place is not None
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else []), *(["place"] if placed else [])]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "") + (", place string" if placed else "")
+    return docs.select(F.col("doc_id").cast("long"), "text", *([place.alias("place")] if placed else [])).mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -143,5 +144,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return joined.withColumn("sequence_id", F.col("_sequence") + F.col("rank") - F.col("_first")).select(*pieces.columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    return pack(materialise(tokenise(docs, capacity, keep_ids)), capacity)
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, place: Column | None = None) -> DataFrame:
+    """The packed pieces of docs.  With `place` (a text that sorts like the order of the documents) sequences come in the order of their first document's place."""
+    packed = pack(materialise(tokenise(docs, capacity, keep_ids, place=place)), capacity)
+    if place is None:
+        return packed
+    packed = materialise(packed)
+    first = packed.groupBy("sequence_id").agg(F.min("place").alias("first_place"))
+    ordered = packed.join(first, "sequence_id").repartitionByRange("first_place", "sequence_id").sortWithinPartitions("first_place", "sequence_id", "offset")
+    return ordered.select(*[c for c in packed.columns if c != "place"])

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -40,6 +41,16 @@ def test_stages(spark, sf_dir):
     assert sorted(ids["mixing"]) == sorted(ids["near_dedup"])
 
 
+def test_sequences_follow_the_mix(spark, sf_dir, tmp_path):
+    """The order in which documents are written to the table decides the order of the sequences."""
+    docs = spark.createDataFrame([(i, "word " * 700, "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, order in enumerate((F.col("doc_id"), -F.col("doc_id"))):
+        docs.repartitionByRange(3, order).sortWithinPartitions(order).write.parquet(f"{tmp_path}/{k}")
+        corpus_pipeline.packing(spark, spark.read.parquet(f"{tmp_path}/{k}"), sf_dir).write.parquet(f"{tmp_path}/out{k}")
+        got = spark.read.parquet(f"{tmp_path}/out{k}").select("doc_id", "_metadata.file_path", "_metadata.row_index").orderBy("file_path", "row_index").collect()
+        assert [r.doc_id for r in got] == sorted(range(40), reverse=bool(k))
+
+
 def test_run_packs_what_is_left(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     bins = defaultdict(list)
