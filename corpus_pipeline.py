@@ -6,6 +6,7 @@ All stages but the last return the columns of documents.  The driver of a run wr
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foretell.llm.common import load, materialise
 from foretell.llm.exact_dedup import drop_exact_duplicates
@@ -36,8 +37,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their sequence and offset."""
-    return pack_documents(docs)
+    """Pieces of at most 1024 tokens with their sequence and offset; sequences come in the order of the mix, which is that of the rows of the table it was written to."""
+    file, row = F.substring_index("_metadata.file_path", "/", -1), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0")
+    return pack_documents(docs, place=F.concat(file, F.lit(":"), row))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
