@@ -2,7 +2,7 @@
 
 A language is a distribution over the pieces of a fixed public vocabulary (a sentencepiece model with byte fallback).  The probability of a word is the sum over all its segmentations into pieces, by the forward algorithm, rescaled every few places so that words of any length are summed whole; a text's is the product over its words.  Words are runs of letters (see `words.py`): digits and punctuation tell languages apart little and are left out.  Piece probabilities are learned by expectation-maximisation on word counts: forward-backward gives each piece's expected count over all segmentations.
 
-Training may use a bounded sample: of every language the `sample` labelled documents whose hashed id is smallest, whole.  Word counts and expected counts are summed by Spark; the driver holds the pieces-by-languages table only (the vocabulary's size times the number of labels).  In training, words of more than MAX_WORD bytes are counted in stretches of that length.
+Training may use a bounded sample: of every language the `sample` labelled documents whose hashed id is smallest, whole.  Word counts and expected counts are summed by Spark; the driver holds the pieces-by-languages table only (the vocabulary's size times the number of labels).  Words are counted whole, whatever their length.
 
 Scoring runs where the documents are read, without a shuffle.  Words are scored once per worker and kept in a table of bounded size.  All pieces of the vocabulary are used, found by a polynomial hash of 64 bits that no two of them share.
 
@@ -24,8 +24,6 @@ from foretell.llm.common import bounded_sample, materialise, small_side
 from foretell.llm.words import has_letter, words_of
 
 VOCABULARY = "piece_bpe_32k.model"
-#: In training only: longer words are counted in stretches.
-MAX_WORD = 32
 SAMPLE, ROUNDS = 500, 3
 #: Scores that a worker keeps.
 KNOWN_SCORES = 1_600_000
@@ -70,12 +68,6 @@ def n_pieces() -> int:
     return sum(len(keys) for keys, _ in pieces())
 
 
-def stretches(word: bytes) -> list[bytes]:
-    """A word as its scored parts: the first begins with the word-start mark."""
-    word = b" " + word
-    return [word] if len(word) <= MAX_WORD else [word[k : k + MAX_WORD] for k in range(0, len(word), MAX_WORD)]
-
-
 def lattice(words: list[bytes]) -> list[np.ndarray]:
     """For words of one length: per piece length, the piece (or -1) that ends at each place."""
     return _lattice(np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1))
@@ -158,24 +150,64 @@ def word_scores(words: list[bytes], p: np.ndarray) -> np.ndarray:
 
 
 def expected_counts(words: list[bytes], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected number of uses of each piece over all segmentations of the words.  p: one column."""
-    parts = [stretches(w) for w in words]
-    flat, weight = [s for x in parts for s in x], np.repeat(counts, [len(x) for x in parts])
-    out = np.zeros(len(p))
-    for lot in by_length(flat):
-        steps = lattice([flat[i] for i in lot])
-        alpha = forward(steps, p)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[:, -1] = 1
-        places = alpha.shape[1] - 1
-        for j in range(places - 1, -1, -1):
+    """Expected number of uses of each piece over all segmentations of the words, each read whole.  p: one column."""
+    marked, out = [b" " + w for w in words], np.zeros(len(p))
+    for lot in by_length(marked):
+        most = max(1, 2_000_000 // len(marked[lot[0]]))
+        for k in range(0, len(lot), most):
+            some = lot[k : k + most]
+            codes = np.frombuffer(b"".join(marked[i] for i in some), np.uint8).reshape(len(some), -1)
+            out += _uses(codes, np.asarray(counts, float)[some], p[:, 0])
+    return out
+
+
+def _uses(codes: np.ndarray, weight: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Forward and backward sums over words of one length, both divided by their newest place every RESCALE places, and what each piece is used between them."""
+    n, places = codes.shape
+    longest, spans = len(pieces()) - 1, range(0, places, SPAN)
+    alpha, scale = np.ones((n, places + 1)), np.zeros((n, places + 1))  # alpha[:, j] is to be multiplied by exp(scale[:, j])
+    tail, logs = np.zeros((n, longest)), np.zeros(n)
+    tail[:, -1] = 1
+    for start in spans:
+        end, back = min(start + SPAN, places), max(0, start - longest + 1)
+        steps = [found[:, start - back :] for found in _lattice(codes[:, back:end])]
+        work = np.concatenate([tail, np.zeros((n, end - start))], axis=1)
+        for j in range(end - start):
+            now = work[:, longest + j]
             for length, found in enumerate(steps, 1):
-                if j + length <= places:
-                    beta[:, j] += beta[:, j + length] * p[found[:, j + length - 1], 0]
-        scale = weight[lot] / alpha[:, -1]
-        for length, found in enumerate(steps, 1):
-            used = alpha[:, : places + 1 - length] * beta[:, length:] * p[found[:, length - 1 :], 0] * scale[:, None]
-            out += np.bincount(found[:, length - 1 :].ravel() % len(p), weights=used.ravel(), minlength=len(p))
+                at = found[:, j]
+                if (at >= 0).any():
+                    now += work[:, longest + j - length] * p[at]
+            if (start + j) % RESCALE == RESCALE - 1:
+                logs = logs + np.log(now)
+                work[:, j + 1 : longest + j + 1] /= now[:, None].copy()
+            alpha[:, start + j + 1], scale[:, start + j + 1] = work[:, longest + j], logs
+        tail = work[:, -longest:]
+    whole = scale[:, -1] + np.log(alpha[:, -1])
+
+    head, logs, out = np.zeros((n, longest)), np.zeros(n), np.zeros(len(p))
+    head[:, 0] = 1
+    for start in reversed(spans):
+        end = min(start + SPAN, places)
+        steps = _lattice(codes[:, start : min(end + longest - 1, places)])
+        work = np.concatenate([np.zeros((n, end - start)), head], axis=1)
+        for j in reversed(range(end - start)):
+            now, pieces_here, values = work[:, j], [], []
+            for length, found in enumerate(steps, 1):
+                if start + j + length > places:
+                    break
+                at = found[:, j + length - 1]
+                if (at >= 0).any():
+                    value = work[:, j + length] * p[at]
+                    now += value
+                    pieces_here.append(at)
+                    values.append(value)
+            share = weight * alpha[:, start + j] * np.exp(scale[:, start + j] + logs - whole)
+            out += np.bincount(np.concatenate(pieces_here) % len(p), weights=(np.array(values) * share).ravel(), minlength=len(p))
+            if (places - start - j) % RESCALE == 0:
+                logs = logs + np.log(now)
+                work[:, j : j + longest] /= now[:, None].copy()
+        head = work[:, :longest]
     return out
 
 

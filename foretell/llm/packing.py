@@ -51,10 +51,10 @@ def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS) -> Callable[[str],
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     quick = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
     special = [t.content for t in library.get_added_tokens_decoder().values()]
-    run = re.compile(rf"\s{{{LONG_RUN}}}")
+    blanks = re.compile(r"\s+")
 
     def encode(text: str) -> list[int]:
-        if any(t in text for t in special) or (len(text) >= LONG_RUN and run.search(text)):
+        if any(t in text for t in special) or (len(text) >= LONG_RUN and max(map(len, blanks.findall(text)), default=0) >= LONG_RUN):
             return library.encode(text, add_special_tokens=False).ids
         return quick.encode_ordinary(text)
 

@@ -260,8 +260,9 @@ def platt(logit: np.ndarray, labels: np.ndarray, rounds: int = 500) -> tuple[flo
 
 
 def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> tuple[Network, float, float] | None:
-    """Network and curve from labelled texts; every fifth text only serves the curve."""
+    """Network and curve from labelled texts with words; every fifth one only serves the curve, which all serve where those lack a label.  None unless both labels are among the others."""
     docs = [parts_of(t) for t in texts]
+    labels, docs = labels[[bool(words) for words in docs]], [words for words in docs if words]
     fitted = np.arange(len(docs)) % 5 != 0
     if len(set(labels[fitted])) < 2:
         return None
@@ -286,16 +287,17 @@ def train(texts: list[str | None], labels: np.ndarray, steps: int = STEPS) -> tu
                 network = Network()
                 network.restrict(common)
         fit(network, numbers[keep], toxic[keep], vocabulary, steps, seed=turn)
-    rest = [i for i in np.flatnonzero(~fitted) if docs[i]]
+    rest = np.flatnonzero(~fitted)
+    rest = rest if len(set(labels[rest])) == 2 else np.arange(len(docs))
     largest = Scorer(network).largest([docs[i] for i in rest])
     return network, *platt(largest, labels[rest].astype(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, steps: int = STEPS) -> DataFrame:
-    """One row per row of docs: doc_id, score.  labels: doc_id, toxic; learned where `learn` (of doc_id) holds."""
-    usable = labels.filter(learn & F.col("toxic").isNotNull()).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    drawn = bounded_sample(usable.filter(F.col("toxic").isin(0, 1)), "toxic", "doc_id", sample)
-    drawn = docs.join(small_side(drawn), "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    """One row per row of docs: doc_id, score.  labels: doc_id, toxic; learned where `learn` (of doc_id) holds.  Of labels that clash the higher counts, of texts that share an id the one whose hash is least."""
+    usable = labels.filter(learn & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = bounded_sample(usable, "toxic", "doc_id", sample)
+    drawn = docs.join(small_side(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     model = train(drawn["text"].to_pylist(), np.array(drawn["toxic"].to_pylist(), np.int64), steps)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foretell.llm.langid import MAX_WORD, expected_counts, forward, identify, lattice, log_forward, n_pieces, piece_hash, pieces, stretches, word_scores
+from foretell.llm.langid import expected_counts, forward, identify, lattice, log_forward, n_pieces, piece_hash, pieces, word_scores
 from foretell.llm.words import words_of
 
 
@@ -72,10 +72,30 @@ def test_long_words_are_summed_whole(p):
 
 def test_long_words_do_not_underflow(p):
     word = b"xq" * 100_000
-    assert b"".join(stretches(word)) == b" " + word and max(map(len, stretches(word))) <= MAX_WORD
     assert all(math.isfinite(x) for x in word_scores([word], p)[0])
 
 
+@pytest.mark.parametrize("length", [15, 16, 17, 99, 255, 256, 300, 700])
+def test_expected_counts_of_long_words_sum_all_segmentations(p, length):
+    """Against plain forward and backward sums in logs, over the whole word."""
+    word = b" " + bytes(np.random.default_rng(length).choice(list(b"abetrsiong"), length).tolist())
+    log_p, places = np.log(p[:-1, 0]), len(word)
+    found = [[(i, number(word[i:j])) for i in range(max(0, j - len(pieces()) + 1), j) if number(word[i:j]) is not None] for j in range(places + 1)]
+    ahead, behind = np.full(places + 1, -np.inf), np.full(places + 1, -np.inf)
+    ahead[0] = behind[-1] = 0
+    for j in range(1, places + 1):
+        ahead[j] = np.logaddexp.reduce([ahead[i] + log_p[k] for i, k in found[j]])
+    for j in range(places, 0, -1):
+        for i, k in found[j]:
+            behind[i] = np.logaddexp(behind[i], behind[j] + log_p[k])
+    want = np.zeros(len(p))
+    for j in range(1, places + 1):
+        for i, k in found[j]:
+            want[k] += 2 * math.exp(ahead[i] + log_p[k] + behind[j] - ahead[-1])
+    got = expected_counts([word[1:], word[1:]], np.array([0.5, 1.5]), p[:, [0]])
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
 def test_signs_part_words():
     assert words_of("Ça va。好的\u3000ja—nein «oui» x²") == ["ça".encode(), b"va", "好的".encode(), b"ja", b"nein", b"oui", b"x"]
 

@@ -97,3 +97,14 @@ def test_very_long_runs(spark, text):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_runs_of_blanks_just_below_the_limit_are_quick():
+    import time
+
+    from foretell.llm.packing import LONG_RUN, encoder
+
+    encode = encoder()
+    began = time.perf_counter()
+    assert len(encode(("x" + " " * (LONG_RUN - 1)) * 200)) > 200
+    assert time.perf_counter() - began < 10

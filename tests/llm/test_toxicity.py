@@ -72,3 +72,28 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert {r.score for r in score(docs, table.limit(0), learn).collect()} == {0.0}
     assert score(docs.limit(0), table, learn).count() == 0
     assert words_of("Ab-Cé 1x") == [b"ab", "cé".encode(), b"x"]
+
+
+@pytest.mark.parametrize(
+    "texts,toxic",
+    [
+        (["12 !"] * 6, [0, 1] * 3),
+        (["vile words", "", "fine words", " ", "vile thing", "12"], [1, 0, 0, 0, 1, 0]),
+        (["vile words", "fine words"], [1, 0]),
+        (["fine words"] * 8, [0] * 8),
+        (["vile words", None], [1, 0]),
+    ],
+)
+def test_blank_and_few_texts_score_between_0_and_1(spark, texts, toxic):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    got = [r.score for r in score(docs, labels, F.lit(True), steps=5).collect()]
+    assert len(got) == len(texts) and all(0 <= s <= 1 for s in got)
+
+
+def test_clashing_labels_and_texts_are_settled(spark):
+    rows = [(i, f"{w} words here", w == "vile") for i, w in enumerate(["vile", "fine"] * 20)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(i, "another text") for i in range(0, 40, 3)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(v)) for i, _, v in rows] + [(i, 0) for i in range(0, 40, 4)], "doc_id long, toxic int")
+    one = sorted(map(tuple, score(docs, labels, F.lit(True), steps=5).collect()))
+    assert one == sorted(map(tuple, score(docs.repartition(7), labels.repartition(3), F.lit(True), steps=5).collect()))
