@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from foretell.llm.kneser_ney import Model, judge, keep_good, perplexity
+from foretell.llm.kneser_ney import WIDTHS, Model, Symbols, fit, judge, keep_good, perplexities, perplexity
 
 
 def plain_model(texts, order):
@@ -72,3 +72,45 @@ def test_junk_goes_and_clean_stays(spark):
     assert len(ids & {i for i, *_ in clean}) >= 295
     assert judge(docs, labels.limit(0)).filter("rejected").count() == 0
     assert keep_good(docs.limit(0), labels).count() == 0
+
+
+def test_every_code_point_is_a_symbol_of_its_own(spark):
+    """Texts of some 9,000 different signs, held against a plain model of the order of their width."""
+    rng = random.Random(7)
+    signs = [chr(0x4E00 + k) for k in range(9000)]
+    many = [(i, "zz", "".join(rng.choice(signs) for _ in range(900)) + "".join(signs[i * 300 : i * 300 + 300])) for i in range(30)]
+    few = [(100 + i, "aa", "".join(rng.choice("abc ") for _ in range(50))) for i in range(5)]
+    models = fit(spark.createDataFrame(many + few, "doc_id long, lang string, text string"))
+    assert [m.order for m in models] == [5, 4]
+    asked = [(1, "zz", many[0][2][:6]), (2, "aa", "abca"), (3, "zz", "一🙂㐀"), (4, "other", "x"), (5, None, "x")]
+    got = {r.doc_id: r.perplexity for r in perplexities(spark.createDataFrame(asked, "doc_id long, lang string, text string"), models).collect()}
+    assert got[1] == pytest.approx(plain_model([t for *_, t in many], 4)(asked[0][2]), rel=1e-9)
+    assert got[3] == pytest.approx(plain_model([t for *_, t in many], 4)(asked[2][2]), rel=1e-9)
+    assert got[2] == pytest.approx(plain_model([t for *_, t in few], 5)("abca"), rel=1e-9)
+    assert got[4] is None and got[5] is None
+
+
+def test_widths_hold_every_code_point():
+    assert all(bits * order <= 63 for bits, order in WIDTHS) and 1 << WIDTHS[-1][0] > 0x110000 + 2
+    with pytest.raises(ValueError):
+        Symbols({"x": list(range(4095))}, 5, 12)
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_ids_of_any_size_stay_as_they_are_next_to_a_null(spark, most):
+    big = 2**60
+    rows = [(None, "en", "some words"), (big + 1, "en", "some words"), (big, "en", "other words"), (-big - 1, "en", None)]
+    model = Model(spark.createDataFrame([(1, "en", "some other words here")], "doc_id long, lang string, text string"))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    assert sorted((r.doc_id for r in perplexity(docs, model, most).collect()), key=str) == sorted((r[0] for r in rows), key=str)
+
+
+def test_a_rejected_row_goes_next_to_a_null_id(spark):
+    rng = random.Random(3)
+    words = "the of and reading water house under morning letter garden people".split()
+    say = lambda: " ".join(rng.choice(words) for _ in range(60))
+    big = 2**60
+    rows = [(i, "en", say()) for i in range(100)] + [(None, "en", say()), (big + 1, "en", "%%% QQQ " * 40), (big, "en", say())]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    kept = {r.doc_id for r in keep_good(docs, spark.createDataFrame([(i, 1) for i in range(0, 100, 2)], "doc_id long, quality int")).collect()}
+    assert big + 1 not in kept and {None, big} <= kept
