@@ -1,6 +1,6 @@
 """Point-in-time lookups: the value a series had at a cutoff.
 
-`backward` has two plans.  "agg" joins on the key and keeps the latest row by `max_by`, with partial aggregation; it suits few rows a key.  "merge" unions cutoffs into the series and carries the last value forward in one sort by (key, time); it never multiplies rows.
+`backward` has three plans.  "agg" joins on the key and keeps the latest row by `max_by`, with partial aggregation; it suits few rows a key.  "merge" unions cutoffs into the series and carries the last value forward in one sort by (key, time); it never multiplies rows.  "scan" does the same by the segmented scan, so a hot key is dealt to all tasks.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foretell.operators.scan import running
+
 
 def _latest(value: Column, ts: str, tie: list[str]) -> Column:
     return F.max_by(value, F.struct(ts, *tie))
@@ -16,12 +18,14 @@ def _latest(value: Column, ts: str, tie: list[str]) -> Column:
 
 def backward(left: DataFrame, right: DataFrame, key: str, at: str, ts: str, value: str, tie: list[str], out: str = "price", strategy: str = "agg", lower: str | None = None) -> DataFrame:
     """left with `out`: the last `value` of right with ts <= at (and >= lower, a column of left, if given); null if there is none.  left's rows are distinct."""
-    if strategy == "merge":
+    if strategy in ("merge", "scan"):
         if lower is not None:
             raise ValueError("a lower bound needs strategy='agg'")
         own = left.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"))
         series = right.select(F.col(key), F.col(ts).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(tie)])
         both = own.unionByName(series, allowMissingColumns=True)
+        if strategy == "scan":
+            return running(both, [key], ["_at", "_kind", *[f"_tie{i}" for i in range(len(tie))]], lasts={out: F.col("_value")}).filter("_kind = 1").select(*left.columns, out)
         line = Window.partitionBy(key).orderBy("_at", "_kind", *[f"_tie{i}" for i in range(len(tie))]).rowsBetween(Window.unboundedPreceding, 0)
         return both.withColumn(out, F.last("_value", ignorenulls=True).over(line)).filter("_kind = 1").select(*left.columns, out)
     near = right.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.col(value).alias("_value"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(tie)])

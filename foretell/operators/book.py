@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretell.operators.ranks import group_medians, quantiles
+
 LEVELS = "array<struct<price:double,size:double>>"
 MOVE = 0.05
 
@@ -112,16 +114,25 @@ def upper_median(value: str) -> Column:
 
 
 def liquidity(snapshots: DataFrame, keys: list[str]) -> DataFrame:
-    """Spread, relative spread (%), depth, imbalance and price statistics of snapshots; deviations are population ones."""
+    """Spread, relative spread (%), depth, imbalance and price statistics of snapshots; deviations are population ones.  Medians come from one scan of all three."""
     b, a = F.col("bid_depth"), F.col("ask_depth")
-    five = lambda c, k, name: [F.avg(c).alias(f"{name}_mean"), F.median(c).alias(f"{name}_median"), F.stddev_pop(c).alias(f"{name}_std"), *[f(c).alias(f"{name}_{n}") for n, f in k]]
-    return snapshots.groupBy(*keys).agg(
-        F.count("*").alias("n_snapshots"), *five(F.col("spread"), [("min", F.min), ("max", F.max)], "spread"), *five(F.col("relative_spread") * 100, [], "rel_spread"), *five(F.col("total_depth"), [("max", F.max)], "depth"),
+    rows = snapshots.withColumn("_rel", F.col("relative_spread") * 100)
+    some = lambda c, k, name: [F.avg(c).alias(f"{name}_mean"), F.stddev_pop(c).alias(f"{name}_std"), *[f(c).alias(f"{name}_{n}") for n, f in k]]
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_snapshots"), *some("spread", [("min", F.min), ("max", F.max)], "spread"), *some("_rel", [], "rel_spread"), *some("total_depth", [("max", F.max)], "depth"),
         F.avg(b).alias("bid_depth_mean"), F.avg(a).alias("ask_depth_mean"), F.avg(F.when(b + a > 0, (b - a) / (b + a)).when((b + a).isNotNull(), 0.0)).alias("imbalance_mean"), F.avg("midpoint").alias("price_mean"), F.stddev_pop("midpoint").alias("price_std"),
     )
+    medians = group_medians(rows, ["spread", "_rel", "total_depth"], keys).withColumnsRenamed({"_rel_median": "rel_spread_median", "total_depth_median": "depth_median"} | {k: f"_{k}" for k in keys})
+    return out.join(medians, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
 
 
 def robustness(graded: DataFrame) -> DataFrame:
     """Counts of grades, assessed and not (a market without a cost is fragile)."""
     is_ = lambda g: F.count_if(F.col("grade") == g).alias(g)
-    return graded.agg(F.count("*").alias("markets"), F.count("cost").alias("assessed"), is_("robust"), is_("caution"), is_("fragile"), F.median("cost").alias("median_cost"))
+    return graded.agg(F.count("*").alias("markets"), F.count("cost").alias("assessed"), is_("robust"), is_("caution"), is_("fragile")).crossJoin(F.broadcast(_one_median(graded, "cost")))
+
+
+def _one_median(df: DataFrame, value: str) -> DataFrame:
+    """One row: the median of a column."""
+    found = quantiles(df, value, [0.5])
+    return df.sparkSession.range(1).select(F.lit(found[0] if found else None).cast("double").alias(f"median_{value}"))

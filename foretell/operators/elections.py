@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretell.operators.ranks import group_medians
+
 DAY = 86400
 #: Days before the close at which a market of a venue that is not electoral is read.
 OFFSETS = {"polymarket": 2, "kalshi": 1}
@@ -57,8 +59,10 @@ def margin_bucket(share_a: Column, share_b: Column) -> Column:
 
 def panel(df: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean Brier, accuracy and volumes (thousands) of winner predictions in column `w`."""
-    w = F.col("w")
-    return df.filter(w.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg((w - 1) * (w - 1)).alias("brier"), F.avg((w > 0.5).cast("double")).alias("accuracy"), (F.avg("volume_usd") / 1000).alias("mean_volume_k"), (F.median("volume_usd") / 1000).alias("median_volume_k"))
+    w, rows = F.col("w"), df.filter(F.col("w").isNotNull())
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((w - 1) * (w - 1)).alias("brier"), F.avg((w > 0.5).cast("double")).alias("accuracy"), (F.avg("volume_usd") / 1000).alias("mean_volume_k"))
+    medians = group_medians(rows, ["volume_usd"], keys).select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("volume_usd_median") / 1000).alias("median_volume_k"))
+    return out.join(medians, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").drop(*[f"_{k}" for k in keys])
 
 
 def swap_for_volume(selected: DataFrame, markets: DataFrame, key: str) -> DataFrame:

@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foretell.functions.numbers import half_up
+from foretell.operators.scan import running
 
 #: Window lengths in hours and the least number of trades of the tiered average.
 TIER_HOURS, LEAST_TRADES = (6, 12, 24), 10
 
 
-def window_means(left: DataFrame, ticks: DataFrame, at: str, windows: dict[str, int], fallback: bool = True) -> DataFrame:
-    """left with, for each named window of seconds, the unweighted mean price in [at - window, at]; an empty window gives the last earlier price if `fallback`.  One join and one aggregation for all windows."""
-    t = ticks.select(F.col("market_id").alias("_m"), F.col("ts").alias("_ts"), F.col("price").alias("_p"), F.col("ord").alias("_o"))
-    joined = left.join(t, (F.col("market_id") == F.col("_m")) & (F.col("_ts") <= F.col(at)), "left")
-    last = F.max_by("_p", F.struct("_ts", "_o", "_p")) if fallback else F.lit(None).cast("double")
-    means = [F.coalesce(F.avg(F.when(F.col("_ts") >= F.col(at) - w, F.col("_p"))), last).alias(name) for name, w in windows.items()]
-    return joined.groupBy(*left.columns).agg(*means)
+def window_means(left: DataFrame, ticks: DataFrame, at: str, windows: dict[str, int], fallback: bool = True, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """left with, for each named window of seconds, the unweighted mean price in [at - window, at]; an empty window gives the last earlier price if `fallback`.  `lasts` adds last values, up to `at`, of expressions over ticks.  left's rows are distinct.
+
+    Means come from prefix sums: the borders of the windows are rows among the ticks of their market, one segmented scan gives every border the sum and the number of prices before it, and a window is the difference of two borders.  No tick meets a window; a market may hold any share of the ticks.  Sums are decimals of 12 places, so differences are exact to these.
+    """
+    lasts, number = lasts or {}, lambda c: c.cast("decimal(28,12)")
+    order = ["_at", "_kind", "_tie1", "_tie2"]
+    t = ticks.select(F.col("market_id").alias("_m"), F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.col("ord").alias("_tie1"), F.col("price").alias("_tie2"), F.col("price").alias("_p"), *[c.alias(f"_v{i}") for i, c in enumerate(lasts.values())])
+    own = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    starts = [F.struct((F.col(at) - w).alias("_at"), F.lit(-1).alias("_kind"), F.lit(name).alias("_name")) for name, w in windows.items()]
+    borders = left.select(F.col("market_id").alias("_m"), own.alias("_row"), F.inline(F.array(*starts, F.struct(F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit("").alias("_name")))))
+    both = t.unionByName(borders, allowMissingColumns=True)
+    scanned = running(both, ["_m"], order, totals={"_sum": number(F.col("_p")), "_n": F.when(F.col("_p").isNotNull(), 1).otherwise(0)}, lasts={"_last": F.col("_p")} | {f"_l{i}": F.col(f"_v{i}") for i in range(len(lasts))})
+    of = lambda name, c: F.max(F.when(F.col("_name") == name, F.col(c)))
+    sums = [x for i, name in enumerate(windows) for x in (of(name, "_sum").alias(f"_s{i}"), of(name, "_n").alias(f"_c{i}"))]
+    ends = [of("", c).alias(c) for c in ("_sum", "_n", "_last", *[f"_l{i}" for i in range(len(lasts))])]
+    wide = scanned.filter("_kind <> 0").groupBy("_row").agg(*sums, *ends)
+    last = F.col("_last") if fallback else F.lit(None).cast("double")
+    mean = lambda i: F.when(F.col("_n") > F.col(f"_c{i}"), (F.col("_sum") - F.col(f"_s{i}")).cast("double") / (F.col("_n") - F.col(f"_c{i}")))
+    return wide.select("_row.*", *[F.coalesce(mean(i), last).alias(name) for i, name in enumerate(windows)], *[F.col(f"_l{i}").alias(name) for i, name in enumerate(lasts)])
 
 
 def vwap(price: Column, size: Column, keep: Column | None = None) -> Column:

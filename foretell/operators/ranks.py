@@ -1,76 +1,76 @@
-"""Global ranks without a single-task window."""
+"""Ranks and quantiles, of a column or of every group at once, without a window over a whole group.
 
-from __future__ import annotations
+Equal values are counted first, with map-side combining, and the counts are summed up in value order by the segmented scan (see scan.py), so a group or a value may hold any share of the rows.  Values are ordered as they are, never as doubles.
+"""
 
-import math
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from foretell.operators.scan import running
+from foretell.sources.shared import written
 
 SHARDS = 16
 
 
-def _buckets(df: DataFrame) -> int:
-    """As many buckets as the session shuffles to, 64 at least."""
-    return max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False) -> DataFrame:
+    """df with the rank (from 1) of each row by value, then tie mod SHARDS, then tie; rows with a null value are left out."""
+    key = -F.col(value) if descending else F.col(value)
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_all", F.lit(0)).withColumn("_v", key).withColumn("_t", F.pmod(F.col(tie), F.lit(SHARDS))).withColumn("_tie", F.col(tie))
+    return running(rows, ["_all"], ["_v", "_t", "_tie"], totals={out: F.lit(1)}).select(*df.columns, out)
 
 
-def global_rank(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False, buckets: int | None = None) -> DataFrame:
-    """df with the rank (from 1) of each row by value, then tie mod SHARDS, then tie; rows with a null value are left out.
+def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """by, value, c (rows), upto (rows of the group up to this value) and n (rows of the group); null values are left out.  df is read once."""
+    per = written(df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c")))
+    return running(per, by, [value], totals={"upto": F.col("c")}, wholes={"n": F.col("c")})
+
+
+def group_quantiles(df: DataFrame, value: str, shares: dict[str, float], by: list[str]) -> DataFrame:
+    """by and, under the names of `shares`, the linear-interpolated quantiles of value in each group; groups without values have no row."""
+    held, wanted = value_counts(df, value, by), []
+    has = lambda place: (place >= F.col("upto") - F.col("c")) & (place < F.col("upto"))
+    any_place = F.lit(False)
+    for k, share in enumerate(shares.values()):
+        place = (F.col("n") - 1) * F.lit(float(share))
+        low, high = F.floor(place), F.ceil(place)
+        any_place = any_place | has(low) | has(high)
+        v = F.col(value).cast("double")
+        wanted += [F.max(F.when(has(low), v)).alias(f"_l{k}"), F.max(F.when(has(high), v)).alias(f"_h{k}"), F.max(place - low).alias(f"_f{k}")]
+    found = held.filter(any_place).groupBy(*by).agg(*wanted)
+    out = [(F.col(f"_l{k}") + (F.col(f"_h{k}") - F.col(f"_l{k}")) * F.col(f"_f{k}")).alias(name) for k, name in enumerate(shares)]
+    return found.select(*by, *out)
 
-    Quantile boundaries of the value deal rows to buckets; a value that is a boundary is a bucket of its own, dealt on by tie mod SHARDS, so a value may hold any share of the rows.  A bucket numbers its own rows; offsets come from a table of at most 2 * buckets * SHARDS counts.
-    """
-    buckets = buckets or _buckets(df)
-    rows = df.filter(F.col(value).isNotNull())
-    key = -F.col(value) if descending else F.col(value)
-    rows = rows.withColumn("_v", key.cast("double"))
-    bounds = sorted(set(rows.approxQuantile("_v", [k / buckets for k in range(1, buckets)], 0.002)))
-    edges = F.array(*[F.lit(float(b)) for b in bounds]) if bounds else F.expr("cast(array() as array<double>)")
-    below = F.size(F.filter(edges, lambda b: b < F.col("_v"))) * 2
-    rows = rows.withColumn("_b", below + F.array_contains(edges, F.col("_v")).cast("int")).withColumn("_t", F.pmod(F.col(tie), F.lit(SHARDS)))
-    rows = rows.withColumn("_s", F.when(F.col("_b") % 2 == 1, F.col("_t")).otherwise(0))
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_b", "_s").orderBy("_v", "_t", tie)))
-    counts = rows.groupBy("_b", "_s").agg(F.count("*").alias("_n"))
-    offsets = counts.select(F.col("_b").alias("_b2"), F.col("_s").alias("_s2"), (F.sum("_n").over(Window.orderBy("_b", "_s")) - F.col("_n")).alias("_before"))
-    joined = rows.join(F.broadcast(offsets), (F.col("_b") == F.col("_b2")) & (F.col("_s") == F.col("_s2")))
-    return joined.select(*df.columns, (F.col("_r") + F.col("_before")).alias(out))
+
+def group_medians(df: DataFrame, values: list[str], by: list[str]) -> DataFrame:
+    """by and, under the name of each of `values` with `_median`, its median in each group, in one scan for all of them: null where a group has values of others only; a group without any has no row."""
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_value")) for v in values])))
+    per = group_quantiles(long, "_value", {"_median": 0.5}, [*by, "_name"])
+    return per.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == v, F.col("_median"))).alias(f"{v}_median") for v in values])
 
 
 def quantiles(df: DataFrame, value: str, shares: list[float]) -> list[float]:
-    """Exact linear-interpolated quantiles of a column; none without values.  Equal values are counted first, their counts are summed up within buckets of the value's range, and only the values at the places asked for reach the driver."""
-    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
-    buckets = _buckets(df)
-    bounds = sorted(set(per.approxQuantile("v", [k / buckets for k in range(1, buckets)], 0.01)))
-    edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.expr("cast(array() as array<double>)")
-    per = per.withColumn("b", F.size(F.filter(edges, lambda e: e < F.col("v"))))
-    sizes = {r["b"]: r["c"] for r in per.groupBy("b").agg(F.sum("c").alias("c")).collect()}
-    n, before, at = sum(sizes.values()), {}, 0
-    if not n:
-        return []
-    for b in sorted(sizes):
-        before[b], at = at, at + sizes[b]
-    places = sorted({f(share * (n - 1)) for share in shares for f in (math.floor, math.ceil)})
-    start = F.try_element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("b"))
-    end = F.sum("c").over(Window.partitionBy("b").orderBy("v")) + start
-    asked = F.array(*[F.lit(p) for p in places])
-    held = per.withColumn("end", end).withColumn("places", F.filter(asked, lambda p: (p >= F.col("end") - F.col("c")) & (p < F.col("end")))).filter(F.size("places") > 0)
-    found = {p: r["v"] for r in held.select("v", "places").collect() for p in r["places"]}
-    low = lambda share: math.floor(share * (n - 1))
-    return [found[low(s)] + (found[math.ceil(s * (n - 1))] - found[low(s)]) * (s * (n - 1) - low(s)) for s in shares]
-
-
-def average_rank(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
+    """Exact linear-interpolated quantiles of a column; none without values.  Only these reach the driver."""
+    names = {f"q{k}": s for k, s in enumerate(shares)}
+    row = group_quantiles(df.select(value).withColumn("_all", F.lit(0)), value, names, ["_all"]).first()
+    return [] if row is None else [row[n] for n in names]
+
+
+def average_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
     """df with the average rank of tied values; null values keep a null rank."""
-    per = global_rank(df.select(value, tie), value, tie, "_r").groupBy(F.col(value).alias("_v")).agg(F.avg("_r").alias(out))
-    return df.join(per, F.col(value) == F.col("_v"), "left").drop("_v")
-
-
-def rank_pct(df: DataFrame, value: str, tie: str, out: str = "rank_pct", by: str | None = None) -> DataFrame:
-    """Average rank over the number of non-null values, in (0, 1]; by group if `by` is given (groups are then the unit of a task)."""
-    if by is None:
-        n = df.select(F.count(value).alias("_n"))
-        return average_rank(df, value, tie, "_rank").crossJoin(F.broadcast(n)).withColumn(out, F.col("_rank") / F.col("_n")).drop("_rank", "_n")
-    group, same = Window.partitionBy(by), Window.partitionBy(by, value)
-    place = F.rank().over(Window.partitionBy(by).orderBy(F.col(value).asc_nulls_last())) + (F.count(value).over(same) - 1) / 2
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), place / F.count(value).over(group)))
+    return _placed(df, value, [], F.col("upto") - (F.col("c") - 1) / 2, out)
+
+
+def rank_pct(df: DataFrame, value: str, out: str = "rank_pct", by: str | None = None) -> DataFrame:
+    """Average rank over the number of non-null values, in (0, 1]; within a group if `by` is given."""
+    return _placed(df, value, [by] if by else [], (F.col("upto") - (F.col("c") - 1) / 2) / F.col("n"), out)
+
+
+def _placed(df: DataFrame, value: str, by: list[str], place: Column, out: str) -> DataFrame:
+    keys = by or ["_all"]
+    per = value_counts(df if by else df.withColumn("_all", F.lit(0)), value, keys).select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(by)], F.col(value).alias("_v"), place.alias(out))
+    same = F.col(value) == F.col("_v")
+    for i, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(per, same, "left").drop("_v", *[f"_g{i}" for i in range(len(by))])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foretell.functions.numbers import p_value
-from foretell.operators.ranks import global_rank
+from foretell.operators.ranks import global_rank, group_medians
 
 EPS = 1e-15
 
@@ -67,10 +67,13 @@ def monthly_pivot(df: DataFrame, rows: list[str], month: Column, values: list[st
     return df.withColumn("_month", month).groupBy(*rows).pivot("_month", values).agg(F.sum(amount)).na.fill(0.0)
 
 
-def attribute_table(df: DataFrame, key: str, metrics: dict[str, Column]) -> DataFrame:
-    """One row per metric and key, from one aggregation."""
+def attribute_table(df: DataFrame, key: str, metrics: dict[str, Column], medians: dict[str, str] | None = None) -> DataFrame:
+    """One row per metric and key, from one aggregation; `medians` names columns whose median is a metric too."""
     wide = df.groupBy(key).agg(*[m.cast("double").alias(n) for n, m in metrics.items()])
-    return wide.unpivot([key], list(metrics), "metric", "value")
+    if medians:
+        found = group_medians(df, list(medians.values()), [key]).select(F.col(key).alias("_key"), *[F.col(f"{c}_median").alias(n) for n, c in medians.items()])
+        wide = wide.join(found, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+    return wide.unpivot([key], [*metrics, *(medians or {})], "metric", "value")
 
 
 def head_to_head(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

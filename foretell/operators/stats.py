@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foretell.functions.numbers import p_value, t_quantile, t_two_sided
-from foretell.operators.ranks import average_rank, rank_pct
+from foretell.operators.ranks import average_rank, group_quantiles, rank_pct
 from foretell.operators.scoring import brier, log_loss
 from foretell.operators.search import split
-from foretell.sources.shared import shared_dir
+from foretell.sources.shared import shared_dir, written
 
 
 def kde(df: DataFrame, value: str, points: int = 200, low: float = 0.0, high: float = 100.0) -> DataFrame:
@@ -35,25 +37,32 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
 
 
-def spearman(df: DataFrame, a: str, b: str, tie: str) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation over rows with both values, its t statistic and two-sided p."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(tie, a, b)
-    ranked = average_rank(average_rank(rows, a, tie, "_ra"), b, tie, "_rb")
+    rows = written(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b))
+    ranked = average_rank(average_rank(rows, a, "_ra"), b, "_rb")
     r = ranked.agg(F.corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
     return r.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))).withColumn("p_value", p_value(F.col("t"), F.col("n") - 2))
 
 
-def bootstrap_mean(df: DataFrame, value: str, key: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of the mean: every row draws its weight in a replicate from a seeded hash; mean and 2.5 / 97.5 % limits.  Sums are combined map-side, so `replicates` rows a task move; a row costs `replicates` draws, which is what the method is."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_r")), F.lit(2**31)) + 0.5) / 2**31
-    cdf, weight, p = 0.0, F.lit(0), math.exp(-1)
-    for k in range(9):
-        cdf += p
-        weight = weight + F.when(u > cdf, 1).otherwise(0)
-        p /= k + 1
-    rows = df.filter(F.col(value).isNotNull()).select(key, value).withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    means = rows.groupBy("_r").agg(F.try_divide(F.sum(F.col(value) * weight), F.sum(weight)).alias("m"))
-    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+def bootstrap_mean(df: DataFrame, value: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of the mean: its mean and 2.5 / 97.5 % limits over the replicates.
+
+    Equal values are counted first.  The weight of a value with c rows in a replicate is the sum of c draws of Poisson(1), which is one draw of Poisson(c); it is drawn from a generator seeded by (seed, value), for all replicates at once.  Tasks add weights and weighted values into two arrays of `replicates` sums, so no row is multiplied and a task hands on two arrays.
+    """
+    per = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, sums = np.zeros(replicates), np.zeros(replicates)
+        for b in batches:
+            for v, c in zip(b.column("v").to_numpy(), b.column("c").to_numpy()):
+                drawn = np.random.Generator(np.random.PCG64([seed, *np.frombuffer(np.float64(v).tobytes(), np.uint32).tolist()])).poisson(c, replicates)
+                weights += drawn
+                sums += drawn * v
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates)), pa.array(weights), pa.array(sums)], ["r", "w", "s"])
+
+    means = per.mapInArrow(run, "r long, w double, s double").groupBy("r").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
+    return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))  # `replicates` rows
 
 
 def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> DataFrame:
@@ -114,17 +123,17 @@ def weight_search(df: DataFrame, a: str, b: str, target: str, steps: int = 20) -
     return best.agg(F.min_by(F.struct(u.alias("weight_a"), v.alias("weight_b"), "corr"), F.struct("corr", "given_a", "given_b")).alias("x")).select("x.*")
 
 
-def liquidity_score(df: DataFrame, by: str, spread: str, depth: str, tie: str, weights: tuple[float, float]) -> DataFrame:
+def liquidity_score(df: DataFrame, by: str, spread: str, depth: str, weights: tuple[float, float]) -> DataFrame:
     """df with `spread_pct`, `depth_pct` (percentile ranks within `by`) and `liquidity_score`: the weighted sum of 1 - spread_pct and depth_pct."""
-    ranked = rank_pct(rank_pct(df, spread, tie, "spread_pct", by=by), depth, tie, "depth_pct", by=by)
+    ranked = rank_pct(rank_pct(df, spread, "spread_pct", by=by), depth, "depth_pct", by=by)
     return ranked.withColumn("liquidity_score", weights[0] * (1 - F.col("spread_pct")) + weights[1] * F.col("depth_pct"))
 
 
 def split_lift(df: DataFrame, by: str, split: str, value: str, quantile: float = 0.25, least: int = 10, side: int = 5) -> DataFrame:
     """Mean of value at or below the quantile of `split` and above, per group with enough rows on both sides."""
-    q = df.groupBy(F.col(by).alias("_g")).agg(F.percentile(split, quantile).alias("cut"), F.count("*").alias("n"))
+    q = group_quantiles(df, split, {"cut": quantile}, [by]).withColumnRenamed(by, "_g")
     low = F.col(split) <= F.col("cut")
-    out = df.join(q, F.col(by) == F.col("_g")).groupBy(by, "cut", "n").agg(F.count_if(low).alias("n_low"), F.count_if(~low).alias("n_high"), F.avg(F.when(low, F.col(value))).alias("mean_low"), F.avg(F.when(~low, F.col(value))).alias("mean_high"))
+    out = df.join(q, F.col(by) == F.col("_g")).groupBy(by, "cut").agg(F.count("*").alias("n"), F.count_if(low).alias("n_low"), F.count_if(~low).alias("n_high"), F.avg(F.when(low, F.col(value))).alias("mean_low"), F.avg(F.when(~low, F.col(value))).alias("mean_high"))
     return out.filter((F.col("n") >= least) & (F.col("n_low") >= side) & (F.col("n_high") >= side)).withColumn("lift", F.col("mean_high") - F.col("mean_low"))
 
 

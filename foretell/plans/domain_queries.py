@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foretell.functions import numbers
 from foretell.functions import text as tx
-from foretell.operators import book, elections, frames, geo, matching, quality, search, traders
+from foretell.operators import book, elections, frames, geo, matching, quality, ranks, search, traders
 from foretell.plans.market_queries import day_one, predictions, rounded
 from foretell.plans.registry import registry
 from foretell.plans.views import DAY, PRELUDE, markets, table, ticks
@@ -93,8 +93,9 @@ def liquidity_by_market(spark, sf):
 def daily_liquidity(spark, sf):
     s = ticks(spark, sf).select((F.col("market_id") % 200).alias("market_id"), F.col("tax").alias("spread"), (F.col("size") + F.col("price") * 50).alias("depth"))
     d = s.join(markets(spark, sf).select("market_id", F.floor(F.col("close_ts") / DAY).alias("day")), "market_id")
-    over = lambda c: F.when(F.col(c) > 0, F.col(c))
-    out = d.groupBy("day").agg(*[f(over(c)).alias(f"{n}_{c}") for c in ("spread", "depth") for n, f in (("median", F.median), ("mean", F.avg))])
+    d = d.select("day", *[F.when(F.col(c) > 0, F.col(c)).alias(c) for c in ("spread", "depth")])
+    medians = ranks.group_medians(d, ["spread", "depth"], ["day"]).select("day", *[F.col(f"{c}_median").alias(f"median_{c}") for c in ("spread", "depth")])
+    out = d.groupBy("day").agg(*[F.avg(c).alias(f"mean_{c}") for c in ("spread", "depth")]).join(medians, "day")
     return rounded(out.dropna(), "median_spread", "mean_spread", "median_depth", "mean_depth")
 
 

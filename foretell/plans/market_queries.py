@@ -9,6 +9,7 @@ from foretell.functions.numbers import half_up
 from foretell.operators import asof, binning, pricing, ranks, scoring, stats
 from foretell.plans.registry import registry
 from foretell.plans.views import DAY, PRELUDE, markets, ticks
+from foretell.sources.shared import written
 
 query, QUERIES, SQL = registry(PRELUDE)
 
@@ -53,6 +54,11 @@ def asof_backward_merge(spark, sf):
     return asof.backward(markets(spark, sf).select("market_id", "close_ts"), ticks(spark, sf), "market_id", "close_ts", "ts", "price", ["ord", "price"], strategy="merge")
 
 
+@query(_ASOF)
+def asof_scan(spark, sf):
+    return asof.backward(markets(spark, sf).select("market_id", "close_ts"), ticks(spark, sf), "market_id", "close_ts", "ts", "price", ["ord", "price"], strategy="scan")
+
+
 @query(f"SELECT m.market_id, m.close_ts, p.price FROM markets m LEFT JOIN (SELECT k.market_id, coalesce((array_agg(price ORDER BY ts DESC, ord DESC, price DESC) FILTER (WHERE t.ts <= k.close_ts - 2592000))[1], (array_agg(price ORDER BY ts, ord, price))[1]) AS price FROM markets k JOIN ticks t ON t.market_id = k.market_id GROUP BY 1) p USING (market_id)")
 def asof_or_first(spark, sf):
     m = markets(spark, sf).select("market_id", "close_ts").withColumn("at", F.col("close_ts") - 30 * DAY)
@@ -167,8 +173,9 @@ def directional_accuracy(spark, sf):
 
 @query("SELECT category, count(*) AS n, round(avg(volume_usd), 4) AS mean, round(median(volume_usd), 4) AS median, round(sum(volume_usd), 2) AS total FROM markets GROUP BY 1")
 def volume_stats(spark, sf):
-    m = markets(spark, sf).groupBy("category").agg(F.count("*").alias("n"), F.avg("volume_usd").alias("mean"), F.median("volume_usd").alias("median"), F.round(F.sum("volume_usd"), 2).alias("total"))
-    return rounded(m, "mean", "median", places=4)
+    own = markets(spark, sf)
+    m = own.groupBy("category").agg(F.count("*").alias("n"), F.avg("volume_usd").alias("mean"), F.round(F.sum("volume_usd"), 2).alias("total"))
+    return rounded(m.join(ranks.group_quantiles(own, "volume_usd", {"median": 0.5}, ["category"]), "category"), "mean", "median", places=4)
 
 
 @query("SELECT category, round(sum((p - outcome) * (p - outcome) * volume_usd) / sum(volume_usd), 6) AS weighted, round(avg((p - outcome) * (p - outcome)), 6) AS plain, count(*) AS n FROM predictions WHERE days = 1 GROUP BY 1")
@@ -210,7 +217,7 @@ def distinct_counts(spark, sf):
 
 @query(", a AS (SELECT platform, count(*) AS n, median(volume_usd) AS median_volume, avg(outcome) AS yes_rate, count(DISTINCT category) AS categories FROM markets GROUP BY 1) SELECT platform, metric, round(value, 4) AS value FROM (SELECT platform, 'n' AS metric, CAST(n AS DOUBLE) AS value FROM a UNION ALL SELECT platform, 'median_volume', median_volume FROM a UNION ALL SELECT platform, 'yes_rate', yes_rate FROM a UNION ALL SELECT platform, 'categories', categories FROM a)")
 def platform_table(spark, sf):
-    return rounded(scoring.attribute_table(markets(spark, sf), "platform", {"n": F.count("*"), "median_volume": F.median("volume_usd"), "yes_rate": F.avg("outcome"), "categories": F.countDistinct("category")}), "value", places=4)
+    return rounded(scoring.attribute_table(markets(spark, sf), "platform", {"n": F.count("*"), "yes_rate": F.avg("outcome"), "categories": F.countDistinct("category")}, {"median_volume": "volume_usd"}), "value", places=4)
 
 
 _PANEL = ", w AS (SELECT wallet, days, p, outcome, (p - outcome) * (p - outcome) AS brier, market_id FROM predictions JOIN (SELECT market_id, wallet FROM markets) USING (market_id)), a AS (SELECT market_id AS k, brier, p, outcome FROM w WHERE days = 1), b AS (SELECT market_id AS k, brier, p FROM w WHERE days = 30)"
@@ -268,7 +275,7 @@ def explicit_bins(spark, sf):
 @query(", x AS (SELECT market_id, p, (rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0) / count(*) OVER () AS pct, (rank() OVER (PARTITION BY category ORDER BY p) + (count(*) OVER (PARTITION BY category, p) - 1) / 2.0) / count(*) OVER (PARTITION BY category) AS in_category FROM predictions WHERE days = 1) SELECT market_id, p, round(pct, 6) AS pct, round(in_category, 6) AS in_category FROM x")
 def percentile_ranks(spark, sf):
     d = day_one(spark, sf).select("market_id", "category", "p")
-    return rounded(ranks.rank_pct(ranks.rank_pct(d, "p", "market_id", "pct"), "p", "market_id", "in_category", by="category"), "pct", "in_category").drop("category")
+    return rounded(ranks.rank_pct(ranks.rank_pct(written(d), "p", "pct"), "p", "in_category", by="category"), "pct", "in_category").drop("category")
 
 
 @query(_RANKED + " SELECT market_id, p, round(rank / n, 6) AS cdf FROM r")
@@ -311,7 +318,7 @@ def price_density(spark, sf):
 
 @query(", r AS (SELECT p, volume_usd, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS a, rank() OVER (ORDER BY volume_usd) + (count(*) OVER (PARTITION BY volume_usd) - 1) / 2.0 AS b FROM predictions WHERE days = 1) SELECT round(corr(a, b), 6) AS rho, count(*) AS n, round(corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) * corr(a, b))), 4) AS t, round(" + t_tail("(SELECT corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) * corr(a, b))) FROM r)", "(SELECT count(*) - 2 FROM r)") + ", 5) AS p_value FROM r")
 def spearman(spark, sf):
-    return rounded(rounded(rounded(stats.spearman(day_one(spark, sf), "p", "volume_usd", "market_id"), "rho"), "t", places=4), "p_value", places=5)
+    return rounded(rounded(rounded(stats.spearman(day_one(spark, sf), "p", "volume_usd"), "rho"), "t", places=4), "p_value", places=5)
 
 
 @query("SELECT round(corr(p, volume_usd), 6) AS p_volume_usd, round(corr(p, outcome), 6) AS p_outcome FROM predictions WHERE days = 1")
@@ -321,7 +328,7 @@ def correlations(spark, sf):
 
 @query()
 def bootstrap_brier(spark, sf):
-    return stats.bootstrap_mean(day_one(spark, sf).withColumn("b", scoring.brier(F.col("p"), F.col("outcome"))), "b", "market_id", 1000)
+    return stats.bootstrap_mean(day_one(spark, sf).withColumn("b", scoring.brier(F.col("p"), F.col("outcome"))), "b", 1000)
 
 
 @query(", d AS (SELECT CAST(outcome AS DOUBLE) AS y, p AS x FROM predictions WHERE days = 1) SELECT 'intercept' AS term, round(regr_intercept(y, x), 6) AS coef, round(regr_r2(y, x), 6) AS r2, count(*) AS n FROM d UNION ALL SELECT 'p', round(regr_slope(y, x), 6), round(regr_r2(y, x), 6), count(*) FROM d")
@@ -380,10 +387,9 @@ def specification_curve(spark, sf):
     cuts = F.explode(F.create_map(*[x for k, d in _CUTS.items() for x in (F.lit(k), F.lit(d))])).alias("truncation", "_d")
     asked = m.select("market_id", "platform", "volume_usd", "outcome", "close_ts", cuts).withColumn("at", F.col("close_ts") - F.col("_d") * DAY).drop("_d", "close_ts")
     quotes = ticks(spark, sf).select("market_id", "ts", "ord", "price", F.lit(None).cast("double").alias("midpoint"), F.col("price").alias("best_bid"), F.least(F.col("price") + F.col("tax"), F.lit(1.0)).alias("best_ask"))
-    prices = pricing.window_means(asked, ticks(spark, sf), "at", {"spot": -1} | {k: h * 3600 for k, h in _PRICES.items() if h})
     # a quote without a bid has no midpoint by the rules of snapshots; here its mean stands
-    mids = asof.backward(asked, quotes.withColumn("mid", (F.col("best_bid") + F.col("best_ask")) / 2), "market_id", "at", "ts", "mid", ["ord", "price"], "midpoint").select("market_id", "truncation", "midpoint")
-    out = stats.specification_curve(prices.join(mids, ["market_id", "truncation"]), list(_PRICES), [0, 1e3, 1e4, 1e5])
+    prices = pricing.window_means(asked, quotes, "at", {"spot": -1} | {k: h * 3600 for k, h in _PRICES.items() if h}, lasts={"midpoint": (F.col("best_bid") + F.col("best_ask")) / 2})
+    out = stats.specification_curve(prices, list(_PRICES), [0, 1e3, 1e4, 1e5])
     return rounded(out, "pm_score", "k_score", "score_diff")
 
 

@@ -90,7 +90,7 @@ def combined_midpoints(spark, sf):
 
 @query(", d AS (SELECT *, (p - outcome) * (p - outcome) AS b FROM predictions WHERE days = 1), r AS (SELECT b, (rank() OVER (ORDER BY volume_usd) + (count(*) OVER (PARTITION BY volume_usd) - 1) / 2.0) / count(*) OVER () AS pct FROM d), k AS (SELECT b, len(list_filter(range(51), lambda i: CAST(i AS DOUBLE) / 50 < pct)) - 1 AS bin FROM r) SELECT bin, count(*) AS n, round(avg(b), 6) AS brier FROM k GROUP BY 1")
 def liquidity_curve(spark, sf):
-    d = ranks.rank_pct(day_one(spark, sf).withColumn("b", scoring.brier(F.col("p"), F.col("outcome"))), "volume_usd", "market_id", "pct")
+    d = ranks.rank_pct(day_one(spark, sf).withColumn("b", scoring.brier(F.col("p"), F.col("outcome"))), "volume_usd", "pct")
     return rounded(d.groupBy(binning.cut(F.col("pct"), [k / 50 for k in range(51)], True).alias("bin")).agg(F.count("*").alias("n"), F.avg("b").alias("brier")), "brier")
 
 

@@ -297,7 +297,7 @@ def reportable_markets(spark, sf):
 
 @query(", d AS (SELECT market_id, category, p, volume_usd FROM predictions WHERE days = 1), r AS (SELECT market_id, category, (rank() OVER (PARTITION BY category ORDER BY p) + (count(*) OVER (PARTITION BY category, p) - 1) / 2.0) / count(*) OVER (PARTITION BY category) AS s, (rank() OVER (PARTITION BY category ORDER BY volume_usd) + (count(*) OVER (PARTITION BY category, volume_usd) - 1) / 2.0) / count(*) OVER (PARTITION BY category) AS v FROM d) SELECT market_id, category, round(0.3 * (1 - s) + 0.7 * v, 6) AS liquidity_score FROM r")
 def liquidity_scores(spark, sf):
-    d = stats.liquidity_score(day_one(spark, sf).select("market_id", "category", "p", "volume_usd"), "category", "p", "volume_usd", "market_id", (0.3, 0.7))
+    d = stats.liquidity_score(day_one(spark, sf).select("market_id", "category", "p", "volume_usd"), "category", "p", "volume_usd", (0.3, 0.7))
     return rounded(d, "liquidity_score").select("market_id", "category", "liquidity_score")
 
 

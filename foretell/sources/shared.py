@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: later steps read it as often as they like, and lost executors cost nothing but what they held."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/w-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

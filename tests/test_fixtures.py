@@ -83,7 +83,7 @@ def test_books(spark):
 
 def test_ranks_and_bins(spark):
     x = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 2.0), (4, 3.0), (5, None)], "id long, x double")
-    assert [r.rank_pct for r in ranks.rank_pct(x, "x", "id").orderBy("id").collect()] == [0.25, 0.625, 0.625, 1.0, None]
+    assert [r.rank_pct for r in ranks.rank_pct(x, "x").orderBy("id").collect()] == [0.25, 0.625, 0.625, 1.0, None]
     seven = spark.range(7).withColumn("x", F.col("id") * 1.0)
     assert [r["count"] for r in binning.equal_count_bins(seven, "x", "id", 3).groupBy("bin").count().orderBy("bin").collect()] == [2, 2, 3]
 
@@ -92,11 +92,11 @@ def test_ranks_and_bins(spark):
 @given(st.lists(st.one_of(st.sampled_from([0.0, 0.5, 1.0]), st.floats(-5, 5)), min_size=2, max_size=60))
 def test_bins_like_pandas(spark, xs):
     df = spark.createDataFrame(list(enumerate(map(float, xs))), "id long, x double")
-    got = [r.rank for r in ranks.global_rank(df, "x", "id", buckets=4).orderBy("id").collect()]
+    got = [r.rank for r in ranks.global_rank(df, "x", "id").orderBy("id").collect()]
     order = sorted(range(len(xs)), key=lambda i: (xs[i], i % ranks.SHARDS, i))
     assert [order[r - 1] for r in got] == list(range(len(xs)))
     s = pd.Series(xs)
-    assert [r.rank for r in ranks.average_rank(df, "x", "id").orderBy("id").collect()] == s.rank().tolist()
+    assert [r.rank for r in ranks.average_rank(df, "x").orderBy("id").collect()] == s.rank().tolist()
     assert binning.histogram(df, "x", 10, -5.0, 5.0).agg(F.sum("n")).first()[0] == len(xs)
 
 
@@ -173,7 +173,7 @@ def test_least_squares_matches_numpy(spark):
     inv = np.linalg.inv(design.T @ design)
     want = np.sqrt(np.diag(20 / 19 * 199 / 197 * inv @ s.T @ s @ inv))
     assert [r.se for r in stats.ols(df, "y", ["a", "b"], cluster="g").collect()] == pytest.approx(want.tolist())
-    b = stats.bootstrap_mean(df.withColumn("id", F.monotonically_increasing_id()), "y", "id", 400).first()
+    b = stats.bootstrap_mean(df, "y", 400).first()
     assert abs((b.high - b.low) / 3.92 - y.std() / np.sqrt(200)) < 0.05
 
 
@@ -251,7 +251,7 @@ def test_bootstrap_limits(spark):
     from foretell.operators import stats
 
     rows = spark.range(2000).select("id", (F.col("id") % 10).cast("double").alias("v"))
-    r = stats.bootstrap_mean(rows, "v", "id", 300).first()
+    r = stats.bootstrap_mean(rows, "v", 300).first()
     assert abs(r.mean - 4.5) < 0.02 and 0.8 * 2 * 1.96 * 2.872 / 2000**0.5 < r.high - r.low < 1.2 * 2 * 1.96 * 2.872 / 2000**0.5
 
 
