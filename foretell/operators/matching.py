@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from foretell.functions import text as tx
 from foretell.operators.frames import race_key
+from foretell.sources.shared import written
 
 LEAST_CONFIDENCE, NAME_THRESHOLD = 0.6, 85
+#: Names up to this length share no pair of letters for certain with all that are alike.
+SHORT_NAME = 4
 #: Sampled ids that cut the id order into buckets for ranks.
 BOUNDS = 128
 
@@ -100,12 +106,52 @@ def candidates(kalshi: DataFrame, polymarket: DataFrame, least: float = LEAST_CO
     return _scored(k, p).filter(F.col("confidence") >= least).select("k_id", "p_id", "event", "confidence")
 
 
+def similar_names(left: DataFrame, right: DataFrame, least: int = NAME_THRESHOLD) -> DataFrame:
+    """x, y, names: every pair of a plain name of left (x) and one of right (y) whose score is at least `least`, once, without comparing all pairs.
+
+    Equal names and equal last names (x_last, y_last) meet by joins.  Of other pairs the shorter name is aligned to the longer or to a window of it no longer than itself; a ratio of r = (least - 0.5) / 100 then leaves at most (1 - r) * 3.5 of its m letters' pairs of neighbours changed (a letter taken out changes two pairs, one put in changes one, and a window may be shorter by some (1 - r) * 2 * m), so of any that many and one more, one stands unchanged in the longer name.  The rarest are taken: they are looked up among all pairs of neighbours of the other side, and only names that meet there are scored.  The same holds for names with sorted words.  Names of at most SHORT_NAME letters are compared with all.
+    """
+    miss = 1 - (least - 0.5) / 100
+    forms = lambda side, c: side.select(c).distinct().select(F.col(c).alias("n"), F.inline(F.array(F.struct(F.lit(0).alias("form"), F.col(c).alias("s")), F.struct(F.lit(1).alias("form"), F.array_join(F.array_sort(F.split(c, "\\s+")), " ").alias("s")))))
+    sides = {c: written(forms(side.filter(F.col(c) != ""), c).select("n", "form", F.posexplode(_neighbours("s")).alias("i", "gram"), F.char_length("n").alias("m"))) for side, c in ((left, "x"), (right, "y"))}
+    often = sides["x"].select("form", "gram").union(sides["y"].select("form", "gram")).groupBy("form", "gram").agg(F.count("*").alias("often"))
+
+    def meets(short: str, long: str, strict: bool) -> DataFrame:
+        rare = Window.partitionBy("n", "form").orderBy("often", "gram", "i")  # the letters of a name
+        probes = sides[short].join(often, ["form", "gram"]).withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") <= F.floor(F.col("m") * miss * 3.5) + 1)
+        probes = probes.select("form", "gram", F.col("n").alias(short), F.col("m").alias("_m")).distinct()
+        held = sides[long].select("form", "gram", F.col("n").alias(long), F.col("m").alias("_l")).distinct()
+        fits = F.col("_m") < F.col("_l") if strict else F.col("_m") <= F.col("_l")
+        return probes.join(held, ["form", "gram"]).filter(fits).select("x", "y")
+
+    names = {c: side.select(c, f"{c}_last").filter(F.col(c) != "").distinct() for side, c in ((left, "x"), (right, "y"))}
+    short = lambda c: F.char_length(c) <= SHORT_NAME
+    met = [
+        meets("x", "y", False), meets("y", "x", True),
+        names["x"].join(names["y"], F.col("x") == F.col("y")).select("x", "y"),
+        names["x"].join(names["y"], (F.col("x_last") != "") & (F.col("x_last") == F.col("y_last"))).select("x", "y"),
+        names["x"].join(F.broadcast(names["y"].filter(short("y"))), F.lit(True)).select("x", "y"), F.broadcast(names["x"].filter(short("x"))).join(names["y"], F.lit(True)).select("x", "y"),
+    ]
+    pairs = reduce(DataFrame.union, met).distinct().join(names["x"], "x").join(names["y"], "y")
+    same, last = F.col("x") == F.col("y"), (F.col("x_last") != "") & (F.col("x_last") == F.col("y_last"))
+    scored = pairs.withColumn("names", F.when(same, 100).when(last, 95).otherwise(_ratio(F.col("x"), F.col("y"))))
+    return scored.filter(F.col("names") >= least).select("x", "y", "names")
+
+
+def _neighbours(c: str) -> Column:
+    """The pairs of neighbouring letters of a name, in order."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
+
+
 def _scored(k: DataFrame, p: DataFrame) -> DataFrame:
-    """Pairs of one event whose categories (k_cat, p_cat) do not differ, with the confidence of frames a and b."""
-    pairs = _names(k, "a", "_x").join(_names(p, "b", "_y"), "event").filter(F.coalesce(F.col("k_cat") == F.col("p_cat"), F.lit(True)))
-    same, last = F.col("_x") == F.col("_y"), (F.col("_x_last") != "") & (F.col("_x_last") == F.col("_y_last"))
-    scored = pairs.withColumn("names", F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.when(same, 100).when(last, 95).otherwise(_ratio(F.col("_x"), F.col("_y")))))
-    return scored.drop("_x", "_y", "_x_last", "_y_last").withColumn("confidence", confidence(F.col("a"), F.col("b"), F.col("names")))
+    """Pairs of one event whose categories (k_cat, p_cat) do not differ, with the confidence of frames a and b.  Names are scored once for each pair of different ones; those that are not alike count as 0."""
+    k, p = written(_names(k, "a", "_x")), written(_names(p, "b", "_y"))
+    pairs = k.join(p, "event").filter(F.coalesce(F.col("k_cat") == F.col("p_cat"), F.lit(True)))
+    own = lambda side, c, name: side.filter(F.col(c).isNotNull()).select(F.col(c).alias(name), F.col(f"{c}_last").alias(f"{name}_last"))
+    alike = similar_names(own(k, "_x", "x"), own(p, "_y", "y"))
+    named = pairs.join(alike, (F.col("_x") == F.col("x")) & (F.col("_y") == F.col("y")), "left")
+    named = named.withColumn("names", F.when(F.col("_x").isNotNull() & F.col("_y").isNotNull(), F.coalesce("names", F.when(F.col("_x") == F.col("_y"), 100).otherwise(0))))
+    return named.drop("_x", "_y", "_x_last", "_y_last", "x", "y").withColumn("confidence", confidence(F.col("a"), F.col("b"), F.col("names")))
 
 
 def assign(pairs: DataFrame) -> DataFrame:
@@ -146,10 +192,10 @@ def one_to_one(kalshi: DataFrame, polymarket: DataFrame, least: float = LEAST_CO
 
     Markets of an event with equal category and frame form a class, and only classes are paired and scored.  Two classes that have no other partner meet by rank: the n-th k_id takes the n-th p_id.  Classes that contend for partners are walked event by event with their members once each; such an event is one task.
     """
-    k, p = _classes(kalshi, "k"), _classes(polymarket, "p")
+    k, p = written(_classes(kalshi, "k")), written(_classes(polymarket, "p"))
     a = k.groupBy("event", "k_class").agg(F.first("k_cat").alias("k_cat"), F.first("frame").alias("a"))
     b = p.groupBy("event", "p_class").agg(F.first("p_cat").alias("p_cat"), F.first("frame").alias("b"))
-    pairs = _scored(a, b).filter(F.col("confidence") >= least).select("event", "k_class", "p_class", "confidence")
+    pairs = written(_scored(a, b).filter(F.col("confidence") >= least).select("event", "k_class", "p_class", "confidence"))
     partners = lambda c: F.count("*").over(Window.partitionBy("event", c))
     pairs = pairs.withColumn("_alone", (partners("k_class") == 1) & (partners("p_class") == 1))
     alone, contended = pairs.filter("_alone").drop("_alone"), pairs.filter("NOT _alone").drop("_alone")
@@ -159,30 +205,33 @@ def one_to_one(kalshi: DataFrame, polymarket: DataFrame, least: float = LEAST_CO
     own_p = _ranked(p.select("p_id", "event", "p_class").join(alone.drop("confidence"), ["event", "p_class"]), key, "p_id")
     met = own_k.join(own_p, [*key, "rank"]).select("k_id", "p_id", "event", "confidence")
 
-    kinds = dict(k.dtypes)["k_id"], dict(p.dtypes)["p_id"]
-    no = lambda kind: F.lit(None).cast(kind)
+    kinds = k.schema["k_id"].dataType, p.schema["p_id"].dataType
+    text = lambda rows, c: rows.withColumn(c, F.col(c).cast("string"))  # noqa: E731  pandas would make doubles of numbers next to nulls
     of = lambda rows, c: rows.join(contended.select("event", c).distinct(), ["event", c], "left_semi")
-    rows = contended.select("event", no(kinds[0]).alias("k_id"), no(kinds[1]).alias("p_id"), "k_class", "p_class", "confidence")
-    rows = rows.unionByName(of(k, "k_class").select("event", "k_id", "k_class"), allowMissingColumns=True)
-    rows = rows.unionByName(of(p, "p_class").select("event", "p_id", "p_class"), allowMissingColumns=True)
-    return met.union(rows.groupBy("event").applyInPandas(_walk, met.schema))
+    rows = contended.select("event", F.lit(None).cast("string").alias("k_id"), F.lit(None).cast("string").alias("p_id"), "k_class", "p_class", "confidence")
+    rows = rows.unionByName(text(of(k, "k_class").select("event", "k_id", "k_class"), "k_id"), allowMissingColumns=True)
+    rows = rows.unionByName(text(of(p, "p_class").select("event", "p_id", "p_class"), "p_id"), allowMissingColumns=True)
+    order = tuple(int if isinstance(kind, IntegralType) else str for kind in kinds)
+    walked = rows.groupBy("event").applyInPandas(lambda group: _walk(group, *order), "k_id string, p_id string, event string, confidence double")
+    return met.union(walked.select(F.col("k_id").cast(kinds[0]), F.col("p_id").cast(kinds[1]), "event", "confidence"))
 
 
-def _walk(group: pd.DataFrame) -> pd.DataFrame:
-    """The greedy assignment of one event from its scored pairs of classes and their members."""
+def _walk(group: pd.DataFrame, k_order: type = str, p_order: type = str) -> pd.DataFrame:
+    """The greedy assignment of one event from its scored pairs of classes and their members; ids come as text and are ordered as what they are."""
     scored = group[group["confidence"].notna()].sort_values("confidence", ascending=False, kind="stable")
     wanted: dict[str, list[tuple[float, str]]] = {}
     for c, d, sure in zip(scored["k_class"], scored["p_class"], scored["confidence"]):
         wanted.setdefault(c, []).append((sure, d))
+    members = lambda i, c, order: sorted((order(x), d) for x, d in group.loc[group[i].notna(), [i, c]].itertuples(index=False))
     free: dict[str, list] = {}
-    for i, d in group[group["p_id"].notna()].sort_values("p_id", ascending=False)[["p_id", "p_class"]].itertuples(index=False):
+    for i, d in reversed(members("p_id", "p_class", p_order)):
         free.setdefault(d, []).append(i)
     rows = []
-    for i, c in group[group["k_id"].notna()].sort_values("k_id")[["k_id", "k_class"]].itertuples(index=False):
+    for i, c in members("k_id", "k_class", k_order):
         wanted[c] = left = [(sure, d) for sure, d in wanted[c] if free[d]]
         if left:
             sure, _, d = min(((sure, free[d][-1], d) for sure, d in left if sure == left[0][0]), key=lambda x: x[1])
-            rows.append((i, free[d].pop(), group["event"].iloc[0], sure))
+            rows.append((str(i), str(free[d].pop()), group["event"].iloc[0], sure))
     return pd.DataFrame(rows, columns=["k_id", "p_id", "event", "confidence"])
 
 
