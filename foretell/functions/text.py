@@ -183,9 +183,6 @@ US_TYPES = {
 # Election type by office elsewhere.
 OTHER_TYPES = {"President": ("Presidential", "Presidential Primary"), "Prime Minister": ("Prime Minister",) * 2, "Chancellor": ("Chancellor",) * 2, "Parliament": ("Parliamentary",) * 2, "European Parliament": ("European Parliament",) * 2, "Regional": ("Regional Election",) * 2, "Mayor": ("Mayoral", "Mayoral Primary")}
 REVIEW = "OTHER_NEEDS_REVIEW"
-#: Subjects that keep a question, and reasons to leave one out, in the order of trial.
-POLITICAL = r"(?i)\b(election|president|senate|congress|governor|minister|parliament|vote|ballot|party|policy|tariffs?|sanctions?|war|fed)\b"
-NOT_POLITICAL = [("sports", r"\b(nba|nfl|mlb|nhl|super bowl|championship|playoffs?|goals?|match)\b"), ("esports", r"\b(esports?|dota|league of legends|counter-strike)\b"), ("crypto", r"\b(bitcoin|btc|ethereum|eth|crypto)\b"), ("entertainment", r"\b(oscars?|grammys?|box office|album|movie)\b"), ("weather", r"\b(temperature|rainfall|hurricane)\b")]
 
 
 def election_type(office: Column, primary: Column, country: Column) -> Column:
@@ -194,11 +191,6 @@ def election_type(office: Column, primary: Column, country: Column) -> Column:
     return F.when(office.isNotNull(), F.when(F.coalesce(country == "United States", F.lit(False)), pick(US_TYPES)).otherwise(F.coalesce(pick(OTHER_TYPES), F.lit(REVIEW))))
 
 
-def not_political(question: Column) -> Column:
-    """The first reason a question is not political; null if it is or may be."""
-    return F.when(question.rlike(POLITICAL), None).otherwise(F.coalesce(*[F.when(question.rlike(f"(?i){p}"), reason) for reason, p in NOT_POLITICAL]))
-
-
 def category_label(category: Column) -> Column:
     """`12. SOME_NAME` as `Some Name`."""
     return F.initcap(F.replace(F.lower(F.regexp_replace(category, r"^\d+[.-]\s*", "")), F.lit("_"), F.lit(" ")))

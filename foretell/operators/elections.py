@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foretell.operators.patterns import substrings
 from foretell.operators.ranks import group_medians
 
 DAY = 86400
@@ -73,18 +74,35 @@ def swap_for_volume(selected: DataFrame, markets: DataFrame, key: str) -> DataFr
     return joined.select(key, F.when(larger, F.col("b.market_id")).otherwise(F.col("market_id")).alias("market_id"), F.coalesce(larger, F.lit(False)).alias("swapped"))
 
 
-def match_by_place(elections: DataFrame, markets: DataFrame) -> DataFrame:
-    """Markets of each election by year and, unless it is national, state: an equi-join on what the question names.  elections: id, state, year, national; markets: key, state, year."""
-    m = markets.filter(F.col("year").isNotNull()).select("key", F.col("state").alias("_state"), F.col("year").alias("_year"))
-    local = elections.filter(~F.col("national")).join(m, (F.col("state") == F.col("_state")) & (F.col("year") == F.col("_year")))
-    national = elections.filter("national").join(m, F.col("year") == F.col("_year"))
-    return local.unionByName(national).select("id", "key")
+def match_by_text(elections: DataFrame, markets: DataFrame, states: DataFrame) -> DataFrame:
+    """id, key: the markets of each election, by what their label or question says: the election's year and, unless it is national, its state, by code or by name, in lower case.
+
+    elections: id, name, state (code), day (text, yyyy-mm-dd); markets: key, label, question; states: code, name.  An election whose name holds `general election` or `presidential` is national.  States and years are looked for in all texts at once (see patterns.py); texts meet elections by what was found in them.
+    """
+    text = F.lower(F.concat_ws("\n", F.coalesce("label", F.lit("")), F.coalesce("question", F.lit(""))))
+    m = markets.select("key", text.alias("_text"))
+    asked = elections.select("id", "state", F.regexp_extract("day", r"^(\d{4})-\d{2}-\d{2}$", 1).alias("_year"), F.lower("name").rlike("general election|presidential").alias("_national")).filter("_year <> ''")
+    asked = asked.withColumn("_national", F.coalesce("_national", F.lit(False)))
+    named = elections.select(F.col("state").alias("code")).filter("code is not null").distinct().join(states, "code", "left")
+    words = named.select("code", F.explode(F.array(F.lower("code"), F.lower("name"))).alias("_word")).filter("_word is not null and _word <> ''")
+    by_state = substrings(m, "_text", words, "_word").join(words, "_word").select("_text", F.col("code").alias("state")).distinct()
+    by_year = substrings(m, "_text", asked, "_year")
+    local = by_state.join(by_year, "_text").join(asked.filter("NOT _national"), ["state", "_year"])
+    national = by_year.join(asked.filter("_national"), "_year")
+    return local.select("id", "_text").unionByName(national.select("id", "_text")).join(m, "_text").select("id", "key")
 
 
 def race_context(markets: DataFrame, races: DataFrame) -> DataFrame:
-    """Each market's first race of its state whose year is equal or missing on either side.  markets: key, state, year; races: race, state, race_year, ord."""
-    same = F.col("year").isNull() | F.col("race_year").isNull() | (F.col("year") == F.col("race_year"))
-    return markets.join(races, "state").filter(same).groupBy("key").agg(F.min_by("race", "ord").alias("race"))
+    """Each market's first race of its state whose year is equal or missing on either side.  markets: key, state, year; races: race, state, race_year, ord.
+
+    Races are brought down to the first of each (state, year) and of each state, so a market meets at most two rows.
+    """
+    first = F.min(F.struct("ord", "race"))
+    dated = races.groupBy("state", F.col("race_year").alias("year")).agg(first.alias("_own"))
+    undated = races.groupBy("state").agg(F.min(F.when(F.col("race_year").isNull(), F.struct("ord", "race"))).alias("_any_year"), first.alias("_all"))
+    both = markets.join(undated, "state").join(dated, ["state", "year"], "left")
+    best = F.when(F.col("year").isNull(), F.col("_all")).otherwise(F.least("_own", "_any_year"))
+    return both.select("key", best.alias("_best")).filter("_best is not null").select("key", F.col("_best.race").alias("race"))
 
 
 def leader(candidates: DataFrame, election: str) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foretell.functions import text as tx
-from foretell.operators import binning, book, elections, matching, pricing, quality, ranks, scoring, stats
+from foretell.functions.subjects import NOT_POLITICAL, POLITICAL_WORDS
+from foretell.operators import binning, book, elections, matching, patterns, pricing, quality, ranks, scoring, stats
 from foretell.plans.domain_queries import _BOOK, _QUESTIONS, books, questions
 from foretell.plans.market_queries import LAST, day_one, predictions, rounded
 from foretell.plans.registry import registry
-from foretell.plans.views import DAY, PRELUDE, markets, ticks
+from foretell.plans.views import DAY, PRELUDE, markets, table, ticks
+from foretell.sources.shared import written
 
 query, QUERIES, SQL = registry(PRELUDE)
 
@@ -34,10 +36,29 @@ def ticker_hints(spark, sf):
     return t.groupBy("ticker", tx.ticker_fields(F.col("ticker")).alias("f")).agg(F.count("*").alias("n")).select("ticker", "f.*", "n").na.fill("-")
 
 
-@query(_QUESTIONS + f", r AS (SELECT question, CASE WHEN regexp_matches(question, '{tx.POLITICAL}') THEN NULL " + " ".join(f"WHEN regexp_matches(question, '(?i){p}') THEN '{n}'" for n, p in tx.NOT_POLITICAL) + " END AS reason FROM q) SELECT question, coalesce(reason, 'kept') AS reason, count(*) AS n FROM r GROUP BY 1, 2")
+#: Titles by market_id, with the year of the close in place of Y.
+_TITLES = [
+    "Will the Chiefs win the Y Super Bowl?", "Over/under on points in game 7", "Will the senate vote on the NBA bill in Y?", "Who is next Head Coach of the Jets?", "Lakers vs Celtics: Winner?", "Will T1 win the Y Worlds?", "Will Bitcoin be above $100000 in Y?", "BTC dominance over 60%?",
+    "Will TSLA stock close above 300 in Y?", "S&P 500 to hit $7000 in Y?", "WTI crude above 90?", "Gold (GC) settle over 3000?", "Best Picture: will Dune win the award?", "Box office of the year Y", "New single: release a new album in Y?", "Big Brother winner of Y?", "Big Brother and surveillance in China",
+    "OpenAI worth $900B in Y?", "Which is the best AI model in Y?", "Reach 200 Million subscribers by Y?", "Will she be engaged in Y?", "At least 3 inches of snow in Y", "GTA VI before ceasefire?", "GTA VI released in Y?", "Charizard over $500?", "How often will Elon tweet?", "TSA passengers in May Y",
+    "Eurovision Y: Sweden?", "Magnitude 8 earthquake? Any earthquakes of magnitude 8 in Y", "Cloudflare outage in Y?", "Harvard university to cancel exams", "Yes Mahomes Rushes,yes", "Hottest summer on record?", "Will it rain at noon?", "A ban on MrBeast?", "Will Y be a leap year?",
+]
+_TITLE_SQL = ", q AS (SELECT market_id, replace((" + str(_TITLES).replace("\"", "'") + ")[market_id % 36 + 1], 'Y', CAST(2024 + close_ts // 86400 % 6 AS VARCHAR)) AS question FROM markets)"
+
+
+def _matches_sql(pattern: str) -> str:
+    """A pattern as SQL; DuckDB's regular expressions have no `not followed by`."""
+    quoted = pattern.replace("'", "''")
+    base, _, rest = quoted.partition("(?!")
+    one = f"regexp_matches(question, '(?i){base}')"
+    return one if not rest else f"({one} AND NOT regexp_matches(question, '(?i){base}{rest[:-1]}'))"
+
+
+@query(_TITLE_SQL + rf", r AS (SELECT question, CASE WHEN regexp_matches(question, '(?i)\b({'|'.join(POLITICAL_WORDS)})\b') THEN 'kept' " + " ".join(f"WHEN {_matches_sql(p)} THEN '{reason}'" for p, reason in NOT_POLITICAL) + " ELSE 'kept' END AS reason FROM q) SELECT question, reason, count(*) AS n FROM r GROUP BY 1, 2")
 def prefilter(spark, sf):
-    q = questions(spark, sf)
-    return q.groupBy("question", F.coalesce(tx.not_political(F.col("question")), F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("market_id") % 36 + 1).cast("int"))
+    q = written(markets(spark, sf).groupBy(F.replace(title, F.lit("Y"), (2024 + F.floor(F.col("close_ts") / DAY) % 6).cast("string")).alias("question")).agg(F.count("*").alias("n")))
+    return q.join(patterns.not_political(q, "question"), "question", "left").select("question", F.coalesce("reason", F.lit("kept")).alias("reason"), "n")
 
 
 @query("SELECT category, array_to_string(list_transform(string_split(lower(regexp_replace(category, '^\\d+[.-]\\s*', '')), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label, count(*) AS n FROM markets GROUP BY 1, 2")
@@ -45,17 +66,49 @@ def category_labels(spark, sf):
     return markets(spark, sf).groupBy("category", tx.category_label(F.col("category")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query(", m AS (SELECT market_id AS key, (['OH', 'PA', 'WV', NULL])[market_id % 4 + 1] AS state, CAST(2024 + market_id % 3 AS INTEGER) AS year FROM markets), e(id, state, year, nat) AS (VALUES (1, 'OH', 2024, false), (2, 'PA', 2025, false), (3, NULL, 2026, true)) SELECT id, key FROM e JOIN m ON m.year = e.year AND (nat OR m.state = e.state)")
+_STATES = {"oh": "ohio", "pa": "pennsylvania", "tx": "texas", "wi": "wisconsin", "nm": "new mexico", "va": "virginia", "wv": "west virginia", "az": "arizona"}
+#: Markets whose texts name a state by name or by code and a year; elections by supplier, every 20th national.
+_RACES = f"""
+, s AS (SELECT {list(_STATES)} AS codes, {list(_STATES.values())} AS names),
+m AS (SELECT market_id AS key, CASE WHEN market_id % 3 = 0 THEN names[wallet % 8 + 1] || ' Senate' END AS label,
+             'Will a Democrat win ' || CASE WHEN market_id % 3 = 0 THEN 'it' WHEN market_id % 3 = 1 THEN upper(names[wallet % 8 + 1]) ELSE upper(codes[wallet % 8 + 1]) || '-0' || market_id % 9 END || ' in ' || (1970 + close_ts // 31557600 + 30) || '?' AS question FROM markets, s),
+e AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 20 = 0 THEN 'Presidential Election' ELSE 'Primary ' || s_suppkey END AS name, CASE WHEN s_suppkey % 20 > 0 THEN upper(codes[s_nationkey % 8 + 1]) END AS state,
+             CASE WHEN s_suppkey % 7 > 0 THEN (2022 + s_suppkey % 7) || '-11-05' END AS day FROM supplier, s),
+n AS (SELECT upper(unnest(codes)) AS code, unnest(names) AS name FROM s)
+"""
+
+
+def _race_tables(spark, sf):
+    codes, names = (F.array(*map(F.lit, x)) for x in (list(_STATES), list(_STATES.values())))
+    of = lambda side, c: F.get(side, (F.col(c) % 8).cast("int"))
+    kind, year = F.col("market_id") % 3, (2000 + F.floor(F.col("close_ts") / 31557600)).cast("string")
+    named = F.when(kind == 0, "it").when(kind == 1, F.upper(of(names, "wallet"))).otherwise(F.concat(F.upper(of(codes, "wallet")), F.lit("-0"), (F.col("market_id") % 9).cast("string")))
+    m = markets(spark, sf).select(F.col("market_id").alias("key"), F.when(kind == 0, F.concat(of(names, "wallet"), F.lit(" Senate"))).alias("label"), F.concat(F.lit("Will a Democrat win "), named, F.lit(" in "), year, F.lit("?")).alias("question"))
+    id_ = F.col("s_suppkey")
+    e = table(spark, sf, "supplier").select(
+        id_.alias("id"), F.when(id_ % 20 == 0, "Presidential Election").otherwise(F.concat(F.lit("Primary "), id_.cast("string"))).alias("name"),
+        F.when(id_ % 20 > 0, F.upper(of(codes, "s_nationkey"))).alias("state"), F.when(id_ % 7 > 0, F.concat((2022 + id_ % 7).cast("string"), F.lit("-11-05"))).alias("day"),
+    )
+    states = spark.createDataFrame([(c.upper(), n) for c, n in _STATES.items()], "code string, name string")
+    return e, m, states
+
+
+@query(_RACES + """, t AS (SELECT key, lower(coalesce(label, '')) AS label, lower(coalesce(question, '')) AS question FROM m),
+a AS (SELECT id, lower(state) AS code, n.name AS place, year, lower(e.name) LIKE '%presidential%' OR lower(e.name) LIKE '%general election%' AS national FROM (SELECT *, day[1:4] AS year FROM e WHERE day IS NOT NULL) e LEFT JOIN n ON e.state = n.code),
+b AS (SELECT DISTINCT code, place, year, national FROM a),
+x AS (SELECT b.*, t.key FROM b JOIN t ON (contains(label, year) OR contains(question, year)) AND (national OR contains(label, code) OR contains(question, code) OR contains(label, place) OR contains(question, place)))
+SELECT id, count(*) AS n, min(key) AS first_key, max(key) AS last_key FROM a JOIN x ON a.year = x.year AND a.national = x.national AND a.code IS NOT DISTINCT FROM x.code GROUP BY 1""")
 def elections_by_place(spark, sf):
-    m = markets(spark, sf).select(F.col("market_id").alias("key"), F.element_at(F.array(F.lit("OH"), F.lit("PA"), F.lit("WV"), F.lit(None).cast("string")), (F.col("market_id") % 4 + 1).cast("int")).alias("state"), (2024 + F.col("market_id") % 3).cast("int").alias("year"))
-    e = spark.createDataFrame([(1, "OH", 2024, False), (2, "PA", 2025, False), (3, None, 2026, True)], "id int, state string, year int, national boolean")
-    return elections.match_by_place(e, m)
+    return elections.match_by_text(*_race_tables(spark, sf)).groupBy("id").agg(F.count("*").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
-@query(", m AS (SELECT market_id AS key, (['OH', 'PA', 'WV', NULL])[market_id % 4 + 1] AS state, CASE WHEN market_id % 5 > 0 THEN 2024 + market_id % 3 END AS year FROM markets), r(race, state, ry, ord) AS (VALUES ('oh-24', 'OH', 2024, 1), ('oh-any', 'OH', NULL, 2), ('pa-25', 'PA', 2025, 3)) SELECT key, arg_min(race, ord) AS race FROM m JOIN r USING (state) WHERE year IS NULL OR ry IS NULL OR year = ry GROUP BY 1")
+@query(""", m AS (SELECT market_id AS key, wallet % 25 AS state, CASE WHEN market_id % 5 > 0 THEN CAST(2024 + market_id % 3 AS INTEGER) END AS year FROM markets),
+r AS (SELECT s_name AS race, s_nationkey AS state, CASE WHEN s_suppkey % 4 > 0 THEN CAST(2023 + s_suppkey % 4 AS INTEGER) END AS ry, s_acctbal AS ord FROM supplier)
+SELECT key, arg_min(race, {'o': ord, 'r': race}) AS race FROM m JOIN r USING (state) WHERE year IS NULL OR ry IS NULL OR year = ry GROUP BY 1""")
 def race_context(spark, sf):
-    m = markets(spark, sf).select(F.col("market_id").alias("key"), F.element_at(F.array(F.lit("OH"), F.lit("PA"), F.lit("WV"), F.lit(None).cast("string")), (F.col("market_id") % 4 + 1).cast("int")).alias("state"), F.when(F.col("market_id") % 5 > 0, 2024 + F.col("market_id") % 3).alias("year"))
-    r = spark.createDataFrame([("oh-24", "OH", 2024, 1), ("oh-any", "OH", None, 2), ("pa-25", "PA", 2025, 3)], "race string, state string, race_year int, ord int")
+    m = markets(spark, sf).select(F.col("market_id").alias("key"), (F.col("wallet") % 25).cast("int").alias("state"), F.when(F.col("market_id") % 5 > 0, 2024 + F.col("market_id") % 3).cast("int").alias("year"))
+    id_ = F.col("s_suppkey")
+    r = table(spark, sf, "supplier").select(F.col("s_name").alias("race"), F.col("s_nationkey").cast("int").alias("state"), F.when(id_ % 4 > 0, 2023 + id_ % 4).cast("int").alias("race_year"), F.col("s_acctbal").alias("ord"))
     return elections.race_context(m, r)
 
 
