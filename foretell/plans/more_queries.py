@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretell.functions import text as tx
 from foretell.functions.subjects import NOT_POLITICAL, POLITICAL_WORDS
-from foretell.operators import binning, book, elections, matching, patterns, pricing, quality, ranks, scoring, stats
+from foretell.operators import binning, book, elections, matching, patterns, pricing, quality, ranks, scoring, search_index, stats
 from foretell.plans.domain_queries import _BOOK, _QUESTIONS, books, questions
 from foretell.plans.market_queries import LAST, day_one, predictions, rounded
 from foretell.plans.registry import registry
 from foretell.plans.views import DAY, PRELUDE, markets, table, ticks
-from foretell.sources.shared import written
+from foretell.sources import readers, snapshots
+from foretell.sources.shared import shared_dir, written
 
 query, QUERIES, SQL = registry(PRELUDE)
 
@@ -204,3 +209,112 @@ def latest_price_by_platform(spark, sf):
     last = ticks(spark, sf).groupBy("market_id").agg(F.max_by("price", F.struct("ts", "ord", "price")).alias("price"))
     j = markets(spark, sf).join(last, "market_id")
     return rounded(j.groupBy("platform").agg(F.count("*").alias("n"), F.avg("price").alias("mean")), "mean")
+
+
+#: The ten fields of a listing entry that a filter looks in.
+_FIELDS = ["label", "pm_question", "k_question", "location", "country", "office", "party", "type", "pm_candidate", "k_candidate"]
+_ENTRIES = _TITLE_SQL + f"""
+, f AS (SELECT m.market_id, CASE WHEN market_id % 3 = 0 THEN NULL ELSE q.question END AS label, CASE WHEN platform = 'polymarket' THEN q.question END AS pm_question, CASE WHEN platform = 'kalshi' THEN q.question END AS k_question, ({list(_STATES.values())})[wallet % 8 + 1] AS location,
+  CASE WHEN market_id % 2 = 0 THEN 'United States' END AS country, (['Senate', 'House', 'Governor'])[market_id % 3 + 1] AS office, (['Democrat', 'Republican'])[wallet % 2 + 1] AS party, category AS type,
+  CASE WHEN platform = 'polymarket' THEN 'Candidate ' || wallet END AS pm_candidate, CASE WHEN platform = 'kalshi' THEN 'Runner ' || wallet END AS k_candidate FROM markets m JOIN q USING (market_id)),
+h AS (SELECT *, lower(concat_ws(' ', {", ".join(f"coalesce({f}, '')" for f in _FIELDS)})) AS hay FROM f)
+"""
+
+
+def _entries(spark, sf):
+    m = markets(spark, sf)
+    title = F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("market_id") % 36 + 1).cast("int"))
+    q = F.replace(title, F.lit("Y"), (2024 + F.floor(F.col("close_ts") / DAY) % 6).cast("string"))
+    of = lambda values, by: F.get(F.array(*map(F.lit, values)), (F.col(by) % len(values)).cast("int"))
+    on, number = (lambda v, x: F.when(F.col("platform") == v, x)), F.col("wallet").cast("string")
+    values = [
+        F.when(F.col("market_id") % 3 != 0, q), on("polymarket", q), on("kalshi", q), of(list(_STATES.values()), "wallet"), F.when(F.col("market_id") % 2 == 0, "United States"), of(["Senate", "House", "Governor"], "market_id"),
+        of(["Democrat", "Republican"], "wallet"), F.col("category"), on("polymarket", F.concat(F.lit("Candidate "), number)), on("kalshi", F.concat(F.lit("Runner "), number)),
+    ]
+    return m.select("market_id", *[v.alias(f) for v, f in zip(values, _FIELDS)])
+
+
+_ASKED = ["super BOWL 2026", "candidate 12", "runner unner 1-urg", "at", "nothing of this kind", "mexico house democrat"]
+
+
+@query(_ENTRIES + " UNION ALL ".join(f"SELECT '{a}' AS query, market_id FROM h WHERE " + " AND ".join(f"contains(hay, '{w}')" for w in a.lower().split()) for a in _ASKED))
+def indexed_filter(spark, sf):
+    """All words, somewhere in ten fields."""
+    index = search_index.SearchIndex.build(_entries(spark, sf), "market_id", _FIELDS, f"{shared_dir(spark)}/i-{uuid.uuid4().hex}")
+    found = [index.all_words(a).select(F.lit(a).alias("query"), "market_id") for a in _ASKED]
+    return reduce(DataFrame.unionByName, found)
+
+
+_PHRASES = ["Senate", "win the 2027 super", "New mexico", "CANDIDATE 7", "o"]
+
+
+@query(_ENTRIES + " UNION ALL ".join(f"SELECT '{a}' AS query, market_id FROM f WHERE " + " OR ".join(f"coalesce(contains(lower({x}), '{a.lower()}'), false)" for x in _FIELDS) for a in _PHRASES))
+def indexed_search(spark, sf):
+    """A phrase, inside one of ten fields."""
+    index = search_index.SearchIndex.build(_entries(spark, sf), "market_id", _FIELDS, f"{shared_dir(spark)}/i-{uuid.uuid4().hex}")
+    return reduce(DataFrame.unionByName, [index.phrase(a).select(F.lit(a).alias("query"), "market_id") for a in _PHRASES])
+
+
+@query("""WITH RECURSIVE p AS (SELECT c_custkey // 40 AS n, c_custkey, c_name, (SELECT max(c_custkey // 40) FROM customer) AS last FROM customer),
+chain(n, place) AS (SELECT 0, 0 UNION ALL SELECT n + 1, place + 1 FROM chain WHERE n < (SELECT max(last) FROM p))
+SELECT place AS page, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM chain JOIN p USING (n)""", prelude="")
+def cursor_scan(spark, sf):
+    """Pages of a listing by their cursors, from the first to the last; every seventh page has a twin under a cursor that no page names."""
+    at = f"{shared_dir(spark)}/c-{uuid.uuid4().hex}"
+    c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 40).alias("n"), F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name")).alias("item"))
+    last = c.agg(F.max("n").alias("last"))
+    cursor = lambda n: F.md5(F.concat(F.lit("page "), n.cast("string")))
+    pages = c.groupBy("n").agg(F.to_json(F.collect_list("item")).alias("items")).crossJoin(F.broadcast(last))
+    pages = pages.select("n", cursor(F.col("n")).alias("cursor"), F.when(F.col("n") < F.col("last"), cursor(F.col("n") + 1)).alias("next_cursor"), "items")
+    lost = pages.filter("n % 7 = 3").withColumn("cursor", F.concat(F.lit("lost "), F.col("cursor")))
+    pages.unionByName(lost).select("cursor", "next_cursor", "items").write.json(at)
+    first = spark.range(1).select(cursor(F.lit(0)).alias("c")).first()["c"]
+    got = readers.cursor_pages(spark, at, first)
+    return got.select("page", "id", F.get_json_object("payload", "$.name").alias("name"))
+
+
+_VERSIONS_SQL = """
+, v1 AS (SELECT market_id, platform, CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS party, CAST(NULL AS INTEGER) AS outcome FROM markets WHERE market_id % 3 <> 0),
+v2 AS (SELECT market_id, platform, CASE WHEN market_id % 4 > 0 THEN category END AS category, CASE WHEN market_id % 5 = 0 THEN 'R' END AS party, CASE WHEN market_id % 6 = 0 THEN outcome END AS outcome FROM markets WHERE market_id % 7 <> 0),
+v3 AS (SELECT market_id, platform, CASE WHEN market_id % 8 > 0 THEN category ELSE 'moved' END AS category, CASE WHEN market_id % 5 = 0 THEN 'R' WHEN market_id % 5 = 1 THEN 'D' END AS party, outcome FROM markets)
+"""
+
+
+def _versions(spark, sf):
+    m, k = markets(spark, sf), F.col("market_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    first = m.filter(k % 3 != 0).select(k, "platform", none("string").alias("category"), none("string").alias("party"), none("int").alias("outcome"))
+    second = m.filter(k % 7 != 0).select(k, "platform", F.when(k % 4 > 0, F.col("category")).alias("category"), F.when(k % 5 == 0, "R").alias("party"), F.when(k % 6 == 0, F.col("outcome")).alias("outcome"))
+    third = m.select(k, "platform", F.when(k % 8 > 0, F.col("category")).otherwise("moved").alias("category"), F.when(k % 5 == 0, "R").when(k % 5 == 1, "D").alias("party"), "outcome")
+    kept = snapshots.Snapshots(spark, f"{shared_dir(spark)}/s-{uuid.uuid4().hex}", "market_id")
+    for v in (first, second, third):
+        kept.save(v)
+    return kept
+
+
+@query(_VERSIONS_SQL + " SELECT market_id, 2 AS version, platform, category, party, outcome FROM v2 UNION ALL SELECT market_id, 3, platform, category, party, outcome FROM v3")
+def versions_read_back(spark, sf):
+    kept = _versions(spark, sf)
+    columns = ["market_id", F.col("version"), "platform", "category", "party", "outcome"]
+    return kept.read(2).withColumn("version", F.lit(2)).select(*columns).unionByName(kept.read().withColumn("version", F.lit(3)).select(*columns))
+
+
+_CELLS = " UNION ALL ".join(f"SELECT market_id, {v} AS version, 'changed' AS change, '{c}' AS \"column\", CAST(a.{c} AS VARCHAR) AS old, CAST(b.{c} AS VARCHAR) AS new FROM v{v - 1} a JOIN v{v} b USING (market_id) WHERE a.{c} IS DISTINCT FROM b.{c}" for v in (2, 3) for c in ("platform", "category", "party", "outcome"))
+_EVENTS = f""", d AS ({_CELLS}
+UNION ALL SELECT market_id, 1, 'added', NULL, NULL, NULL FROM v1 UNION ALL SELECT market_id, 2, 'added', NULL, NULL, NULL FROM v2 WHERE market_id NOT IN (SELECT market_id FROM v1) UNION ALL SELECT market_id, 3, 'added', NULL, NULL, NULL FROM v3 WHERE market_id NOT IN (SELECT market_id FROM v2)
+UNION ALL SELECT market_id, 2, 'removed', NULL, NULL, NULL FROM v1 WHERE market_id NOT IN (SELECT market_id FROM v2))"""
+
+
+@query(_VERSIONS_SQL + _EVENTS + ' SELECT market_id, version, change, coalesce("column", \'-\') AS "column", coalesce(old, \'-\') AS old, coalesce(new, \'-\') AS new FROM d')
+def version_changes(spark, sf):
+    return _versions(spark, sf).events(0, 3).select("market_id", "version", "change", "column", "old", "new").na.fill("-")
+
+
+@query(_VERSIONS_SQL + _EVENTS + """, v AS (SELECT 1 AS version, * FROM v1 UNION ALL SELECT 2, * FROM v2 UNION ALL SELECT 3, * FROM v3)
+SELECT version, market_id, 'market_added' AS type, platform || ' | ' || coalesce(category, '') AS details FROM d JOIN v USING (version, market_id) WHERE change = 'added'
+UNION ALL SELECT version, market_id, CASE "column" WHEN 'category' THEN 'category_assigned' ELSE 'resolution_set' END, new FROM d WHERE "column" IN ('category', 'outcome') AND new IS NOT NULL
+UNION ALL SELECT version, market_id, 'electoral_filled', 'party=' || new FROM d WHERE "column" = 'party' AND old IS NULL AND new IS NOT NULL""")
+def typed_change_log(spark, sf):
+    kept = _versions(spark, sf)
+    rows = reduce(DataFrame.unionByName, [kept.read(v).withColumn("version", F.lit(v)) for v in (1, 2, 3)])
+    return snapshots.typed_events(kept.events(0, 3), rows, "market_id", {"category": "category_assigned", "outcome": "resolution_set"}, {"party": "electoral_filled"}, ["platform", "category"])

@@ -79,12 +79,8 @@ def paged_scan(spark, sf):
     c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 40).alias("n"), F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name")).alias("item"))
     last = c.agg(F.max("n").alias("last"))
     pages = c.groupBy("n").agg(F.collect_list("item").alias("items")).crossJoin(F.broadcast(last))
-    pages = pages.select("n", F.to_json(F.struct("items", (F.col("n") < F.col("last")).alias("next"))).alias("value")).collect()  # the fixture: one file a page
-    fs = spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in pages:
-        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/page-{r.n}.json"))
-        out.write(bytearray(r.value.encode()))
-        out.close()
+    pages = pages.select(F.to_json(F.struct("items", (F.col("n") < F.col("last")).alias("next"))).alias("value"), F.col("n").alias("page"))
+    pages.repartition("page").write.partitionBy("page").text(at)  # the fixture: a folder a page
     got = readers.paged(spark, at)
     return got.select("id", F.get_json_object("payload", "$.name").alias("name"))
 

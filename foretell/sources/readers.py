@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foretell.sources.shared import written
+
 CANDLE = "struct<end_period_ts:bigint,price:struct<close:int,previous:int>,yes_bid:struct<close:int>,yes_ask:struct<close:int>>"
 
 
@@ -51,10 +53,32 @@ def parsed_time(text: Column) -> Column:
 
 
 def paged(spark: SparkSession, path: str) -> DataFrame:
-    """Records (id, payload) of a paged listing, files `{path}/page-{n}.json`, each {"items": [...], "next": bool}: all pages up to the first without a next one.  A page is a row of the scan, so pages are read in parallel from any store that Spark reads."""
-    pages = spark.read.text(f"{path}/page-*.json", wholetext=True)
-    pages = pages.select(F.regexp_extract("_metadata.file_name", r"page-(\d+)\.json", 1).cast("long").alias("n"), F.try_parse_json("value").alias("page"))
+    """Records (id, payload) of a paged listing, files `{path}/page-{n}.json` or folders `{path}/page={n}`, each {"items": [...], "next": bool}: all pages up to the first without a next one.  A page is a row of the scan, so pages are read in parallel from any store that Spark reads."""
+    pages = spark.read.text(f"{path}/page[-=]*", wholetext=True)
+    pages = pages.select(F.regexp_extract("_metadata.file_path", r"/page[-=](\d+)(?:\.json$|/)", 1).cast("long").alias("n"), F.try_parse_json("value").alias("page"))
     ends = pages.filter(~F.coalesce(F.try_variant_get("page", "$.next", "boolean"), F.lit(False))).agg(F.min("n").alias("last"))
     kept = pages.join(F.broadcast(ends), F.col("last").isNull() | (F.col("n") <= F.col("last")))  # ends has one row
     items = kept.select(F.explode(F.try_variant_get("page", "$.items", "array<variant>")).alias("item"))
     return items.select(F.try_variant_get("item", "$.id", "string").alias("id"), F.to_json("item").alias("payload"))
+
+
+def cursor_pages(spark: SparkSession, path: str, start: str, limit: int | None = None) -> DataFrame:
+    """Records (page, id, payload) of a listing whose pages name their successor: JSON lines {"cursor", "items", "next_cursor"}.  `page` is the page's place (from 0) in the chain that begins with the cursor `start`; pages that the chain does not reach are left out, and a chain that runs into itself ends there.  limit: pages at most.
+
+    The chain is ordered by doubling: with the pages reached so far and the pointers that skip as many, one round reaches twice as many, so any length takes log rounds of joins on cursors.
+    """
+    pages = spark.read.schema("cursor string, next_cursor string, items string").json(path)
+    step = written(pages.filter("next_cursor is not null and next_cursor <> ''").groupBy("cursor").agg(F.min("next_cursor").alias("next")))
+    reached, skip, n = written(spark.createDataFrame([(start, 0)], "cursor string, page long")), 1, 1
+    while limit is None or skip < limit:
+        further = reached.join(step, "cursor").select(F.col("next").alias("cursor"), (F.col("page") + skip).alias("page"))
+        reached = written(reached.union(further).groupBy("cursor").agg(F.min("page").alias("page")))
+        now = reached.count()
+        if now == n:
+            break
+        hop = step.select(F.col("cursor").alias("next"), F.col("next").alias("far"))
+        n, skip, step = now, 2 * skip, written(step.join(hop, "next").select("cursor", F.col("far").alias("next")))
+    kept = pages.join(reached if limit is None else reached.filter(F.col("page") < limit), "cursor")
+    one = kept.groupBy("page").agg(F.min("items").alias("items"))
+    items = one.select("page", F.explode(F.try_variant_get(F.try_parse_json("items"), "$", "array<variant>")).alias("item"))
+    return items.select("page", F.try_variant_get("item", "$.id", "string").alias("id"), F.to_json("item").alias("payload"))
