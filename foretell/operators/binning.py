@@ -6,9 +6,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foretell.operators.ranks import global_rank, quantiles
+from foretell.operators.scan import running
 
 
 def equal_count_bins(df: DataFrame, value: str, tie: str, k: int | None = None, out: str = "bin") -> DataFrame:
@@ -98,10 +98,21 @@ def residual(df: DataFrame, value: str, bins: str, out: str = "residual") -> Dat
 
 
 def life_fraction(df: DataFrame, key: str, ts: str, out: str = "life") -> DataFrame:
-    """(t - first) / (last - first) of each key, span 1 if zero."""
-    w = Window.partitionBy(key)
-    span = F.max(ts).over(w) - F.min(ts).over(w)
-    return df.withColumn(out, (F.col(ts) - F.min(ts).over(w)) / F.when(span == 0, 1).otherwise(span))
+    """(t - first) / (last - first) of each key, span 1 if zero.  First and last are aggregated before the shuffle and joined back; no key is a task."""
+    ends = df.groupBy(F.col(key).alias("_key")).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
+    span = F.col("_last") - F.col("_first")
+    return df.join(ends, F.col(key).eqNullSafe(F.col("_key"))).withColumn(out, (F.col(ts) - F.col("_first")) / F.when(span == 0, 1).otherwise(span)).select(*df.columns, out)
+
+
+def paired_calibration(df: DataFrame, by: str, first: str, second: str, outcome: str, tie: str, k: int = 20, least: int = 50) -> DataFrame:
+    """Two predictions of the same rows, calibrated over the same bins: by, bin, n, mean of each and of the outcome.
+
+    Bins are of floor(n / k) rows in the order of the first prediction (ties by `tie`), the last one takes the rest; rows that lack a value and groups of fewer than `least` rows are left out.  Ranks of all groups come from one segmented scan.
+    """
+    rows = df.filter(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(outcome).isNotNull()).select(by, first, second, outcome, tie)
+    ranked = running(rows, [by], [first, tie], totals={"_rank": F.lit(1)}, wholes={"_n": F.lit(1)}).filter(F.col("_n") >= least)
+    bins = F.least(F.floor((F.col("_rank") - 1) / F.greatest(F.lit(1), F.floor(F.col("_n") / k))), F.lit(k - 1)).cast("int")
+    return ranked.groupBy(by, bins.alias("bin")).agg(F.count("*").alias("n"), F.avg(first).alias(f"mean_{first}"), F.avg(second).alias(f"mean_{second}"), F.avg(outcome).alias("mean_outcome"))
 
 
 def duration_days(df: DataFrame, key: str, ts: str) -> DataFrame:

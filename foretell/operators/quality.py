@@ -14,6 +14,14 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def required_columns(df: DataFrame, required: list[str]) -> DataFrame:
+    """column, present, filled (rows with a value) and gap (share of rows without) of every required column, in one pass; a column that is not there has no value in any row."""
+    have = [c for c in required if c in df.columns]
+    counts = df.agg(F.count("*").alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_f{k}") for k, c in enumerate(have)])
+    rows = [F.struct(F.lit(c).alias("column"), F.lit(c in have).alias("present"), (F.col(f"_f{have.index(c)}") if c in have else F.lit(0).cast("long")).alias("filled")) for c in required]
+    return counts.select("_rows", F.inline(F.array(*rows))).select("column", "present", "filled", (1 - F.try_divide("filled", "_rows")).alias("gap"))
+
+
 def out_of_range(df: DataFrame, column: str, key: str, low: float = 0.0, high: float = 1.0, sample: int = 10) -> DataFrame:
     """How many values lie outside a range, their extremes and the smallest ids; ids are found with a bounded top-k."""
     bad = df.filter((F.col(column) < low) | (F.col(column) > high))
@@ -37,6 +45,24 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(*[x.alias(c) for c, x in have.items()], (sum(have.values()) / len(columns)).alias("overall"))
 
 
+def covered(df: DataFrame, rows: Column, fields: list[str], least: float = 0.85) -> DataFrame:
+    """Of the rows meant: how many, values missing by field, the share of all fields that is there, the threshold, and whether it is missed; fields that df lacks are missing throughout, and without rows nothing is missed."""
+    missing = {f: F.count_if(F.col(f).isNull()) if f in df.columns else F.count("*") for f in fields}
+    m = df.filter(rows).agg(F.count("*").alias("n"), *[x.alias(f"missing_{f}") for f, x in missing.items()])
+    all_missing = sum((F.col(f"missing_{f}") for f in fields), F.lit(0))
+    m = m.withColumn("coverage", F.coalesce(1 - F.try_divide(all_missing, F.col("n") * len(fields)), F.lit(1.0)))
+    return m.withColumn("threshold", F.lit(least)).withColumn("too_low", F.col("coverage") < least)
+
+
+def overlap(df: DataFrame, keys: list[str], venue: str, prediction: str, id_: str, venues: tuple[str, str] = ("polymarket", "kalshi")) -> DataFrame:
+    """Elections (keys) by the venues that have them: keys, side (both, or the one venue's name, or other), and per venue the number of markets, their mean prediction and smallest id."""
+    of = lambda v, x: F.when(F.col(venue) == v, x)
+    each = [f(of(v, F.col(c))).alias(f"{name}_{v}") for v in venues for name, f, c in (("n", F.count, id_), ("prediction", F.avg, prediction), ("first", F.min, id_))]
+    out = df.groupBy(*keys).agg(*each, F.count("*").alias("_all"))
+    a, b = (F.col(f"n_{v}") > 0 for v in venues)
+    return out.withColumn("side", F.when(a & b, "both").when(a & (F.col(f"n_{venues[0]}") == F.col("_all")), venues[0]).when(b & (F.col(f"n_{venues[1]}") == F.col("_all")), venues[1]).otherwise("other")).drop("_all")
+
+
 def skew(df: DataFrame, column: str, most: float = 0.5) -> DataFrame:
     """Values that hold more than `most` of the rows."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
@@ -63,6 +89,19 @@ def merge(master: DataFrame, new: DataFrame, ids: list[str], renames: dict[str,
     return master.unionByName(only_new(new, master, ids).withColumnsRenamed(renames or {}), allowMissingColumns=True)
 
 
+def yes_no(outcome: Column) -> Column:
+    """Yes and No in one case; other outcomes as they are."""
+    low = F.lower(outcome)
+    return F.when(low == "yes", "Yes").when(low == "no", "No").otherwise(outcome)
+
+
+def merge_aligned(master: DataFrame, new: DataFrame, ids: list[str], renames: dict[str, str], outcome: str) -> DataFrame:
+    """master with the rows that are only in new, in master's columns and types: columns of new are renamed, cast to master's type (what does not fit is null), those that master lacks are dropped, those that new lacks are null, and outcomes have one case throughout."""
+    added = only_new(new.withColumnsRenamed(renames), master, ids)
+    fitted = added.select(*[(F.col(f"`{f.name}`").cast("string").try_cast(f.dataType) if f.name in added.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in master.schema])
+    return master.unionByName(fitted).withColumn(outcome, yes_no(F.col(outcome)))
+
+
 def prefer(primary: DataFrame, fallback: DataFrame, key: str) -> DataFrame:
     """All of primary, and fallback's rows for keys that primary does not have."""
     return primary.unionByName(fallback.join(primary.select(key).distinct(), key, "left_anti").select(primary.columns))

@@ -34,6 +34,11 @@ def page(df: DataFrame, equal: dict[str, str], order: list[Column], limit: int,
     return df.orderBy(*order).offset(offset).limit(min(limit, MOST))
 
 
+def by_slug(df: DataFrame, slug: str, wanted: str, order: list[Column]) -> DataFrame:
+    """The first row with a slug, in any case; none if there is none.  The slug reaches the scan as a filter."""
+    return df.filter(F.lower(slug) == wanted.lower()).orderBy(*order).limit(1)
+
+
 def biggest_moves(df: DataFrame, change: str, volume: str, tie: str, least_volume: float, k: int) -> DataFrame:
     """Largest abs(change) * log10(volume) ** 3 among markets with enough volume."""
     score = F.abs(change) * F.pow(F.log10(F.greatest(F.col(volume), F.lit(1.0))), 3)

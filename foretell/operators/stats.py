@@ -20,17 +20,32 @@ from foretell.sources.shared import shared_dir, written
 
 
 def kde(df: DataFrame, value: str, points: int = 200, low: float = 0.0, high: float = 100.0) -> DataFrame:
-    """Gaussian density on a grid with Scott's bandwidth; zeros where the deviation is at most 0.01.
+    """Gaussian density on a grid with Scott's bandwidth; zeros where the deviation is at most 0.01; no row without values.
 
-    Equal values are counted first, so only different ones meet the grid; sums are combined before the shuffle, so only `points` rows a task move.
+    Equal values are counted first; a task adds its values into one array of `points` sums, so values never multiply and a task hands on `points` rows.
     """
-    m = df.select(F.count(value).alias("_n"), F.stddev_samp(value).alias("_sd"))
-    m = m.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    grid = df.sparkSession.range(points).select((F.lit(low) + F.col("id") * ((high - low) / (points - 1))).alias("x"))
-    u = (F.col("x") - F.col(value)) / F.col("_h")
-    spread = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c")).crossJoin(F.broadcast(m)).crossJoin(F.broadcast(grid))
-    dense = spread.groupBy("x").agg(F.when(F.max("_sd") > 0.01, F.sum(F.col("_c") * F.exp(-u * u / 2)) / F.max("_n") / (F.max("_h") * math.sqrt(2 * math.pi))).otherwise(0.0).alias("density"))
-    return dense
+    per = written(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
+    mean = F.sum(F.col("v") * F.col("c")) / F.sum("c")
+    n, middle = per.agg(F.sum("c"), mean).first()
+    grid = np.array([low + i * ((high - low) / (points - 1)) for i in range(points)])
+    if not n:
+        return df.sparkSession.createDataFrame([], "x double, density double")
+    squares = per.agg(F.sum(F.col("c") * (F.col("v") - F.lit(middle)) * (F.col("v") - F.lit(middle)))).first()[0]
+    sd = math.sqrt(squares / (n - 1)) if n > 1 else 0.0
+    width = sd * n**-0.2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(points)
+        for b in batches:
+            v, c = b.column("v").to_numpy(), b.column("c").to_numpy()
+            for k in range(0, len(v), 4096):
+                u = (grid[:, None] - v[None, k : k + 4096]) / width
+                sums += np.exp(-u * u / 2) @ c[k : k + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array(grid), pa.array(sums)], ["x", "s"])
+
+    if sd <= 0.01:
+        return df.sparkSession.createDataFrame([(float(x), 0.0) for x in grid], "x double, density double")
+    return per.mapInArrow(run, "x double, s double").groupBy("x").agg((F.sum("s") / F.lit(n * width * math.sqrt(2 * math.pi))).alias("density"))
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -77,10 +92,17 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> Dat
     for i, j in pairs:
         full[i, j] = full[j, i] = sums[f"s{i}_{j}"] or 0.0
     n, xx, xy, yy = sums["n"], full[:k, :k], full[:k, k], full[k, k]
+    kinds = "term string, coef double, se double, t double, p_value double, low double, high double, r2 double, n long"
+    if not n:
+        return spark.createDataFrame([], kinds)
     inverse = np.linalg.pinv(xx)
     beta = inverse @ xy
     rss = yy - beta @ xy
-    r2 = 1 - rss / (yy - xy[0] ** 2 / n)
+    spread = yy - xy[0] ** 2 / n
+    r2 = float(1 - rss / spread) if spread > 0 else None
+    names = ["intercept", *xs]
+    if n <= k:  # no rows are left to tell errors from
+        return spark.createDataFrame([(name, float(b), None, None, None, None, None, r2, int(n)) for name, b in zip(names, beta)], kinds)
     if cluster:
         error = F.col("_y") - sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, cols)), F.lit(0.0))
         score = rows.groupBy("_g").agg(*[F.sum(error * F.col(c)).alias(c) for c in cols[:k]])
@@ -89,11 +111,11 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None) -> Dat
         cov = got["g"] / (got["g"] - 1) * (n - 1) / (n - k) * inverse @ meat @ inverse
     else:
         cov = inverse * rss / (n - k)
-    se = np.sqrt(np.diag(cov))
+    se = np.sqrt(np.maximum(np.diag(cov), 0))
     freedom = got["g"] - 1 if cluster else n - k
     reach = t_quantile(0.95, freedom)
-    data = [(name, float(b), float(s), float(b / s) if s else None, t_two_sided(float(b / s), freedom) if s else None, float(b - reach * s), float(b + reach * s), float(r2), int(n)) for name, b, s in zip(["intercept", *xs], beta, se)]
-    return spark.createDataFrame(data, "term string, coef double, se double, t double, p_value double, low double, high double, r2 double, n long")
+    data = [(name, float(b), float(s), float(b / s) if s else None, t_two_sided(float(b / s), freedom) if s else None, float(b - reach * s), float(b + reach * s), r2, int(n)) for name, b, s in zip(names, beta, se)]
+    return spark.createDataFrame(data, kinds)
 
 
 def dummies(df: DataFrame, column: str, levels: list[str]) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretell.functions import text as tx
-from foretell.operators import binning, book, elections, geo, pricing, quality, scoring, search, stats
+from foretell.operators import asof, binning, book, elections, frames, geo, pricing, quality, scoring, search, stats
 from foretell.plans.domain_queries import _BOOK, _QUESTIONS, books, questions
-from foretell.plans.market_queries import day_one, predictions, rounded
+from foretell.plans.market_queries import day_one, predictions, rounded, t_tail
 from foretell.plans.registry import registry
 from foretell.plans.views import DAY, PRELUDE, markets, table, ticks
 from foretell.sources import readers, sinks
@@ -91,13 +91,13 @@ def latex_table(spark, sf):
     return sinks.latex_rows(r, ["category", "n", "x"])
 
 
-@query("SELECT v AS version FROM (VALUES ('003'), ('004')) t(v)", prelude="")
+@query("SELECT v AS version, c_custkey, c_name FROM customer, (VALUES ('003', 3), ('004', 4)) t(v, k) WHERE c_custkey % 5 <= k", prelude="")
 def rotated_versions(spark, sf):
-    """After five versions of which two are kept: the versions that are there."""
-    at, r = _folder(spark), table(spark, sf, "region")
+    """After five versions, each with more rows, of which two are kept: what is in the versions that are there."""
+    at, c = _folder(spark), table(spark, sf, "customer").select("c_custkey", "c_name")
     for n in range(5):
-        sinks.save_version(r, at, f"{n:03d}", keep=2)
-    return spark.read.option("recursiveFileLookup", "false").schema("r_regionkey int, version string").parquet(at).select("version").distinct()
+        sinks.save_version(c.filter(F.col("c_custkey") % 5 <= n), at, f"{n:03d}", keep=2)
+    return spark.read.schema("c_custkey bigint, c_name string, version string").parquet(at).select("version", "c_custkey", "c_name")
 
 
 @query("SELECT market_id, ts, price FROM ticks")
@@ -179,9 +179,9 @@ _CHAIN = [("Ohio ", None, None, None, None), ("", "SENATEMD-28-R", "senate-race-
 
 @query(", c(k, place) AS (VALUES (0, 'Ohio'), (1, 'MD'), (2, 'OH'), (3, 'PA-10'), (4, 'US'), (5, 'none')) SELECT c.k AS k, place, count(*) AS n FROM markets m JOIN c ON m.market_id % 6 = c.k GROUP BY 1, 2")
 def location_chain(spark, sf):
-    cells = [_pick([row[i] for row in _CHAIN]).cast("string") for i in range(5)]
-    m = markets(spark, sf).select((F.col("market_id") % 6).cast("int").alias("k"), F.coalesce(tx.location_chain(*cells), F.lit("none")).alias("place"))
-    return m.groupBy("k", "place").agg(F.count("*").alias("n"))
+    cells = [_pick([row[i] for row in _CHAIN], "k").cast("string") for i in range(5)]
+    m = markets(spark, sf).groupBy((F.col("market_id") % 6).cast("int").alias("k")).agg(F.count("*").alias("n"))  # the chain once a distinct case
+    return m.select("k", F.coalesce(tx.location_chain(*cells), F.lit("none")).alias("place"), "n")
 
 
 # Samples.
@@ -246,10 +246,11 @@ def weakest_venues(spark, sf):
 # Rules.
 
 
-@query("SELECT c AS missing FROM (VALUES ('slug'), ('ticker')) t(c)", prelude="")
+@query("""SELECT 'market_id' AS "column", true AS present, count(market_id) AS filled, round(1 - count(market_id) / count(*), 6) AS gap FROM markets UNION ALL SELECT 'outcome', true, count(outcome), round(1 - count(outcome) / count(*), 6) FROM markets
+UNION ALL SELECT 'slug', false, 0, 1.0 UNION ALL SELECT 'party', true, count(*) FILTER (WHERE wallet % 3 = 0), round(1 - count(*) FILTER (WHERE wallet % 3 = 0) / count(*), 6) FROM markets UNION ALL SELECT 'ticker', false, 0, 1.0""")
 def missing_columns(spark, sf):
-    missing = quality.missing_columns(markets(spark, sf), ["market_id", "platform", "slug", "volume_usd", "ticker"])
-    return spark.createDataFrame([(c,) for c in missing], "missing string")
+    m = markets(spark, sf).withColumn("party", F.when(F.col("wallet") % 3 == 0, "R"))
+    return rounded(quality.required_columns(m, ["market_id", "outcome", "slug", "party", "ticker"]), "gap")
 
 
 @query(", i AS (SELECT 'volume' AS rule, 'WARNING' AS level, count(*) FILTER (WHERE volume_usd > 300000) AS n FROM markets UNION ALL SELECT 'outcome', 'ERROR', count(*) FILTER (WHERE outcome IS NULL) FROM markets UNION ALL SELECT 'platform', 'CRITICAL', 0) SELECT count(*) FILTER (WHERE level = 'INFO') AS info, count(*) FILTER (WHERE level = 'WARNING') AS warning, count(*) FILTER (WHERE level = 'ERROR') AS error, count(*) FILTER (WHERE level = 'CRITICAL') AS critical, 'ERROR' AS status FROM i WHERE n > 0")
@@ -338,3 +339,103 @@ def pooled_tiers(spark, sf):
     now = tape.groupBy("category").agg(F.max("ts").alias("now"))
     t = tape.join(F.broadcast(now), "category")
     return pricing.tiered_vwap(t, ["category"], (F.col("now") - F.col("ts")) / 720).select("category", "vwap", "trade_count", "tier")
+
+
+@query(""", d AS (SELECT m.market_id, m.category, m.p, m.outcome, r.price AS resolution FROM predictions m JOIN (SELECT k.market_id, (array_agg(price ORDER BY ts DESC, ord DESC, price DESC))[1] AS price FROM markets k JOIN ticks t ON t.market_id = k.market_id AND t.ts <= k.close_ts GROUP BY 1) r USING (market_id) WHERE m.days = 7),
+b AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p, market_id) AS k, count(*) OVER (PARTITION BY category) AS n FROM d)
+SELECT category, CAST(least((k - 1) // greatest(1, n // 20), 19) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(resolution), 6) AS mean_resolution, round(avg(outcome), 6) AS mean_outcome FROM b WHERE n >= 50 GROUP BY 1, 2""")
+def paired_calibration(spark, sf):
+    """Predictions a week before the close and prices at the close, over the same bins."""
+    p = predictions(spark, sf).filter("days = 7")
+    closing = asof.backward(markets(spark, sf).select("market_id", "close_ts"), ticks(spark, sf), "market_id", "close_ts", "ts", "price", ["ord", "price"], out="resolution").filter("resolution is not null")
+    out = binning.paired_calibration(p.join(closing.select("market_id", "resolution"), "market_id"), "category", "p", "resolution", "outcome", "market_id")
+    return rounded(out, "mean_p", "mean_resolution", "mean_outcome")
+
+
+_FIRST_OF = "SELECT market_id, platform, slug FROM (SELECT market_id, platform, CASE WHEN wallet % 2 = 0 THEN 'M-' ELSE 'm-' END || market_id % 1000 AS slug, volume_usd FROM markets) WHERE lower(slug) = '{0}' ORDER BY volume_usd DESC, market_id LIMIT 1"
+
+
+@query(", " + ", ".join(f"s{k} AS ({_FIRST_OF.format(f'm-{k}')})" for k in (1, 7, 990)) + " SELECT * FROM s1 UNION ALL SELECT * FROM s7 UNION ALL SELECT * FROM s990")
+def market_by_slug(spark, sf):
+    m = markets(spark, sf).withColumn("slug", F.concat(F.when(F.col("wallet") % 2 == 0, "M-").otherwise("m-"), (F.col("market_id") % 1000).cast("string")))
+    found = [search.by_slug(m, "slug", f"M-{k}", [F.desc("volume_usd"), F.col("market_id")]).select("market_id", "platform", "slug") for k in (1, 7, 990)]
+    return found[0].union(found[1]).union(found[2])
+
+
+_EVENT_SQL = """, e AS (SELECT market_id, 'BWR-' || (['ELEC', 'POL'])[market_id % 2 + 1] || '-' || (['US', 'GB', 'FR'])[wallet % 3 + 1] || '-' || (['PRES', 'SEN'])[market_id % 5 % 2 + 1] || '-' || (2024 + wallet % 4) AS a,
+  'BWR-' || (['ELEC', 'POL'])[wallet % 2 + 1] || '-' || (['US', 'GB', 'FR'])[wallet % 3 + 1] || '-' || (['PRES', 'SEN'])[wallet % 7 % 2 + 1] || '-' || (2024 + wallet % 4) || CASE WHEN market_id % 3 = 0 THEN '-PRI' ELSE '' END AS b FROM markets),
+x AS (SELECT *, string_split(a, '-') AS p, string_split(regexp_replace(b, '-PRI$', ''), '-') AS q FROM e)"""
+
+
+@query(_EVENT_SQL + " SELECT a, b, q[2] AS type, CASE WHEN q[2] = 'ELEC' THEN q[3] ELSE '-' END AS country, CAST(q[len(q)] AS INTEGER) AS year, b LIKE '%-PRI' AS is_primary, p[2] = q[2] AND p[len(p)] = q[len(q)] AND (p[2] <> 'ELEC' OR (p[3] = q[3] AND p[4] = q[4])) AS same, count(*) AS n FROM x GROUP BY ALL")
+def compared_event_ids(spark, sf):
+    of = lambda values, by: F.get(F.array(*map(F.lit, values)), (by % len(values)).cast("int"))
+    k, w = F.col("market_id"), F.col("wallet")
+    id_ = lambda kind, office, end: F.concat(F.lit("BWR-"), of(["ELEC", "POL"], kind), F.lit("-"), of(["US", "GB", "FR"], w), F.lit("-"), of(["PRES", "SEN"], office), F.lit("-"), (2024 + w % 4).cast("string"), end)
+    e = markets(spark, sf).select(id_(k, k % 5, F.lit("")).alias("a"), id_(w, w % 7, F.when(k % 3 == 0, "-PRI").otherwise("")).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    parsed = frames.parse_id(F.col("b"))
+    return e.select("a", "b", parsed.type.alias("type"), F.coalesce(parsed.country, F.lit("-")).alias("country"), parsed.year.alias("year"), parsed.is_primary.alias("is_primary"), frames.loosely_equal(F.col("a"), F.col("b")).alias("same"), "n")
+
+
+#: The 97.5 % point of Student's t from that of the normal distribution, by its expansion in the degrees of freedom.
+_REACH = "(1.959963984540054 + (pow({z}, 3) + {z}) / (4 * {f}) + (5 * pow({z}, 5) + 16 * pow({z}, 3) + 3 * {z}) / (96 * pow({f}, 2)) + (3 * pow({z}, 7) + 19 * pow({z}, 5) + 17 * pow({z}, 3) - 15 * {z}) / (384 * pow({f}, 3)))".replace("{z}", "1.959963984540054")
+_FIT = """, d AS (SELECT market_id, platform, category, CAST(outcome AS DOUBLE) AS y, p AS x FROM predictions WHERE {where}),
+m AS (SELECT count(*) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_sxx(y, x) AS sxx, regr_syy(y, x) - regr_slope(y, x) * regr_slope(y, x) * regr_sxx(y, x) AS rss, avg(x) AS mx, regr_r2(y, x) AS r2 FROM d)"""
+
+
+def _terms(errors: str, freedom: str) -> str:
+    """Rows of a fit with one regressor: coefficients, standard errors (columns se_a, se_b of `errors`), and what follows from them."""
+    one = lambda name, coef, se: f"SELECT '{name}' AS term, {coef} AS coef, {se} AS se, {coef} / {se} AS t, {freedom} AS f, r2, n FROM m, {errors}"
+    return f", z AS ({one('intercept', 'a', 'se_a')} UNION ALL {one('p', 'b', 'se_b')}) SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 4) AS t, round({t_tail('z.t', 'z.f')}, 5) AS p_value, round(coef - {_REACH.format(f='f')} * se, 5) AS low, round(coef + {_REACH.format(f='f')} * se, 5) AS high, round(r2, 6) AS r2, n FROM z"
+
+
+def _fitted(out):
+    return rounded(rounded(rounded(out, "coef", "se", "r2"), "t", places=4), "p_value", "low", "high", places=5)
+
+
+@query(_FIT.format(where="days = 1") + ", s AS (SELECT sqrt(rss / (n - 2) * (1.0 / n + mx * mx / sxx)) AS se_a, sqrt(rss / (n - 2) / sxx) AS se_b FROM m)" + _terms("s", "n - 2"))
+def least_squares_with_limits(spark, sf):
+    return _fitted(stats.ols(day_one(spark, sf), "outcome", ["p"]))
+
+
+@query(_FIT.format(where="true") + """, g AS (SELECT market_id, sum(y - a - b * x) AS u, sum((y - a - b * x) * x) AS v FROM d, m GROUP BY 1),
+k AS (SELECT count(*) AS g, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv FROM g),
+i AS (SELECT (sxx + n * mx * mx) / (n * sxx) AS i11, -mx / sxx AS i12, 1 / sxx AS i22, n FROM m),
+s AS (SELECT g, sqrt(g / (g - 1.0) * (n - 1.0) / (n - 2.0) * (i11 * i11 * uu + 2 * i11 * i12 * uv + i12 * i12 * vv)) AS se_a, sqrt(g / (g - 1.0) * (n - 1.0) / (n - 2.0) * (i12 * i12 * uu + 2 * i12 * i22 * uv + i22 * i22 * vv)) AS se_b FROM k, i)""" + _terms("s", "g - 1"))
+def clustered_slope(spark, sf):
+    """One regressor over all horizons, errors clustered by market."""
+    return _fitted(stats.ols(predictions(spark, sf), "outcome", ["p"], cluster="market_id"))
+
+
+@query(_BOOK + """, r AS (SELECT p.category, p.platform, (p.p - p.outcome) * (p.p - p.outcome) - p.p * (1 - p.p) AS rb, b.best_ask - b.best_bid AS spread, b.bid_depth + b.ask_depth AS depth FROM predictions p JOIN b ON p.market_id % 500 = b.market_id WHERE p.days = 1 AND b.n_bid > 0 AND b.n_ask > 0)
+SELECT category, platform, count(*) AS n, round(corr(rb, spread), 5) AS with_spread, round(corr(rb, depth), 5) AS with_depth, round(avg(rb), 6) AS residual FROM r GROUP BY 1, 2 HAVING count(*) >= 3""")
+def residual_by_book(spark, sf):
+    """Residual Brier scores against spread and depth of the market's book, by category and venue with at least three markets."""
+    b = book.metrics(books(spark, sf)).select(F.col("market_id").alias("g"), "spread", (F.col("bid_depth") + F.col("ask_depth")).alias("depth")).filter("spread is not null")
+    d = day_one(spark, sf).withColumn("rb", stats.residual_brier(F.col("p"), F.col("outcome"))).withColumn("g", F.col("market_id") % 500)
+    out = d.join(b, "g").groupBy("category", "platform").agg(F.count("*").alias("n"), F.corr("rb", "spread").alias("with_spread"), F.corr("rb", "depth").alias("with_depth"), F.avg("rb").alias("residual")).filter("n >= 3")
+    return rounded(rounded(out, "with_spread", "with_depth", places=5), "residual")
+
+
+@query(", m AS (SELECT category, CASE WHEN market_id % 4 > 0 THEN 'x' END AS country, CASE WHEN wallet % 5 > 0 THEN 'y' END AS office, outcome FROM markets) SELECT count(*) AS n, count(*) - count(country) AS missing_country, count(*) - count(office) AS missing_office, count(*) AS missing_year, round(1 - (3 * count(*) - count(country) - count(office)) / (3 * count(*)), 6) AS coverage, 0.85 AS threshold, 1 - (3 * count(*) - count(country) - count(office)) / (3 * count(*)) < 0.85 AS too_low FROM m WHERE starts_with(category, '1')")
+def electoral_coverage(spark, sf):
+    m = markets(spark, sf).withColumn("country", F.when(F.col("market_id") % 4 > 0, "x")).withColumn("office", F.when(F.col("wallet") % 5 > 0, "y"))
+    return rounded(quality.covered(m, F.col("category").startswith("1"), ["country", "office", "year"]), "coverage")
+
+
+@query(", e AS (SELECT wallet AS election, platform, p, market_id FROM predictions JOIN (SELECT market_id, wallet // 2 AS wallet FROM markets) USING (market_id) WHERE days = 1) SELECT election, count(*) FILTER (WHERE platform = 'polymarket') AS n_polymarket, round(avg(p) FILTER (WHERE platform = 'polymarket'), 6) AS prediction_polymarket, min(market_id) FILTER (WHERE platform = 'polymarket') AS first_polymarket, count(*) FILTER (WHERE platform = 'kalshi') AS n_kalshi, round(avg(p) FILTER (WHERE platform = 'kalshi'), 6) AS prediction_kalshi, min(market_id) FILTER (WHERE platform = 'kalshi') AS first_kalshi, CASE WHEN count(DISTINCT platform) = 2 THEN 'both' ELSE min(platform) END AS side FROM e GROUP BY 1")
+def overlap_panel(spark, sf):
+    e = day_one(spark, sf).join(markets(spark, sf).select("market_id", F.floor(F.col("wallet") / 2).alias("election")), "market_id")
+    return rounded(quality.overlap(e, ["election"], "platform", "p", "market_id"), "prediction_polymarket", "prediction_kalshi")
+
+
+@query(""", a AS (SELECT market_id, platform, volume_usd, CASE outcome WHEN 1 THEN 'YES' WHEN 0 THEN 'no' ELSE 'Other' END AS winning_outcome FROM markets WHERE market_id % 5 > 0),
+b AS (SELECT market_id, 'new' AS platform, CASE WHEN market_id % 3 > 0 THEN CAST(floor(volume_usd) AS DOUBLE) END AS volume_usd, CASE outcome WHEN 1 THEN 'yes' ELSE 'NO' END AS winning_outcome FROM markets WHERE market_id % 5 = 0)
+SELECT market_id, platform, volume_usd, CASE lower(winning_outcome) WHEN 'yes' THEN 'Yes' WHEN 'no' THEN 'No' ELSE winning_outcome END AS winning_outcome FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def aligned_merge(spark, sf):
+    """New rows in other names, types and case, some known already, with a column that the master lacks."""
+    m = markets(spark, sf)
+    master = m.filter("market_id % 5 > 0").select("market_id", "platform", "volume_usd", F.when(F.col("outcome") == 1, "YES").when(F.col("outcome") == 0, "no").otherwise("Other").alias("winning_outcome"))
+    amount = F.when(F.col("market_id") % 3 > 0, F.floor("volume_usd").cast("string")).otherwise("n/a")
+    new = m.filter("market_id % 5 = 0 OR market_id % 7 = 0").select(F.col("market_id").alias("ID"), F.lit("new").alias("venue"), amount.alias("volume_usd"), F.when(F.col("outcome") == 1, "yes").otherwise("NO").alias("winning_outcome"), F.lit(1).alias("more"))
+    return quality.merge_aligned(master, new, ["market_id"], {"ID": "market_id", "venue": "platform"}, "winning_outcome")

@@ -9,6 +9,9 @@ from foretell.sources.shared import written
 
 CANDLE = "struct<end_period_ts:bigint,price:struct<close:int,previous:int>,yes_bid:struct<close:int>,yes_ask:struct<close:int>>"
 
+#: The largest file that is read as one row.
+MOST_BYTES = 256 * 2**20
+
 
 def csv(spark: SparkSession, path: str, schema: str, keep: list[str] | None = None) -> DataFrame:
     """A CSV file with a header and a given schema (ids stay text); only `keep` is read if given."""
@@ -17,12 +20,24 @@ def csv(spark: SparkSession, path: str, schema: str, keep: list[str] | None = No
 
 
 def series_map(spark: SparkSession, path: str, key: str = "token_id", lines: bool = False) -> DataFrame:
-    """JSON objects {id: [{t, p}, ...]} as key, ts, price: one object a file, or with `lines` one a line, which lets a large file be split."""
+    """JSON objects {id: [{t, p}, ...]} as key, ts, price: one object a file, or with `lines` one a line, which lets a large file be split.  A file of one object is one row of one task, so files above MOST_BYTES are refused in that form."""
+    if not lines:
+        refuse_above(spark, path, MOST_BYTES)
     lines = spark.read.text(path, wholetext=not lines)
     parsed = lines.select(F.from_json("value", "map<string,array<struct<t:bigint,p:double>>>").alias("m"))
     return parsed.select(F.explode("m").alias(key, "s")).select(key, F.inline("s")).withColumnsRenamed({"t": "ts", "p": "price"})
 
 
+def refuse_above(spark: SparkSession, path: str, most: int) -> None:
+    """An error if a file at a path (a glob, or a folder) has more than `most` bytes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for top in fs.globStatus(at) or []:
+        for s in fs.listStatus(top.getPath()):
+            if s.isFile() and s.getLen() > most:
+                raise ValueError(f"{s.getPath()} has {s.getLen()} bytes, more than {most} in one row: write one object a line and read with lines=True")
+
+
 def candle_map(spark: SparkSession, path: str, key: str = "ticker") -> DataFrame:
     """JSON objects {ticker: [candle, ...]} as key, ts and the probability of each candle."""
     from foretell.operators.pricing import candle_price
