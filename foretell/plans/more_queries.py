@@ -318,3 +318,42 @@ def typed_change_log(spark, sf):
     kept = _versions(spark, sf)
     rows = reduce(DataFrame.unionByName, [kept.read(v).withColumn("version", F.lit(v)) for v in (1, 2, 3)])
     return snapshots.typed_events(kept.events(0, 3), rows, "market_id", {"category": "category_assigned", "outcome": "resolution_set"}, {"party": "electoral_filled"}, ["platform", "category"])
+
+
+_PLACES = ["OH", "PA", "TX", "WI", "NM", "VA", "WV", "AZ"]
+_ABROAD = {"COLOMBIA": "CO", "FINLAND": "FI", "SOUTHKOREA": "KR", "UK": "GB"}
+_SIDES = {"-R": "GOP", "-D": "DEM", "-LEFT": "LEFT", "-ICAS": None, "": None}
+
+
+@query(f""", p AS (SELECT market_id % 5 AS kind, ({_PLACES})[wallet % 8 + 1] AS place, market_id % 30 + 1 AS seat, ({list(_ABROAD)})[wallet % 4 + 1] AS land, ({list(_ABROAD.values())})[wallet % 4 + 1] AS code, 2024 + market_id % 7 AS year, wallet % 3 AS form, market_id % 11 % 5 + 1 AS side FROM markets),
+t AS (SELECT CASE kind WHEN 0 THEN 'SENATE' || place WHEN 1 THEN 'HOUSE' || place || seat WHEN 2 THEN 'KXGOV' || place WHEN 3 THEN 'KX' || land || 'PRES' ELSE 'KX' || land || 'PARLI' END || '-' || CASE form WHEN 0 THEN CAST(year AS VARCHAR) WHEN 1 THEN CAST(year % 100 AS VARCHAR) ELSE year % 100 || 'NOV0' || year % 9 END || ({list(_SIDES)})[side] AS ticker,
+  (['SEN', 'HOUSE', 'GOV', 'PRES', 'PARL'])[kind + 1] AS office, CASE WHEN kind = 1 THEN place || '-' || seat WHEN kind < 3 THEN place ELSE '-' END AS scope, year, (['GOP', 'DEM', 'LEFT', '-', '-'])[side] AS party, CASE WHEN kind < 3 THEN 'US' ELSE code END AS country FROM p)
+SELECT ticker, office, scope, year, party, country, count(*) AS n FROM t GROUP BY ALL""")
+def composed_tickers(spark, sf):
+    """Tickers put together from the rows; the SQL knows the parts, the query reads them back from the text."""
+    of = lambda values, by: F.get(F.array(*map(F.lit, values)), (by).cast("int"))
+    k, w = F.col("market_id"), F.col("wallet")
+    place, land, year = of(_PLACES, w % 8), of(list(_ABROAD), w % 4), 2024 + k % 7
+    head = F.when(k % 5 == 0, F.concat(F.lit("SENATE"), place)).when(k % 5 == 1, F.concat(F.lit("HOUSE"), place, (k % 30 + 1).cast("string"))).when(k % 5 == 2, F.concat(F.lit("KXGOV"), place)).when(k % 5 == 3, F.concat(F.lit("KX"), land, F.lit("PRES"))).otherwise(F.concat(F.lit("KX"), land, F.lit("PARLI")))
+    two = (year % 100).cast("string")
+    when = F.when(w % 3 == 0, year.cast("string")).when(w % 3 == 1, two).otherwise(F.concat(two, F.lit("NOV0"), (year % 9).cast("string")))
+    t = markets(spark, sf).groupBy(F.concat(head, F.lit("-"), when, of(list(_SIDES), k % 11 % 5)).alias("ticker")).agg(F.count("*").alias("n"))
+    return t.select("ticker", tx.ticker_fields(F.col("ticker")).alias("f"), "n").select("ticker", "f.*", "n").na.fill("-")
+
+
+@query(f""", p AS (SELECT market_id % 32 AS bits, ({_PLACES})[wallet % 8 + 1] AS a, ({_PLACES})[wallet // 8 % 8 + 1] AS b, ({list(_STATES.values())})[wallet // 3 % 8 + 1] AS c, market_id % 20 + 1 AS seat FROM markets),
+s AS (SELECT {list(_STATES.values())} AS names, {_PLACES} AS codes)
+SELECT bits, CASE WHEN bits & 1 > 0 THEN 'Field ' || a WHEN bits & 2 > 0 THEN b WHEN bits & 4 > 0 THEN codes[list_position(names, c)] WHEN bits & 8 > 0 THEN a || '-' || seat WHEN bits & 16 > 0 THEN 'US' ELSE 'none' END AS place, count(*) AS n FROM p, s GROUP BY ALL""")
+def composed_locations(spark, sf):
+    """Every combination of own field, ticker, slug, question and default; the SQL takes the first that is there from the parts."""
+    of = lambda values, by: F.get(F.array(*map(F.lit, values)), (by).cast("int"))
+    k, w = F.col("market_id"), F.col("wallet")
+    bit = lambda b, value: F.when((k % 32).bitwiseAND(F.lit(b)) > 0, value)
+    cells = [
+        bit(1, F.concat(F.lit(" Field "), of(_PLACES, w % 8), F.lit(" "))), bit(2, F.concat(F.lit("SENATE"), of(_PLACES, F.floor(w / 8) % 8), F.lit("-28-R"))),
+        bit(4, F.concat(F.lit("who-wins-"), F.replace(of(list(_STATES.values()), F.floor(w / 3) % 8), F.lit(" "), F.lit("-")), F.lit("-senate-race"))),
+        bit(8, F.concat(F.lit("Will "), of(_PLACES, w % 8), F.lit("-"), (k % 20 + 1).cast("string"), F.lit(" flip?"))), bit(16, F.lit("US")),
+    ]
+    m = markets(spark, sf).groupBy((k % 32).cast("int").alias("bits"), *[c.alias(f"c{i}") for i, c in enumerate(cells)]).agg(F.count("*").alias("n"))  # the chain once a distinct case
+    place = F.coalesce(tx.location_chain(*[F.col(f"c{i}") for i in range(5)]), F.lit("none"))
+    return m.select("bits", place.alias("place"), "n").groupBy("bits", "place").agg(F.sum("n").alias("n"))
