@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foretell.functions import text as tx
 from foretell.functions.subjects import NOT_POLITICAL, POLITICAL_WORDS
-from foretell.operators import binning, book, elections, matching, patterns, pricing, quality, ranks, scoring, search_index, stats
+from foretell.operators import binning, book, elections, frames, matching, patterns, pricing, quality, ranks, scoring, search_index, stats
 from foretell.plans.domain_queries import _BOOK, _QUESTIONS, books, questions
 from foretell.plans.market_queries import LAST, day_one, predictions, rounded
 from foretell.plans.registry import registry
@@ -357,3 +357,31 @@ def composed_locations(spark, sf):
     m = markets(spark, sf).groupBy((k % 32).cast("int").alias("bits"), *[c.alias(f"c{i}") for i, c in enumerate(cells)]).agg(F.count("*").alias("n"))  # the chain once a distinct case
     place = F.coalesce(tx.location_chain(*[F.col(f"c{i}") for i in range(5)]), F.lit("none"))
     return m.select("bits", place.alias("place"), "n").groupBy("bits", "place").agg(F.sum("n").alias("n"))
+
+
+_NAMED = {"Ohio": "OH", "Pennsylvania": "PA", "Texas": "TX", "Wisconsin": "WI", "Arizona": "AZ", "Michigan": "MI", "Nevada": "NV", "Florida": "FL"}
+_PEOPLE = ["Jane Smith", "Robert Miller", "Ann Lee Jones", "Tom O'Brien"]
+
+
+@query(f""", p AS (SELECT market_id % 4 AS kind, ({list(_NAMED)})[wallet % 8 + 1] AS state, ({list(_NAMED.values())})[wallet % 8 + 1] AS code, 2025 + market_id % 6 AS year, wallet // 8 % 2 = 0 AS dem, {str(_PEOPLE).replace('"Tom O' + chr(39) + 'Brien"', "'Tom O''Brien'")}[wallet // 8 % 4 + 1] AS person, 1 + wallet % 90 / 10.0 AS x FROM markets),
+t AS (SELECT CASE kind WHEN 0 THEN 'Will a ' || CASE WHEN dem THEN 'Democrat' ELSE 'Republican' END || ' win the ' || state || ' Senate election in ' || year || '?' WHEN 1 THEN 'Will ' || person || ' win the ' || state || ' governor election in ' || year || '?'
+  WHEN 2 THEN 'Will inflation reach ' || floor(x) || '.' || CAST(round(x * 10) AS INTEGER) % 10 || '% in ' || year || '?' ELSE 'Will unemployment fall below ' || CAST(floor(x) AS INTEGER) || '% in ' || year || '?' END AS question,
+  CASE WHEN kind < 2 THEN 'contest' ELSE 'threshold' END AS frame_type, CASE WHEN kind = 1 THEN person ELSE '-' END AS candidate, CASE WHEN kind = 0 THEN CASE WHEN dem THEN 'DEM' ELSE 'GOP' END ELSE '-' END AS party, CASE kind WHEN 0 THEN 'SEN' WHEN 1 THEN 'GOV' ELSE '-' END AS office,
+  CASE WHEN kind < 2 THEN 'US' ELSE '-' END AS country, CASE WHEN kind < 2 THEN code ELSE '-' END AS scope, CASE WHEN kind < 2 THEN 'state' ELSE '-' END AS scope_type, year, CASE kind WHEN 2 THEN 'INFLATION' WHEN 3 THEN 'UNEMPLOYMENT' ELSE '-' END AS metric,
+  CASE kind WHEN 2 THEN round(x, 1) WHEN 3 THEN floor(x) ELSE -1 END AS threshold_value, CASE kind WHEN 2 THEN 'above' WHEN 3 THEN 'below' ELSE '-' END AS threshold_direction FROM p)
+SELECT *, count(*) AS n FROM t GROUP BY ALL""".replace("floor(x) || '.'", "CAST(floor(x) AS INTEGER) || '.'"))
+def composed_questions(spark, sf):
+    """Questions put together from the rows; the SQL knows what they say, the query reads it back from the text."""
+    of = lambda values, by: F.get(F.array(*map(F.lit, values)), by.cast("int"))
+    k, w = F.col("market_id"), F.col("wallet")
+    state, year, tenths = of(list(_NAMED), w % 8), (2025 + k % 6).cast("string"), (10 + w % 90).cast("long")
+    end = F.concat(F.lit(" in "), year, F.lit("?"))
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit("Will a "), F.when(F.floor(w / 8) % 2 == 0, "Democrat").otherwise("Republican"), F.lit(" win the "), state, F.lit(" Senate election"), end))
+        .when(k % 4 == 1, F.concat(F.lit("Will "), of(_PEOPLE, F.floor(w / 8) % 4), F.lit(" win the "), state, F.lit(" governor election"), end))
+        .when(k % 4 == 2, F.concat(F.lit("Will inflation reach "), F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"), end))
+        .otherwise(F.concat(F.lit("Will unemployment fall below "), F.floor(tenths / 10).cast("string"), F.lit("%"), end))
+    )
+    q = written(markets(spark, sf).groupBy(text.alias("question")).agg(F.count("*").alias("n")))
+    f = frames.extract(q.select("question")).select("question", *[f"frame.{c}" for c in ("frame_type", "candidate", "party", "office", "country", "scope", "scope_type", "year", "metric", "threshold_value", "threshold_direction")])
+    return f.join(q, "question").na.fill("-").na.fill(-1)
