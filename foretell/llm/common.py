@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_lots(run: Callable, rows: int = 512) -> Callable:
+    """run, a function for mapInArrow, over batches of at most `rows` rows, so that a task holds few texts at a time; see tidy()."""
+    return tidy(lambda batches: run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)))
+
+
+def tidy(run: Callable) -> Callable:
+    """run, after whose last batch a task gives the memory that it freed back to the machine: workers live on idle, next to those of later stages."""
+
+    def go(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # a C library without it
+            pass
+
+    return go
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like these that df does not have, so that helpers never clash with a caller's columns."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import fresh, materialise, small_side
+from foretell.llm.common import fresh, materialise, small_side, tidy
 
 ORDER = 5
 BITS = 12
@@ -76,7 +76,7 @@ def alphabets(docs: DataFrame) -> dict[str, np.ndarray]:
                 points = np.unique(np.concatenate([np.empty(0, np.uint32), *[np.unique(np.frombuffer((t or "").encode("utf-32-le", "replace"), "<u4")) for t in texts]])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(points), pa.string()), pa.array(points)], ["lang", "point"])
 
-    found = _language(docs).select("lang", "text").mapInArrow(run, "lang string, point long").distinct().toArrow().to_pandas()
+    found = _language(docs).select("lang", "text").mapInArrow(tidy(run), "lang string, point long").distinct().toArrow().to_pandas()
     return {lang: np.sort(own.to_numpy()) for lang, own in found.groupby("lang", sort=False)["point"]}
 
 
@@ -120,7 +120,7 @@ def counts(docs: DataFrame, symbols: Symbols) -> DataFrame:
                 unique, n = _tally(texts.tolist(), symbols, lang)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(unique), pa.string()), pa.array(unique), pa.array(n)], ["lang", "gram", "c"])
 
-    return _language(docs).select("lang", "text").mapInArrow(run, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+    return _language(docs).select("lang", "text").mapInArrow(tidy(run), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
 class Model:
@@ -209,7 +209,7 @@ def _ask(docs: DataFrame, symbols: Symbols, keys: list[str]) -> DataFrame:
                 unique = np.asarray(pd.unique(np.concatenate([pd.unique(_text_grams(lot, symbols, key[-1])[0]) for lot in _lots(texts.tolist())])), np.int64)
                 yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(unique), kind) for k, kind in zip(key, kinds)], pa.array(unique)], [*keys, "gram"])
 
-    return docs.mapInArrow(run, schema).distinct()
+    return docs.mapInArrow(tidy(run), schema).distinct()
 
 
 def _sorted(gram: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +239,7 @@ def perplexity(docs: DataFrame, model: Model, most_answers: int = MOST_ANSWERS)
             for frame in batches:
                 yield from _score_frame(frame, writing, shared.value)
 
-        scored = rows.mapInPandas(run, schema)
+        scored = rows.mapInPandas(tidy(run), schema)
     else:
         size = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
         blocks = max(1, -(-size // BLOCK_CHARS))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import discard, fresh, materialise
+from foretell.llm.common import discard, fresh, in_lots, materialise, tidy
 from foretell.llm.components import connected_components
 
 SEED = 42
@@ -113,7 +113,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = pa.array(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(in_lots(run), "doc_id long, fp long")
 
 
 def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, words: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["id", "hash", "fp", "keys", "shingles"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64("text").alias("hash"), "text")
-    return rows.mapInArrow(run, "id long, hash long, fp binary, keys array<bigint>, shingles binary")
+    return rows.mapInArrow(in_lots(run), "id long, hash long, fp binary, keys array<bigint>, shingles binary")
 
 
 def _to_lanes(column: pa.Array) -> np.ndarray:
@@ -256,7 +256,7 @@ def _find(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
 def _found(rows: DataFrame, bits: int, order: Column) -> DataFrame:
     """(u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met in this order."""
     sorted_ = rows.select("key", "id", "hash", "fp", "label", order.alias("order")).repartition("key").sortWithinPartitions("key", "order", "hash").drop("order")
-    return sorted_.mapInArrow(lambda it: _find(it, bits), "u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>")
+    return sorted_.mapInArrow(tidy(lambda it: _find(it, bits)), "u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>")
 
 
 def _pairs_of_tiles(rows: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     left = pairs.select("u", "part").distinct().join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
     both = pairs.join(left, ["u", "part"]).join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
     node = "struct<id:bigint,hash:bigint>"
-    return both.select("u", "v", "x", "y").mapInArrow(run, f"u {node}, v {node}, good boolean")
+    return both.select("u", "v", "x", "y").mapInArrow(tidy(run), f"u {node}, v {node}, good boolean")
 
 
 def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
