@@ -9,7 +9,7 @@ Links: two fingerprints link when at most `bits` (4) bits differ.
 4. A bucket yields a spanning forest of its links, never all pairs, rooted at its smallest id, so that the buckets of one group tell the same links.  Buckets of more than TILE rows are cut into pairs of tiles, so no task holds a large bucket.
 5. Components of the links give component_id.  A node is (smallest doc_id, hash), so that a component's smallest node names its smallest doc_id, and nothing is joined by component.
 
-By similarity (the pipeline: sets of five words, 0.8) fingerprints have LANES * 64 majority bits of the distinct shingles.  Sampled bits could choose the candidates only with about n ** 0.24 tables (55 at 2e5 documents, over 400 at 1e9), so buckets come from the least of the same shingle hashes instead: KEYS keys of EACH minima each, a fixed KEYS rows of about 60 bytes a document, n * KEYS rows in all.  A pair at 0.8 shares a key with probability 0.999.  In a bucket pivots and bits discard pairs beyond three standard deviations of the distance expected at the similarity, and what is left is verified by the exact similarity of the shingle sets (distinct hashes of 32 bits).  Buckets of one key come first, and those of the others look for links between what is not connected yet; as links that fail verification may hide others, rounds with other orders and tiles follow until one connects nothing new, and buckets of more than a tile that are not of one piece by then are compared tile by tile.
+By similarity (the pipeline: sets of five words, 0.8) fingerprints have LANES * 64 majority bits of the distinct shingles.  Sampled bits could choose the candidates only with about n ** 0.24 tables (55 at 2e5 documents, over 400 at 1e9), so buckets come from the least of the same shingle hashes instead: KEYS keys of EACH minima each, a fixed KEYS rows of about 60 bytes a document, n * KEYS rows in all.  A pair at 0.8 shares a key with probability 0.999.  In a bucket pivots and bits discard pairs beyond three standard deviations of the distance expected at the similarity, and what is left is verified by the exact similarity of the shingle sets (distinct hashes of 32 bits).  Buckets of one key come first, and those of the others look for links between what is not connected yet; what a round connects is put together before the next; as links that fail verification may hide others, rounds with other orders and tiles follow until one connects nothing new, and buckets of more than a tile that are not of one piece by then are compared tile by tile.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; whole texts are read; a null doc_id takes part but never becomes a component_id unless its group has no other; repeated rows give repeated results; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -354,8 +354,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
         here = labelled().filter("number = 0") if first else labelled()
         some, held = look(here.withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn > 0 else F.col("id"))
         stale |= held or first
-        if first:  # one key connects most of a group, which the others then need not tell again; later rounds connect little, and are put together once, at the end
-            connect()
+        connect()  # what a round has connected, the next one's buckets need not tell again: a link that holds then is a new one
         again, turn = first or (some and (held or not turn)), turn + 1
     connect()
     large = labelled().filter("tiles > 1")
