@@ -19,6 +19,15 @@ def seconds(epoch: Column) -> Column:
     return F.when(epoch < 10**12, epoch).otherwise(F.floor(epoch / 1000))
 
 
+def corr(a: str | Column, b: str | Column) -> Column:
+    """Correlation over the rows with both values, as an aggregate; NaN where one of them never changes, which F.corr divides by zero for, and null without rows."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = (F.when(both, c.cast("double")) for c in (a, b))
+    constant = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))  # a variance of equal values can be rounding, not zero
+    return F.when(constant, F.lit(math.nan)).otherwise(F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y))))
+
+
 def _beta_share(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function, by its continued fraction."""
     if x <= 0 or x >= 1:

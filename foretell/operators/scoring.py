@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretell.functions.numbers import p_value
+from foretell.functions.numbers import corr, p_value
 from foretell.operators.ranks import global_rank, group_medians
 
 EPS = 1e-15
@@ -80,7 +80,7 @@ def head_to_head(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Wins (lower Brier), ties, mean difference, Pearson r, and the paired t statistic with its two-sided p, of two panels (key, brier)."""
     both = a.select(key, F.col("brier").alias("x")).join(b.select(key, F.col("brier").alias("y")), key)
     d = F.col("x") - F.col("y")
-    out = both.agg(F.count("*").alias("n"), F.count_if(d < 0).alias("a_wins"), F.count_if(d > 0).alias("b_wins"), F.count_if(d == 0).alias("ties"), F.avg(d).alias("mean_diff"), F.corr("x", "y").alias("r"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("t"))
+    out = both.agg(F.count("*").alias("n"), F.count_if(d < 0).alias("a_wins"), F.count_if(d > 0).alias("b_wins"), F.count_if(d == 0).alias("ties"), F.avg(d).alias("mean_diff"), corr("x", "y").alias("r"), F.try_divide(F.avg(d), F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("t"))
     return out.withColumn("p_value", p_value(F.col("t"), F.col("n") - 1))
 
 

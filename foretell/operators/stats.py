@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretell.functions.numbers import p_value, t_quantile, t_two_sided
+from foretell.functions.numbers import corr, p_value, t_quantile, t_two_sided
 from foretell.operators.ranks import average_rank, group_quantiles, rank_pct
 from foretell.operators.scoring import brier, log_loss
 from foretell.operators.search import split
@@ -49,14 +49,14 @@ def kde(df: DataFrame, value: str, points: int = 200, low: float = 0.0, high: fl
 
 
 def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    return df.agg(*[F.corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
+    return df.agg(*[corr(a, b).alias(f"{a}_{b}") for a, b in pairs])
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation over rows with both values, its t statistic and two-sided p."""
     rows = written(df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b))
     ranked = average_rank(average_rank(rows, a, "_ra"), b, "_rb")
-    r = ranked.agg(F.corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
+    r = ranked.agg(corr("_ra", "_rb").alias("rho"), F.count("*").alias("n"))
     return r.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("rho") * F.col("rho")))).withColumn("p_value", p_value(F.col("t"), F.col("n") - 2))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretell.functions import text as tx
+from foretell.functions.numbers import corr
 from foretell.functions.subjects import NOT_POLITICAL, POLITICAL_WORDS
 from foretell.operators import binning, book, elections, frames, matching, patterns, pricing, quality, ranks, scoring, search_index, stats
 from foretell.plans.domain_queries import _BOOK, _QUESTIONS, books, questions
@@ -176,7 +177,7 @@ def threshold_curve(spark, sf):
 @query(f", w AS (SELECT k.market_id, {LAST} AS spot, avg(price) FILTER (WHERE t.ts >= k.close_ts - 2592000) AS m FROM markets k JOIN ticks t ON t.market_id = k.market_id AND t.ts <= k.close_ts GROUP BY 1) SELECT round(corr(spot, coalesce(m, spot)), 6) AS r, round(avg(abs(spot - coalesce(m, spot))), 6) AS mae, count(*) AS n FROM w")
 def spot_against_mean(spark, sf):
     w = pricing.window_means(markets(spark, sf).select("market_id", "close_ts"), ticks(spark, sf), "close_ts", {"spot": -1, "mean": 30 * DAY}).filter(F.col("spot").isNotNull())
-    return rounded(w.agg(F.corr("spot", "mean").alias("r"), F.avg(F.abs(F.col("spot") - F.col("mean"))).alias("mae"), F.count("*").alias("n")), "r", "mae")
+    return rounded(w.agg(corr("spot", "mean").alias("r"), F.avg(F.abs(F.col("spot") - F.col("mean"))).alias("mae"), F.count("*").alias("n")), "r", "mae")
 
 
 @query(", s AS (SELECT market_id, p, days FROM predictions WHERE days IN (1, 7)) SELECT a.market_id, a.p AS day_1, b.p AS day_7, round(a.p - b.p, 6) AS moved FROM s a JOIN s b ON a.market_id = b.market_id AND a.days = 1 AND b.days = 7")
@@ -189,7 +190,7 @@ def horizon_moves(spark, sf):
 @query(", r AS (SELECT volume_usd, (p - outcome) * (p - outcome) - p * (1 - p) AS rb FROM predictions WHERE days = 1) SELECT round(corr(rb, volume_usd), 6) AS with_volume, round(corr(rb, ln(volume_usd)), 6) AS with_log_volume FROM r")
 def residual_correlations(spark, sf):
     d = day_one(spark, sf).withColumn("rb", stats.residual_brier(F.col("p"), F.col("outcome")))
-    return rounded(d.agg(F.corr("rb", "volume_usd").alias("with_volume"), F.corr("rb", F.log("volume_usd")).alias("with_log_volume")), "with_volume", "with_log_volume")
+    return rounded(d.agg(corr("rb", "volume_usd").alias("with_volume"), corr("rb", F.log("volume_usd")).alias("with_log_volume")), "with_volume", "with_log_volume")
 
 
 @query(", m AS (SELECT market_id, 0.5 + (market_id % 51) / 100.0 AS confidence, market_id % 100 AS kp, (market_id % 7) / 10.0 AS pp, (market_id % 11) / 10.0 AS ks FROM markets) SELECT count(*) AS matches, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (WHERE confidence >= 0.9) AS high, count(*) FILTER (WHERE confidence >= 0.75 AND confidence < 0.9) AS medium, count(*) FILTER (WHERE confidence < 0.75) AS low FROM m".replace("0.5 + (market_id % 51) / 100.0", "CAST(0.5 + (market_id % 51) / 128.0 AS DOUBLE)"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foretell.functions import text as tx
+from foretell.functions.numbers import corr
 from foretell.operators import asof, binning, book, elections, frames, geo, pricing, quality, scoring, search, stats
 from foretell.plans.domain_queries import _BOOK, _QUESTIONS, books, questions
 from foretell.plans.market_queries import day_one, predictions, rounded, t_tail
@@ -413,7 +414,7 @@ def residual_by_book(spark, sf):
     """Residual Brier scores against spread and depth of the market's book, by category and venue with at least three markets."""
     b = book.metrics(books(spark, sf)).select(F.col("market_id").alias("g"), "spread", (F.col("bid_depth") + F.col("ask_depth")).alias("depth")).filter("spread is not null")
     d = day_one(spark, sf).withColumn("rb", stats.residual_brier(F.col("p"), F.col("outcome"))).withColumn("g", F.col("market_id") % 500)
-    out = d.join(b, "g").groupBy("category", "platform").agg(F.count("*").alias("n"), F.corr("rb", "spread").alias("with_spread"), F.corr("rb", "depth").alias("with_depth"), F.avg("rb").alias("residual")).filter("n >= 3")
+    out = d.join(b, "g").groupBy("category", "platform").agg(F.count("*").alias("n"), corr("rb", "spread").alias("with_spread"), corr("rb", "depth").alias("with_depth"), F.avg("rb").alias("residual")).filter("n >= 3")
     return rounded(rounded(out, "with_spread", "with_depth", places=5), "residual")
 
 

@@ -247,6 +247,18 @@ def test_forest_importance_finds_the_feature_that_matters(spark):
     assert stats.forest_importance(rows.withColumn("key", F.col("id") % 600), "key", ["a", "b", "c"], "y").collect() == list(got.values())
 
 
+def test_correlation_with_a_column_that_never_changes(spark):
+    import numpy as np
+
+    from foretell.functions.numbers import corr
+
+    rows = spark.createDataFrame([(float(k), 0.1, None if k == 3 else k * k - 5.0 * k, "a") for k in range(7)] + [(1.0, 2.0, None, "b")], "x double, same double, y double, g string").repartition(5)
+    got = {r.g: r for r in rows.groupBy("g").agg(corr("x", "same").alias("c"), corr("x", "y").alias("r"), corr("same", F.col("x") + 0).alias("d")).collect()}
+    assert np.isnan(got["a"].c) and np.isnan(got["a"].d) and np.isnan(got["b"].c) and got["b"].r is None
+    k = np.array([0, 1, 2, 4, 5, 6.0])
+    assert got["a"].r == pytest.approx(np.corrcoef(k, k * k - 5 * k)[0, 1])
+
+
 def test_bootstrap_limits(spark):
     from foretell.operators import stats
 
