@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from foretell.sources.shared import shared_dir
 
+#: Drops the shuffle files of a statement at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The characters `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -23,10 +25,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df written once to the shared folder and read back: cuts the lineage and survives lost executors.  The shuffle files that led to it go at once: no later step reads them, and many rounds over small tables would otherwise leave as many files as tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    held = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
     back = spark.read.schema(_nullable(df.schema)).parquet(path)
     back._shared_path = path
     return back

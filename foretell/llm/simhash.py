@@ -9,7 +9,7 @@ Links: two fingerprints link when at most `bits` (4) bits differ.
 4. A bucket yields a spanning forest of its links, never all pairs, rooted at its smallest id, so that the buckets of one group tell the same links.  Buckets of more than TILE rows are cut into pairs of tiles, so no task holds a large bucket.
 5. Components of the links give component_id.  A node is (smallest doc_id, hash), so that a component's smallest node names its smallest doc_id, and nothing is joined by component.
 
-By similarity (the pipeline: sets of five words, 0.8) fingerprints have LANES * 64 majority bits of the distinct shingles.  Sampled bits could choose the candidates only with about n ** 0.24 tables (55 at 2e5 documents, over 400 at 1e9), so buckets come from the least of the same shingle hashes instead: KEYS keys of EACH minima each, a fixed KEYS rows of about 60 bytes a document, n * KEYS rows in all.  A pair at 0.8 shares a key with probability 0.999.  In a bucket pivots and bits discard pairs beyond three standard deviations of the distance expected at the similarity, and what is left is verified by the exact similarity of the shingle sets (distinct hashes of 32 bits).  Buckets of one key come first, and those of the others look for links between what is not connected yet; what a round connects is put together before the next; as links that fail verification may hide others, rounds with other orders and tiles follow until one connects nothing new, and buckets of more than a tile that are not of one piece by then are compared tile by tile.
+By similarity (the pipeline: sets of five words, 0.8) fingerprints have LANES * 64 majority bits of the distinct shingles.  Sampled bits could choose the candidates only with about n ** 0.24 tables (55 at 2e5 documents, over 400 at 1e9), so buckets come from the least of the same shingle hashes instead: KEYS keys of EACH minima each, a fixed KEYS rows of about 60 bytes a document, n * KEYS rows in all.  A pair at 0.8 shares a key with probability 0.999.  In a bucket pivots and bits discard pairs beyond three standard deviations of the distance expected at the similarity, and what is left is verified by the exact similarity of the shingle sets (distinct hashes of 32 bits).  Buckets of one key come first, and those of the others look for links between what is not connected yet; what a round connects is put together before the next; links that fail verification may hide others, so buckets with such links are looked at again, those of up to FEW rows pair by pair, which settles them, larger ones with other orders and tiles until a round connects nothing new, and buckets of more than a tile that are not of one piece by then are compared tile by tile.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; whole texts are read; a null doc_id takes part but never becomes a component_id unless its group has no other; repeated rows give repeated results; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -181,14 +181,17 @@ def forest(fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int) ->
     return np.concatenate(us), np.concatenate(vs)
 
 
-def small_forests(first: np.ndarray, size: int, fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many buckets of one size at once, which begin at `first`: trees grow by one member a step."""
+def small_forests(first: np.ndarray, size: int, fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int, every_pair: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many buckets of one size at once, which begin at `first`: trees grow by one member a step.  every_pair: all links between different labels, not a tree of them."""
     n, place = len(first), first[:, None] + np.arange(size)
     joined = np.zeros((n, size, size), bool)
     for a in range(size):
         for b in range(a + 1, size):
             joined[near(fps, table, place[:, a], place[:, b], bits), a, b] = True
     known = label[place][:, :, None] == label[place][:, None, :]
+    if every_pair:
+        k, a, b = np.nonzero(joined & ~known)
+        return place[k, a], place[k, b]
     joined |= joined.transpose(0, 2, 1) | known
     inside, every = np.zeros((n, size), bool), np.arange(n)
     inside[:, 0] = True
@@ -205,8 +208,8 @@ def small_forests(first: np.ndarray, size: int, fps: np.ndarray, table: np.ndarr
     return np.concatenate(us), np.concatenate(vs)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked rows inside the buckets of rows sorted by key, a spanning forest each."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int, most: int = 8192, every_pair: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows inside the buckets of rows sorted by key, a spanning forest each, or (every_pair) all links of buckets of up to FEW rows."""
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes, firsts = np.diff(edges), edges[:-1]
     us, vs = [edges[:0]], [edges[:0]]
@@ -217,7 +220,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int
         for size in range(2, FEW + 1):
             own = firsts[sizes == size]
             for at in range(0, len(own), most):
-                u, v = small_forests(own[at : at + most], size, fps, table, label, bits)
+                u, v = small_forests(own[at : at + most], size, fps, table, label, bits, every_pair)
                 us.append(u)
                 vs.append(v)
     for k in np.flatnonzero(sizes > FEW):
@@ -230,16 +233,16 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _find(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], bits: int, every_pair: bool) -> Iterator[pa.RecordBatch]:
     """Links inside buckets, which come one after another: key, id, hash, fp, label."""
     left: pa.Table | None = None
 
     def emit(rows: pa.Table) -> pa.RecordBatch:
         column = lambda k: rows.column(k).combine_chunks()
         key, label = (column(k).to_numpy(zero_copy_only=False) for k in (0, 4))
-        u, v = bucket_links(key, _to_lanes(column(3)), label, bits)
+        u, v = bucket_links(key, _to_lanes(column(3)), label, bits, every_pair=every_pair)
         node = lambda at: pa.StructArray.from_arrays([column(1).take(pa.array(at)), column(2).take(pa.array(at))], ["id", "hash"])
-        return pa.RecordBatch.from_arrays([node(u), node(v)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([column(0).take(pa.array(u)), node(u), node(v)], ["key", "u", "v"])
 
     for b in batches:
         new = pa.Table.from_batches([b])
@@ -253,10 +256,10 @@ def _find(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         yield emit(left)
 
 
-def _found(rows: DataFrame, bits: int, order: Column) -> DataFrame:
-    """(u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met in this order."""
+def _found(rows: DataFrame, bits: int, order: Column, every_pair: bool = False) -> DataFrame:
+    """(key, u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met in this order."""
     sorted_ = rows.select("key", "id", "hash", "fp", "label", order.alias("order")).repartition("key").sortWithinPartitions("key", "order", "hash").drop("order")
-    return sorted_.mapInArrow(tidy(lambda it: _find(it, bits)), "u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>")
+    return sorted_.mapInArrow(tidy(lambda it: _find(it, bits, every_pair)), "key long, u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>")
 
 
 def _pairs_of_tiles(rows: DataFrame) -> DataFrame:
@@ -268,7 +271,7 @@ def _pairs_of_tiles(rows: DataFrame) -> DataFrame:
 
 def _tiles(rows: DataFrame, tile: int, least: int) -> DataFrame:
     """key, tiles of the buckets of at least so many rows."""
-    return rows.groupBy("key").count().filter(F.col("count") >= least).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    return rows.groupBy("key").count().filter(F.col("count") >= least).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"), (F.col("count") > FEW).alias("many"))
 
 
 def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
@@ -280,9 +283,9 @@ def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     rows = nodes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "id", "hash", "fp", F.xxhash64("id", "hash").alias("label"))
     large = materialise(_tiles(rows, tile, tile + 1))
     if large.limit(1).count() == 0:
-        return _found(rows, bits, F.col("id"))
+        return _found(rows, bits, F.col("id")).select("u", "v")
     split = _pairs_of_tiles(rows.join(large, "key"))
-    return _found(rows.join(large, "key", "left_anti"), bits, F.col("id")).union(_found(split, bits, F.col("id")))
+    return _found(rows.join(large, "key", "left_anti"), bits, F.col("id")).union(_found(split, bits, F.col("id"))).select("u", "v")
 
 
 def differing_share(similarity: float) -> float:
@@ -318,21 +321,24 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
     node = F.struct("id", "hash")
     sets = texts.join(live.select("id", "hash").distinct(), ["id", "hash"]).dropDuplicates(["id", "hash"])
     sets = materialise(sets.select(node.alias("node"), "shingles"))
-    tested = labels = None
+    tested = labels = failed = None
 
-    def labelled() -> DataFrame:
+    def labelled(rows: DataFrame) -> DataFrame:
         own = F.xxhash64("id", "hash")
         if labels is None:
-            return live.withColumn("label", own)
+            return rows.withColumn("label", own)
         named = labels.select(F.col("node.id").alias("id"), F.col("node.hash").alias("hash"), F.xxhash64("label.id", "label.hash").alias("label"))
-        return live.join(named, ["id", "hash"], "left").withColumn("label", F.coalesce("label", own))
+        return rows.join(named, ["id", "hash"], "left").withColumn("label", F.coalesce("label", own))
 
-    def look(rows: DataFrame, order: Column) -> tuple[bool, bool]:
+    def look(rows: DataFrame, order: Column, every_pair: bool = False) -> tuple[bool, bool]:
         """Test the links found that were not tested yet.  Whether there were any, and whether any held."""
-        nonlocal tested
-        pairs = _found(rows, bits, order).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        nonlocal tested, failed
+        found = materialise(_found(rows, bits, order, every_pair).select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        pairs = found.select("u", "v").distinct()
         new = materialise(_verified(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), sets, similarity))
         some, held = new.limit(1).count() > 0, new.filter("good").limit(1).count() > 0
+        old, failed = failed, materialise(found.join(new.filter("good"), ["u", "v"], "left_anti").select("key").distinct())  # what was tested before and is found again has failed
+        discard(found, *([] if old is None else [old]))
         if tested is None:
             tested = new
         else:
@@ -351,18 +357,25 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
     while again:
         first, salt = turn < 0, F.lit(max(turn, 0))
         tiled = F.when(F.col("tiles") > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "hash", salt), F.col("tiles")))).otherwise(F.col("key"))
-        here = labelled().filter("number = 0") if first else labelled()
-        some, held = look(here.withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn > 0 else F.col("id"))
+        if first:
+            here = live.filter("number = 0")
+        elif not turn:
+            here = live
+        else:  # the links of all others hold, or all their pairs were tested
+            here = live.filter("tiles = 1" if turn == 1 else "tiles = 1 AND many").join(failed, "key", "left_semi").unionByName(live.filter("tiles > 1"))
+            if not here.limit(1).count():
+                break
+        some, held = look(labelled(here).withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn > 0 else F.col("id"), turn > 0)
         stale |= held or first
         connect()  # what a round has connected, the next one's buckets need not tell again: a link that holds then is a new one
         again, turn = first or (some and (held or not turn)), turn + 1
     connect()
-    large = labelled().filter("tiles > 1")
+    large = labelled(live.filter("tiles > 1"))
     apart = large.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
     if apart.limit(1).count():
         stale = look(_pairs_of_tiles(large.join(apart, "key")), F.col("id"))[1]
         connect()
-    discard(live, sets, tested)
+    discard(live, sets, tested, failed)
     return labels
 
 
