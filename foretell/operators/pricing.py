@@ -12,14 +12,23 @@ from foretell.operators.scan import running
 TIER_HOURS, LEAST_TRADES = (6, 12, 24), 10
 
 
-def window_means(left: DataFrame, ticks: DataFrame, at: str, windows: dict[str, int], fallback: bool = True, lasts: dict[str, Column] | None = None) -> DataFrame:
+def window_means(left: DataFrame, ticks: DataFrame, at: str, windows: dict[str, int], fallback: bool = True, lasts: dict[str, Column] | None = None, strategy: str = "scan") -> DataFrame:
     """left with, for each named window of seconds, the unweighted mean price in [at - window, at]; an empty window gives the last earlier price if `fallback`.  `lasts` adds last values, up to `at`, of expressions over ticks.  left's rows are distinct.
 
-    Means come from prefix sums: the borders of the windows are rows among the ticks of their market, one segmented scan gives every border the sum and the number of prices before it, and a window is the difference of two borders.  No tick meets a window; a market may hold any share of the ticks.  Sums are decimals of 12 places, so differences are exact to these.
+    Means come from prefix sums: the borders of the windows are rows among the ticks of their market, one segmented scan gives every border the sum and the number of prices before it, and a window is the difference of two borders.  No tick meets a window; a market may hold any share of the ticks.  Sums are decimals of 12 places, so differences are exact to these.  strategy="agg" joins each row with its market's ticks and aggregates instead, which suits few rows and few ticks a market: no border is sorted among them.
     """
     lasts, number = lasts or {}, lambda c: c.cast("decimal(28,12)")
     order = ["_at", "_kind", "_tie1", "_tie2"]
     t = ticks.select(F.col("market_id").alias("_m"), F.col("ts").alias("_at"), F.lit(0).alias("_kind"), F.col("ord").alias("_tie1"), F.col("price").alias("_tie2"), F.col("price").alias("_p"), *[c.alias(f"_v{i}") for i, c in enumerate(lasts.values())])
+    if strategy == "agg":
+        joined = left.join(t, (F.col("market_id") == F.col("_m")) & (F.col("_at") <= F.col(at)), "left")
+        inside = lambda w: (F.col("_at") >= F.col(at) - w) & F.col("_p").isNotNull()
+        newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("_at", "_tie1", "_tie2")))
+        sums = [x for i, w in enumerate(windows.values()) for x in (F.sum(F.when(inside(w), number(F.col("_p")))).alias(f"_s{i}"), F.count_if(inside(w)).alias(f"_c{i}"))]
+        wide = joined.groupBy(*left.columns).agg(*sums, newest("_p").alias("_last"), *[newest(f"_v{i}").alias(f"_l{i}") for i in range(len(lasts))])
+        last = F.col("_last") if fallback else F.lit(None).cast("double")
+        mean = lambda i: F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}").cast("double") / F.col(f"_c{i}"))
+        return wide.select(*left.columns, *[F.coalesce(mean(i), last).alias(name) for i, name in enumerate(windows)], *[F.col(f"_l{i}").alias(name) for i, name in enumerate(lasts)])
     own = F.struct(*[F.col(f"`{c}`") for c in left.columns])
     starts = [F.struct((F.col(at) - w).alias("_at"), F.lit(-1).alias("_kind"), F.lit(name).alias("_name")) for name, w in windows.items()]
     borders = left.select(F.col("market_id").alias("_m"), own.alias("_row"), F.inline(F.array(*starts, F.struct(F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit("").alias("_name")))))

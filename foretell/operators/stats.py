@@ -170,11 +170,16 @@ def specification_curve(prices: DataFrame, price_types: list[str], thresholds: l
     prices: truncation, platform, volume_usd, outcome and one column per price type.  `least` drops cells with fewer rows on a side.
     """
     long = prices.unpivot(["truncation", "platform", "volume_usd", "outcome"], price_types, "price_type", "p").filter(F.col("p").isNotNull() & F.col("outcome").isNotNull())
-    cells = long.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).filter(F.col("volume_usd") >= F.col("threshold"))
-    cells = cells.select("truncation", "price_type", "threshold", "platform", F.explode(F.create_map(F.lit("brier"), brier(F.col("p"), F.col("outcome")), F.lit("logloss"), log_loss(F.col("p"), F.col("outcome")))).alias("metric", "s"))
-    of = lambda v: F.col("platform") == v
+    # a row counts once, for the highest threshold that it reaches; the few sums are then added up over the thresholds
+    reached = F.array_max(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("volume_usd") >= t))
+    scores = {"brier": brier(F.col("p"), F.col("outcome")), "logloss": log_loss(F.col("p"), F.col("outcome"))}
+    sums = long.groupBy("truncation", "price_type", reached.alias("reached"), "platform").agg(F.count("*").alias("n"), *[F.sum(s).alias(f"_{m}") for m, s in scores.items()]).filter("reached IS NOT NULL")
+    cells = sums.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).filter(F.col("reached") >= F.col("threshold"))
+    cells = cells.select("truncation", "price_type", "threshold", "platform", "n", F.explode(F.create_map(*[x for m in scores for x in (F.lit(m), F.col(f"_{m}"))])).alias("metric", "s"))
+    of = lambda v, c: F.sum(F.when(F.col("platform") == v, F.col(c)))
+    n = lambda v: F.coalesce(of(v, "n"), F.lit(0))
     a, b = venues
-    out = cells.groupBy("truncation", "price_type", "threshold", "metric").agg(F.avg(F.when(of(a), F.col("s"))).alias("pm_score"), F.count_if(of(a)).alias("pm_n"), F.avg(F.when(of(b), F.col("s"))).alias("k_score"), F.count_if(of(b)).alias("k_n"))
+    out = cells.groupBy("truncation", "price_type", "threshold", "metric").agg((of(a, "s") / of(a, "n")).alias("pm_score"), n(a).alias("pm_n"), (of(b, "s") / of(b, "n")).alias("k_score"), n(b).alias("k_n"))
     out = out.filter((F.col("pm_n") >= least) & (F.col("k_n") >= least))
     out = out.withColumn("pm_wins", F.col("pm_score") < F.col("k_score")).withColumn("score_diff", F.col("pm_score") - F.col("k_score"))
     order = Window.orderBy("truncation", "price_type", "threshold", "metric")  # at most one row per cell of the grid

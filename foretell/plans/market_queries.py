@@ -388,7 +388,7 @@ def specification_curve(spark, sf):
     asked = m.select("market_id", "platform", "volume_usd", "outcome", "close_ts", cuts).withColumn("at", F.col("close_ts") - F.col("_d") * DAY).drop("_d", "close_ts")
     quotes = ticks(spark, sf).select("market_id", "ts", "ord", "price", F.lit(None).cast("double").alias("midpoint"), F.col("price").alias("best_bid"), F.least(F.col("price") + F.col("tax"), F.lit(1.0)).alias("best_ask"))
     # a quote without a bid has no midpoint by the rules of snapshots; here its mean stands
-    prices = pricing.window_means(asked, quotes, "at", {"spot": -1} | {k: h * 3600 for k, h in _PRICES.items() if h}, lasts={"midpoint": (F.col("best_bid") + F.col("best_ask")) / 2})
+    prices = pricing.window_means(asked, quotes, "at", {"spot": -1} | {k: h * 3600 for k, h in _PRICES.items() if h}, lasts={"midpoint": (F.col("best_bid") + F.col("best_ask")) / 2}, strategy="agg")
     out = stats.specification_curve(prices, list(_PRICES), [0, 1e3, 1e4, 1e5])
     return rounded(out, "pm_score", "k_score", "score_diff")
 

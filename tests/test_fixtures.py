@@ -282,3 +282,10 @@ def test_paged_listing_ends_where_a_page_says_so(spark, tmp_path):
     for n in range(130):
         (tmp_path / f"page-{n}.json").write_text('{"items": [{"id": %d, "x": "y"}], "next": %s}' % (n, "true" if n < 119 else "false"))
     assert sorted(int(r.id) for r in readers.paged(spark, str(tmp_path)).collect()) == list(range(120))
+
+
+def test_window_means_by_join_like_by_scan(spark):
+    left = spark.createDataFrame([(m, x, at) for m in range(6) for x, at in (("a", 50), ("b", 90))], "market_id long, cut string, at long")
+    ticks = spark.createDataFrame([(k % 5, (k * 37) % 100, k, None if k % 7 == 0 else (k % 11) / 10.0) for k in range(60)] + [(4, 50, 99, 0.3)], "market_id long, ts long, ord long, price double")
+    made = lambda how: sorted(tuple(r) for r in pricing.window_means(left, ticks, "at", {"spot": -1, "m": 30}, lasts={"twice": F.col("price") * 2}, strategy=how).select("market_id", "cut", "spot", "m", "twice").na.fill(-1.0).collect())
+    assert made("agg") == made("scan") and len(made("agg")) == 12
