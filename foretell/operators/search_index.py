@@ -30,12 +30,12 @@ class SearchIndex:
         """Index the fields of df, whose ids are distinct; null fields are empty."""
         blocks = max(1, -(-df.count() // block))
         low = [F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields]
-        df.select(F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"), id_, *low).repartition("block").write.partitionBy("block").parquet(f"{path}/texts")
-        rows = df.sparkSession.read.parquet(f"{path}/texts")
+        rows = df.select(F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("block"), id_, *low).repartition("block")
+        rows.write.partitionBy("block").parquet(f"{path}/texts")
         words = F.array_distinct(F.split(F.concat_ws(" ", *fields), r"\s+"))
         grams = F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.char_length(w) >= 3), lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
         lists = rows.select("block", id_, F.explode(grams).alias("gram")).groupBy("gram", "block").agg(F.sort_array(F.collect_list(id_)).alias("ids"))
-        lists = lists.withColumn("folder", _folder(F.col("gram"))).repartition("folder").sortWithinPartitions("gram", "block")
+        lists = lists.withColumn("folder", _folder(F.col("gram"))).sortWithinPartitions("folder", "gram", "block")  # lists are made where their block is: no id is shuffled
         lists.write.partitionBy("folder").parquet(f"{path}/postings")
         return cls(df.sparkSession, path, fields, id_)
 

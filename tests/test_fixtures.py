@@ -289,3 +289,15 @@ def test_window_means_by_join_like_by_scan(spark):
     ticks = spark.createDataFrame([(k % 5, (k * 37) % 100, k, None if k % 7 == 0 else (k % 11) / 10.0) for k in range(60)] + [(4, 50, 99, 0.3)], "market_id long, ts long, ord long, price double")
     made = lambda how: sorted(tuple(r) for r in pricing.window_means(left, ticks, "at", {"spot": -1, "m": 30}, lasts={"twice": F.col("price") * 2}, strategy=how).select("market_id", "cut", "spot", "m", "twice").na.fill(-1.0).collect())
     assert made("agg") == made("scan") and len(made("agg")) == 12
+
+
+def test_index_lists_are_made_where_their_block_is(spark, tmp_path):
+    from foretell.operators.search_index import SearchIndex
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(400).select("id", F.concat(F.lit("word"), F.col("id"), F.lit(" common")).alias("text"))
+    index = SearchIndex.build(rows, "id", ["text"], str(tmp_path / "i"), block=20)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(str(tmp_path / "i" / "postings")).select("block", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("part")).distinct().collect()
+    assert len({r.part for r in parts}) > 1 and len(parts) == len({r.block for r in parts})
+    assert index.phrase("word39").count() == 11 and index.all_words("mon common").count() == 400
