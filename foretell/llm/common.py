@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ from foretell.sources.shared import shared_dir
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The characters `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
+#: What materialise() has written inside the innermost scratch().
+_WRITTEN: ContextVar[list[DataFrame] | None] = ContextVar("written", default=None)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +40,8 @@ def materialise(df: DataFrame) -> DataFrame:
         spark.conf.unset(_CLEANUP) if held is None else spark.conf.set(_CLEANUP, held)
     back = spark.read.schema(_nullable(df.schema)).parquet(path)
     back._shared_path = path
+    if (inside := _WRITTEN.get()) is not None:
+        inside.append(back)
     return back
 
 
@@ -47,6 +53,18 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """The tables that materialise() writes inside the block; those still in the list at its end are deleted."""
+    tables: list[DataFrame] = []
+    outer = _WRITTEN.set(tables)
+    try:
+        yield tables
+    finally:
+        _WRITTEN.reset(outer)
+        discard(*tables)
+
+
 def in_lots(run: Callable, rows: int = 512) -> Callable:
     """run, a function for mapInArrow, over batches of at most `rows` rows, so that a task holds few texts at a time; see tidy()."""
     return tidy(lambda batches: run(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)))

@@ -11,21 +11,24 @@ from foretell.llm.common import discard, materialise
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (u, v); equal labels mean connected, a label is the smallest node.
 
-    Each round every node takes the smallest label among its neighbours, the node that was its label is hooked to the same one, and labels are replaced by their own labels.  Rounds grow with the logarithm of the longest path.  Every table is written to the shared folder, and the driver sees one count a round.  An edge table without rows gives no row.
+    Each round every node takes the smallest label among its neighbours, the node that was its label is hooked to the same one, and labels are replaced by their own labels.  Rounds grow with the logarithm of the longest path.  A round is two minima and two joins, each worked out once: what a node finds goes on as one row or two, whether its label changed goes along with the minimum, and both sides of the jump read one written table.  Every table is written to the shared folder, and the driver sees one count a round.  An edge table without rows gives no row.
     """
     both = materialise(edges.select("u", "v").union(edges.select("v", "u")).filter("u <> v").distinct())
     labels = materialise(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("least"))
-        found = labels.join(near, "node").select("node", "label", F.least("label", "least").alias("least"))
-        lower = found.select("node", "least").union(found.filter("least < label").select(F.col("label").alias("node"), "least"))
-        lower = lower.groupBy("node").agg(F.min("least").alias("least"))
-        jump = lower.select(F.col("node").alias("least"), F.col("least").alias("next"))
-        moved = lower.join(jump, "least").select("node", F.col("next").alias("label"))
-        new = materialise(moved.join(labels.withColumnRenamed("label", "old"), "node"))
-        changed = new.filter("label <> old").limit(1).count()
-        discard(labels)
-        labels = new.drop("old")
+        own = labels.select("node", F.col("label").alias("least"), "label")
+        near = both.join(labels.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), F.col("label").alias("least"), F.lit(None).alias("label"))
+        found = own.union(near).groupBy("node").agg(F.min("least").alias("least"), F.max("label").alias("label"))
+        lower = F.col("least") < F.col("label")
+        told = F.array(F.struct("node", "least", lower.alias("moved")), F.when(lower, F.struct(F.col("label").alias("node"), "least", lower.alias("moved"))))
+        least = found.select(F.explode(told).alias("x")).filter("x IS NOT NULL").groupBy("x.node").agg(F.min(F.struct("x.least", "x.moved")).alias("x"))
+        least = materialise(least)
+        jump = least.select(F.col("node").alias("least"), F.col("x").alias("next"))
+        jumped = least.select("node", "x.least", "x.moved").join(jump, "least")
+        new = materialise(jumped.select("node", F.col("next.least").alias("label"), (F.col("moved") | (F.col("next.least") < F.col("least"))).alias("moved")))
+        changed = new.filter("moved").limit(1).count()
+        discard(labels, least)
+        labels = new.drop("moved")
         labels._shared_path = new._shared_path
         if not changed:
             discard(both)

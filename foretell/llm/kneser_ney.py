@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import fresh, materialise, small_side, tidy
+from foretell.llm.common import fresh, materialise, scratch, small_side, tidy
 
 ORDER = 5
 BITS = 12
@@ -295,5 +295,7 @@ def judge(docs: DataFrame, labels: DataFrame, upper: float = 0.995, lower: float
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns.  A row goes with its own text, not with another of its id; rows that repeat an id and text in languages that judge them differently go together."""
     id_, text = fresh(docs, "bad_id", "bad_text")
-    bad = materialise(judge(docs, labels).filter("rejected").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct())
+    with scratch() as tables:  # the model, the questions and the scores
+        bad = materialise(judge(docs, labels).filter("rejected").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct())
+        tables.remove(bad)
     return docs.join(small_side(bad), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(text)), "left_anti")

@@ -335,10 +335,11 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
         nonlocal tested, failed
         found = materialise(_found(rows, bits, order, every_pair).select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         pairs = found.select("u", "v").distinct()
-        new = materialise(_verified(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), sets, similarity))
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))  # read twice
+        new = materialise(_verified(pairs, sets, similarity))
         some, held = new.limit(1).count() > 0, new.filter("good").limit(1).count() > 0
         old, failed = failed, materialise(found.join(new.filter("good"), ["u", "v"], "left_anti").select("key").distinct())  # what was tested before and is found again has failed
-        discard(found, *([] if old is None else [old]))
+        discard(found, pairs, *([] if old is None else [old]))
         if tested is None:
             tested = new
         else:
