@@ -189,7 +189,7 @@ def specification_curve(prices: DataFrame, price_types: list[str], thresholds: l
 def forest_importance(df: DataFrame, key: str, features: list[str], label: str, trees: int = 20, depth: int = 6, seed: int = 42, bucket: int = 50_000) -> DataFrame:
     """Random forest on a split by key (80 / 20, all rows of a key on one side): R2 on the held-out part, and how much it falls when a feature is shuffled.
 
-    The rows are written once.  Held-out rows are dealt to buckets of about `bucket` rows; within a bucket every feature's values are dealt anew in the order of a hash of its own, all features in one join, and one pass of the model gives every R2.
+    The rows are written once.  Training rows are dealt by a hash of theirs to partitions of about `bucket` rows, in an order of their own: the forest caches a partition whole and its tasks read it again at every depth, and files would be put together to partitions of 128 MB.  Held-out rows are dealt to buckets of about `bucket` rows; within a bucket every feature's values are dealt anew in the order of a hash of its own, all features in one join, and one pass of the model gives every R2.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -198,8 +198,11 @@ def forest_importance(df: DataFrame, key: str, features: list[str], label: str,
     at = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     split(df.select(F.col(key).alias("key"), *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label")).dropna(), "key", seed=seed).write.parquet(at)
     rows = spark.read.parquet(at)
+    training, whole = rows.filter("train"), ["key", *features, "label"]
+    parts = max(16, -(-training.count() // bucket))
+    training = training.repartition(parts, F.xxhash64(*whole, F.lit(seed))).sortWithinPartitions(*whole)
     assemble = VectorAssembler(inputCols=features, outputCol="features")
-    model = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(assemble.transform(rows.filter("train")))
+    model = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(assemble.transform(training))
     held = rows.filter(~F.col("train"))
     total = held.agg(F.count("*").alias("n"), F.avg("label").alias("mean"), F.var_pop("label").alias("var")).first()
     place = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(max(1, -(-total["n"] // bucket))))

@@ -247,6 +247,18 @@ def test_forest_importance_finds_the_feature_that_matters(spark):
     assert stats.forest_importance(rows.withColumn("key", F.col("id") % 600), "key", ["a", "b", "c"], "y").collect() == list(got.values())
 
 
+def test_forest_trains_on_partitions_of_few_rows(spark, monkeypatch):
+    from pyspark.ml.regression import RandomForestRegressor
+
+    from foretell.operators import stats
+
+    sizes, real = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, df, *a: sizes.extend(df.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) or real(self, df, *a))
+    rows = spark.range(3000).select(F.col("id").alias("key"), (F.xxhash64("id") % 1000 / 1000.0).alias("a")).withColumn("y", F.col("a") * 3)
+    got = stats.forest_importance(rows, "key", ["a"], "y", trees=3, bucket=100).collect()
+    assert got[0].r2 > 0.9 and 2000 < sum(sizes) < 3000 and max(sizes) < 200
+
+
 def test_correlation_with_a_column_that_never_changes(spark):
     import numpy as np
 
