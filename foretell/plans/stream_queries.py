@@ -59,7 +59,7 @@ SELECT key AS user_id, t AS at_us, n AS trade_count, CASE WHEN n >= 3 THEN 'live
        CASE WHEN n >= 3 THEN vwap WHEN t - good.t <= 604800000000 THEN good.v END AS price FROM g, w WHERE t < until"""
 )
 def stream_stale_fallback(spark, sf):
-    out = rolling.replay(_arriving(spark, sf), lambda s: rolling.follow(s, ["user_id"], least=3), shared_dir(spark))
+    out = rolling.replay(_arriving(spark, sf), lambda s: rolling.follow(s, ["user_id"], least=3, buckets=1024), shared_dir(spark))
     return out.select("user_id", "at_us", "trade_count", "status", _rounded("price"))
 
 
