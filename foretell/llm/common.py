@@ -45,6 +45,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return back
 
 
+def few(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """df, which has at most `rows` rows, in a task for every `each` of them, or one for each core if that is more; never in more partitions than it has.  Small tables that rounds of joins write again and again otherwise cost as many tasks and files as the session shuffles to."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and nothing reads any more."""
     for df in tables:

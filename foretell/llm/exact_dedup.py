@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foretell.llm.common import BLANKS, fresh, materialise
+from foretell.llm.common import BLANKS, few, fresh, materialise
 
 
 def normalised(text: Column) -> Column:
@@ -40,7 +40,7 @@ def exact_duplicates(docs: DataFrame, tracked: int = 1024) -> DataFrame:
         .filter(F.col("group_size") > F.greatest(F.lit(1), F.col("n") / tracked))
         .select("digest", "group_size", "best")
     )
-    winners = F.broadcast(materialise(winners))
+    winners = F.broadcast(materialise(few(winners, tracked)))
     heavy = hashed.join(winners, "digest")
     light = hashed.join(winners.select("digest"), "digest", "left_anti")
     light = light.join(light.groupBy("digest").agg(F.count("*").alias("group_size"), F.min(best).alias("best")), "digest")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import fresh, materialise, scratch, small_side, tidy
+from foretell.llm.common import few, fresh, materialise, scratch, small_side, tidy
 
 ORDER = 5
 BITS = 12
@@ -30,6 +30,8 @@ WIDTHS = ((BITS, ORDER), (15, 4), (21, 3))
 BLOCK_CHARS = 8_000_000
 MOST_ANSWERS = 2_000_000
 LOT_CHARS = 2_000_000
+#: N-grams for which a task is worth its while.
+LOT = 100_000
 #: Symbols of what is not in a language's trusted text, and of what stands before a text.
 UNSEEN, START = 0, 1
 #: The language key of rows whose language is null.
@@ -131,17 +133,18 @@ class Model:
         self.order, self.bits = order, bits
         self.writing = Symbols(alphabets(docs) if known is None else known, order, bits)
         table = materialise(counts(docs, self.writing))
-        self.tables, self.contexts = {order: table}, {}
+        self.tables, self.contexts, self.rows = {order: table}, {}, {order: table.count()}
         for n in range(order - 1, 0, -1):
             shorter = F.col("gram").bitwiseAND(F.lit((1 << self.bits * n) - 1))
-            table = materialise(table.groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("c")))
-            self.tables[n] = table
+            table = materialise(few(table.groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("c")), self.rows[n + 1], LOT))
+            self.tables[n], self.rows[n] = table, table.count()
         self.discounts = self._discounts()
         self.symbols = self.tables[1].groupBy("lang").agg(F.count("*").alias("symbols"))
         for n, table in self.tables.items():
             own = self.discounted(n)
             ctx = F.shiftright("gram", self.bits).alias("ctx")
-            self.contexts[n] = materialise(own.groupBy("lang", ctx).agg(F.sum("c").alias("total"), F.sum("d").alias("off")).select("lang", "ctx", "total", (F.col("off") / F.col("total")).alias("gamma")))
+            contexts = own.groupBy("lang", ctx).agg(F.sum("c").alias("total"), F.sum("d").alias("off")).select("lang", "ctx", "total", (F.col("off") / F.col("total")).alias("gamma"))
+            self.contexts[n] = materialise(few(contexts, self.rows[n], LOT))
 
     def _discounts(self) -> DataFrame:
         """lang, n, d1, d2, d3: at most order rows per language."""
@@ -152,7 +155,7 @@ class Model:
             d = [F.greatest(F.lit(0.0), F.least(F.lit(float(k)), F.coalesce(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.5 * k)))) for k in (1, 2, 3)]
             rows = have.select("lang", F.lit(n).alias("n"), *[x.alias(f"d{k}") for k, x in zip((1, 2, 3), d)])
             out = rows if out is None else out.unionByName(rows)
-        return materialise(out)
+        return materialise(few(out, self.order * len(self.writing.alphabets)))
 
     def discounted(self, n: int) -> DataFrame:
         """lang, gram, c, d: the counts of an order and what is taken off each."""
@@ -160,8 +163,9 @@ class Model:
         return self.tables[n].join(self.discounts.filter(F.col("n") == n), "lang").select("lang", "gram", "c", F.least(d, F.col("c")).alias("d"))
 
     def probabilities(self, asked: DataFrame) -> DataFrame:
-        """lang, gram, p for the distinct (lang, gram) of the highest order in asked; languages the model does not have drop out."""
-        level = asked.select("lang", "gram")
+        """lang, gram, p for the distinct (lang, gram) of the highest order in asked, a written table; languages the model does not have drop out."""
+        level, most = asked.select("lang", "gram"), asked.count()
+        lot = lambda df: few(df, most, LOT)  # noqa: E731  no level has more n-grams than the one above it
         levels = {self.order: level}
         for n in range(self.order - 1, 0, -1):
             level = level.select("lang", F.col("gram").bitwiseAND(F.lit((1 << self.bits * n) - 1)).alias("gram")).distinct()
@@ -169,13 +173,14 @@ class Model:
         below = None
         for n in range(1, self.order + 1):
             seen = self.discounted(n).select("lang", "gram", (F.col("c") - F.col("d")).alias("kept"))
-            q = levels[n].join(seen, ["lang", "gram"], "left").withColumn("ctx", F.shiftright("gram", self.bits)).join(self.contexts[n], ["lang", "ctx"], "left")
+            q = lot(levels[n].join(seen, ["lang", "gram"], "left")).withColumn("ctx", F.shiftright("gram", self.bits))
+            q = lot(q.join(self.contexts[n], ["lang", "ctx"], "left"))
             if n == 1:
                 q = q.join(self.symbols, "lang").withColumn("lower", 1 / (F.col("symbols") + 1))
             else:
                 q = q.withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << self.bits * (n - 1)) - 1))).join(below.select("lang", F.col("gram").alias("low"), F.col("p").alias("lower")), ["lang", "low"])
             p = F.coalesce(F.col("kept") / F.col("total"), F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("lower")
-            below = materialise(q.select("lang", "gram", p.alias("p")))
+            below = materialise(lot(q.select("lang", "gram", p.alias("p"))))
         return below
 
 

@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foretell.llm.common import discard, fresh, in_lots, materialise, tidy
-from foretell.llm.components import connected_components
+from foretell.llm.common import discard, few, fresh, in_lots, materialise, small_side, tidy
+from foretell.llm.components import SMALL, connected_components
 
 SEED = 42
 PIVOTS = 16
@@ -38,6 +38,8 @@ LANES = 4
 KEYS, EACH = 24, 6
 #: Buckets of up to so many rows are treated many at a time.
 FEW = 16
+#: Rows of buckets, and pairs of texts, for which a task is worth its while.
+LOT, PAIRS = 20_000, 2_000
 #: First bit and width of the six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: Stands for a null doc_id in nodes: after all others.
@@ -256,9 +258,10 @@ def _find(batches: Iterator[pa.RecordBatch], bits: int, every_pair: bool) -> Ite
         yield emit(left)
 
 
-def _found(rows: DataFrame, bits: int, order: Column, every_pair: bool = False) -> DataFrame:
-    """(key, u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met in this order."""
-    sorted_ = rows.select("key", "id", "hash", "fp", "label", order.alias("order")).repartition("key").sortWithinPartitions("key", "order", "hash").drop("order")
+def _found(rows: DataFrame, bits: int, order: Column, every_pair: bool = False, most: int | None = None) -> DataFrame:
+    """(key, u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met in this order.  most: how many rows there are at most, if that is known."""
+    dealt = rows.select("key", "id", "hash", "fp", "label", order.alias("order")).repartition("key")
+    sorted_ = (dealt if most is None else few(dealt, most, LOT)).sortWithinPartitions("key", "order", "hash").drop("order")
     return sorted_.mapInArrow(tidy(lambda it: _find(it, bits, every_pair)), "key long, u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>")
 
 
@@ -294,7 +297,7 @@ def differing_share(similarity: float) -> float:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """u, v, good: whether the shingle sets of a pair are as similar as that.  A node of many pairs is read once for each of 16 parts of its partners."""
+    """u, v, good: whether the shingle sets of a pair are as similar as that.  pairs: a written table.  A node of many pairs is read once for each of 16 parts of its partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -305,11 +308,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 good.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(good, pa.bool_())], ["u", "v", "good"])
 
+    most = pairs.count()
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(16)))
     left = pairs.select("u", "part").distinct().join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("x")), "u")
     both = pairs.join(left, ["u", "part"]).join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("y")), "v")
     node = "struct<id:bigint,hash:bigint>"
-    return both.select("u", "v", "x", "y").mapInArrow(tidy(run), f"u {node}, v {node}, good boolean")
+    return few(both.select("u", "v", "x", "y"), most, PAIRS).mapInArrow(tidy(run), f"u {node}, v {node}, good boolean")
 
 
 def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
@@ -317,10 +321,11 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
     share, width = differing_share(similarity), 64 * LANES
     bits = round(width * share + 3 * math.sqrt(width * share * (1 - share)))
     rows = nodes.select(F.posexplode("keys").alias("number", "key"), "id", "hash", "fp")
-    live = materialise(rows.join(_tiles(rows, tile, 2), "key"))
+    size = nodes.count()
+    live = materialise(few(rows.join(_tiles(rows, tile, 2), "key"), KEYS * size))
     node = F.struct("id", "hash")
     sets = texts.join(live.select("id", "hash").distinct(), ["id", "hash"]).dropDuplicates(["id", "hash"])
-    sets = materialise(sets.select(node.alias("node"), "shingles"))
+    sets = materialise(few(sets.select(node.alias("node"), "shingles"), size, PAIRS))
     tested = labels = failed = None
 
     def labelled(rows: DataFrame) -> DataFrame:
@@ -328,17 +333,19 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
         if labels is None:
             return rows.withColumn("label", own)
         named = labels.select(F.col("node.id").alias("id"), F.col("node.hash").alias("hash"), F.xxhash64("label.id", "label.hash").alias("label"))
-        return rows.join(named, ["id", "hash"], "left").withColumn("label", F.coalesce("label", own))
+        return rows.join(small_side(named, SMALL), ["id", "hash"], "left").withColumn("label", F.coalesce("label", own))
 
-    def look(rows: DataFrame, order: Column, every_pair: bool = False) -> tuple[bool, bool]:
-        """Test the links found that were not tested yet.  Whether there were any, and whether any held."""
+    def look(rows: DataFrame, order: Column, every_pair: bool = False, most: int | None = None) -> tuple[bool, bool]:
+        """Test the links found that were not tested yet in rows, at most so many if that is known.  Whether there were any, and whether any held."""
         nonlocal tested, failed
-        found = materialise(_found(rows, bits, order, every_pair).select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-        pairs = found.select("u", "v").distinct()
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))  # read twice
+        found = materialise(_found(rows, bits, order, every_pair, most).select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        n = found.count()
+        pairs = few(found.select("u", "v").distinct(), n)
+        pairs = materialise(pairs if tested is None else few(pairs.join(small_side(tested.select("u", "v"), SMALL), ["u", "v"], "left_anti"), n))  # read twice
         new = materialise(_verified(pairs, sets, similarity))
         some, held = new.limit(1).count() > 0, new.filter("good").limit(1).count() > 0
-        old, failed = failed, materialise(found.join(new.filter("good"), ["u", "v"], "left_anti").select("key").distinct())  # what was tested before and is found again has failed
+        held_now = small_side(new.filter("good").select("u", "v"), SMALL)
+        old, failed = failed, materialise(few(found.join(held_now, ["u", "v"], "left_anti").select("key").distinct(), n))  # what was tested before and is found again has failed
         discard(found, pairs, *([] if old is None else [old]))
         if tested is None:
             tested = new
@@ -350,23 +357,24 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
     def connect() -> None:
         nonlocal labels, stale
         if stale:
-            old, labels, stale = labels, connected_components(tested.filter("good").select("u", "v")), False
+            old, labels, stale = labels, connected_components((good := tested.filter("good").select("u", "v")), good.count()), False
             if old is not None:
                 discard(old)
 
     turn, again, stale = -1, True, False
     while again:
-        first, salt = turn < 0, F.lit(max(turn, 0))
+        first, salt, most = turn < 0, F.lit(max(turn, 0)), KEYS * size
         tiled = F.when(F.col("tiles") > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "hash", salt), F.col("tiles")))).otherwise(F.col("key"))
         if first:
-            here = live.filter("number = 0")
+            here, most = live.filter("number = 0"), size
         elif not turn:
             here = live
         else:  # the links of all others hold, or all their pairs were tested
             here = live.filter("tiles = 1" if turn == 1 else "tiles = 1 AND many").join(failed, "key", "left_semi").unionByName(live.filter("tiles > 1"))
-            if not here.limit(1).count():
+            most = here.count()
+            if not most:
                 break
-        some, held = look(labelled(here).withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn > 0 else F.col("id"), turn > 0)
+        some, held = look(labelled(here).withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn > 0 else F.col("id"), turn > 0, most)
         stale |= held or first
         connect()  # what a round has connected, the next one's buckets need not tell again: a link that holds then is a new one
         again, turn = first or (some and (held or not turn)), turn + 1
@@ -401,9 +409,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = 4) -> DataFrame
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Nodes (id, hash) that stand for the different texts of docs, with their label (id, hash), the sketches (id, hash, fp) they come from, and the written tables that both are read from.  A node is its own label if its text stays."""
     own = materialise(sketches(docs, words))
-    nodes = materialise(own.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("node"), F.first("keys").alias("keys")).select("node.id", "node.hash", "fp", "keys"))
+    nodes = own.groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("node"), F.first("keys").alias("keys")).select("node.id", "node.hash", "fp", "keys")
+    nodes = materialise(few(nodes, own.count(), LOT))
     labels = similar_components(nodes, own, similarity)
-    named = nodes.select("id", "hash", "fp", F.struct("id", "hash").alias("node")).join(labels, "node", "left")
+    named = nodes.select("id", "hash", "fp", F.struct("id", "hash").alias("node")).join(small_side(labels, SMALL), "node", "left")
     return named.select("id", "hash", "fp", F.coalesce("label", "node").alias("label")), own, [own, nodes, labels]
 
 
@@ -420,7 +429,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     classes, _, tables = similar_documents(docs, words, similarity)
     key, text = fresh(docs, "id", "hash")
     stay = classes.filter(F.col("label") == F.struct("id", "hash")).select(F.col("id").alias(key), F.col("hash").alias(text))
-    stay = materialise(stay)
+    stay = materialise(few(stay, tables[1].count()))
     discard(*tables)
     out = docs.join(stay, (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col(key)) & (F.xxhash64("text") == F.col(text)), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
