@@ -9,7 +9,7 @@ Links: two fingerprints link when at most `bits` (4) bits differ.
 4. A bucket yields a spanning forest of its links, never all pairs, rooted at its smallest id, so that the buckets of one group tell the same links.  Buckets of more than TILE rows are cut into pairs of tiles, so no task holds a large bucket.
 5. Components of the links give component_id.  A node is (smallest doc_id, hash), so that a component's smallest node names its smallest doc_id, and nothing is joined by component.
 
-By similarity (the pipeline: sets of five words, 0.8) fingerprints have LANES * 64 majority bits of the distinct shingles.  Sampled bits could choose the candidates only with about n ** 0.24 tables (55 at 2e5 documents, over 400 at 1e9), so buckets come from the least of the same shingle hashes instead: KEYS keys of EACH minima each, a fixed KEYS rows of about 60 bytes a document, n * KEYS rows in all.  A pair at 0.8 shares a key with probability 0.999.  In a bucket pivots and bits discard pairs beyond three standard deviations of the distance expected at the similarity, and what is left is verified by the exact similarity of the shingle sets (distinct hashes of 32 bits).  Buckets of one key come first, and those of the others look for links between what is not connected yet; what a round connects is put together before the next; links that fail verification may hide others, so buckets with such links are looked at again, those of up to FEW rows pair by pair, which settles them, larger ones with other orders and tiles until a round connects nothing new, and buckets of more than a tile that are not of one piece by then are compared tile by tile.
+By similarity (the pipeline: sets of five words, 0.8) fingerprints have LANES * 64 majority bits of the distinct shingles.  Sampled bits could choose the candidates only with about n ** 0.24 tables (55 at 2e5 documents, over 400 at 1e9), so buckets come from the least of the same shingle hashes instead: KEYS keys of EACH minima each, a fixed KEYS rows of about 60 bytes a document, n * KEYS rows in all.  A pair at 0.8 shares a key with probability 0.999.  In a bucket pivots and bits discard pairs beyond three standard deviations of the distance expected at the similarity, and what is left is verified by the exact similarity of the shingle sets (distinct hashes of 32 bits).  Buckets of one key come first, and those of the others look for links between what is not connected yet; what a round connects is put together before the next.  Links that fail verification may hide others, so the buckets with such links that are not of one piece are read once more, with their shingle sets: a task tests every pair of a bucket that bits do not discard and nothing connects yet, which settles it.  Of buckets beyond a tile (TILE rows, LOAD bytes of sets) each tile is settled so, then each pair of tiles of those still not of one piece.  So a document's rows are read a fixed number of times, however many links of its groups fail.
 
 Defined cases: null and blank texts have fingerprint zero, linked like any other; whole texts are read; a null doc_id takes part but never becomes a component_id unless its group has no other; repeated rows give repeated results; other columns are ignored, whatever their names; an empty table gives an empty result.
 """
@@ -40,6 +40,8 @@ KEYS, EACH = 24, 6
 FEW = 16
 #: Rows of buckets, and pairs of texts, for which a task is worth its while.
 LOT, PAIRS = 20_000, 2_000
+#: Bytes of shingle sets in a tile, about.
+LOAD = 1 << 25
 #: First bit and width of the six blocks.
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 #: Stands for a null doc_id in nodes: after all others.
@@ -183,17 +185,14 @@ def forest(fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int) ->
     return np.concatenate(us), np.concatenate(vs)
 
 
-def small_forests(first: np.ndarray, size: int, fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int, every_pair: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many buckets of one size at once, which begin at `first`: trees grow by one member a step.  every_pair: all links between different labels, not a tree of them."""
+def small_forests(first: np.ndarray, size: int, fps: np.ndarray, table: np.ndarray, label: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many buckets of one size at once, which begin at `first`: trees grow by one member a step."""
     n, place = len(first), first[:, None] + np.arange(size)
     joined = np.zeros((n, size, size), bool)
     for a in range(size):
         for b in range(a + 1, size):
             joined[near(fps, table, place[:, a], place[:, b], bits), a, b] = True
     known = label[place][:, :, None] == label[place][:, None, :]
-    if every_pair:
-        k, a, b = np.nonzero(joined & ~known)
-        return place[k, a], place[k, b]
     joined |= joined.transpose(0, 2, 1) | known
     inside, every = np.zeros((n, size), bool), np.arange(n)
     inside[:, 0] = True
@@ -210,8 +209,8 @@ def small_forests(first: np.ndarray, size: int, fps: np.ndarray, table: np.ndarr
     return np.concatenate(us), np.concatenate(vs)
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int, most: int = 8192, every_pair: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Places of linked rows inside the buckets of rows sorted by key, a spanning forest each, or (every_pair) all links of buckets of up to FEW rows."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int, most: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows inside the buckets of rows sorted by key, a spanning forest each."""
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
     sizes, firsts = np.diff(edges), edges[:-1]
     us, vs = [edges[:0]], [edges[:0]]
@@ -222,7 +221,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int
         for size in range(2, FEW + 1):
             own = firsts[sizes == size]
             for at in range(0, len(own), most):
-                u, v = small_forests(own[at : at + most], size, fps, table, label, bits, every_pair)
+                u, v = small_forests(own[at : at + most], size, fps, table, label, bits)
                 us.append(u)
                 vs.append(v)
     for k in np.flatnonzero(sizes > FEW):
@@ -235,46 +234,113 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, label: np.ndarray, bits: int
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _find(batches: Iterator[pa.RecordBatch], bits: int, every_pair: bool) -> Iterator[pa.RecordBatch]:
-    """Links inside buckets, which come one after another: key, id, hash, fp, label."""
+def settled_links(fps: np.ndarray, label: np.ndarray, sets: list[np.ndarray], bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked rows of one bucket: links between different labels that connect whatever pairs of at most `bits` differing bits and this similarity of their sets connect.  Members of small labels come first, and each is tested against all later ones that nothing connects it to yet."""
+    label = np.unique(label, return_inverse=True)[1]
+    place = np.lexsort((label, np.bincount(label)[label]))
+    fps, label, sets = fps[place], label[place], [sets[k] for k in place]
+    n = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(n)
+    number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    own = np.zeros(len(number), bool)  # whether the member at hand has a shingle
+    us, vs = [], []
+    for at in range(np.flatnonzero(np.r_[True, label != label[-1]])[-1]):
+        rest = at + 1 + np.flatnonzero(label[at + 1 :] != label[at])
+        rest = rest[distance(fps[rest], fps[at]) <= bits]
+        rest = rest[np.minimum(n[rest], n[at]) >= similarity * np.maximum(n[rest], n[at])]  # else their sizes alone tell them apart
+        if not len(rest):
+            continue
+        own[number[ends[at] - n[at] : ends[at]]] = True
+        first = np.cumsum(n[rest]) - n[rest]
+        both = np.add.reduceat(own[number[np.arange(n[rest].sum()) + np.repeat(ends[rest] - n[rest] - first, n[rest])]], first, dtype=np.int64)
+        own[number[ends[at] - n[at] : ends[at]]] = False
+        held = rest[both >= similarity * (n[at] + n[rest] - both)]
+        took = held[np.unique(label[held], return_index=True)[1]]
+        us.append(np.full(len(took), at))
+        vs.append(took)
+        label[np.isin(label, label[took])] = label[at]
+    return (place[np.concatenate(us)], place[np.concatenate(vs)]) if us else (place[:0], place[:0])
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of whole buckets from batches in which buckets come one after another, by their first column."""
     left: pa.Table | None = None
-
-    def emit(rows: pa.Table) -> pa.RecordBatch:
-        column = lambda k: rows.column(k).combine_chunks()
-        key, label = (column(k).to_numpy(zero_copy_only=False) for k in (0, 4))
-        u, v = bucket_links(key, _to_lanes(column(3)), label, bits, every_pair=every_pair)
-        node = lambda at: pa.StructArray.from_arrays([column(1).take(pa.array(at)), column(2).take(pa.array(at))], ["id", "hash"])
-        return pa.RecordBatch.from_arrays([column(0).take(pa.array(u)), node(u), node(v)], ["key", "u", "v"])
-
     for b in batches:
         new = pa.Table.from_batches([b])
         left = new if left is None else pa.concat_tables([left, new])
         key = left.column(0).to_numpy()
         last = int(np.searchsorted(key, key[-1])) if len(key) else 0
         if last:
-            yield emit(left.slice(0, last))
+            yield left.slice(0, last)
             left = left.slice(last)
     if left is not None and len(left):
-        yield emit(left)
+        yield left
+
+
+def _told(rows: pa.Table, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """key, u, v of links between these places of rows (key, id, hash, ...)."""
+    key, id_, hash_ = (rows.column(k).combine_chunks() for k in range(3))
+    node = lambda at: pa.StructArray.from_arrays([id_.take(pa.array(at)), hash_.take(pa.array(at))], ["id", "hash"])
+    return pa.RecordBatch.from_arrays([key.take(pa.array(u)), node(u), node(v)], ["key", "u", "v"])
+
+
+def _find(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Links inside buckets, which come one after another: key, id, hash, fp, label."""
+    for rows in _whole(batches):
+        key, label = (rows.column(k).to_numpy() for k in (0, 4))
+        yield _told(rows, *bucket_links(key, _to_lanes(rows.column(3).combine_chunks()), label, bits))
+
+
+def _settle(batches: Iterator[pa.RecordBatch], bits: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links that hold and settle buckets, which come one after another: key, id, hash, fp, label, shingles."""
+    for rows in _whole(batches):
+        key, label, fps = rows.column(0).to_numpy(), rows.column(4).to_numpy(), _to_lanes(rows.column(3).combine_chunks())
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        us, vs = [edges[:0]], [edges[:0]]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if (label[a:b] != label[a]).any():
+                sets = [np.frombuffer(x, "<u4") for x in rows.column(5).slice(a, b - a).to_pylist()]
+                u, v = settled_links(fps[a:b], label[a:b], sets, bits, similarity)
+                us.append(u + a)
+                vs.append(v + a)
+        yield _told(rows, np.concatenate(us), np.concatenate(vs))
+
 
+LINKS = "key long, u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>"
 
-def _found(rows: DataFrame, bits: int, order: Column, every_pair: bool = False, most: int | None = None) -> DataFrame:
-    """(key, u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met in this order.  most: how many rows there are at most, if that is known."""
-    dealt = rows.select("key", "id", "hash", "fp", "label", order.alias("order")).repartition("key")
-    sorted_ = (dealt if most is None else few(dealt, most, LOT)).sortWithinPartitions("key", "order", "hash").drop("order")
-    return sorted_.mapInArrow(tidy(lambda it: _find(it, bits, every_pair)), "key long, u struct<id:bigint,hash:bigint>, v struct<id:bigint,hash:bigint>")
+
+def _by_bucket(rows: DataFrame, most: int | None) -> DataFrame:
+    """rows (key, id, hash, ...), at most so many if that is known, with buckets one after another."""
+    dealt = rows.repartition("key")
+    return (dealt if most is None else few(dealt, most, LOT)).sortWithinPartitions("key", "id", "hash")
+
+
+def _found(rows: DataFrame, bits: int, most: int | None = None) -> DataFrame:
+    """(key, u, v): links inside the buckets of rows (key, id, hash, fp, label), whose members are met by their ids.  most: how many rows there are at most, if that is known."""
+    return _by_bucket(rows.select("key", "id", "hash", "fp", "label"), most).mapInArrow(tidy(lambda it: _find(it, bits)), LINKS)
+
+
+def _settled(rows: DataFrame, bits: int, similarity: float, most: int) -> DataFrame:
+    """(u, v): links that settle the buckets of rows (key, id, hash, fp, label, shingles), at most so many."""
+    dealt = _by_bucket(rows.select("key", "id", "hash", "fp", "label", "shingles"), most)
+    return dealt.mapInArrow(tidy(lambda it: _settle(it, bits, similarity)), LINKS).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _tile_of() -> Column:
+    """The tile of a row (id, hash, tiles)."""
+    return F.pmod(F.xxhash64("id", "hash"), F.col("tiles")).cast("int")
 
 
 def _pairs_of_tiles(rows: DataFrame) -> DataFrame:
     """Rows of large buckets (key, tiles, ...) once for each pair of tiles of their bucket that theirs is in."""
-    own = F.pmod(F.xxhash64("id", "hash"), F.col("tiles")).cast("int")
+    own = _tile_of()
     each = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return each.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
 
 
 def _tiles(rows: DataFrame, tile: int, least: int) -> DataFrame:
     """key, tiles of the buckets of at least so many rows."""
-    return rows.groupBy("key").count().filter(F.col("count") >= least).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"), (F.col("count") > FEW).alias("many"))
+    return rows.groupBy("key").count().filter(F.col("count") >= least).select("key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
 
 
 def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
@@ -286,9 +352,9 @@ def links(nodes: DataFrame, bits: int = 4, tile: int = TILE) -> DataFrame:
     rows = nodes.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "id", "hash", "fp", F.xxhash64("id", "hash").alias("label"))
     large = materialise(_tiles(rows, tile, tile + 1))
     if large.limit(1).count() == 0:
-        return _found(rows, bits, F.col("id")).select("u", "v")
+        return _found(rows, bits).select("u", "v")
     split = _pairs_of_tiles(rows.join(large, "key"))
-    return _found(rows.join(large, "key", "left_anti"), bits, F.col("id")).union(_found(split, bits, F.col("id"))).select("u", "v")
+    return _found(rows.join(large, "key", "left_anti"), bits).union(_found(split, bits)).select("u", "v")
 
 
 def differing_share(similarity: float) -> float:
@@ -326,7 +392,7 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
     node = F.struct("id", "hash")
     sets = texts.join(live.select("id", "hash").distinct(), ["id", "hash"]).dropDuplicates(["id", "hash"])
     sets = materialise(few(sets.select(node.alias("node"), "shingles"), size, PAIRS))
-    tested = labels = failed = None
+    tested = labels = failed = settled = None
 
     def labelled(rows: DataFrame) -> DataFrame:
         own = F.xxhash64("id", "hash")
@@ -335,15 +401,18 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
         named = labels.select(F.col("node.id").alias("id"), F.col("node.hash").alias("hash"), F.xxhash64("label.id", "label.hash").alias("label"))
         return rows.join(small_side(named, SMALL), ["id", "hash"], "left").withColumn("label", F.coalesce("label", own))
 
-    def look(rows: DataFrame, order: Column, every_pair: bool = False, most: int | None = None) -> tuple[bool, bool]:
-        """Test the links found that were not tested yet in rows, at most so many if that is known.  Whether there were any, and whether any held."""
+    def apart(rows: DataFrame) -> DataFrame:
+        """Keys of the buckets that are not of one piece."""
+        return rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
+
+    def look(rows: DataFrame, most: int) -> None:
+        """Test the links found that were not tested yet in rows, at most so many."""
         nonlocal tested, failed
-        found = materialise(_found(rows, bits, order, every_pair, most).select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        found = materialise(_found(rows, bits, most).select("key", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
         n = found.count()
         pairs = few(found.select("u", "v").distinct(), n)
         pairs = materialise(pairs if tested is None else few(pairs.join(small_side(tested.select("u", "v"), SMALL), ["u", "v"], "left_anti"), n))  # read twice
         new = materialise(_verified(pairs, sets, similarity))
-        some, held = new.limit(1).count() > 0, new.filter("good").limit(1).count() > 0
         held_now = small_side(new.filter("good").select("u", "v"), SMALL)
         old, failed = failed, materialise(few(found.join(held_now, ["u", "v"], "left_anti").select("key").distinct(), n))  # what was tested before and is found again has failed
         discard(found, pairs, *([] if old is None else [old]))
@@ -352,39 +421,47 @@ def similar_components(nodes: DataFrame, texts: DataFrame, similarity: float, ti
         else:
             tested, old = materialise(tested.union(new)), tested
             discard(old, new)
-        return some, held
 
     def connect() -> None:
-        nonlocal labels, stale
-        if stale:
-            old, labels, stale = labels, connected_components((good := tested.filter("good").select("u", "v")), good.count()), False
-            if old is not None:
-                discard(old)
-
-    turn, again, stale = -1, True, False
-    while again:
-        first, salt, most = turn < 0, F.lit(max(turn, 0)), KEYS * size
-        tiled = F.when(F.col("tiles") > 1, F.xxhash64("key", F.pmod(F.xxhash64("id", "hash", salt), F.col("tiles")))).otherwise(F.col("key"))
-        if first:
-            here, most = live.filter("number = 0"), size
-        elif not turn:
-            here = live
-        else:  # the links of all others hold, or all their pairs were tested
-            here = live.filter("tiles = 1" if turn == 1 else "tiles = 1 AND many").join(failed, "key", "left_semi").unionByName(live.filter("tiles > 1"))
-            most = here.count()
-            if not most:
-                break
-        some, held = look(labelled(here).withColumn("key", tiled), F.xxhash64("id", "hash", salt) if turn > 0 else F.col("id"), turn > 0, most)
-        stale |= held or first
+        nonlocal labels
+        good = tested.filter("good").select("u", "v")
+        good = good if settled is None else good.union(settled)
+        old, labels = labels, connected_components(good, good.count())
+        if old is not None:
+            discard(old)
+
+    def settle(rows: DataFrame, most: int) -> None:
+        nonlocal settled
+        new = materialise(few(_settled(rows, bits, similarity, most), most))
+        some = new.limit(1).count()
+        if settled is None:
+            settled = new
+        else:
+            settled, old = materialise(settled.union(new)), settled
+            discard(old, new)
+        if some:
+            connect()
+
+    tiled = F.when(F.col("tiles") > 1, F.xxhash64("key", _tile_of())).otherwise(F.col("key"))
+    for rows, most in ((live.filter("number = 0"), size), (live, KEYS * size)):
+        look(labelled(rows).withColumn("key", tiled), most)
         connect()  # what a round has connected, the next one's buckets need not tell again: a link that holds then is a new one
-        again, turn = first or (some and (held or not turn)), turn + 1
-    connect()
-    large = labelled(live.filter("tiles > 1"))
-    apart = large.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b").select("key")
-    if apart.limit(1).count():
-        stale = look(_pairs_of_tiles(large.join(apart, "key")), F.col("id"))[1]
-        connect()
-    discard(live, sets, tested, failed)
+    here = live.filter("tiles = 1").join(failed, "key", "left_semi").unionByName(live.filter("tiles > 1"))  # the links of all others hold
+    here = materialise(few(labelled(here), KEYS * size))
+    if (most := here.count()) and (keys := apart(here)).limit(1).count():
+        whole = here.drop("tiles").join(keys, "key").join(sets.select("node.id", "node.hash", "shingles"), ["id", "hash"])
+        whole = materialise(few(whole, most, LOT))
+        parts = whole.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(F.octet_length("shingles")) / LOAD)).cast("int").alias("tiles"))
+        parts = materialise(few(parts.filter("tiles > 1"), most))
+        if not parts.limit(1).count():
+            settle(whole, most)
+        else:
+            large = whole.join(parts, "key")
+            settle(whole.join(parts, "key", "left_anti").unionByName(large.withColumn("key", F.xxhash64("key", _tile_of())).drop("tiles")), most)
+            large = labelled(large.drop("label"))
+            settle(_pairs_of_tiles(large.join(apart(large), "key")), most)
+        discard(whole, parts)
+    discard(live, sets, tested, failed, here, *([] if settled is None else [settled]))
     return labels
 
 
