@@ -4,7 +4,7 @@ Words of more than LONG bytes are read in overlapping parts of that length.  A w
 
 Training uses a bounded sample on the driver: the `sample` rows of each label whose hashed id is smallest, whole texts.  It is drawn in two steps, shards of a label first, so the second step sees at most 16 * `sample` rows of a label however many there are.  A first pass labels windows like their documents; in two more a toxic document keeps as toxic its highest window and those above nearly all clean windows (`RARE`), and its other windows are left out.
 
-Scoring runs where documents are read, without a shuffle.  A word's input to both units is computed once per task and kept in a table of bounded size; windows are scored in lots.
+Scoring runs where documents are read, without a shuffle.  A word's input to both units is computed once per task and kept in a table of bounded size, which grows by doubling; windows are cut for a batch at once and scored in lots that fit a cache.
 
 Defined cases: null and empty texts, and texts without a letter, score 0; whole texts are read; repeated rows give repeated results, and are one row of training; rows with a null label are not learned from; other columns are ignored; an empty table gives an empty result; without both labels in training every score is 0.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ KNOWN_WORDS = 200_000
 
 def parts_of(text: str | None) -> list[bytes]:
     """The words of a text; one of more than LONG bytes (such as a text without blanks) as overlapping parts, so that all of it is read."""
-    return [w[k : k + LONG] for w in words_of(text) for k in range(0, max(len(w) - LAP, 1), LONG - LAP)]
+    words = words_of(text)
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [w[k : k + LONG] for w in words for k in range(0, max(len(w) - LAP, 1), LONG - LAP)]
 
 
 def trigrams(word: bytes) -> list[int]:
@@ -47,6 +51,17 @@ def trigrams(word: bytes) -> list[int]:
     return [(((w[k] << 16) | (w[k + 1] << 8) | w[k + 2]) * 0x9E3779B1 >> 15) % TRIGRAMS for k in range(len(w) - 2)]
 
 
+def trigrams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of all words, one word after another, and how many each has."""
+    octets = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.int64)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    inside = np.ones(len(octets), bool)  # every place begins a trigram but the last two of a word
+    ends = np.cumsum(n + 2)
+    inside[ends - 1] = inside[ends - 2] = False
+    at = np.flatnonzero(inside)
+    return (((octets[at] << 16) | (octets[at + 1] << 8) | octets[at + 2]) * 0x9E3779B1 >> 15) % TRIGRAMS, n
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -55,12 +70,11 @@ class Words:
     """Trigrams (flat, with owners) and hashed ids of a list of different words."""
 
     def __init__(self, words: list[bytes]):
-        each = [trigrams(w) for w in words]
-        self.n = np.maximum([len(t) for t in each], 1) if each else np.ones(0)
-        self.owner = np.repeat(np.arange(len(words)), [len(t) for t in each])
-        self.flat = np.array([t for ts in each for t in ts], np.int64)
+        self.flat, size = trigrams_of(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.n = np.maximum(size, 1)
+        self.owner = np.repeat(np.arange(len(words)), size)
         self.ids = np.array([zlib.crc32(w) % WORDS for w in words], np.int64)
-        self.ends = np.cumsum([len(t) for t in each]) if each else np.zeros(0, np.int64)
+        self.ends = np.cumsum(size)
 
     def take(self, at: np.ndarray) -> Words:
         """The same for the words at these places."""
@@ -90,15 +104,20 @@ def starts(n: int) -> range:
 
 def windows(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers (windows, WINDOW; -1 where a window ends early) and the document of each window."""
-    owner = [d for d, words in enumerate(docs) for _ in starts(len(words))]
-    out = np.full((len(owner), WINDOW), -1, np.int64)
-    at = 0
-    for words in docs:
-        for s in starts(len(words)):
-            part = words[s : s + WINDOW]
-            out[at, : len(part)] = part
-            at += 1
-    return out, np.array(owner, np.int64)
+    n = np.fromiter(map(len, docs), np.int64, len(docs))
+    return cut(np.fromiter(chain.from_iterable(docs), np.int64, n.sum()), n)
+
+
+def cut(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for documents of n words each, one after another in flat."""
+    each = np.where(n > 0, -(-np.maximum(n - STRIDE, 1) // STRIDE), 0)
+    owner = np.repeat(np.arange(len(n)), each)
+    start = (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)) * STRIDE
+    place = start[:, None] + np.arange(WINDOW)
+    inside = place < n[owner][:, None]
+    out = np.full(place.shape, -1, np.int64)
+    out[inside] = flat[(place + (np.cumsum(n) - n)[owner][:, None])[inside]]
+    return out, owner
 
 
 class Network:
@@ -229,19 +248,30 @@ class Scorer:
         self.at: dict[bytes, int] = {}
         self.gates = {side: np.zeros((0, 3 * HIDDEN), np.float32) for side in "fb"}
 
-    def largest(self, docs: list[list[bytes]], lot: int = 2048) -> np.ndarray:
+    def learn(self, words: list[bytes]) -> None:
+        """Add words to the table, whose room doubles when it is full."""
+        fresh, first = self.network.project(Words(words)), len(self.at)
+        self.at |= {w: first + i for i, w in enumerate(words)}
+        for side, g in self.gates.items():
+            if len(self.at) > len(g):
+                g = np.zeros((max(len(self.at), min(2 * len(g), KNOWN_WORDS)), 3 * HIDDEN), np.float32)
+                g[:first] = self.gates[side][:first]
+                self.gates[side] = g
+            g[first : len(self.at)] = fresh[side][:-1]
+
+    def largest(self, docs: list[list[bytes]], lot: int = 512) -> np.ndarray:
         """The largest window logit of each document; -inf without words."""
-        new = list({w for words in docs for w in words if w not in self.at})
+        words = set(chain.from_iterable(docs))
+        new = [w for w in words if w not in self.at]
         if len(self.at) + len(new) > KNOWN_WORDS:
             self.clear()
-            new = list({w for words in docs for w in words})
+            new = list(words)
         if new:
-            fresh = self.network.project(Words(new))
-            self.at |= {w: len(self.at) + i for i, w in enumerate(new)}
-            self.gates = {side: np.vstack([self.gates[side], fresh[side][:-1]]) for side in "fb"}
-        numbers, owner = windows([[self.at[w] for w in words] for words in docs])
+            self.learn(new)
+        n = np.fromiter(map(len, docs), np.int64, len(docs))
+        numbers, owner = cut(np.fromiter(map(self.at.__getitem__, chain.from_iterable(docs)), np.int64, n.sum()), n)
         out = np.full(len(docs), -np.inf)
-        for k in range(0, len(numbers), lot):
+        for k in range(0, len(numbers), lot):  # lots whose gates fit a core's cache
             some = numbers[k : k + lot]
             np.maximum.at(out, owner[k : k + lot], self.network.logits({side: g[some] for side, g in self.gates.items()}, some >= 0))
         return out
